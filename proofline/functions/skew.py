@@ -1,14 +1,15 @@
-"""Joins that stay balanced when one key holds a large share of the rows.
-
-The keys worth special care are found first: both sides are counted per key
-(combined before the shuffle), and the ``MAX_HOT`` heaviest keys above
-``ROWS_PER_SLICE`` rows form the hot table. Its size is bounded by
-construction, so it may be broadcast however large the inputs are; and a key
-that did not make the list holds at most 1/MAX_HOT of its side.
-
-Hot rows are spread over slices: a row goes to one slice of its own side and
-is repeated for every slice of the other side, so each pair meets exactly once.
-Null keys match nothing and are spread as well.
+"""Equi-joins that stay balanced when one key holds a large share of the rows.
+
+Heavy keys are found with a frequent-items sketch (``approx_top_k``), one pass
+over the key columns without a shuffle; it reports every key above a small
+share of its table. At most ``MAX_HOT`` keys per side are kept, so the hot list
+may be broadcast however large the inputs are, and a key that is not on it
+holds less than a thousandth or so of its side.
+
+A hot row goes to one slice of its own side and is repeated for every slice of
+the other side, so each pair of rows meets exactly once. Rows with a null key
+match nothing and are spread as well. Which keys the sketch names decides only
+where rows are sent, never the result.
 """
 
 from __future__ import annotations
@@ -19,42 +20,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT = 1000
+TRACKED = 10_000
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 256
 
 
-def _slices(count: Column, rows_per_slice: int) -> Column:
-    return F.least(F.ceil(count / F.lit(rows_per_slice)), F.lit(MAX_SLICES)).cast("int")
-
-
-def hot_keys(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str,
-    rows_per_slice: int,
-) -> DataFrame:
-    """At most MAX_HOT rows: the key, its slices per side, whether it matches."""
-    lc = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__ln"))
-    rc = right.groupBy(*on).agg(F.count(F.lit(1)).alias("__rn"))
+def heavy_hashes(df: DataFrame, on: list[str], rows_per_slice: int, out: str) -> DataFrame:
+    """At most MAX_HOT key hashes of ``df`` above ``rows_per_slice`` rows, with slices."""
+    keys = ", ".join(f"`{k}`" for k in on)
     return (
-        lc.join(rc, on, "left")
-        .withColumn("__rn", F.coalesce("__rn", F.lit(0)))
-        .withColumn("__weight", F.greatest("__ln", "__rn"))
-        .where(F.col("__weight") > rows_per_slice)
-        .orderBy(F.desc("__weight"), *on)
-        .limit(MAX_HOT)
+        df.dropna(subset=on)
+        .agg(F.expr(f"approx_top_k(xxhash64({keys}), {MAX_HOT}, {TRACKED})").alias("top"))
+        .select(F.explode("top").alias("t"))
+        .where(F.col("t.count") > rows_per_slice)
         .select(
-            *on,
-            _slices(F.col("__ln"), rows_per_slice).alias("__ls"),
-            F.greatest(_slices(F.col("__rn"), rows_per_slice), F.lit(1)).alias("__rs"),
-            (F.col("__rn") > 0).alias("__hit"),
+            F.col("t.item").alias("__h"),
+            F.least(F.ceil(F.col("t.count") / F.lit(rows_per_slice)), F.lit(MAX_SLICES))
+            .cast("int")
+            .alias(out),
         )
     )
 
 
-def _range(n: Column) -> Column:
-    return F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)
+def _spread(slices: Column) -> Column:
+    # The row number is fixed for a given input partition, so a task run again
+    # after a lost executor sends every row to the same slice.
+    return F.pmod(F.monotonically_increasing_id(), slices).cast("int")
+
+
+def _every(slices: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.coalesce(slices, F.lit(1)) - 1))
 
 
 def skew_join(
@@ -62,61 +57,81 @@ def skew_join(
     right: DataFrame,
     on: list[str],
     how: str,
+    probe: DataFrame | None = None,
+    unique_right: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Equi-join on same-named columns; ``how`` is inner, left or left_anti.
+    """Join on same-named columns; ``how`` is inner, left or left_anti.
 
-    The two sides may share no other column names. For ``left_anti`` the right
-    side is reduced to its distinct keys.
+    ``probe`` stands in for the left side when heavy keys are looked for: pass
+    the base table a computed left side got its keys from, so that the left
+    side is not computed twice. ``unique_right`` says that the right side has
+    each key once. The sides may share no other column names.
     """
     if how not in ("inner", "left", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    shared = set(left.columns) & set(right.columns) - set(on)
-    if shared and how != "left_anti":
-        raise ValueError(f"ambiguous columns {sorted(shared)}")
     if how == "left_anti":
-        right = right.select(*on).distinct()
-    hot = F.broadcast(hot_keys(left, right, on, how, rows_per_slice))
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    # The row number is fixed for a given input partition, so a task that is
-    # run again after a lost executor sends every row to the same place.
-    number = F.monotonically_increasing_id()
-    l = left.join(hot, on, "left")
-    own = F.when(no_key, F.pmod(number, F.lit(MAX_SLICES))).when(
-        F.col("__ls").isNotNull(), F.pmod(number, F.col("__ls"))
-    ).otherwise(F.lit(0)).cast("int")
+        right, unique_right = right.select(*on).distinct(), True
+    shared = (set(left.columns) & set(right.columns)) - set(on)
+    if shared:
+        raise ValueError(f"ambiguous columns {sorted(shared)}")
 
-    if how == "left_anti":
-        l = (
-            l.where(~F.coalesce(F.col("__hit"), F.lit(False)))
-            .withColumn("__i", own)
-        )
-        r = right.withColumn("__i", F.lit(0))
-        # A hot key that matches is gone by now; one that does not match may
-        # sit in any slice without changing the answer.
-        return l.join(r, [*on, "__i"], "left_anti").select(*left.columns)
-
-    l = (
-        l.withColumn("__i", own)
-        .withColumn("__j", F.explode(_range(F.col("__rs"))))
-        .withColumn("__hot", F.coalesce(F.col("__hit"), F.lit(False)))
-        .drop("__ls", "__rs", "__hit")
+    hash_ = F.xxhash64(*on)
+    hot_left = F.broadcast(
+        heavy_hashes(left if probe is None else probe, on, rows_per_slice, "__ls")
     )
-    r = (
-        right.join(hot, on, "left")
-        .withColumn(
-            "__j",
-            F.when(
-                F.col("__rs").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("__rs"))
-            ).otherwise(F.lit(0)).cast("int"),
+    l = left.withColumn("__h", hash_).join(hot_left, "__h", "left")
+    r = right.dropna(subset=on).withColumn("__h", hash_).join(hot_left, "__h", "left")
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    l = l.withColumn(
+        "__i",
+        F.when(no_key, _spread(F.lit(MAX_SLICES)))
+        .when(F.col("__ls").isNotNull(), _spread(F.col("__ls")))
+        .otherwise(0),
+    )
+    r = r.withColumn("__i", _every(F.col("__ls"))).drop("__ls")
+    slot = [*on, "__i"]
+
+    if not unique_right:
+        heavy = heavy_hashes(right, on, rows_per_slice, "__rs")
+        # The keys themselves, not their hashes: a left row may be treated as
+        # sure to match only if its key is on the right.
+        hot_right = F.broadcast(
+            right.dropna(subset=on)
+            .withColumn("__h", hash_)
+            .join(F.broadcast(heavy), "__h")
+            .select(*on, "__rs")
+            .distinct()
+        )
+        l = l.join(hot_right, on, "left").withColumn("__j", _every(F.col("__rs")))
+        r = (
+            r.join(hot_right, on, "left")
+            .withColumn(
+                "__j", F.when(F.col("__rs").isNotNull(), _spread(F.col("__rs"))).otherwise(0)
+            )
+            .drop("__rs")
         )
-        .withColumn("__i", F.explode(_range(F.col("__ls"))))
-        .drop("__ls", "__rs", "__hit")
-        .withColumn("__found", F.lit(True))
+        slot.append("__j")
+
+    r = r.drop("__h")
+    if how == "left_anti":
+        return l.join(r, slot, how).select(*left.columns)
+    extra = [c for c in right.columns if c not in on]
+    if how == "left" and not unique_right:
+        # Copies of a row that met an empty slice of its hot key are dropped.
+        joined = l.join(r.withColumn("__found", F.lit(True)), slot, how)
+        joined = joined.where(F.col("__found").isNotNull() | F.col("__rs").isNull())
+    else:
+        joined = l.join(r, slot, how)
+    return joined.select(*left.columns, *extra)
+
+
+def repeat_rows(df: DataFrame, times: str, chunk: int = 1_000_000) -> DataFrame:
+    """Each row ``times`` times, in chunks so that no array grows with the number."""
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / chunk))
+    return (
+        df.withColumn("__k", F.explode(chunks))
+        .withColumn("__m", F.least(F.lit(chunk), F.col(times) - F.col("__k") * chunk))
+        .withColumn("__r", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__m"))))
+        .drop("__k", "__m", "__r", times)
     )
-    out = l.join(r, [*on, "__i", "__j"], how)
-    if how == "left":
-        # A hot key with matches finds them in some slice; the copies of the
-        # row that met an empty slice are dropped. Without matches __rs is 1.
-        out = out.where(F.col("__found").isNotNull() | ~F.col("__hot"))
-    return out.drop("__i", "__j", "__hot", "__found")

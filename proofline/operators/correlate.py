@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofline.functions import vocab
 from proofline.functions.exprs import ago, n_if, ts
 from proofline.functions.quantiles import exact_quantiles
-from proofline.functions.skew import skew_join
+from proofline.functions.skew import repeat_rows, skew_join
 from proofline.operators.ledger import BUCKET, integrity_rows, linked
 from proofline.operators.metrics import spans
 
@@ -28,11 +28,19 @@ def unmatched_requests(cat, as_of, days: int = 30, environment: str = "prod") ->
         "run_id", "trace_id", "agent_instance_id", "tool_name", "request_hash",
         F.col("time").alias("request_time"),
     )
-    answers = cat["policy_decisions"].where(F.col("request_hash").isNotNull())
-    none = skew_join(asked, answers.select("request_hash"), ["request_hash"], "left_anti")
-    void = answers.where(F.col("decision_id").isNull()).select("request_hash")
-    listed = skew_join(asked, void, ["request_hash"], "inner")
-    return none.unionByName(listed).orderBy(F.desc("request_time"))
+    answers = (
+        cat["policy_decisions"]
+        .where(F.col("request_hash").isNotNull())
+        .groupBy("request_hash")
+        .agg(n_if(F.col("decision_id").isNull()).alias("void"))
+    )
+    listed = (
+        skew_join(asked, answers, ["request_hash"], "left", unique_right=True)
+        .withColumn("times", F.coalesce("void", F.lit(1).cast("bigint")))
+        .where(F.col("times") > 0)
+        .drop("void")
+    )
+    return repeat_rows(listed, "times").orderBy(F.desc("request_time"))
 
 
 def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
@@ -40,8 +48,7 @@ def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
     runs = run_ids.select("run_id").where(F.col("run_id").isNotNull()).distinct()
 
     def of_runs(table: str) -> DataFrame:
-        # Hot runs are legitimate here, so the run filter is skew-aware too.
-        return skew_join(cat[table], runs, ["run_id"], "inner")
+        return skew_join(cat[table], runs, ["run_id"], "inner", unique_right=True)
 
     requests = of_runs("tool_requests").select(
         F.col("time").alias("request_time"), "run_id", "trace_id", "agent_instance_id",
@@ -69,11 +76,18 @@ def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
         F.col("intent").alias("semantic_intent"),
         F.col("audit_ref").alias("semantic_audit_ref"),
     )
-    out = skew_join(requests, decisions, ["run_id", "request_hash"], "left")
-    out = skew_join(out, responses, ["run_id", "trace_id"], "left")
-    out = skew_join(out, ledger, ["decision_id"], "left")
-    out = skew_join(out, steps, ["run_id", "request_hash"], "left")
-    out = skew_join(out, traces, ["run_id", "ledger_event_id"], "left")
+    # Heavy keys are looked for in the tables the keys come from.
+    asked, decided, logged = (
+        cat["tool_requests"],
+        cat["policy_decisions"],
+        cat["ledger_events"],
+    )
+    hashed, traced = ["run_id", "request_hash"], ["run_id", "trace_id"]
+    out = skew_join(requests, decisions, hashed, "left", asked)
+    out = skew_join(out, responses, traced, "left", asked)
+    out = skew_join(out, ledger, ["decision_id"], "left", decided)
+    out = skew_join(out, steps, hashed, "left", asked)
+    out = skew_join(out, traces, ["run_id", "ledger_event_id"], "left", logged)
     return out.select(
         "request_time", "agent_instance_id", "tool_name", "tool_category", "request_hash",
         "decision_id", "decision", "reason_codes", "policy_bundle_hash", "response_hash",
@@ -332,7 +346,7 @@ def baseline_currency(cat, as_of, max_age_days: int = 90) -> DataFrame:
     made = cat["baselines"].select("baseline_hash", "created_at", F.lit(True).alias("known"))
     age = F.timestamp_diff("DAY", F.col("created_at"), ts(as_of))
     out = skew_join(agents, current, ["agent_instance_id"], "left")
-    out = skew_join(out, made, ["baseline_hash"], "left").withColumn("baseline_age_days", age)
+    out = skew_join(out, made, ["baseline_hash"], "left", current).withColumn("baseline_age_days", age)
     return out.where(F.col("known").isNull() | (F.col("baseline_age_days") > max_age_days)).select(
         "agent_instance_id",
         "autonomy_tier",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.skew import MAX_HOT
+from proofline.functions.skew import MAX_HOT, repeat_rows
 
 BUCKET = 65_536
 
@@ -96,17 +96,6 @@ def chain_breaks(links: DataFrame, by: str) -> DataFrame:
     )
 
 
-def _repeat(df: DataFrame, times: str, chunk: int = 1_000_000) -> DataFrame:
-    """Each row ``times`` times, in chunks so no array grows with the count."""
-    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / chunk))
-    return (
-        df.withColumn("__k", F.explode(chunks))
-        .withColumn("__m", F.least(F.lit(chunk), F.col(times) - F.col("__k") * chunk))
-        .withColumn("__r", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__m"))))
-        .drop("__k", "__m", "__r", times)
-    )
-
-
 def integrity_rows(links: DataFrame) -> DataFrame:
     """Rows whose link or sequence is wrong, with the kind of fault.
 
@@ -133,4 +122,4 @@ def integrity_rows(links: DataFrame) -> DataFrame:
         ),
         F.col("at.n").alias("__n"),
     )
-    return _repeat(faults, "__n")
+    return repeat_rows(faults, "__n")

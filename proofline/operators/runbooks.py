@@ -93,7 +93,7 @@ def incident_evidence(cat, run_ids: DataFrame) -> dict[str, DataFrame]:
     """The five record kinds of an incident, for the given runs."""
     runs = run_ids.select("run_id").where(F.col("run_id").isNotNull()).distinct()
     kinds = {
-        t: skew_join(cat[t], runs, ["run_id"], "inner")
+        t: skew_join(cat[t], runs, ["run_id"], "inner", unique_right=True)
         for t in INCIDENT_TABLES
         if t != "breaker_events"
     }
@@ -102,12 +102,14 @@ def incident_evidence(cat, run_ids: DataFrame) -> dict[str, DataFrame]:
     hit = (
         skew_join(
             breaker.select("event_id", F.explode("affected_run_ids").alias("run_id")),
-            runs, ["run_id"], "inner",
+            runs, ["run_id"], "inner", unique_right=True,
         )
         .select("event_id")
         .distinct()
     )
-    kinds["breaker_events"] = skew_join(breaker, hit, ["event_id"], "inner")
+    kinds["breaker_events"] = skew_join(
+        breaker, hit, ["event_id"], "inner", unique_right=True
+    )
     return kinds
 
 
@@ -363,7 +365,7 @@ def abom_mismatch(cat) -> DataFrame:
     )
     made = cat["baselines"].select("baseline_hash", F.col("abom_hash").alias("baseline_abom_hash"))
     pairs = skew_join(agents, current, ["agent_instance_id"], "inner")
-    return skew_join(pairs, made, ["baseline_hash"], "inner").where(
+    return skew_join(pairs, made, ["baseline_hash"], "inner", current).where(
         F.col("current_abom_hash") != F.col("baseline_abom_hash")
     )
 
@@ -422,13 +424,19 @@ def chain_links(cat, run_ids: DataFrame) -> DataFrame:
         cat["replay_steps"].where(F.col("request_hash").isNotNull())
         .select("request_hash").distinct().withColumn("replayed", F.lit(True))
     )
-    traces = skew_join(
-        cat["semantic_traces"].select("run_id", "audit_ref"), runs, ["run_id"], "inner"
-    )
-    out = skew_join(traces, ledger.withColumn("logged", F.lit(True)), ["audit_ref"], "left")
-    out = skew_join(out, decisions.withColumn("decided", F.lit(True)), ["decision_id"], "left")
-    out = skew_join(out, requests, ["request_hash"], "left")
-    out = skew_join(out, steps, ["request_hash"], "left")
+    # Each ledger event is resolved once, however many traces cite it.
+    links = skew_join(
+        ledger.withColumn("logged", F.lit(True)),
+        decisions.withColumn("decided", F.lit(True)),
+        ["decision_id"], "left",
+        cat["ledger_events"].select(F.col("policy_decision_id").alias("decision_id")), True,
+    )
+    links = skew_join(links, requests, ["request_hash"], "left", cat["policy_decisions"], True)
+    links = skew_join(links, steps, ["request_hash"], "left", cat["policy_decisions"], True)
+    links = links.drop("decision_id", "request_hash")
+    cited = cat["semantic_traces"].select("run_id", "audit_ref")
+    traces = skew_join(cited, runs, ["run_id"], "inner", unique_right=True)
+    out = skew_join(traces, links, ["audit_ref"], "left", cited, True)
     flags = ["logged", "decided", "requested", "replayed"]
     per_run = out.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("traces"), *[n_if(F.col(f)).alias(f) for f in flags]
@@ -440,33 +448,21 @@ def chain_links(cat, run_ids: DataFrame) -> DataFrame:
 
 
 def envelope_audit(cat, as_of=None) -> DataFrame:
-    """Messages that reuse a sender's nonce or had expired when sent.
-
-    The first use of a nonce stands; copies that share its time and id order
-    count as later uses. The first use is found by an aggregate, not by ranking
-    each sender's messages in one task.
-    """
-    rows = cat["agent_messages"].where(F.col("nonce").isNotNull() & F.col("sender_id").isNotNull())
+    """Per tenant and environment: messages that reuse a sender's nonce, and
+    messages that had expired when sent. The first use of a nonce stands, so a
+    group of n uses holds n - 1 faults and nothing needs ranking."""
+    rows = cat["agent_messages"]
     if as_of is not None:
         rows = rows.where(F.col("time") < ts(as_of))
-    # Identical rows stand together with their number, so the first of them
-    # can be told from the rest.
-    keys = ["tenant_id", "environment", "sender_id", "nonce", "message_id", "time", "expires_at"]
-    grouped = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    first = (
-        grouped.groupBy("sender_id", "nonce")
-        .agg(F.min(F.struct("time", "message_id", "tenant_id", "environment", "expires_at")).alias("f"))
-        .select("sender_id", "nonce", "f")
-    )
-    mine = F.struct("time", "message_id", "tenant_id", "environment", "expires_at")
-    out = skew_join(grouped, first, ["sender_id", "nonce"], "inner").withColumn(
-        "reused", F.col("copies") - F.when(mine.eqNullSafe(F.col("f")), 1).otherwise(0)
-    )
-    expired = F.coalesce(F.col("expires_at") < F.col("time"), F.lit(False))
-    return out.groupBy("tenant_id", "environment").agg(
-        F.sum("copies").alias("messages"),
-        F.sum("reused").alias("nonce_reused"),
-        F.sum(F.when(expired, F.col("copies")).otherwise(0)).alias("expired_when_sent"),
+    uses = rows.groupBy("tenant_id", "environment", "sender_id", "nonce").agg(
+        F.count(F.lit(1)).alias("n"),
+        n_if(F.col("expires_at") < F.col("time")).alias("expired"),
+    )
+    named = F.col("sender_id").isNotNull() & F.col("nonce").isNotNull()
+    return uses.groupBy("tenant_id", "environment").agg(
+        F.sum("n").alias("messages"),
+        F.sum(F.when(named, F.col("n") - 1).otherwise(0)).alias("nonce_reused"),
+        F.sum("expired").alias("expired_when_sent"),
     )
 
 

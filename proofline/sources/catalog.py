@@ -56,7 +56,8 @@ def normalise(df: DataFrame, table: str) -> DataFrame:
 class EvidenceCatalog(Mapping):
     """Logical table name -> DataFrame.
 
-    A source is a DataFrame, a path, or the name of a catalog table.
+    A source is a DataFrame, a function that makes one, a path, or the name of
+    a catalog table. It is read when first asked for.
     """
 
     def __init__(self, spark: SparkSession, sources: Mapping[str, object], fmt: str = "parquet"):
@@ -102,6 +103,8 @@ class EvidenceCatalog(Mapping):
     def _read(self, source: object) -> DataFrame:
         if isinstance(source, DataFrame):
             return source
+        if callable(source):
+            return source()
         if "/" in source:
             return self.spark.read.format(self._fmt).load(source)
         return self.spark.table(source)

@@ -9,8 +9,10 @@ differing names are exchanged by ``duckdb()``.
 from __future__ import annotations
 
 import re
+import zlib
+from functools import partial
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from proofline.functions.vocab import ADVERSARIAL_EVENT, DRIFT_EVENT
 from proofline.sources.catalog import EvidenceCatalog
@@ -281,19 +283,36 @@ def _needed(sql: str) -> list[str]:
     return found
 
 
-def derived_frames(spark: SparkSession, sf_dir: str, names=None) -> dict:
-    """The views as DataFrames over the parquet tables in ``sf_dir``."""
-    base = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in BASE_TABLES]
-    frames = {}
-    for name in names or [n for n in VIEWS if n != "ev"]:
-        ctes = base + [f"{n} AS ({VIEWS[n]})" for n in _needed(name)]
-        frames[name] = spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}")
-    return frames
+def _base_view(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """A temporary view of one given table, made once per session and folder."""
+    name = f"derived_{table}_{zlib.crc32(sf_dir.encode()):08x}"
+    if not spark.catalog.tableExists(name):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(name)
+    return name
+
+
+def derived_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One view as a DataFrame over the parquet tables in ``sf_dir``."""
+    views = _needed(name)
+    text = " ".join(VIEWS[v] for v in views)
+    ctes = [
+        f"{t} AS (SELECT * FROM {_base_view(spark, sf_dir, t)})"
+        for t in BASE_TABLES
+        if re.search(rf"FROM {t}\b", text)
+    ] + [f"{v} AS ({VIEWS[v]})" for v in views]
+    return spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}")
 
 
 def derived_catalog(spark: SparkSession, sf_dir: str) -> EvidenceCatalog:
-    names = [n for n in VIEWS if n not in ("ev", "replayed_steps")]
-    return EvidenceCatalog(spark, derived_frames(spark, sf_dir, names))
+    """The views as an evidence store; each is built when first asked for."""
+    return EvidenceCatalog(
+        spark,
+        {
+            name: partial(derived_frame, spark, sf_dir, name)
+            for name in VIEWS
+            if name not in ("ev", "replayed_steps")
+        },
+    )
 
 
 def duckdb(sql: str) -> str:
