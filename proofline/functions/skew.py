@@ -1,21 +1,24 @@
 """Equi-joins that stay balanced when one key holds a large share of the rows.
 
-Heavy keys are found with a frequent-items sketch (``approx_top_k``), one pass
-over the key columns without a shuffle; it reports every key above a small
-share of its table. At most ``MAX_HOT`` keys per side are kept, so the hot list
-may be broadcast however large the inputs are, and a key that is not on it
-holds less than a thousandth or so of its side.
-
-A hot row goes to one slice of its own side and is repeated for every slice of
-the other side, so each pair of rows meets exactly once. Rows with a null key
-match nothing and are spread as well. Which keys the sketch names decides only
-where rows are sent, never the result.
+Heavy keys are measured first, with a frequent-items sketch (``approx_top_k``):
+one pass over the key columns without a shuffle, for several key sets at once.
+It reports every key above a small share of its table. At most ``MAX_HOT`` keys
+per side are kept, so the list fits in any broadcast however large the inputs
+are, and a key that is not on it holds less than a thousandth or so of its side.
+
+Without heavy keys the join is an ordinary one. Otherwise a heavy row goes to
+one slice of its own side and is repeated for every slice of the other side, so
+each pair of rows meets exactly once; rows with a null key match nothing and
+are spread. Which keys the sketch names decides only where rows are sent,
+never the result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,21 +28,55 @@ ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 256
 
 
-def heavy_hashes(df: DataFrame, on: list[str], rows_per_slice: int, out: str) -> DataFrame:
-    """At most MAX_HOT key hashes of ``df`` above ``rows_per_slice`` rows, with slices."""
-    keys = ", ".join(f"`{k}`" for k in on)
-    return (
-        df.dropna(subset=on)
-        .agg(F.expr(f"approx_top_k(xxhash64({keys}), {MAX_HOT}, {TRACKED})").alias("top"))
-        .select(F.explode("top").alias("t"))
-        .where(F.col("t.count") > rows_per_slice)
-        .select(
-            F.col("t.item").alias("__h"),
-            F.least(F.ceil(F.col("t.count") / F.lit(rows_per_slice)), F.lit(MAX_SLICES))
-            .cast("int")
-            .alias(out),
+class Heavy(NamedTuple):
+    """Slices per heavy key hash, and whether null keys are many."""
+
+    slices: dict[int, int]
+    nulls: bool
+
+    def __bool__(self) -> bool:
+        return bool(self.slices) or self.nulls
+
+
+NOTHING = Heavy({}, False)
+
+
+def _any_null(on: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+
+
+def heavy_keys(
+    df: DataFrame, *key_sets: list[str], rows_per_slice: int | None = None
+) -> list[Heavy]:
+    """Measure the heavy keys of each key set in one pass. Runs a job."""
+    limit = rows_per_slice or ROWS_PER_SLICE
+    sketches = []
+    for i, on in enumerate(key_sets):
+        keys = ", ".join(f"`{k}`" for k in on)
+        sketches.append(F.expr(f"approx_top_k(xxhash64({keys}), {MAX_HOT}, {TRACKED})").alias(f"t{i}"))
+        sketches.append(F.count_if(_any_null(on)).alias(f"n{i}"))
+    row = df.agg(*sketches).first()
+    return [
+        Heavy(
+            {
+                t["item"]: min(-(-t["count"] // limit), MAX_SLICES)
+                for t in row[f"t{i}"]
+                if t["item"] is not None and t["count"] > limit
+            },
+            row[f"n{i}"] > limit,
         )
+        for i in range(len(key_sets))
+    ]
+
+
+def _table(df: DataFrame, heavy: Heavy, out: str) -> DataFrame:
+    rows = pa.table(
+        {
+            "__h": pa.array(list(heavy.slices), pa.int64()),
+            out: pa.array(list(heavy.slices.values()), pa.int32()),
+        }
     )
+    return F.broadcast(df.sparkSession.createDataFrame(rows))
 
 
 def _spread(slices: Column) -> Column:
@@ -57,49 +94,51 @@ def skew_join(
     right: DataFrame,
     on: list[str],
     how: str,
-    probe: DataFrame | None = None,
-    unique_right: bool = False,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    left_heavy: Heavy | None = None,
+    right_heavy: Heavy | None = None,
 ) -> DataFrame:
     """Join on same-named columns; ``how`` is inner, left or left_anti.
 
-    ``probe`` stands in for the left side when heavy keys are looked for: pass
-    the base table a computed left side got its keys from, so that the left
-    side is not computed twice. ``unique_right`` says that the right side has
-    each key once. The sides may share no other column names.
+    Heavy keys not given are measured. For a computed left side, pass what was
+    measured on the table its keys come from, so it is not computed twice; for
+    a right side that has each key once, pass ``NOTHING``. The sides may share
+    no other column names.
     """
     if how not in ("inner", "left", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     if how == "left_anti":
-        right, unique_right = right.select(*on).distinct(), True
+        right, right_heavy = right.select(*on).distinct(), NOTHING
     shared = (set(left.columns) & set(right.columns)) - set(on)
     if shared:
         raise ValueError(f"ambiguous columns {sorted(shared)}")
+    if left_heavy is None:
+        (left_heavy,) = heavy_keys(left, on)
+    if right_heavy is None:
+        (right_heavy,) = heavy_keys(right, on)
+    if how == "inner":
+        left = left.dropna(subset=on)
+    if not left_heavy and not right_heavy.slices:
+        return left.join(right, on, how)
 
     hash_ = F.xxhash64(*on)
-    hot_left = F.broadcast(
-        heavy_hashes(left if probe is None else probe, on, rows_per_slice, "__ls")
-    )
+    hot_left = _table(left, left_heavy, "__ls")
     l = left.withColumn("__h", hash_).join(hot_left, "__h", "left")
     r = right.dropna(subset=on).withColumn("__h", hash_).join(hot_left, "__h", "left")
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     l = l.withColumn(
         "__i",
-        F.when(no_key, _spread(F.lit(MAX_SLICES)))
+        F.when(_any_null(on), _spread(F.lit(MAX_SLICES)))
         .when(F.col("__ls").isNotNull(), _spread(F.col("__ls")))
         .otherwise(0),
     )
     r = r.withColumn("__i", _every(F.col("__ls"))).drop("__ls")
     slot = [*on, "__i"]
-
-    if not unique_right:
-        heavy = heavy_hashes(right, on, rows_per_slice, "__rs")
+    if right_heavy.slices:
         # The keys themselves, not their hashes: a left row may be treated as
         # sure to match only if its key is on the right.
         hot_right = F.broadcast(
             right.dropna(subset=on)
             .withColumn("__h", hash_)
-            .join(F.broadcast(heavy), "__h")
+            .join(_table(right, right_heavy, "__rs"), "__h")
             .select(*on, "__rs")
             .distinct()
         )
@@ -112,18 +151,14 @@ def skew_join(
             .drop("__rs")
         )
         slot.append("__j")
-
     r = r.drop("__h")
     if how == "left_anti":
         return l.join(r, slot, how).select(*left.columns)
-    extra = [c for c in right.columns if c not in on]
-    if how == "left" and not unique_right:
-        # Copies of a row that met an empty slice of its hot key are dropped.
-        joined = l.join(r.withColumn("__found", F.lit(True)), slot, how)
+    joined = l.join(r.withColumn("__found", F.lit(True)), slot, how)
+    if right_heavy.slices and how == "left":
+        # Copies of a row that met an empty slice of its heavy key are dropped.
         joined = joined.where(F.col("__found").isNotNull() | F.col("__rs").isNull())
-    else:
-        joined = l.join(r, slot, how)
-    return joined.select(*left.columns, *extra)
+    return joined.select(*left.columns, *[c for c in right.columns if c not in on])
 
 
 def repeat_rows(df: DataFrame, times: str, chunk: int = 1_000_000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofline.functions import vocab
 from proofline.functions.exprs import ago, n_if, ts
 from proofline.functions.quantiles import exact_quantiles
-from proofline.functions.skew import repeat_rows, skew_join
+from proofline.functions.skew import NOTHING, heavy_keys, repeat_rows, skew_join
 from proofline.operators.ledger import BUCKET, integrity_rows, linked
 from proofline.operators.metrics import spans
 
@@ -35,7 +35,7 @@ def unmatched_requests(cat, as_of, days: int = 30, environment: str = "prod") ->
         .agg(n_if(F.col("decision_id").isNull()).alias("void"))
     )
     listed = (
-        skew_join(asked, answers, ["request_hash"], "left", unique_right=True)
+        skew_join(asked, answers, ["request_hash"], "left", right_heavy=NOTHING)
         .withColumn("times", F.coalesce("void", F.lit(1).cast("bigint")))
         .where(F.col("times") > 0)
         .drop("void")
@@ -46,48 +46,52 @@ def unmatched_requests(cat, as_of, days: int = 30, environment: str = "prod") ->
 def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
     """Everything recorded about the given runs, one row per combination."""
     runs = run_ids.select("run_id").where(F.col("run_id").isNotNull()).distinct()
+    run, hashed, traced = ["run_id"], ["run_id", "request_hash"], ["run_id", "trace_id"]
+    decision, logged = ["decision_id"], ["run_id", "ledger_event_id"]
+    ledger = cat["ledger_events"].select(
+        F.col("policy_decision_id").alias("decision_id"),
+        "ledger_event_id",
+        F.col("event_hash").alias("ledger_event_hash"),
+        F.col("prev_event_hash").alias("prev_ledger_hash"),
+        F.col("sink_uri").alias("worm_uri"),
+        "run_id",
+    )
+    semantic = cat["semantic_traces"].withColumn("ledger_event_id", F.col("audit_ref"))
+    # Heavy keys are measured once per stored table, for every join it feeds.
+    q_run, q_hashed, q_traced = heavy_keys(cat["tool_requests"], run, hashed, traced)
+    p_run, p_hashed, p_decision = heavy_keys(cat["policy_decisions"], run, hashed, decision)
+    r_run, r_traced = heavy_keys(cat["tool_responses"], run, traced)
+    l_decision, l_logged = heavy_keys(ledger, decision, logged)
+    z_run, z_hashed = heavy_keys(cat["replay_steps"], run, hashed)
+    s_run, s_logged = heavy_keys(semantic, run, logged)
 
-    def of_runs(table: str) -> DataFrame:
-        return skew_join(cat[table], runs, ["run_id"], "inner", unique_right=True)
+    def of_runs(rows: DataFrame, heavy) -> DataFrame:
+        return skew_join(rows, runs, run, "inner", heavy, NOTHING)
 
-    requests = of_runs("tool_requests").select(
+    requests = of_runs(cat["tool_requests"], q_run).select(
         F.col("time").alias("request_time"), "run_id", "trace_id", "agent_instance_id",
         "tool_name", "tool_category", "request_hash",
     )
-    decisions = of_runs("policy_decisions").select(
+    decisions = of_runs(cat["policy_decisions"], p_run).select(
         "run_id", "request_hash", "decision_id", "decision", "reason_codes", "policy_bundle_hash"
     )
-    responses = of_runs("tool_responses").select(
+    responses = of_runs(cat["tool_responses"], r_run).select(
         "run_id", "trace_id", "response_hash", F.col("status").alias("tool_status"), "snapshot_uri"
     )
-    ledger = cat["ledger_events"].select(
-        F.col("policy_decision_id").alias("decision_id"),
-        "ledger_event_id",
-        F.col("event_hash").alias("ledger_event_hash"),
-        F.col("prev_event_hash").alias("prev_ledger_hash"),
-        F.col("sink_uri").alias("worm_uri"),
-    )
-    steps = of_runs("replay_steps").select(
+    steps = of_runs(cat["replay_steps"], z_run).select(
         "run_id", "request_hash", F.col("step_index").alias("replay_step"), "step_type"
     )
-    traces = of_runs("semantic_traces").select(
+    traces = of_runs(semantic, s_run).select(
         "run_id",
-        F.col("audit_ref").alias("ledger_event_id"),
+        "ledger_event_id",
         F.col("intent").alias("semantic_intent"),
         F.col("audit_ref").alias("semantic_audit_ref"),
     )
-    # Heavy keys are looked for in the tables the keys come from.
-    asked, decided, logged = (
-        cat["tool_requests"],
-        cat["policy_decisions"],
-        cat["ledger_events"],
-    )
-    hashed, traced = ["run_id", "request_hash"], ["run_id", "trace_id"]
-    out = skew_join(requests, decisions, hashed, "left", asked)
-    out = skew_join(out, responses, traced, "left", asked)
-    out = skew_join(out, ledger, ["decision_id"], "left", decided)
-    out = skew_join(out, steps, hashed, "left", asked)
-    out = skew_join(out, traces, ["run_id", "ledger_event_id"], "left", logged)
+    out = skew_join(requests, decisions, hashed, "left", q_hashed, p_hashed)
+    out = skew_join(out, responses, traced, "left", q_traced, r_traced)
+    out = skew_join(out, ledger.drop("run_id"), decision, "left", p_decision, l_decision)
+    out = skew_join(out, steps, hashed, "left", q_hashed, z_hashed)
+    out = skew_join(out, traces, logged, "left", l_logged, s_logged)
     return out.select(
         "request_time", "agent_instance_id", "tool_name", "tool_category", "request_hash",
         "decision_id", "decision", "reason_codes", "policy_bundle_hash", "response_hash",
@@ -345,8 +349,9 @@ def baseline_currency(cat, as_of, max_age_days: int = 90) -> DataFrame:
     )
     made = cat["baselines"].select("baseline_hash", "created_at", F.lit(True).alias("known"))
     age = F.timestamp_diff("DAY", F.col("created_at"), ts(as_of))
+    (shared,) = heavy_keys(current, ["baseline_hash"])
     out = skew_join(agents, current, ["agent_instance_id"], "left")
-    out = skew_join(out, made, ["baseline_hash"], "left", current).withColumn("baseline_age_days", age)
+    out = skew_join(out, made, ["baseline_hash"], "left", shared).withColumn("baseline_age_days", age)
     return out.where(F.col("known").isNull() | (F.col("baseline_age_days") > max_age_days)).select(
         "agent_instance_id",
         "autonomy_tier",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofline.functions import vocab
 from proofline.functions.exprs import ago, micros, n_if, pct, ts
 from proofline.functions.running import running
-from proofline.functions.skew import skew_join
+from proofline.functions.skew import NOTHING, heavy_keys, skew_join
 
 # Tool categories whose calls change something outside the agent.
 SIDE_EFFECTS = ("reversible_write", *vocab.HIGH_IMPACT)
@@ -93,7 +93,7 @@ def incident_evidence(cat, run_ids: DataFrame) -> dict[str, DataFrame]:
     """The five record kinds of an incident, for the given runs."""
     runs = run_ids.select("run_id").where(F.col("run_id").isNotNull()).distinct()
     kinds = {
-        t: skew_join(cat[t], runs, ["run_id"], "inner", unique_right=True)
+        t: skew_join(cat[t], runs, ["run_id"], "inner", right_heavy=NOTHING)
         for t in INCIDENT_TABLES
         if t != "breaker_events"
     }
@@ -102,13 +102,13 @@ def incident_evidence(cat, run_ids: DataFrame) -> dict[str, DataFrame]:
     hit = (
         skew_join(
             breaker.select("event_id", F.explode("affected_run_ids").alias("run_id")),
-            runs, ["run_id"], "inner", unique_right=True,
+            runs, ["run_id"], "inner", right_heavy=NOTHING,
         )
         .select("event_id")
         .distinct()
     )
     kinds["breaker_events"] = skew_join(
-        breaker, hit, ["event_id"], "inner", unique_right=True
+        breaker, hit, ["event_id"], "inner", right_heavy=NOTHING
     )
     return kinds
 
@@ -364,8 +364,9 @@ def abom_mismatch(cat) -> DataFrame:
         "agent_instance_id", F.col("current_baseline_hash").alias("baseline_hash")
     )
     made = cat["baselines"].select("baseline_hash", F.col("abom_hash").alias("baseline_abom_hash"))
+    (shared,) = heavy_keys(current, ["baseline_hash"])
     pairs = skew_join(agents, current, ["agent_instance_id"], "inner")
-    return skew_join(pairs, made, ["baseline_hash"], "inner", current).where(
+    return skew_join(pairs, made, ["baseline_hash"], "inner", shared).where(
         F.col("current_abom_hash") != F.col("baseline_abom_hash")
     )
 
@@ -425,18 +426,21 @@ def chain_links(cat, run_ids: DataFrame) -> DataFrame:
         .select("request_hash").distinct().withColumn("replayed", F.lit(True))
     )
     # Each ledger event is resolved once, however many traces cite it.
+    named = F.col("policy_decision_id").alias("decision_id")
+    (by_decision,) = heavy_keys(cat["ledger_events"].select(named), ["decision_id"])
+    (by_hash,) = heavy_keys(cat["policy_decisions"], ["request_hash"])
     links = skew_join(
         ledger.withColumn("logged", F.lit(True)),
         decisions.withColumn("decided", F.lit(True)),
-        ["decision_id"], "left",
-        cat["ledger_events"].select(F.col("policy_decision_id").alias("decision_id")), True,
+        ["decision_id"], "left", by_decision, NOTHING,
     )
-    links = skew_join(links, requests, ["request_hash"], "left", cat["policy_decisions"], True)
-    links = skew_join(links, steps, ["request_hash"], "left", cat["policy_decisions"], True)
+    links = skew_join(links, requests, ["request_hash"], "left", by_hash, NOTHING)
+    links = skew_join(links, steps, ["request_hash"], "left", by_hash, NOTHING)
     links = links.drop("decision_id", "request_hash")
     cited = cat["semantic_traces"].select("run_id", "audit_ref")
-    traces = skew_join(cited, runs, ["run_id"], "inner", unique_right=True)
-    out = skew_join(traces, links, ["audit_ref"], "left", cited, True)
+    by_run, by_ref = heavy_keys(cited, ["run_id"], ["audit_ref"])
+    traces = skew_join(cited, runs, ["run_id"], "inner", by_run, NOTHING)
+    out = skew_join(traces, links, ["audit_ref"], "left", by_ref, NOTHING)
     flags = ["logged", "decided", "requested", "replayed"]
     per_run = out.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("traces"), *[n_if(F.col(f)).alias(f) for f in flags]

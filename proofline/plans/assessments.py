@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,24 +25,31 @@ class Assessments:
 
     KEY = "assessment_id"
 
-    def __init__(self, frame: DataFrame):
-        for name, default in vocab.DEFAULT_THRESHOLDS.items():
-            given = F.col(name).cast("double") if name in frame.columns else F.lit(None)
-            frame = frame.withColumn(name, F.coalesce(given, F.lit(default)))
-        days = F.col("window_days") if "window_days" in frame.columns else F.lit(None)
-        frame = frame.withColumn(
-            "window_days", F.coalesce(days, F.lit(vocab.DEFAULT_WINDOW_DAYS)).cast("int")
+    def __init__(self, frame: DataFrame, count: int | None = None, earliest: str | None = None):
+        has = frame.columns
+        days = F.col("window_days").cast("int") if "window_days" in has else F.lit(None)
+        days = F.coalesce(days, F.lit(vocab.DEFAULT_WINDOW_DAYS))
+        as_of = F.col("as_of").cast("timestamp_ntz")
+        self.frame = frame.select(
+            self.KEY, "tenant_id", "environment", "tier",
+            as_of.alias("as_of"),
+            (as_of - F.make_dt_interval(days)).alias("since"),
+            days.alias("window_days"),
+            *[
+                F.coalesce(
+                    F.col(name).cast("double") if name in has else F.lit(None), F.lit(default)
+                ).alias(name)
+                for name, default in vocab.DEFAULT_THRESHOLDS.items()
+            ],
         )
-        self.frame = frame.withColumn("as_of", ts(F.col("as_of").cast("timestamp_ntz"))).withColumn(
-            "since", F.col("as_of") - F.make_dt_interval(F.col("window_days"))
-        )
-        facts = self.frame.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.date_format(F.min("since"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("since"),
-        ).first()
-        self.count = facts["n"]
+        if count is None:
+            facts = self.frame.agg(
+                F.count(F.lit(1)).alias("n"), F.min("since").cast("string").alias("since")
+            ).first()
+            count, earliest = facts["n"], facts["since"]
+        self.count = count
         # A literal every scan can push down; each row keeps its own bound.
-        self.earliest = facts["since"]
+        self.earliest = earliest
 
     @classmethod
     def of(cls, spark: SparkSession, rows: Iterable[Mapping]) -> Assessments:
@@ -75,7 +82,15 @@ class Assessments:
             )
         names = list(dict.fromkeys(k for row in table for k in row))
         columns = {n: [row.get(n) for row in table] for n in names}
-        return cls(spark.createDataFrame(pa.table(columns)))
+        earliest = min(
+            (to_datetime(r["as_of"]) - timedelta(days=r["window_days"]) for r in table),
+            default=None,
+        )
+        return cls(
+            spark.createDataFrame(pa.table(columns)),
+            len(table),
+            earliest and earliest.isoformat(sep=" "),
+        )
 
     def side(self, *columns: str) -> DataFrame:
         """The assessments as a join side, hinted for broadcast if small."""
@@ -101,14 +116,6 @@ class Assessments:
         """Like ``scope`` for tables without time."""
         return table.join(self.side(*carry), ["tenant_id", "environment"])
 
-    def fill(self, part: DataFrame, zeros: Iterable[str]) -> DataFrame:
-        """Every assessment with its metrics; absent ones are zero."""
-        zeros = list(zeros)
-        base = self.frame.select(self.KEY)
-        return base.join(part.select(self.KEY, *zeros), self.KEY, "left").select(
-            self.KEY, *[F.coalesce(F.col(z), F.lit(0)).cast("bigint").alias(z) for z in zeros]
-        )
-
 
 def one(spark: SparkSession, tenant_id: str, environment: str, tier: str, as_of: datetime | str,
         **settings) -> Assessments:

@@ -1,16 +1,14 @@
-"""The nineteen checks: what each needs, its metrics and its verdict rule."""
+"""The nineteen checks: what each needs, its metrics and its verdict rule.
+
+Metrics, verdicts and findings are Spark SQL expressions over the raw counts
+and the columns of the assessment.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from proofline.functions import vocab
-from proofline.functions.exprs import pct
-from proofline.functions.vocab import FAIL, PARTIAL, PASS
 
 ALL = vocab.TIERS
 RAISED = ("bounded", "high_privilege")
@@ -24,139 +22,90 @@ class Check:
     classification: str
     tiers: tuple[str, ...]
     title: str
-    metrics: dict[str, Callable[[], Column]]
-    status: Callable[[], Column]
-    finding: Callable[[], Column]
+    metrics: dict[str, str]
+    status: str
+    finding: str
     counts: dict[str, tuple[str, ...]] = field(default_factory=dict)
     shaped: tuple[str, ...] = ()
-    error: Callable[[], Column] | None = None
-
-
-def _c(name: str) -> Callable[[], Column]:
-    return lambda: F.col(name)
-
-
-def _pct(part: str, whole: str) -> Callable[[], Column]:
-    return lambda: pct(F.col(part), F.col(whole))
-
-
-def _ok(cond: Column, good: str = PASS) -> Column:
-    return F.when(cond, good).otherwise(FAIL)
+    error: str = "cast(null as string)"
 
 
-def _say(text: str, *names: str) -> Callable[[], Column]:
-    return lambda: F.format_string(text, *[F.col(n) for n in names])
+def _pct(part: str, whole: str) -> str:
+    ratio = f"cast({part} as double) / nullif(cast({whole} as double), 0d) * 100d"
+    return f"if({whole} = 0, 100d, round({ratio}, 2))"
 
 
-def _covered(part: str, whole: str, bound: str) -> Callable[[], Column]:
-    return lambda: _ok(pct(F.col(part), F.col(whole)) >= F.col(bound))
+def _ok(cond: str, good: str = "PASS") -> str:
+    return f"if({cond}, '{good}', 'FAIL')"
 
 
-def _whole(part: str, whole: str) -> Callable[[], Column]:
-    return lambda: _ok(pct(F.col(part), F.col(whole)) == 100.0)
-
-
-def _none(*names: str) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & (F.col(n) == 0)
-    return cond
-
-
-def required_dimensions() -> Column:
-    chosen = F.array().cast("array<string>")
-    for tier, dims in vocab.REQUIRED_DIMENSIONS.items():
-        if dims:
-            chosen = F.when(F.col("tier") == tier, F.array(*map(F.lit, dims))).otherwise(chosen)
-    return chosen
-
-
-def dimensions_enforced() -> Column:
-    return F.filter(
-        F.array(
-            *[
-                F.when(F.col(f"denies_{d}") > 0, F.lit(d))
-                for d in vocab.QUALITY_DIMENSIONS
-            ]
-        ),
-        lambda d: d.isNotNull(),
-    )
+def _none(*names: str) -> str:
+    return " and ".join(f"{n} = 0" for n in names)
 
 
-def missing_enforcement() -> Column:
-    return F.array_except(required_dimensions(), dimensions_enforced())
+def _say(text: str, *names: str) -> str:
+    return f"format_string('{text}', {', '.join(names)})"
 
 
-def _q16_status() -> Column:
-    sandbox = _ok((F.col("discoveries") > 0) & _none("unknown_classifiers"))
-    raised = _ok(_none("unenrolled_agents", "unknown_classifiers"), PARTIAL)
-    return F.when(F.col("tier") == "sandbox", sandbox).otherwise(raised)
+def _array(items) -> str:
+    return "cast(array(" + ", ".join(items) + ") as array<string>)"
 
 
-def _q17_status() -> Column:
-    covered = pct(F.col("memory_reads_gated"), F.col("memory_reads")) >= F.col(
-        "c18_quality_decision_coverage_pct"
+REQUIRED = (
+    "case tier "
+    + " ".join(
+        f"when '{t}' then {_array(repr(d) for d in dims)}"
+        for t, dims in vocab.REQUIRED_DIMENSIONS.items()
     )
-    return _ok(covered & (F.size(missing_enforcement()) == 0), PARTIAL)
-
-
-def _q18_status() -> Column:
-    sound = _none("stale_baselines", "cadence_gaps") & (F.col("drift_rows") > 0)
-    wired = (F.col("tier") != "high_privilege") | (F.col("enforced_responses") > 0)
-    return _ok(sound & wired, PARTIAL)
-
-
-def _double() -> Column:
-    return F.col("drift_double") + F.col("adversarial_double")
-
-
-def _crossover() -> Column:
-    return F.col("adversarial_crossed") + F.col("drift_crossed") + _double()
-
-
-def _q19_status() -> Column:
-    both = (F.col("drift_typed") > 0) & (F.col("adversarial_typed") > 0)
-    return _ok(both & (_crossover() == 0), PARTIAL)
-
+    + " end"
+)
+ENFORCED = (
+    "filter("
+    + _array(f"if(denies_{d} > 0, '{d}', null)" for d in vocab.QUALITY_DIMENSIONS)
+    + ", d -> d is not null)"
+)
+MISSING = f"array_except({REQUIRED}, {ENFORCED})"
+DOUBLE_TAGS = "drift_double + adversarial_double"
+CROSSED = f"adversarial_crossed + drift_crossed + {DOUBLE_TAGS}"
 
 # Ids, controls, classes, tiers and metric names are fixed values.
 CHECKS: tuple[Check, ...] = (
     Check(
         "Check01", "C05", "AUTOMATED", ALL, "Every tool request has a policy decision",
         {
-            "count_tool_calls_without_policy_decision": _c("unmatched_requests"),
-            "assessment_window_days": _c("window_days"),
+            "count_tool_calls_without_policy_decision": "unmatched_requests",
+            "assessment_window_days": "window_days",
         },
-        lambda: _ok(_none("unmatched_requests")),
+        _ok(_none("unmatched_requests")),
         _say("%d request(s) without a decision in %d days", "unmatched_requests", "window_days"),
         shaped=("unmatched_requests",),
     ),
     Check(
         "Check02", "C05", "PARTIAL", RAISED, "Tools are reached through the gateway only",
-        {"count_non_gateway_originated_calls": _c("foreign_callers")},
-        lambda: _ok(_none("foreign_callers"), PARTIAL),
+        {"count_non_gateway_originated_calls": "foreign_callers"},
+        _ok(_none("foreign_callers"), "PARTIAL"),
         _say("%d request(s) from callers outside the gateway list", "foreign_callers"),
         shaped=("foreign_callers",),
     ),
     Check(
         "Check03", "C01", "AUTOMATED", ALL, "Requests carry a verified identity",
         {
-            "count_tool_requests_total": _c("requests"),
-            "count_tool_requests_with_verified_identity": _c("requests_verified"),
+            "count_tool_requests_total": "requests",
+            "count_tool_requests_with_verified_identity": "requests_verified",
             "verified_identity_coverage_pct": _pct("requests_verified", "requests"),
-            "threshold_min_pct": _c("min_attestation_coverage_pct"),
+            "threshold_min_pct": "min_attestation_coverage_pct",
         },
-        _covered("requests_verified", "requests", "min_attestation_coverage_pct"),
+        _ok(_pct("requests_verified", "requests") + " >= min_attestation_coverage_pct"),
         _say("%d of %d requests verified", "requests_verified", "requests"),
         counts={"tool_requests": ("requests", "requests_verified")},
     ),
     Check(
         "Check04", "C05", "AUTOMATED", ALL, "Tool inputs are validated against a schema",
         {
-            "count_requests_missing_tool_schema_hash": _c("requests_without_schema"),
-            "count_schema_validation_rejects": _c("schema_rejects"),
+            "count_requests_missing_tool_schema_hash": "requests_without_schema",
+            "count_schema_validation_rejects": "schema_rejects",
         },
-        lambda: _ok(_none("requests_without_schema") & (F.col("schema_rejects") > 0)),
+        _ok("requests_without_schema = 0 and schema_rejects > 0"),
         _say(
             "%d request(s) without schema hash; %d schema reject(s)",
             "requests_without_schema", "schema_rejects",
@@ -168,8 +117,8 @@ CHECKS: tuple[Check, ...] = (
     ),
     Check(
         "Check05", "C11", "AUTOMATED", RAISED, "The ledger's hash chain is unbroken",
-        {"count_ledger_events": _c("ledger_rows"), "count_chain_breaks": _c("chain_breaks")},
-        lambda: _ok(_none("chain_breaks") & (F.col("ledger_rows") > 0)),
+        {"count_ledger_events": "ledger_rows", "count_chain_breaks": "chain_breaks"},
+        _ok("chain_breaks = 0 and ledger_rows > 0"),
         _say("%d broken link(s) in %d ledger events", "chain_breaks", "ledger_rows"),
         counts={"ledger_events": ("ledger_rows",)},
         shaped=("ledger_breaks",),
@@ -177,57 +126,57 @@ CHECKS: tuple[Check, ...] = (
     Check(
         "Check06", "C10", "PARTIAL", RAISED, "Runs can be replayed from their traces",
         {
-            "count_replay_traces_total": _c("replay_traces"),
-            "count_replay_traces_complete": _c("replay_traces_complete"),
+            "count_replay_traces_total": "replay_traces",
+            "count_replay_traces_complete": "replay_traces_complete",
             "replay_trace_completeness_pct": _pct("replay_traces_complete", "replay_traces"),
-            "threshold_min_success_rate_pct": _c("min_replay_success_rate_pct"),
+            "threshold_min_success_rate_pct": "min_replay_success_rate_pct",
         },
-        lambda: _ok(F.col("replay_traces") > 0, PARTIAL),
+        _ok("replay_traces > 0", "PARTIAL"),
         _say("%d of %d replay traces complete", "replay_traces_complete", "replay_traces"),
         counts={"replay_traces": ("replay_traces", "replay_traces_complete")},
     ),
     Check(
         "Check07", "C06", "PARTIAL", RAISED, "Breakers halt side effects",
         {
-            "count_breaker_triggers": _c("breaker_triggers"),
-            "count_stop_activations": _c("stop_activations"),
-            "containment_slo_seconds": _c("max_breaker_containment_seconds"),
+            "count_breaker_triggers": "breaker_triggers",
+            "count_stop_activations": "stop_activations",
+            "containment_slo_seconds": "max_breaker_containment_seconds",
         },
-        lambda: F.lit(PARTIAL),
+        "'PARTIAL'",
         _say("%d trigger(s), %d stop(s)", "breaker_triggers", "stop_activations"),
         counts={"breaker_events": ("breaker_triggers", "stop_activations")},
     ),
     Check(
         "Check08", "C07", "AUTOMATED", ALL, "Budgets are enforced",
         {
-            "count_budget_enforcement_events": _c("budget_enforcing"),
-            "count_budget_decrement_events": _c("budget_decrements"),
+            "count_budget_enforcement_events": "budget_enforcing",
+            "count_budget_decrement_events": "budget_decrements",
         },
-        lambda: _ok(F.col("budget_enforcing") > 0),
+        _ok("budget_enforcing > 0"),
         _say("%d enforcement event(s), %d decrement(s)", "budget_enforcing", "budget_decrements"),
         counts={"budget_events": ("budget_enforcing", "budget_decrements")},
     ),
     Check(
         "Check09", "C12", "AUTOMATED", TOP, "High-impact decisions are signed",
         {
-            "count_high_impact_allows": _c("high_impact_allows"),
-            "count_high_impact_signed": _c("high_impact_signed"),
+            "count_high_impact_allows": "high_impact_allows",
+            "count_high_impact_signed": "high_impact_signed",
             "signature_coverage_pct": _pct("high_impact_signed", "high_impact_allows"),
-            "threshold_min_pct": _c("min_signature_coverage_pct"),
+            "threshold_min_pct": "min_signature_coverage_pct",
         },
-        _covered("high_impact_signed", "high_impact_allows", "min_signature_coverage_pct"),
+        _ok(_pct("high_impact_signed", "high_impact_allows") + " >= min_signature_coverage_pct"),
         _say("%d of %d high-impact allows signed", "high_impact_signed", "high_impact_allows"),
         counts={"policy_decisions": ("high_impact_allows", "high_impact_signed")},
     ),
     Check(
         "Check10", "C03", "AUTOMATED", RAISED, "Memory reads are authorised",
         {
-            "count_memory_reads": _c("memory_reads"),
-            "count_memory_reads_with_decision": _c("memory_reads_decided"),
+            "count_memory_reads": "memory_reads",
+            "count_memory_reads_with_decision": "memory_reads_decided",
             "memory_decision_coverage_pct": _pct("memory_reads_decided", "memory_reads"),
-            "count_cross_tenant_denies": _c("cross_tenant_denies"),
+            "count_cross_tenant_denies": "cross_tenant_denies",
         },
-        _whole("memory_reads_decided", "memory_reads"),
+        _ok(_pct("memory_reads_decided", "memory_reads") + " = 100d"),
         _say("%d of %d reads decided", "memory_reads_decided", "memory_reads"),
         counts={
             "memory_responses": ("memory_reads", "memory_reads_decided"),
@@ -237,10 +186,10 @@ CHECKS: tuple[Check, ...] = (
     Check(
         "Check11", "C03", "PARTIAL", RAISED, "Quarantined memory is not served again",
         {
-            "count_quarantine_events": _c("quarantines"),
-            "count_quarantine_leaks": _c("quarantine_leaks"),
+            "count_quarantine_events": "quarantines",
+            "count_quarantine_leaks": "quarantine_leaks",
         },
-        lambda: _ok(_none("quarantine_leaks"), PARTIAL),
+        _ok(_none("quarantine_leaks"), "PARTIAL"),
         _say("%d quarantine(s), %d later read(s)", "quarantines", "quarantine_leaks"),
         counts={"memory_quarantine": ("quarantines",)},
         shaped=("quarantine_leaks",),
@@ -248,21 +197,21 @@ CHECKS: tuple[Check, ...] = (
     Check(
         "Check12", "C13", "AUTOMATED", ALL, "Semantic traces tie to evidence",
         {
-            "count_semantic_runs": _c("semantic_runs"),
-            "count_semantic_runs_correlated": _c("semantic_runs_correlated"),
+            "count_semantic_runs": "semantic_runs",
+            "count_semantic_runs_correlated": "semantic_runs_correlated",
             "correlation_coverage_pct": _pct("semantic_runs_correlated", "semantic_runs"),
         },
-        _whole("semantic_runs_correlated", "semantic_runs"),
+        _ok(_pct("semantic_runs_correlated", "semantic_runs") + " = 100d"),
         _say("%d of %d runs correlated", "semantic_runs_correlated", "semantic_runs"),
         shaped=("correlated_runs",),
     ),
     Check(
         "Check13", "C05", "AUTOMATED", ALL, "Decisions cite a registered policy bundle",
         {
-            "count_decisions_missing_bundle_hash": _c("decisions_without_bundle"),
-            "count_decisions_with_unknown_bundle_hash": _c("unknown_bundles"),
+            "count_decisions_missing_bundle_hash": "decisions_without_bundle",
+            "count_decisions_with_unknown_bundle_hash": "unknown_bundles",
         },
-        lambda: _ok(_none("decisions_without_bundle", "unknown_bundles")),
+        _ok(_none("decisions_without_bundle", "unknown_bundles")),
         _say("%d without bundle, %d unknown", "decisions_without_bundle", "unknown_bundles"),
         counts={"policy_decisions": ("decisions_without_bundle",)},
         shaped=("unknown_policy_bundles",),
@@ -270,12 +219,12 @@ CHECKS: tuple[Check, ...] = (
     Check(
         "Check14", "HITL", "PARTIAL", TOP, "Human approvals are signed and honoured",
         {
-            "count_hitl_required": _c("approvals_needed"),
-            "count_hitl_signed_present": _c("approvals_signed"),
+            "count_hitl_required": "approvals_needed",
+            "count_hitl_signed_present": "approvals_signed",
             "hitl_signature_presence_pct": _pct("approvals_signed", "approvals_needed"),
-            "count_hitl_required_executed_without_approval": _c("executed_unapproved"),
+            "count_hitl_required_executed_without_approval": "executed_unapproved",
         },
-        lambda: _ok(_none("executed_unapproved"), PARTIAL),
+        _ok(_none("executed_unapproved"), "PARTIAL"),
         _say(
             "%d of %d approvals signed; %d executed without one",
             "approvals_signed", "approvals_needed", "executed_unapproved",
@@ -285,11 +234,11 @@ CHECKS: tuple[Check, ...] = (
     Check(
         "Check15", "C14", "PARTIAL", TOP, "Agent messages are authenticated",
         {
-            "count_envelope_rejects": _c("rejects"),
-            "count_spoofed_sender_rejects": _c("spoofed_rejects"),
-            "count_nonce_replay_rejects": _c("nonce_rejects"),
+            "count_envelope_rejects": "rejects",
+            "count_spoofed_sender_rejects": "spoofed_rejects",
+            "count_nonce_replay_rejects": "nonce_rejects",
         },
-        lambda: F.lit(PARTIAL),
+        "'PARTIAL'",
         _say(
             "%d reject(s): %d spoofed, %d replayed",
             "rejects", "spoofed_rejects", "nonce_rejects",
@@ -299,12 +248,16 @@ CHECKS: tuple[Check, ...] = (
     Check(
         "Check16", "C17", "PARTIAL", ALL, "Unenrolled workloads are found and dealt with",
         {
-            "count_discovery_events": _c("discoveries"),
-            "count_unknown_classifier_hashes": _c("unknown_classifiers"),
-            "reconciliation_delta_outside_ttl": _c("unenrolled_agents"),
-            "remediation_ttl_hours": _c("c17_remediation_ttl_hours"),
+            "count_discovery_events": "discoveries",
+            "count_unknown_classifier_hashes": "unknown_classifiers",
+            "reconciliation_delta_outside_ttl": "unenrolled_agents",
+            "remediation_ttl_hours": "c17_remediation_ttl_hours",
         },
-        _q16_status,
+        "if(tier = 'sandbox', "
+        + _ok("discoveries > 0 and unknown_classifiers = 0")
+        + ", "
+        + _ok(_none("unenrolled_agents", "unknown_classifiers"), "PARTIAL")
+        + ")",
         _say(
             "%d discovery event(s), %d unknown classifier(s), %d agent(s) unenrolled",
             "discoveries", "unknown_classifiers", "unenrolled_agents",
@@ -315,38 +268,40 @@ CHECKS: tuple[Check, ...] = (
     Check(
         "Check17", "C18", "PARTIAL", ALL, "Retrieved memory passes a quality gate",
         {
-            "count_memory_reads": _c("memory_reads"),
-            "count_memory_reads_with_quality_decision": _c("memory_reads_gated"),
+            "count_memory_reads": "memory_reads",
+            "count_memory_reads_with_quality_decision": "memory_reads_gated",
             "quality_decision_coverage_pct": _pct("memory_reads_gated", "memory_reads"),
-            "threshold_min_pct": _c("c18_quality_decision_coverage_pct"),
+            "threshold_min_pct": "c18_quality_decision_coverage_pct",
         },
-        _q17_status,
-        lambda: F.concat(
-            F.format_string(
-                "%d of %d reads gated; %d active bundle(s); enforced: ",
-                F.col("memory_reads_gated"), F.col("memory_reads"), F.col("active_bundles"),
-            ),
-            F.array_join(dimensions_enforced(), ","),
-            F.lit("; missing: "),
-            F.array_join(missing_enforcement(), ","),
+        _ok(
+            _pct("memory_reads_gated", "memory_reads")
+            + f" >= c18_quality_decision_coverage_pct and size({MISSING}) = 0",
+            "PARTIAL",
+        ),
+        _say(
+            "%d of %d reads gated; %d active bundle(s); enforced: %s; missing: %s",
+            "memory_reads_gated", "memory_reads", "active_bundles",
+            f"array_join({ENFORCED}, ',')", f"array_join({MISSING}, ',')",
         ),
         counts={"memory_responses": ("memory_reads", "memory_reads_gated")},
         shaped=("enforced_dimensions",),
-        error=lambda: F.when(
-            F.col("bad_matrices") > 0, F.lit("action matrix tier is not an object")
-        ),
+        error="if(bad_matrices > 0, 'action matrix tier is not an object', null)",
     ),
     Check(
         "Check18", "C19", "PARTIAL", RAISED, "Behaviour is baselined and watched for drift",
         {
-            "count_agents_without_active_signed_baseline_or_stale": _c("stale_baselines"),
-            "count_cadence_gaps_exceeding_threshold": _c("cadence_gaps"),
-            "count_drift_decision_events": _c("drift_rows"),
-            "drift_cadence_threshold_hours": _c("c19_drift_decision_cadence_hours"),
-            "max_baseline_age_days": _c("c19_baseline_max_age_days"),
-            "count_enforced_response_actions": _c("enforced_responses"),
+            "count_agents_without_active_signed_baseline_or_stale": "stale_baselines",
+            "count_cadence_gaps_exceeding_threshold": "cadence_gaps",
+            "count_drift_decision_events": "drift_rows",
+            "drift_cadence_threshold_hours": "c19_drift_decision_cadence_hours",
+            "max_baseline_age_days": "c19_baseline_max_age_days",
+            "count_enforced_response_actions": "enforced_responses",
         },
-        _q18_status,
+        _ok(
+            "stale_baselines = 0 and cadence_gaps = 0 and drift_rows > 0 "
+            "and (tier <> 'high_privilege' or enforced_responses > 0)",
+            "PARTIAL",
+        ),
         _say(
             "%d stale or missing baseline(s), %d cadence gap(s), %d enforced response(s)",
             "stale_baselines", "cadence_gaps", "enforced_responses",
@@ -357,14 +312,14 @@ CHECKS: tuple[Check, ...] = (
     Check(
         "Check19", "C19/C16", "PARTIAL", RAISED, "Drift and adversarial events stay apart",
         {
-            "count_drift_decision_events": _c("drift_typed"),
-            "count_adversarial_outcome_events": _c("adversarial_typed"),
-            "count_crossover_drift_in_adversarial_table": _c("adversarial_crossed"),
-            "count_crossover_adversarial_in_drift_table": _c("drift_crossed"),
-            "count_event_type_double_tag": _double,
-            "count_crossover_total": _crossover,
+            "count_drift_decision_events": "drift_typed",
+            "count_adversarial_outcome_events": "adversarial_typed",
+            "count_crossover_drift_in_adversarial_table": "adversarial_crossed",
+            "count_crossover_adversarial_in_drift_table": "drift_crossed",
+            "count_event_type_double_tag": DOUBLE_TAGS,
+            "count_crossover_total": CROSSED,
         },
-        _q19_status,
+        _ok(f"drift_typed > 0 and adversarial_typed > 0 and {CROSSED} = 0", "PARTIAL"),
         _say(
             "%d drift and %d adversarial events; crossed %d and %d",
             "drift_typed", "adversarial_typed", "adversarial_crossed", "drift_crossed",

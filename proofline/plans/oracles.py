@@ -661,7 +661,7 @@ rated AS (SELECT *,
     coalesce(f1 / nullif(reads_1, 0), 0) AS r1, coalesce(f2 / nullif(reads_2, 0), 0) AS r2
   FROM per WINDOW w AS (PARTITION BY tenant_id, environment))
 SELECT tenant_id, environment, content_class, reads_1, reads_2, round(s1, 6) AS share_1,
-  round(s2, 6) AS share_2, round(round(s2, 6) - round(s1, 6), 6) AS share_change,
+  round(s2, 6) AS share_2, round(s2 - s1, 6) AS share_change,
   round(r2 - r1, 6) AS flag_rate_change
 FROM rated""",
     "d16_chain_links": """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,110 +19,171 @@ from proofline.sources.catalog import EvidenceCatalog, MissingTable
 KEY = Assessments.KEY
 
 
-def wide_metrics(
-    cat: EvidenceCatalog, assessments: Assessments, checks: Iterable[Check]
-) -> DataFrame:
-    """One row per assessment with every raw count the checks need.
+class Parts:
+    """The aggregates behind a set of checks, each built once.
 
     Counts wanted by several checks from one table share one pass over it.
     """
-    by_table: dict[str, dict[str, None]] = {}
-    shaped: dict[str, None] = {}
-    for check in checks:
-        for table, names in check.counts.items():
-            by_table.setdefault(table, {}).update(dict.fromkeys(names))
-        shaped.update(dict.fromkeys(check.shaped))
-    parts = [
-        (table_counts(cat, assessments, table, names), names) for table, names in by_table.items()
-    ] + [(SHAPED[s][0](cat, assessments), SHAPED[s][1]) for s in shaped]
-    wide = assessments.frame
-    names = []
-    for part, columns in parts:
-        wide = wide.join(part, KEY, "left")
-        names += columns
-    return wide.select(
-        *assessments.frame.columns,
-        *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names],
-    )
+
+    def __init__(self, cat: EvidenceCatalog, assessments: Assessments):
+        self._cat = cat
+        self._assessments = assessments
+        self._built: dict[tuple, DataFrame] = {}
+
+    def _build(self, kind: str, columns: tuple[str, ...]) -> DataFrame:
+        if (kind, columns) not in self._built:
+            if kind in SHAPED:
+                part = SHAPED[kind][0](self._cat, self._assessments)
+            else:
+                part = table_counts(self._cat, self._assessments, kind, columns)
+            self._built[kind, columns] = part
+        return self._built[kind, columns]
+
+    @staticmethod
+    def _needs(checks: Iterable[Check]) -> dict[str, tuple[str, ...]]:
+        needs: dict[str, dict[str, None]] = {}
+        for check in checks:
+            for table, names in check.counts.items():
+                needs.setdefault(table, {}).update(dict.fromkeys(names))
+            for name in check.shaped:
+                needs.setdefault(name, {}).update(dict.fromkeys(SHAPED[name][1]))
+        return {kind: tuple(names) for kind, names in needs.items()}
+
+    def failure(self, check: Check) -> str | None:
+        """Why the check cannot be analysed on this store, if it cannot."""
+        try:
+            for kind, columns in self._needs([check]).items():
+                self._build(kind, columns)
+        except (MissingTable, PySparkException) as exc:
+            return f"{type(exc).__name__}: {str(exc).splitlines()[0]}"
+        return None
+
+    def failures(self, checks: list[Check]) -> dict[str, str | None]:
+        try:
+            for kind, columns in self._needs(checks).items():
+                self._build(kind, columns)
+        except (MissingTable, PySparkException):
+            return {c.check_id: self.failure(c) for c in checks}
+        return dict.fromkeys((c.check_id for c in checks))
+
+    def wide(self, checks: Iterable[Check]) -> DataFrame:
+        """One row per assessment with every raw count the checks need.
+
+        Each aggregate gives at most one row per assessment; they are stacked
+        and folded by one grouping instead of being joined one by one.
+        """
+        needs = self._needs(checks)
+        frame = self._assessments.frame
+        if not needs:
+            return frame
+        layers = []
+        for kind, columns in needs.items():
+            pairs = ", ".join(f"'{n}', cast({n} as bigint)" for n in columns)
+            layers.append(
+                self._build(kind, columns).selectExpr(
+                    KEY, f"stack({len(columns)}, {pairs}) as (name, n)"
+                )
+            )
+        while len(layers) > 1:  # pairwise, so no plan is analysed over and over
+            layers = [
+                layers[i].union(layers[i + 1]) if i + 1 < len(layers) else layers[i]
+                for i in range(0, len(layers), 2)
+            ]
+        # Bounded groups: one entry per raw count.
+        folded = layers[0].groupBy(KEY).agg(
+            F.expr("map_from_entries(collect_list(struct(name, n)))").alias("raw")
+        )
+        return frame.join(folded, KEY, "left").selectExpr(
+            *frame.columns,
+            *[f"coalesce(raw['{n}'], 0) as {n}" for cols in needs.values() for n in cols],
+        )
 
 
 def check_metrics(cat: EvidenceCatalog, assessments: Assessments, check_id: str) -> DataFrame:
     """The metrics of one check, one row per assessment."""
     (check,) = specs.chosen([check_id])
-    wide = wide_metrics(cat, assessments, [check])
-    extra = []
+    columns = dict(check.metrics)
     if check_id == "Check17":
-        extra = [
-            specs.dimensions_enforced().alias("enforced_dimensions"),
-            specs.required_dimensions().alias("required_dimensions"),
-            specs.missing_enforcement().alias("missing_enforcement"),
-        ]
-    return wide.select(
+        columns |= {
+            "enforced_dimensions": specs.ENFORCED,
+            "required_dimensions": specs.REQUIRED,
+            "missing_enforcement": specs.MISSING,
+        }
+    return Parts(cat, assessments).wide([check]).selectExpr(
         KEY, "tenant_id", "environment", "tier",
-        *[make().alias(name) for name, make in check.metrics.items()],
-        *extra,
+        *[f"{expr} as {name}" for name, expr in columns.items()],
     )
 
 
-def _manual_steps(check: Check):
-    steps = []
+def check_catalog(spark: SparkSession) -> DataFrame:
+    """The registered checks with their class, control, title and tiers."""
+    columns = ("check_id", "classification", "title", "control")
+    data = {c: [getattr(k, c) for k in specs.CHECKS] for c in columns}
+    data["tiers"] = [list(k.tiers) for k in specs.CHECKS]
+    return spark.createDataFrame(pa.table(data))
+
+
+def manual_steps(spark: SparkSession) -> DataFrame:
+    """Manual evidence owed per check and tier, in order."""
+    steps: dict[tuple[str, str], list[dict[str, str]]] = {}
     for check_id, tiers, step, artefact, reason in specs.MANUAL_STEPS:
-        if check_id == check.check_id:
-            entry = F.struct(
-                F.lit(step).alias("step"),
-                F.lit(artefact).alias("expected_artifact"),
-                F.lit(reason).alias("rationale"),
-            )
-            steps.append(F.when(F.col("tier").isin(*tiers), entry))
-    empty = "array<struct<step:string,expected_artifact:string,rationale:string>>"
-    if not steps:
-        return F.lit(None).cast(empty)
-    return F.filter(F.array(*steps), lambda s: s.isNotNull()).cast(empty)
+        for tier in tiers:
+            # The lowest tier may pass this check on the data alone.
+            if (check_id, tier) != ("Check16", "sandbox"):
+                steps.setdefault((check_id, tier), []).append(
+                    {"step": step, "expected_artifact": artefact, "rationale": reason}
+                )
+    return spark.createDataFrame(
+        pa.table(
+            {
+                "check_id": [c for c, _ in steps],
+                "tier": [t for _, t in steps],
+                "manual_steps": list(steps.values()),
+            }
+        )
+    )
 
 
-def _entry(check: Check, failure: str | None):
-    """The result struct of one check, as a column over the wide metrics."""
-    off_tier = ~F.col("tier").isin(*check.tiers)
+def _outcome(check: Check, failure: str | None) -> str:
+    """What one check found, as a struct over the wide metrics."""
     if failure is None:
-        error = check.error() if check.error else F.lit(None).cast("string")
-        status = F.when(error.isNotNull(), ERROR).otherwise(check.status())
-        metrics = F.create_map(
-            *[c for name, make in check.metrics.items()
-              for c in (F.lit(name), make().cast("double"))]
-        )
-        finding = check.finding()
+        pairs = ", ".join(f"'{n}', cast({e} as double)" for n, e in check.metrics.items())
+        status, finding, error, metrics = check.status, check.finding, check.error, f"map({pairs})"
     else:
-        error, status = F.lit(failure), F.lit(ERROR)
-        metrics, finding = F.lit(None).cast("map<string,double>"), F.lit(None).cast("string")
-    reported = F.when(off_tier, SKIP).otherwise(status)
-    judged = ~reported.isin(SKIP, ERROR)
-    note = f"Not applicable at this tier; applies to {', '.join(check.tiers)}."
-    return F.struct(
-        F.lit(check.check_id).alias("check_id"),
-        reported.alias("status"),
-        F.lit(check.classification).alias("classification"),
-        F.lit(check.title).alias("title"),
-        F.lit(check.control).alias("control"),
-        F.col("tier"),
-        F.when(judged, metrics).alias("metrics"),
-        F.when(
-            judged & (~F.lit(check.check_id == "Check16") | (F.col("tier") != "sandbox")),
-            _manual_steps(check),
-        ).alias("manual_steps"),
-        F.when(judged, finding).alias("automated_finding"),
-        F.when(~off_tier, error).alias("error"),
-        F.when(off_tier, F.lit(note)).alias("notes"),
+        text = failure.replace("\\", "\\\\").replace("'", "\\'")
+        status, finding, error = "'ERROR'", "cast(null as string)", f"'{text}'"
+        metrics = "cast(null as map<string,double>)"
+    return (
+        f"named_struct('check_id', '{check.check_id}', 'found', {status}, 'metrics', {metrics}, "
+        f"'finding', {finding}, 'failure', {error})"
     )
 
 
-def _analysis_failure(cat, assessments, check: Check) -> str | None:
-    """Why the check's plan cannot be built on this store, if it cannot."""
-    try:
-        wide = wide_metrics(cat, assessments, [check])
-        wide.select(_entry(check, None)).schema
-    except (MissingTable, PySparkException) as exc:
-        return f"{type(exc).__name__}: {str(exc).splitlines()[0]}"
-    return None
+def _judge(rows: DataFrame, checks: list[Check], failures: dict[str, str | None]) -> DataFrame:
+    """Result rows: tier gate, error rows, catalog columns and manual steps."""
+    spark = rows.sparkSession
+    outcomes = ", ".join(_outcome(c, failures[c.check_id]) for c in checks)
+    found = rows.selectExpr(KEY, "tenant_id", "environment", "tier", f"inline(array({outcomes}))")
+    # Both tables are fixed and small: one row per check, and per check and tier.
+    status = (
+        f"case when not array_contains(tiers, tier) then '{SKIP}' "
+        f"when failure is not null then '{ERROR}' else found end"
+    )
+    return (
+        found.join(F.broadcast(check_catalog(spark)), "check_id")
+        .join(F.broadcast(manual_steps(spark)), ["check_id", "tier"], "left")
+        .withColumn("status", F.expr(status))
+        .selectExpr(
+            KEY, "tenant_id", "environment", "check_id", "status", "classification", "title",
+            "control", "tier",
+            f"if(status in ('{SKIP}', '{ERROR}'), null, metrics) as metrics",
+            f"if(status in ('{SKIP}', '{ERROR}'), null, manual_steps) as manual_steps",
+            f"if(status in ('{SKIP}', '{ERROR}'), null, finding) as automated_finding",
+            f"if(status = '{ERROR}', failure, null) as error",
+            f"if(status = '{SKIP}', concat('Not applicable at this tier; applies to ', "
+            "array_join(tiers, ', '), '.'), null) as notes",
+        )
+    )
 
 
 def run_assessments(
@@ -135,13 +197,10 @@ def run_assessments(
     run as one plan that reads each table's counts once.
     """
     wanted = specs.chosen(check_ids)
-    failures = {c.check_id: _analysis_failure(cat, assessments, c) for c in wanted}
-    sound = [c for c in wanted if failures[c.check_id] is None]
-    wide = wide_metrics(cat, assessments, sound)
-    entries = [_entry(c, failures[c.check_id]) for c in wanted]
-    return wide.select(
-        KEY, "tenant_id", "environment", F.explode(F.array(*entries)).alias("r")
-    ).select(KEY, "tenant_id", "environment", "r.*")
+    parts = Parts(cat, assessments)
+    failures = parts.failures(wanted)
+    wide = parts.wide([c for c in wanted if failures[c.check_id] is None])
+    return _judge(wide, wanted, failures)
 
 
 def write_results(
@@ -168,8 +227,7 @@ def write_results(
             run_assessments(cat, assessments, [check_id]).write.mode(mode).parquet(path)
         except PySparkException as exc:
             message = f"{type(exc).__name__}: {str(exc).splitlines()[0]}"
-            entry = _entry(specs.BY_ID[check_id], message)
-            assessments.frame.select(
-                KEY, "tenant_id", "environment", F.explode(F.array(entry)).alias("r")
-            ).select(KEY, "tenant_id", "environment", "r.*").write.mode(mode).parquet(path)
+            check = specs.BY_ID[check_id]
+            failed = _judge(assessments.frame, [check], {check_id: message})
+            failed.write.mode(mode).parquet(path)
     return spark.read.parquet(path)
