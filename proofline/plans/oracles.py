@@ -692,11 +692,86 @@ GROUP BY 1, 2""",
 }
 
 
+# Streams report what lies before the watermark: the latest event time seen,
+# less the delay; of two inputs the earlier one counts.
+_LAG = "INTERVAL '10' MINUTE"
+_ASKED = f"(SELECT max(time) - {_LAG} FROM tool_requests)"
+_BOTH = f"least({_ASKED}, (SELECT max(time) - {_LAG} FROM policy_decisions))"
+
+STREAM_SQL = {
+    "s01_undecided_requests": f"""
+SELECT x.tenant_id, x.environment, x.request_hash, x.time AS request_time
+FROM tool_requests x
+WHERE NOT EXISTS (SELECT 1 FROM policy_decisions p WHERE p.request_hash = x.request_hash
+    AND p.time >= x.time - INTERVAL '10' MINUTE AND p.time <= x.time + INTERVAL '10' MINUTE)
+  AND (x.request_hash IS NULL OR x.time + INTERVAL '10' MINUTE < {_BOTH})""",
+    "s02_ledger_faults": f"""
+SELECT * FROM (
+  SELECT x.tenant_id, x.environment, x.sink_uri, x.sequence_number, x.time AS row_time,
+    CASE WHEN p.sequence_number IS NULL THEN
+        CASE WHEN x.prev_event_hash IS DISTINCT FROM 'GENESIS'
+          AND x.time + INTERVAL '1' HOUR < (SELECT max(time) - {_LAG} FROM ledger_events)
+          THEN 'SEQUENCE_GAP' END
+      WHEN x.prev_event_hash <> p.event_hash THEN 'HASH_CHAIN_BREAK' END AS fault
+  FROM ledger_events x LEFT JOIN ledger_events p
+    ON p.tenant_id = x.tenant_id AND p.environment = x.environment AND p.sink_uri = x.sink_uri
+    AND p.sequence_number + 1 = x.sequence_number
+    AND p.time >= x.time - INTERVAL '1' HOUR AND p.time <= x.time + INTERVAL '1' HOUR) f
+WHERE fault IS NOT NULL""",
+    "s03_ttl_alerts": f"""
+WITH due AS (SELECT x.event_id, x.candidate_hash, x.time AS seen_at, r.rung,
+    x.time + r.share * CASE WHEN get_json_object(x.candidate_payload, '$.access')
+      IN ('financial', 'infrastructure') THEN 24 ELSE 72 END * INTERVAL '60' MINUTE AS alert_at
+  FROM discovery_events x,
+    (VALUES ('alert', 0.5), ('escalate', 0.75), ('terminate', 1.0)) r(rung, share)),
+mark AS (SELECT least((SELECT max(alert_at) FROM due), greatest(
+    (SELECT max(time) FROM discovery_events), (SELECT max(time) FROM remediation_outcomes)))
+    - {_LAG} AS at)
+SELECT d.event_id, d.candidate_hash, d.rung, d.alert_at FROM due d, mark
+WHERE d.alert_at < mark.at AND NOT EXISTS (SELECT 1 FROM remediation_outcomes o
+    WHERE o.candidate_hash = d.candidate_hash AND o.time >= d.seen_at AND o.time <= d.alert_at)""",
+    "s04_quality_timeline": f"""
+SELECT time_bucket(INTERVAL '1' HOUR, time) AS slot_start, count(*) AS reads,
+  count(*) - count(quality_decision_id) AS unevaluated,
+  round(CAST(count(quality_decision_id) AS DOUBLE) / count(*) * 100, 2) AS coverage_pct
+FROM memory_responses WHERE request_type = 'read'
+GROUP BY 1 HAVING time_bucket(INTERVAL '1' HOUR, time) + INTERVAL '1' HOUR
+  <= (SELECT max(time) - {_LAG} FROM memory_responses WHERE request_type = 'read')""",
+    "s05_drift_silence": f"""
+SELECT tenant_id, environment, agent_instance_id, dimension, max(time) AS silent_since,
+  count(*) AS decisions
+FROM (SELECT *, sum(CASE WHEN before IS NULL OR time > before + INTERVAL '24' HOUR THEN 1 ELSE 0
+      END) OVER (PARTITION BY tenant_id, environment, agent_instance_id, dimension ORDER BY time)
+      AS session_no
+  FROM (SELECT *, lag(time) OVER (PARTITION BY tenant_id, environment, agent_instance_id,
+      dimension ORDER BY time) AS before FROM drift_decisions) l) n
+GROUP BY 1, 2, 3, 4, session_no
+HAVING max(time) + INTERVAL '24' HOUR < (SELECT max(time) - {_LAG} FROM drift_decisions)""",
+    "s06_spend_anomalies": f"""
+SELECT w AS window_start, run_id, agent_instance_id, sum(cost_usd) AS total_cost_usd,
+  count(*) AS total_tool_calls,
+  count(*) FILTER (WHERE tool_category IN {HIGH}) AS high_impact_calls
+FROM (SELECT *, unnest([time_bucket(INTERVAL '6' HOUR, time) - i * INTERVAL '6' HOUR
+    FOR i IN [0, 1, 2, 3]]) AS w FROM tool_requests) x
+GROUP BY 1, 2, 3
+HAVING (sum(cost_usd) > 5 OR count(*) > 100
+    OR count(*) FILTER (WHERE tool_category IN {HIGH}) > 5)
+  AND w + INTERVAL '24' HOUR <= {_ASKED}""",
+    "s07_nonce_replays": f"""
+SELECT time_bucket(INTERVAL '1' DAY, time) AS slot_start, tenant_id, environment, sender_id, nonce,
+  count(*) AS uses
+FROM agent_messages WHERE nonce IS NOT NULL AND sender_id IS NOT NULL
+GROUP BY 1, 2, 3, 4, 5
+HAVING count(*) > 1 AND time_bucket(INTERVAL '1' DAY, time) + INTERVAL '1' DAY
+  <= (SELECT max(time) - {_LAG} FROM agent_messages)""",
+}
+
+
 def all_sql() -> dict[str, str]:
     texts = {f"q{c[-2:]}_metrics": sql for c, sql in CHECK_SQL.items()}
     texts["verdicts"] = VERDICT_SQL
     texts["r01_metric_rollup"] = ROLLUP_SQL
     texts["r02_status_counts"] = STATUS_SQL
     texts["e04_risk_distribution_exact"] = CORRELATE_SQL["e04_risk_distribution"]
-    texts |= CORRELATE_SQL | RUNBOOK_SQL
+    texts |= CORRELATE_SQL | RUNBOOK_SQL | STREAM_SQL
     return {name: duckdb(sql) for name, sql in texts.items()}

@@ -14,7 +14,14 @@ from proofline.plans.checks import CHECKS
 from proofline.plans.oracles import AGENT, BEFORE, OUTAGE
 from proofline.plans.report import metric_rollup, status_counts
 from proofline.plans.runner import check_metrics, run_assessments
-from proofline.sources.derived import AS_OF, ASSESSMENT_ROWS, derived_catalog, derived_frame
+from proofline.sources.derived import (
+    AS_OF,
+    ASSESSMENT_ROWS,
+    derived_catalog,
+    derived_frame,
+    derived_stream,
+)
+from proofline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,3 +125,24 @@ def batch_queries() -> dict[str, Query]:
         "d18_archive_counts": _on(d.archive_counts, AGENT),
     }
     return q
+
+
+def _streamed(job, *tables: str) -> Query:
+    return lambda spark, sf: jobs.drain(job(*[derived_stream(spark, sf, t) for t in tables]))
+
+
+def stream_queries() -> dict[str, Query]:
+    """Streaming jobs, run over everything the tables hold and then read back."""
+    return {
+        "s01_undecided_requests": _streamed(
+            jobs.undecided_requests, "tool_requests", "policy_decisions"
+        ),
+        "s02_ledger_faults": _streamed(jobs.ledger_faults, "ledger_events", "ledger_events"),
+        "s03_ttl_alerts": _streamed(
+            jobs.ttl_alerts, "discovery_events", "remediation_outcomes"
+        ),
+        "s04_quality_timeline": _streamed(jobs.quality_timeline, "memory_responses"),
+        "s05_drift_silence": _streamed(jobs.drift_silence, "drift_decisions"),
+        "s06_spend_anomalies": _streamed(jobs.spend_anomalies, "tool_requests"),
+        "s07_nonce_replays": _streamed(jobs.nonce_replays, "agent_messages"),
+    }

@@ -9,13 +9,14 @@ differing names are exchanged by ``duckdb()``.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from proofline.functions.vocab import ADVERSARIAL_EVENT, DRIFT_EVENT
-from proofline.sources.catalog import EvidenceCatalog
+from proofline.sources.catalog import EvidenceCatalog, normalise
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -291,16 +292,32 @@ def _base_view(spark: SparkSession, sf_dir: str, table: str) -> str:
     return name
 
 
-def derived_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view as a DataFrame over the parquet tables in ``sf_dir``."""
+def _text(spark: SparkSession, sf_dir: str, name: str, sources: dict[str, str]) -> str:
     views = _needed(name)
-    text = " ".join(VIEWS[v] for v in views)
+    body = " ".join(VIEWS[v] for v in views)
     ctes = [
-        f"{t} AS (SELECT * FROM {_base_view(spark, sf_dir, t)})"
+        f"{t} AS (SELECT * FROM {sources.get(t) or _base_view(spark, sf_dir, t)})"
         for t in BASE_TABLES
-        if re.search(rf"FROM {t}\b", text)
+        if re.search(rf"FROM {t}\b", body)
     ] + [f"{v} AS ({VIEWS[v]})" for v in views]
-    return spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}"
+
+
+def derived_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One view as a DataFrame over the parquet tables in ``sf_dir``."""
+    return spark.sql(_text(spark, sf_dir, name, {}))
+
+
+def derived_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One view over ``events`` as a stream; each call reads its own."""
+    events = (
+        spark.readStream.schema(spark.table(_base_view(spark, sf_dir, "events")).schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf_dir)
+    )
+    source = f"derived_stream_{uuid.uuid4().hex}"
+    events.createOrReplaceTempView(source)
+    return normalise(spark.sql(_text(spark, sf_dir, name, {"events": source})), name)
 
 
 def derived_catalog(spark: SparkSession, sf_dir: str) -> EvidenceCatalog:
