@@ -39,10 +39,6 @@ def micros(col: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", ts("1970-01-01 00:00:00"), col)
 
 
-def blank(col: Column) -> Column:
-    return col.isNull() | (col == "")
-
-
 def needs_approval(obligations: Column) -> Column:
     return F.lower(obligations).like("%hitl%")
 

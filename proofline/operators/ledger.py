@@ -5,82 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.skew import MAX_HOT, repeat_rows
+from proofline.functions.skew import heavy_keys, repeat_rows
 
 BUCKET = 65_536
 
 
 def linked(ledger: DataFrame, chain: list[str], bucket: int = BUCKET) -> DataFrame:
-    """Every distinct ledger row with its predecessor in the chain.
+    """Ledger rows with their predecessor in the chain.
 
-    Adds ``copies`` (how many identical rows it stands for), ``before_hash`` and
-    ``before_seq``. The order is sequence number, then event hash, then the
+    Adds ``copies`` (how many identical rows the row stands for), ``before_hash``
+    and ``before_seq``. The order is sequence number, then event hash, then the
     remaining columns, so equal sequence numbers have a fixed order.
 
     A chain may be most of the table, so ``lag`` runs inside (chain, bucket)
     and the first row of a bucket takes the last row of the previous non-empty
-    one. Buckets overfull because many rows share sequence numbers are the few
-    found by counting; these are split further by sequence and hash prefix.
+    one. Buckets overfull because many rows share sequence numbers are measured
+    first; only if there are any, identical rows are counted together before
+    the shuffle and those buckets are split further by sequence and hash prefix.
     """
     cols = ledger.columns
     rest = [c for c in cols if c not in (*chain, "sequence_number", "event_hash")]
     order = ["sequence_number", "event_hash", *rest]
-    rows = (
-        ledger.groupBy(*cols)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn(
-            "__b",
-            F.coalesce(F.floor(F.col("sequence_number") / bucket).cast("bigint"), F.lit(-(2**62))),
-        )
-    )
+    number = F.floor(F.col("sequence_number") / bucket).cast("bigint")
+    rows = ledger.withColumn("__b", F.coalesce(number, F.lit(-(2**62))))
     # Null chain parts form a chain of their own; joins need a value for them.
-    slots = []
-    for i, c in enumerate(chain):
-        rows = rows.withColumn(f"__c{i}", F.coalesce(F.col(c), F.lit("\u0000")))
-        slots.append(f"__c{i}")
-    overfull = (
-        rows.groupBy(*slots, "__b")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > 4 * bucket)
-        .orderBy(F.desc("__n"))
-        .limit(MAX_HOT)
-        .select(*slots, "__b", F.lit(True).alias("__split"))
-    )
-    finer = F.concat(
-        F.lpad((F.col("sequence_number") - F.col("__b") * bucket).cast("string"), 10, "0"),
-        F.substring(F.coalesce("event_hash", F.lit("")), 1, 2),
-    )
-    rows = rows.join(F.broadcast(overfull), [*slots, "__b"], "left").withColumn(
-        "__s", F.when(F.col("__split") & F.col("sequence_number").isNotNull(), finer).otherwise("")
+    slots = [f"__c{i}" for i in range(len(chain))]
+    rows = rows.withColumns(
+        {s: F.coalesce(F.col(c), F.lit("\u0000")) for s, c in zip(slots, chain)}
     )
-    slot = [*slots, "__b", "__s"]
+    slot = [*slots, "__b"]
+    (overfull,) = heavy_keys(rows, slot, rows_per_slice=4 * bucket)
+    if overfull.slices:
+        finer = F.concat(
+            F.lpad((F.col("sequence_number") - F.col("__b") * bucket).cast("string"), 10, "0"),
+            F.substring(F.coalesce("event_hash", F.lit("")), 1, 2),
+        )
+        split = F.xxhash64(*slot).isin(list(overfull.slices))
+        rows = (
+            rows.groupBy(*rows.columns)
+            .agg(F.count(F.lit(1)).alias("copies"))
+            .withColumn(
+                "__s", F.when(split & F.col("sequence_number").isNotNull(), finer).otherwise("")
+            )
+        )
+        slot.append("__s")
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
     inside = Window.partitionBy(*slot).orderBy(*order)
     last = (
         rows.groupBy(*slot)
         .agg(
-            F.max_by(
-                F.struct("event_hash", "sequence_number"), F.struct(*order)
-            ).alias("__last")
+            F.max_by(F.struct("event_hash", "sequence_number"), F.struct(*order)).alias("__last")
         )
-        .withColumn(
-            "__prior", F.lag("__last").over(Window.partitionBy(*slots).orderBy("__b", "__s"))
+        .select(
+            *slot,
+            F.lag("__last")
+            .over(Window.partitionBy(*slots).orderBy(*slot[len(slots):]))
+            .alias("__prior"),
         )
-        .select(*slot, "__prior")
     )
+    mine = F.struct("event_hash", "sequence_number")
     return (
-        rows.withColumn("__rn", F.row_number().over(inside))
-        .withColumn("__lh", F.lag("event_hash").over(inside))
-        .withColumn("__ls", F.lag("sequence_number").over(inside))
+        rows.withColumn("__first", F.row_number().over(inside) == 1)
+        .withColumn("__lag", F.lag(mine).over(inside))
         .join(last, slot)
+        .withColumn("__before", F.when(F.col("__first"), F.col("__prior")).otherwise(F.col("__lag")))
         .select(
             *cols,
             "copies",
-            F.when(F.col("__rn") == 1, F.col("__prior.event_hash"))
-            .otherwise(F.col("__lh"))
-            .alias("before_hash"),
-            F.when(F.col("__rn") == 1, F.col("__prior.sequence_number"))
-            .otherwise(F.col("__ls"))
-            .alias("before_seq"),
+            F.col("__before.event_hash").alias("before_hash"),
+            F.col("__before.sequence_number").alias("before_seq"),
         )
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions import vocab
-from proofline.functions.exprs import blank, micros, n_if, needs_approval
+from proofline.functions.exprs import micros, n_if, needs_approval
 from proofline.functions.running import running, time_bucket
 from proofline.operators.ledger import chain_breaks, linked
 from proofline.plans.assessments import Assessments
@@ -32,93 +32,68 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _all() -> Column:
-    return F.lit(True)
-
-
-def _is(column: str, *values: str) -> Callable[[], Column]:
-    return lambda: _c(column).isin(*values)
-
-
-def _high_impact_allow() -> Column:
-    return _c("tool_category").isin(*vocab.HIGH_IMPACT) & (_c("decision") == "allow")
-
-
-def _reject(reason: str | None = None) -> Callable[[], Column]:
-    def cond():
-        rejected = _c("validation_status") == "reject"
-        return rejected & (_c("reason") == reason) if reason else rejected
-
-    return cond
-
-
-def _double_tag() -> Column:
-    kind = F.lower("event_type")
-    return kind.like("%adversarial_outcome%drift_decision%") | kind.like(
-        "%drift_decision%adversarial_outcome%"
-    )
-
+HIGH_IMPACT_ALLOW = (
+    "tool_category in (" + ", ".join(map(repr, vocab.HIGH_IMPACT)) + ") and decision = 'allow'"
+)
+DOUBLE_TAG = (
+    "lower(event_type) like '%adversarial_outcome%drift_decision%' "
+    "or lower(event_type) like '%drift_decision%adversarial_outcome%'"
+)
 
 # table -> count name -> condition a scoped row must meet
-COUNTS: dict[str, dict[str, Callable[[], Column]]] = {
+COUNTS: dict[str, dict[str, str]] = {
     "tool_requests": {
-        "requests": _all,
-        "requests_verified": lambda: _c("identity_verified"),
-        "requests_without_schema": lambda: blank(_c("tool_schema_hash")),
+        "requests": "true",
+        "requests_verified": "identity_verified",
+        "requests_without_schema": "tool_schema_hash is null or tool_schema_hash = ''",
     },
     "policy_decisions": {
-        "schema_rejects": lambda: (_c("decision") == "deny")
-        & (_c("reason") == "schema_validation_failed"),
-        "high_impact_allows": _high_impact_allow,
-        "high_impact_signed": lambda: _high_impact_allow()
-        & _c("signature_ref").isNotNull()
-        & _c("signing_key_id").isNotNull(),
-        "decisions_without_bundle": lambda: blank(_c("policy_bundle_hash")),
+        "schema_rejects": "decision = 'deny' and reason = 'schema_validation_failed'",
+        "high_impact_allows": HIGH_IMPACT_ALLOW,
+        "high_impact_signed": f"{HIGH_IMPACT_ALLOW} and signature_ref is not null "
+        "and signing_key_id is not null",
+        "decisions_without_bundle": "policy_bundle_hash is null or policy_bundle_hash = ''",
     },
-    "ledger_events": {"ledger_rows": _all},
+    "ledger_events": {"ledger_rows": "true"},
     "replay_traces": {
-        "replay_traces": _all,
-        "replay_traces_complete": lambda: _c("model_id").isNotNull()
-        & _c("prompt_bundle_hash").isNotNull()
-        & _c("tool_schema_hash").isNotNull()
-        & _c("snapshot_uri").isNotNull(),
+        "replay_traces": "true",
+        "replay_traces_complete": "model_id is not null and prompt_bundle_hash is not null "
+        "and tool_schema_hash is not null and snapshot_uri is not null",
     },
     "breaker_events": {
-        "breaker_triggers": _is("event_type", vocab.BREAKER_TRIGGER),
-        "stop_activations": _is("event_type", vocab.STOP_ACTIVATION),
+        "breaker_triggers": f"event_type = '{vocab.BREAKER_TRIGGER}'",
+        "stop_activations": f"event_type = '{vocab.STOP_ACTIVATION}'",
     },
     "budget_events": {
-        "budget_enforcing": _is("event_type", *vocab.BUDGET_ENFORCING),
-        "budget_decrements": _is("event_type", vocab.BUDGET_DECREMENT),
+        "budget_enforcing": "event_type in ("
+        + ", ".join(map(repr, vocab.BUDGET_ENFORCING)) + ")",
+        "budget_decrements": f"event_type = '{vocab.BUDGET_DECREMENT}'",
     },
     "memory_responses": {
-        "memory_reads": _is("request_type", "read"),
-        "memory_reads_decided": lambda: (_c("request_type") == "read")
-        & _c("memory_decision_id").isNotNull(),
-        "memory_reads_gated": lambda: (_c("request_type") == "read")
-        & _c("quality_decision_id").isNotNull(),
+        "memory_reads": "request_type = 'read'",
+        "memory_reads_decided": "request_type = 'read' and memory_decision_id is not null",
+        "memory_reads_gated": "request_type = 'read' and quality_decision_id is not null",
     },
     "memory_decisions": {
-        "cross_tenant_denies": lambda: (_c("decision") == "deny")
-        & (_c("reason") == "cross_tenant_read"),
+        "cross_tenant_denies": "decision = 'deny' and reason = 'cross_tenant_read'",
     },
-    "memory_quarantine": {"quarantines": _all},
+    "memory_quarantine": {"quarantines": "true"},
     "agent_messages": {
-        "rejects": _reject(),
-        "spoofed_rejects": _reject("spoofed_sender"),
-        "nonce_rejects": _reject("nonce_replay"),
+        "rejects": "validation_status = 'reject'",
+        "spoofed_rejects": "validation_status = 'reject' and reason = 'spoofed_sender'",
+        "nonce_rejects": "validation_status = 'reject' and reason = 'nonce_replay'",
     },
-    "discovery_events": {"discoveries": _all},
+    "discovery_events": {"discoveries": "true"},
     "drift_decisions": {
-        "drift_rows": _all,
-        "drift_typed": _is("event_type", vocab.DRIFT_EVENT),
-        "drift_crossed": _is("event_type", vocab.ADVERSARIAL_EVENT),
-        "drift_double": _double_tag,
+        "drift_rows": "true",
+        "drift_typed": f"event_type = '{vocab.DRIFT_EVENT}'",
+        "drift_crossed": f"event_type = '{vocab.ADVERSARIAL_EVENT}'",
+        "drift_double": DOUBLE_TAG,
     },
     "adversarial_outcomes": {
-        "adversarial_typed": _is("event_type", vocab.ADVERSARIAL_EVENT),
-        "adversarial_crossed": _is("event_type", vocab.DRIFT_EVENT),
-        "adversarial_double": _double_tag,
+        "adversarial_typed": f"event_type = '{vocab.ADVERSARIAL_EVENT}'",
+        "adversarial_crossed": f"event_type = '{vocab.DRIFT_EVENT}'",
+        "adversarial_double": DOUBLE_TAG,
     },
 }
 
@@ -131,7 +106,7 @@ def table_counts(
     return (
         assessments.scope(cat[table])
         .groupBy(KEY)
-        .agg(*[n_if(spec[n]()).alias(n) for n in names])
+        .agg(*[F.expr(f"count_if({spec[n]}) as {n}") for n in names])
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.functions import vocab
-from proofline.functions.exprs import to_datetime, ts
+from proofline.functions.exprs import to_datetime
 
 # Above this many assessments the table is joined by shuffle instead.
 BROADCAST_ROWS = 100_000
@@ -50,6 +50,7 @@ class Assessments:
         self.count = count
         # A literal every scan can push down; each row keeps its own bound.
         self.earliest = earliest
+        self._sides: dict[tuple[str, ...], DataFrame] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, rows: Iterable[Mapping]) -> Assessments:
@@ -94,22 +95,25 @@ class Assessments:
 
     def side(self, *columns: str) -> DataFrame:
         """The assessments as a join side, hinted for broadcast if small."""
-        picked = self.frame.select(
-            self.KEY, "tenant_id", "environment", *[c for c in columns if c != self.KEY]
-        )
-        return F.broadcast(picked) if self.count <= BROADCAST_ROWS else picked
+        if columns not in self._sides:
+            picked = self.frame.select(self.KEY, "tenant_id", "environment", *columns)
+            self._sides[columns] = F.broadcast(picked) if self.count <= BROADCAST_ROWS else picked
+        return self._sides[columns]
+
+    def wide_side(self) -> DataFrame:
+        """All columns of the assessments, hinted for broadcast if small."""
+        return F.broadcast(self.frame) if self.count <= BROADCAST_ROWS else self.frame
 
     def scope(self, table: DataFrame, *carry: str) -> DataFrame:
         """Rows of an evidence table inside some assessment's tenant, environment and window.
 
         A row falling under several assessments appears once for each.
         """
-        side = self.side("since", *carry).withColumnRenamed("since", "__since")
-        recent = table.where(F.col("time") >= ts(self.earliest))
+        recent = table.where(f"time >= timestamp_ntz '{self.earliest}'") if self.earliest else table
         return (
-            recent.join(side, ["tenant_id", "environment"])
-            .where(F.col("time") >= F.col("__since"))
-            .drop("__since")
+            recent.join(self.side("since", *carry), ["tenant_id", "environment"])
+            .where("time >= since")
+            .drop("since")
         )
 
     def scope_registry(self, table: DataFrame, *carry: str) -> DataFrame:

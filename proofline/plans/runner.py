@@ -76,7 +76,8 @@ class Parts:
         frame = self._assessments.frame
         if not needs:
             return frame
-        layers = []
+        # Every assessment gets a row, also where no evidence is in scope.
+        layers = [frame.selectExpr(KEY, "'' as name", "0L as n")]
         for kind, columns in needs.items():
             pairs = ", ".join(f"'{n}', cast({n} as bigint)" for n in columns)
             layers.append(
@@ -91,9 +92,9 @@ class Parts:
             ]
         # Bounded groups: one entry per raw count.
         folded = layers[0].groupBy(KEY).agg(
-            F.expr("map_from_entries(collect_list(struct(name, n)))").alias("raw")
+            F.expr("map_from_entries(collect_list(struct(name, n)) filter (where name <> ''))").alias("raw")
         )
-        return frame.join(folded, KEY, "left").selectExpr(
+        return folded.join(self._assessments.wide_side(), KEY).selectExpr(
             *frame.columns,
             *[f"coalesce(raw['{n}'], 0) as {n}" for cols in needs.values() for n in cols],
         )
