@@ -35,8 +35,22 @@ def pct(part: Column, whole: Column) -> Column:
 
 
 def micros(col: Column) -> Column:
-    """Microseconds since the epoch, independent of the session zone."""
-    return F.timestamp_diff("MICROSECOND", ts("1970-01-01 00:00:00"), col)
+    """Microseconds since the epoch, reading the zone-less time as UTC.
+
+    Subtracting zone-less times ignores the session zone; ``timestampdiff``
+    would read both in it and be off across clock changes.
+    """
+    since = (col - ts("1970-01-01 00:00:00")).cast("decimal(20,6)")
+    return (since * 1_000_000).cast("bigint")
+
+
+UNIT_US = {"SECOND": 1_000_000, "HOUR": 3_600_000_000, "DAY": 86_400_000_000}
+
+
+def whole_units(unit: str, start: Column, end: Column) -> Column:
+    """Whole seconds, hours or days from start to end, truncated toward zero."""
+    elapsed = ((end - start).cast("decimal(20,6)") * 1_000_000).cast("bigint")
+    return ((elapsed - elapsed % UNIT_US[unit]) / UNIT_US[unit]).cast("bigint")
 
 
 def needs_approval(obligations: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions import vocab
-from proofline.functions.exprs import ago, n_if, ts
+from proofline.functions.exprs import ago, n_if, ts, whole_units
 from proofline.functions.quantiles import exact_quantiles
 from proofline.functions.skew import NOTHING, heavy_keys, repeat_rows, skew_join
 from proofline.operators.ledger import BUCKET, integrity_rows, linked
@@ -152,7 +152,7 @@ def _approval_pairs(cat, as_of, days: int, environment: str) -> DataFrame:
     )
     decided = cat["policy_decisions"].select("decision_id", F.col("time").alias("asked_at"))
     return skew_join(approvals, decided, ["decision_id"], "left").withColumn(
-        "seconds_to_approve", F.timestamp_diff("SECOND", F.col("asked_at"), F.col("decision_time"))
+        "seconds_to_approve", whole_units("SECOND", F.col("asked_at"), F.col("decision_time"))
     )
 
 
@@ -215,7 +215,7 @@ def quarantine_review(
     rows = cat["memory_quarantine"].where(F.col("environment") == environment).select(
         F.col("time").alias("quarantined_at"), "memory_partition", "document_ref", "cause_codes",
         "provenance_refs", "detection_confidence", "reviewed_by", "review_outcome",
-        F.timestamp_diff("HOUR", F.col("time"), F.col("reviewed_at")).alias("hours_to_review"),
+        whole_units("HOUR", F.col("time"), F.col("reviewed_at")).alias("hours_to_review"),
     )
     if max_hours is not None:
         late = F.col("hours_to_review").isNull() | (F.col("hours_to_review") >= max_hours)
@@ -239,7 +239,7 @@ def spend_anomalies(
             F.max("time").alias("run_end"),
         )
         .withColumn(
-            "run_duration_seconds", F.timestamp_diff("SECOND", F.col("run_start"), F.col("run_end"))
+            "run_duration_seconds", whole_units("SECOND", F.col("run_start"), F.col("run_end"))
         )
         .where(
             (F.col("total_cost_usd") > max_cost)
@@ -348,7 +348,7 @@ def baseline_currency(cat, as_of, max_age_days: int = 90) -> DataFrame:
         "agent_instance_id", F.col("current_baseline_hash").alias("baseline_hash")
     )
     made = cat["baselines"].select("baseline_hash", "created_at", F.lit(True).alias("known"))
-    age = F.timestamp_diff("DAY", F.col("created_at"), ts(as_of))
+    age = whole_units("DAY", F.col("created_at"), ts(as_of))
     (shared,) = heavy_keys(current, ["baseline_hash"])
     out = skew_join(agents, current, ["agent_instance_id"], "left")
     out = skew_join(out, made, ["baseline_hash"], "left", shared).withColumn("baseline_age_days", age)
@@ -377,7 +377,7 @@ def cadence_gaps(
         agent.alias("agent_instance_id"), "dimension", "time"
     )
     width = F.lit(max(cadence_hours, 0) * 3600 * 1_000_000)
-    gap = F.timestamp_diff("HOUR", F.col("previous_time"), F.col("time"))
+    gap = whole_units("HOUR", F.col("previous_time"), F.col("time"))
     return (
         spans(rows, ["agent_instance_id", "dimension"], width)
         .select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions import vocab
-from proofline.functions.exprs import ago, micros, n_if, pct, ts
+from proofline.functions.exprs import ago, micros, n_if, pct, ts, whole_units
 from proofline.functions.running import running
 from proofline.functions.skew import NOTHING, heavy_keys, skew_join
 
@@ -300,7 +300,7 @@ def time_to_remediation(cat) -> DataFrame:
         .join(_first_outcomes(cat), keys)
         .select(
             *keys, "outcome",
-            F.timestamp_diff("SECOND", F.col("first_seen"), F.col("resolved_at")).alias(
+            whole_units("SECOND", F.col("first_seen"), F.col("resolved_at")).alias(
                 "time_to_remediation_seconds"
             ),
         )

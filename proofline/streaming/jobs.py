@@ -17,13 +17,16 @@ from proofline.functions import vocab
 from proofline.functions.exprs import micros, n_if, pct, ts
 
 
+def _instant(time: Column) -> Column:
+    return F.timestamp_micros(micros(time))
+
+
 def _clocked(stream: DataFrame, delay: str) -> DataFrame:
     """The stream with ``time`` as an instant (UTC) under a watermark.
 
     Watermarks need an instant; evidence times are zone-less and mean UTC.
     """
-    instant = F.timestamp_micros(micros(F.col("time")))
-    return stream.withColumn("time", instant).withWatermark("time", delay)
+    return stream.withColumn("time", _instant(F.col("time"))).withWatermark("time", delay)
 
 
 def _plain(instant: Column) -> Column:
@@ -116,7 +119,6 @@ def ttl_alerts(
     access = F.get_json_object("candidate_payload", "$.access")
     high = F.coalesce(access.isin("financial", "infrastructure"), F.lit(False))
     hours = F.when(high, float(high_ttl_h)).otherwise(float(ttl_h))
-    seen = F.timestamp_micros(micros(F.col("time")))
     rungs = F.array(
         *[F.struct(F.lit(n).alias("rung"), F.lit(s).alias("share")) for n, s in RUNGS]
     )
@@ -124,8 +126,10 @@ def ttl_alerts(
         discoveries.where(F.col("candidate_hash").isNotNull())
         .withColumn("r", F.explode(rungs))
         .select(
-            "event_id", "candidate_hash", seen.alias("seen_at"), "r.rung",
-            (seen + F.make_dt_interval(secs=hours * F.col("r.share") * 3600)).alias("alert_at"),
+            "event_id", "candidate_hash", _instant(F.col("time")).alias("seen_at"), "r.rung",
+            _instant(
+                F.col("time") + F.make_dt_interval(secs=hours * F.col("r.share") * 3600)
+            ).alias("alert_at"),
         )
         .withWatermark("alert_at", delay)
     )
@@ -136,7 +140,9 @@ def ttl_alerts(
     done = _clocked(clock, delay).select(
         F.col("candidate_hash").alias("done_hash"), F.col("time").alias("done_at")
     )
-    longest = F.expr(f"INTERVAL {max(ttl_h, high_ttl_h)} HOURS")
+    # Bounds the state kept; an hour more than the longest time, as adding days
+    # to an instant follows the session zone's clock changes.
+    longest = F.expr(f"INTERVAL {max(ttl_h, high_ttl_h) + 1} HOURS")
     resolved = (
         (F.col("candidate_hash") == F.col("done_hash"))
         & (F.col("done_at") >= F.col("seen_at"))

@@ -126,14 +126,11 @@ def good_rows():
 def frame(spark, table, rows):
     if not rows:
         return spark.createDataFrame([], ddl(table))
-    names = [n for n, _, _ in TABLES[table]]
     data = {}
-    for n in names:
+    for n, dtype, _ in TABLES[table]:
         values = [r.get(n) for r in rows]
-        empty = all(v is None for v in values)
-        data[n] = pa.array(values, pa.string() if empty else None)
-    data = {n: v for n, v in data.items() if not (v.null_count == len(v) and "ARRAY" in
-            dict((c, t) for c, t, _ in TABLES[table])[n])}
+        kind = pa.list_(pa.string()) if dtype.startswith("ARRAY") else pa.string()
+        data[n] = pa.array(values, kind if all(v is None for v in values) else None)
     return spark.createDataFrame(pa.table(data))
 
 
