@@ -7,65 +7,57 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(
-    df: DataFrame, group: str, value: str, probs: dict[str, float], bins: int = 4096
+    df: DataFrame, group: str, value: str, probs: dict[str, float], per_unit: int = 4096
 ) -> DataFrame:
     """One row per group with a column per quantile (``percentile_disc``).
 
-    Equal values are counted together first. The value range is cut into bins;
-    the running count over bins says which bin holds the wanted rank, and only
-    the values in those few bins are put in order.
+    Equal values are counted together first. Values fall into bins of width
+    1/``per_unit``; the running count over bins says which bin holds the wanted
+    rank, and only the values in those few bins are put in order. Choose the
+    width so that a group has some thousands of bins.
     """
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(group, value)
         .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    ends = counted.groupBy(group).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__n").alias("__total")
-    )
-    # At most one row per group and quantile; groups are few next to the rows.
-    targets = ends.select(
-        group, "__lo", "__hi",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("name"),
-                        F.greatest(
-                            F.ceil(F.col("__total") * F.lit(p)).cast("bigint"), F.lit(1)
-                        ).alias("rank"),
-                    )
-                    for name, p in probs.items()
-                ]
+        .withColumn("__bin", F.floor(F.col(value) * per_unit).cast("bigint"))
+    )
+    whole = Window.partitionBy(group)
+    upto = whole.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("name"),
+                F.greatest(F.ceil(F.col("__total") * F.lit(p)).cast("bigint"), F.lit(1)).alias(
+                    "rank"
+                ),
             )
-        ).alias("q"),
-    ).select(group, "q.name", "q.rank")
-    span = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    binned = counted.join(ends.drop("__total"), group).withColumn(
-        "__bin",
-        F.coalesce(F.floor((F.col(value) - F.col("__lo")) / span * bins), F.lit(0)).cast("int"),
+            for name, p in probs.items()
+        ]
     )
-    below = Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (
-        binned.groupBy(group, "__bin")
+    hits = (
+        counted.groupBy(group, "__bin")
         .agg(F.sum("__n").alias("__in"))
-        .withColumn("__below", F.coalesce(F.sum("__in").over(below), F.lit(0)))
-    )
-    hit = sums.join(targets, group).where(
-        (F.col("rank") > F.col("__below")) & (F.col("rank") <= F.col("__below") + F.col("__in"))
+        .withColumn("__total", F.sum("__in").over(whole))
+        .withColumn("__upto", F.sum("__in").over(upto))
+        .withColumn("q", F.explode(ranks))
+        .where(
+            (F.col("q.rank") > F.col("__upto") - F.col("__in"))
+            & (F.col("q.rank") <= F.col("__upto"))
+        )
+        .select(
+            group, "__bin", "q.name", "q.rank", (F.col("__upto") - F.col("__in")).alias("__below")
+        )
     )
     order = (
         Window.partitionBy(group, "__bin", "name")
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    found = (
-        binned.join(hit.select(group, "__bin", "name", "rank", "__below"), [group, "__bin"])
+    return (
+        counted.join(hits, [group, "__bin"])
         .withColumn("__upto", F.col("__below") + F.sum("__n").over(order))
         .where(F.col("__upto") >= F.col("rank"))
-        .groupBy(group, "name")
-        .agg(F.min(value).alias("v"))
-    )
-    return found.groupBy(group).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in probs]
+        .groupBy(group)
+        .agg(*[F.min(F.when(F.col("name") == n, F.col(value))).alias(n) for n in probs])
     )

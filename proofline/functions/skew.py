@@ -26,6 +26,8 @@ MAX_HOT = 1000
 TRACKED = 10_000
 ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 256
+# Key lists up to this many rows are broadcast, after counting them.
+KEY_LIST_ROWS = 200_000
 
 
 class Heavy(NamedTuple):
@@ -161,6 +163,29 @@ def skew_join(
     return joined.select(*left.columns, *[c for c in right.columns if c not in on])
 
 
+def is_short(keys: DataFrame) -> bool:
+    """Whether a key list is within the broadcast bound. Runs a job."""
+    return keys.limit(KEY_LIST_ROWS + 1).count() <= KEY_LIST_ROWS
+
+
+def prefilter(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Drop rows whose key is not in ``keys``, if the list is short enough to broadcast.
+
+    For inputs of an operator that would drop them anyway: a longer list leaves
+    ``df`` as it is, and the operator does the work.
+    """
+    keys = keys.select(*on).distinct()
+    return df.join(F.broadcast(keys), on, "left_semi") if is_short(keys) else df
+
+
+def keep_matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is in ``keys``: by broadcast if the list is short, else by shuffle."""
+    keys = keys.select(*on).dropna().distinct()
+    if is_short(keys):
+        return df.join(F.broadcast(keys), on, "left_semi")
+    return skew_join(df, keys, on, "inner", right_heavy=NOTHING)
+
+
 def repeat_rows(df: DataFrame, times: str, chunk: int = 1_000_000) -> DataFrame:
     """Each row ``times`` times, in chunks so that no array grows with the number."""
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / chunk))

@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from proofline.functions import vocab
 from proofline.functions.exprs import ago, n_if, ts, whole_units
 from proofline.functions.quantiles import exact_quantiles
-from proofline.functions.skew import NOTHING, heavy_keys, repeat_rows, skew_join
+from proofline.functions.skew import (
+    NOTHING,
+    heavy_keys,
+    is_short,
+    prefilter,
+    repeat_rows,
+    skew_join,
+)
 from proofline.operators.ledger import BUCKET, integrity_rows, linked
 from proofline.operators.metrics import spans
 
@@ -57,17 +64,29 @@ def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
         "run_id",
     )
     semantic = cat["semantic_traces"].withColumn("ledger_event_id", F.col("audit_ref"))
-    # Heavy keys are measured once per stored table, for every join it feeds.
-    q_run, q_hashed, q_traced = heavy_keys(cat["tool_requests"], run, hashed, traced)
-    p_run, p_hashed, p_decision = heavy_keys(cat["policy_decisions"], run, hashed, decision)
-    r_run, r_traced = heavy_keys(cat["tool_responses"], run, traced)
-    l_decision, l_logged = heavy_keys(ledger, decision, logged)
-    z_run, z_hashed = heavy_keys(cat["replay_steps"], run, hashed)
-    s_run, s_logged = heavy_keys(semantic, run, logged)
+    short = is_short(runs)
 
-    def of_runs(rows: DataFrame, heavy) -> DataFrame:
+    def of_runs(rows: DataFrame, heavy=None) -> DataFrame:
+        if short:
+            return rows.join(F.broadcast(runs), run, "left_semi")
         return skew_join(rows, runs, run, "inner", heavy, NOTHING)
 
+    def measured(rows: DataFrame, *keys: list[str]):
+        """Heavy keys, once per stored table for every join it feeds."""
+        if short:
+            return [NOTHING, *heavy_keys(of_runs(rows), *keys)]
+        return heavy_keys(rows, run, *keys)
+
+    q_run, q_hashed, q_traced = measured(cat["tool_requests"], hashed, traced)
+    p_run, p_hashed, p_decision = measured(cat["policy_decisions"], hashed, decision)
+    r_run, r_traced = measured(cat["tool_responses"], traced)
+    z_run, z_hashed = measured(cat["replay_steps"], hashed)
+    s_run, s_logged = measured(semantic, logged)
+    if short:
+        decisions_of_runs = of_runs(cat["policy_decisions"]).select("decision_id")
+        ledger = prefilter(ledger, decisions_of_runs, decision)
+    l_decision, l_logged = heavy_keys(ledger, decision, logged)
+
     requests = of_runs(cat["tool_requests"], q_run).select(
         F.col("time").alias("request_time"), "run_id", "trace_id", "agent_instance_id",
         "tool_name", "tool_category", "request_hash",
@@ -151,6 +170,7 @@ def _approval_pairs(cat, as_of, days: int, environment: str) -> DataFrame:
         "signature_ref", F.col("time").alias("decision_time"),
     )
     decided = cat["policy_decisions"].select("decision_id", F.col("time").alias("asked_at"))
+    decided = prefilter(decided, approvals, ["decision_id"])
     return skew_join(approvals, decided, ["decision_id"], "left").withColumn(
         "seconds_to_approve", whole_units("SECOND", F.col("asked_at"), F.col("decision_time"))
     )

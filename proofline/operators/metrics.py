@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions import vocab
 from proofline.functions.exprs import micros, n_if, needs_approval
 from proofline.functions.running import running, time_bucket
+from proofline.functions.skew import prefilter
 from proofline.operators.ledger import chain_breaks, linked
 from proofline.plans.assessments import Assessments
 from proofline.sources.catalog import EvidenceCatalog
@@ -24,8 +25,6 @@ from proofline.sources.catalog import EvidenceCatalog
 KEY = Assessments.KEY
 HOUR_US = 3600 * 1_000_000
 DAY_US = 24 * HOUR_US
-# Quarantined item lists up to this size are broadcast to prefilter reads.
-ITEM_LIST_ROWS = 200_000
 
 
 def _c(name: str) -> Column:
@@ -169,9 +168,7 @@ def quarantine_leaks(cat, assessments, scope_right: bool = False) -> DataFrame:
     on = _right_keys("item_id", scope_right)
     held = cat["memory_quarantine"].where(_c("time").isNotNull())
     reads = assessments.scope(cat["memory_responses"])
-    items = held.select("item_id").distinct()
-    if items.limit(ITEM_LIST_ROWS + 1).count() <= ITEM_LIST_ROWS:
-        reads = reads.join(F.broadcast(items), "item_id", "left_semi")
+    reads = prefilter(reads, held, ["item_id"])
     reads = reads.groupBy(KEY, *on, "time").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy(*on, "time").agg(F.count(F.lit(1)).alias("n"))
     both = held.select(
@@ -395,8 +392,6 @@ def spans(rows: DataFrame, keys: list[str], width_us: Column) -> DataFrame:
     (key, bucket), however many events the key has. Gives ``previous_time`` and
     ``time`` at each pair of neighbouring buckets.
     """
-    from pyspark.sql import Window
-
     ends = (
         rows.where(_c("time").isNotNull())
         .groupBy(*keys, time_bucket(_c("time"), F.greatest(width_us, F.lit(1))).alias("slot"))
@@ -431,7 +426,8 @@ def enforced_responses(cat, assessments, only_detected: bool = False) -> DataFra
     if only_detected:
         drift = drift.where(_c("decision") == "drift_detected")
     known = (
-        drift.where(_c("event_id").isNotNull())
+        prefilter(drift, acted, ["event_id"])
+        .where(_c("event_id").isNotNull())
         .groupBy("event_id")
         .agg(F.count(F.lit(1)).alias("m"))
     )

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions import vocab
-from proofline.functions.exprs import ago, micros, n_if, pct, ts, whole_units
+from proofline.functions.exprs import ago, micros, n_if, pct, to_datetime, ts, whole_units
 from proofline.functions.running import running
-from proofline.functions.skew import NOTHING, heavy_keys, skew_join
+from proofline.functions.skew import NOTHING, heavy_keys, keep_matching, prefilter, skew_join
 
 # Tool categories whose calls change something outside the agent.
 SIDE_EFFECTS = ("reversible_write", *vocab.HIGH_IMPACT)
@@ -91,25 +93,15 @@ def last_good_bundle(cat, onset, environment: str | None = None) -> DataFrame:
 
 def incident_evidence(cat, run_ids: DataFrame) -> dict[str, DataFrame]:
     """The five record kinds of an incident, for the given runs."""
-    runs = run_ids.select("run_id").where(F.col("run_id").isNotNull()).distinct()
+    on = ["run_id"]
     kinds = {
-        t: skew_join(cat[t], runs, ["run_id"], "inner", right_heavy=NOTHING)
-        for t in INCIDENT_TABLES
-        if t != "breaker_events"
+        t: keep_matching(cat[t], run_ids, on) for t in INCIDENT_TABLES if t != "breaker_events"
     }
     # Breakers name several runs per event; keep each event once.
     breaker = cat["breaker_events"]
-    hit = (
-        skew_join(
-            breaker.select("event_id", F.explode("affected_run_ids").alias("run_id")),
-            runs, ["run_id"], "inner", right_heavy=NOTHING,
-        )
-        .select("event_id")
-        .distinct()
-    )
-    kinds["breaker_events"] = skew_join(
-        breaker, hit, ["event_id"], "inner", right_heavy=NOTHING
-    )
+    affected = breaker.select("event_id", F.explode("affected_run_ids").alias("run_id"))
+    hit = keep_matching(affected, run_ids, on)
+    kinds["breaker_events"] = keep_matching(breaker, hit, ["event_id"])
     return kinds
 
 
@@ -214,6 +206,7 @@ def containment(cat, slo_s: float = 5, horizon_s: float = 3600) -> DataFrame:
         .select(*keys, "time")
         .distinct()
     )
+    calls = prefilter(calls, triggers, keys)
     both = triggers.withColumn("kind", F.lit(0)).unionByName(calls.withColumn("kind", side))
     placed = running(
         both, keys, "time", F.when(F.col("kind") == 0, F.col("time")), "max", "triggered_at", "kind"
@@ -340,17 +333,21 @@ def unevaluated_reads(cat, start, end) -> DataFrame:
 
 def downstream_calls(cat, start, end, within_s: float = 3600) -> DataFrame:
     """Tool calls of a run up to ``within_s`` after a read nobody evaluated."""
+    reach = int(within_s * 1_000_000)
     reads = unevaluated_reads(cat, start, end).select("run_id", "time").distinct()
-    calls = cat["tool_requests"].select("run_id", "time", "request_hash", "tool_name")
-    both = reads.select(
-        "run_id", "time", F.lit(None).cast("string").alias("request_hash"),
-        F.lit(None).cast("string").alias("tool_name"), F.lit(0).alias("kind"),
-    ).unionByName(calls.withColumn("kind", F.lit(1)))
+    calls = cat["tool_requests"].where(
+        (F.col("time") >= ts(start)) & (F.col("time") <= ts(to_datetime(end) + timedelta(seconds=within_s)))
+    ).select("run_id", "time", "request_hash", "tool_name")
+    calls = prefilter(calls, reads, ["run_id"])
+    # One row per run and moment, however many calls share it.
+    moments = calls.select("run_id", "time").distinct().withColumn("kind", F.lit(1))
     placed = running(
-        both, ["run_id"], "time", F.when(F.col("kind") == 0, F.col("time")), "max", "read_at", "kind"
+        reads.withColumn("kind", F.lit(0)).unionByName(moments),
+        ["run_id"], "time", F.when(F.col("kind") == 0, F.col("time")), "max", "read_at", "kind",
     )
     gap = micros(F.col("time")) - micros(F.col("read_at"))
-    return placed.where((F.col("kind") == 1) & (gap <= int(within_s * 1_000_000))).select(
+    hits = placed.where((F.col("kind") == 1) & (gap <= reach)).select("run_id", "time", "read_at")
+    return skew_join(calls, hits, ["run_id", "time"], "inner", right_heavy=NOTHING).select(
         "run_id", "request_hash", "tool_name", F.col("time").alias("call_time"), "read_at"
     )
 
@@ -409,7 +406,6 @@ def retrieval_shift(cat, first: tuple, second: tuple) -> DataFrame:
 
 def chain_links(cat, run_ids: DataFrame) -> DataFrame:
     """Per run, how many semantic traces reach each of the five links."""
-    runs = run_ids.select("run_id").where(F.col("run_id").isNotNull()).distinct()
     ledger = cat["ledger_events"].where(F.col("ledger_event_id").isNotNull()).groupBy(
         F.col("ledger_event_id").alias("audit_ref")
     ).agg(F.max("policy_decision_id").alias("decision_id"))
@@ -438,8 +434,8 @@ def chain_links(cat, run_ids: DataFrame) -> DataFrame:
     links = skew_join(links, steps, ["request_hash"], "left", by_hash, NOTHING)
     links = links.drop("decision_id", "request_hash")
     cited = cat["semantic_traces"].select("run_id", "audit_ref")
-    by_run, by_ref = heavy_keys(cited, ["run_id"], ["audit_ref"])
-    traces = skew_join(cited, runs, ["run_id"], "inner", by_run, NOTHING)
+    (by_ref,) = heavy_keys(cited, ["audit_ref"])
+    traces = keep_matching(cited, run_ids, ["run_id"])
     out = skew_join(traces, links, ["audit_ref"], "left", by_ref, NOTHING)
     flags = ["logged", "decided", "requested", "replayed"]
     per_run = out.groupBy("run_id").agg(

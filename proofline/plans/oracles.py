@@ -560,7 +560,7 @@ GROUP BY 1, 2"""
 RUNBOOK_SQL = {
     "d01_bundle_onset": f"""
 SELECT policy_bundle_hash, min(time) AS first_seen, count(*) AS decisions
-FROM policy_decisions x WHERE {_recent('x', "'2' HOUR")}
+FROM policy_decisions x WHERE {_recent('x', "'240' HOUR")}
 GROUP BY 1 ORDER BY 2 DESC LIMIT 5""",
     "d02_locate_runs": f"""
 SELECT run_id, trace_id, agent_instance_id, min(time) AS run_start

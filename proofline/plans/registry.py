@@ -101,7 +101,7 @@ def batch_queries() -> dict[str, Query]:
         "e14_baseline_currency": _on(c.baseline_currency, AS_OF),
         "e15_cadence_gaps": _on(c.cadence_gaps, AS_OF),
         "e16_event_type_distinction": _on(c.event_type_distinction, AS_OF),
-        "d01_bundle_onset": _on(d.bundle_onset, AS_OF),
+        "d01_bundle_onset": _on(d.bundle_onset, AS_OF, hours=240),
         "d02_locate_runs": _on(d.locate_runs, AS_OF),
         "d03_hitl_denied": _on(d.hitl_denied, *OUTAGE),
         "d04_active_runs": _on(d.active_runs, AS_OF, "agent-1", hours=24),

@@ -160,7 +160,7 @@ def test_exact_quantiles(spark):
     values.append(("c", 0.25))
     df = table(spark, g=[g for g, _ in values], v=[v for _, v in values])
     probs = {"p50": 0.5, "p99": 0.99}
-    got = {r.g: (r.p50, r.p99) for r in exact_quantiles(df, "g", "v", probs, bins=16).collect()}
+    got = {r.g: (r.p50, r.p99) for r in exact_quantiles(df, "g", "v", probs, per_unit=16).collect()}
     df.createOrReplaceTempView("quantile_rows")
     want = spark.sql(
         "SELECT g, percentile_disc(0.5) WITHIN GROUP (ORDER BY v) a,"
