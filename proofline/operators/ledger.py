@@ -52,23 +52,18 @@ def linked(ledger: DataFrame, chain: list[str], bucket: int = BUCKET) -> DataFra
     else:
         rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
     inside = Window.partitionBy(*slot).orderBy(*order)
-    last = (
-        rows.groupBy(*slot)
-        .agg(
-            F.max_by(F.struct("event_hash", "sequence_number"), F.struct(*order)).alias("__last")
-        )
-        .select(
-            *slot,
-            F.lag("__last")
-            .over(Window.partitionBy(*slots).orderBy(*slot[len(slots):]))
-            .alias("__prior"),
-        )
-    )
     mine = F.struct("event_hash", "sequence_number")
-    return (
+    placed = (
         rows.withColumn("__first", F.row_number().over(inside) == 1)
         .withColumn("__lag", F.lag(mine).over(inside))
-        .join(last, slot)
+        .withColumn("__end", F.lead(F.lit(1)).over(inside).isNull())
+    )
+    # The last row per bucket comes from the same sorted partitions, so the
+    # ledger is shuffled once; this table has one row per bucket.
+    buckets = Window.partitionBy(*slots).orderBy(*slot[len(slots):])
+    last = placed.where("__end").select(*slot, F.lag(mine).over(buckets).alias("__prior"))
+    return (
+        placed.join(last, slot)
         .withColumn("__before", F.when(F.col("__first"), F.col("__prior")).otherwise(F.col("__lag")))
         .select(
             *cols,

@@ -81,12 +81,14 @@ def last_good_bundle(cat, onset, environment: str | None = None) -> DataFrame:
     return (
         _env(cat["policy_decisions"], environment)
         .where((F.col("time") < ts(onset)) & F.col("policy_bundle_hash").isNotNull())
+        .groupBy("tenant_id", "environment", "policy_bundle_hash")
+        .agg(F.max("time").alias("last_used"))
         .groupBy("tenant_id", "environment")
         .agg(
-            F.max_by("policy_bundle_hash", F.struct("time", "policy_bundle_hash")).alias(
+            F.max_by("policy_bundle_hash", F.struct("last_used", "policy_bundle_hash")).alias(
                 "policy_bundle_hash"
             ),
-            F.max("time").alias("last_used"),
+            F.max("last_used").alias("last_used"),
         )
     )
 
@@ -252,6 +254,8 @@ def _first_outcomes(cat) -> DataFrame:
     return (
         cat["remediation_outcomes"]
         .where(F.col("candidate_hash").isNotNull())
+        .groupBy("tenant_id", "environment", "candidate_hash", "outcome")
+        .agg(F.min("time").alias("time"))
         .groupBy("tenant_id", "environment", "candidate_hash")
         .agg(
             F.min("time").alias("resolved_at"),
