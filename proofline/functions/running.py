@@ -15,9 +15,15 @@ from proofline.functions.exprs import micros
 MINUTE_US = 60 * 1_000_000
 
 
+def bucket_of(value: Column, width: Column | int) -> Column:
+    """The bucket of a whole number, in exact arithmetic."""
+    width = width if isinstance(width, Column) else F.lit(width)
+    width = width.cast("bigint")
+    return ((value - F.pmod(value, width)) / width).cast("bigint")
+
+
 def time_bucket(col: Column, width_us: Column | int) -> Column:
-    width = width_us if isinstance(width_us, Column) else F.lit(width_us)
-    return F.floor(micros(col) / width.cast("long")).cast("long")
+    return bucket_of(micros(col), width_us)
 
 
 def running(

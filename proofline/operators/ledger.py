@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.functions.running import bucket_of
 from proofline.functions.skew import heavy_keys, repeat_rows
 
 BUCKET = 65_536
@@ -26,7 +27,7 @@ def linked(ledger: DataFrame, chain: list[str], bucket: int = BUCKET) -> DataFra
     cols = ledger.columns
     rest = [c for c in cols if c not in (*chain, "sequence_number", "event_hash")]
     order = ["sequence_number", "event_hash", *rest]
-    number = F.floor(F.col("sequence_number") / bucket).cast("bigint")
+    number = bucket_of(F.col("sequence_number"), bucket)
     rows = ledger.withColumn("__b", F.coalesce(number, F.lit(-(2**62))))
     # Null chain parts form a chain of their own; joins need a value for them.
     slots = [f"__c{i}" for i in range(len(chain))]

@@ -14,6 +14,7 @@ from proofline.functions.exprs import to_datetime
 
 # Above this many assessments the table is joined by shuffle instead.
 BROADCAST_ROWS = 100_000
+NAMED_TENANTS = 100
 
 
 class Assessments:
@@ -25,7 +26,13 @@ class Assessments:
 
     KEY = "assessment_id"
 
-    def __init__(self, frame: DataFrame, count: int | None = None, earliest: str | None = None):
+    def __init__(
+        self,
+        frame: DataFrame,
+        count: int | None = None,
+        earliest: str | None = None,
+        tenants: set[str] | None = None,
+    ):
         has = frame.columns
         days = F.col("window_days").cast("int") if "window_days" in has else F.lit(None)
         days = F.coalesce(days, F.lit(vocab.DEFAULT_WINDOW_DAYS))
@@ -50,6 +57,8 @@ class Assessments:
         self.count = count
         # A literal every scan can push down; each row keeps its own bound.
         self.earliest = earliest
+        # A few tenants are named to the scan as well, for pruning.
+        self._tenants = sorted(tenants) if tenants and len(tenants) <= NAMED_TENANTS else None
         self._sides: dict[tuple[str, ...], DataFrame] = {}
 
     @classmethod
@@ -91,6 +100,7 @@ class Assessments:
             spark.createDataFrame(pa.table(columns)),
             len(table),
             earliest and earliest.isoformat(sep=" "),
+            {r["tenant_id"] for r in table},
         )
 
     def side(self, *columns: str) -> DataFrame:
@@ -110,6 +120,8 @@ class Assessments:
         A row falling under several assessments appears once for each.
         """
         recent = table.where(f"time >= timestamp_ntz '{self.earliest}'") if self.earliest else table
+        if self._tenants:
+            recent = recent.where(F.col("tenant_id").isin(self._tenants))
         return (
             recent.join(self.side("since", *carry), ["tenant_id", "environment"])
             .where("time >= since")

@@ -374,6 +374,12 @@ SELECT *, CASE WHEN n_fail + n_error > 0 THEN 'NON_CONFORMANT' WHEN n_partial >
 FROM (SELECT assessment_id, {_STATUS} FROM ({VERDICT_SQL}) s GROUP BY 1) t"""
 
 
+REPORT_SQL = f"""
+SELECT assessment_id, a.tenant_id, a.environment, a.tier AS autonomy_tier, s.run_failed,
+  s.overall_status, s.n_pass + s.n_fail + s.n_partial + s.n_error + s.n_skip AS n_checks
+FROM assess a JOIN ({STATUS_SQL}) s USING (assessment_id)"""
+
+
 def _recent(alias: str, interval: str) -> str:
     return f"{alias}.environment = 'prod' AND {alias}.time >= {NOW} - INTERVAL {interval}"
 
@@ -772,6 +778,7 @@ def all_sql() -> dict[str, str]:
     texts["verdicts"] = VERDICT_SQL
     texts["r01_metric_rollup"] = ROLLUP_SQL
     texts["r02_status_counts"] = STATUS_SQL
+    texts["r05_report"] = REPORT_SQL
     texts["e04_risk_distribution_exact"] = CORRELATE_SQL["e04_risk_distribution"]
     texts |= CORRELATE_SQL | RUNBOOK_SQL | STREAM_SQL
     return {name: duckdb(sql) for name, sql in texts.items()}

@@ -12,7 +12,7 @@ from proofline.operators import runbooks as d
 from proofline.plans.assessments import Assessments
 from proofline.plans.checks import CHECKS
 from proofline.plans.oracles import AGENT, BEFORE, OUTAGE
-from proofline.plans.report import metric_rollup, status_counts
+from proofline.plans.report import build_report, metric_rollup, status_counts
 from proofline.plans.runner import check_metrics, run_assessments
 from proofline.sources.derived import (
     AS_OF,
@@ -40,6 +40,15 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     return run_assessments(derived_catalog(spark, sf), assessments(spark))
 
 
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    who = assessments(spark)
+    report = build_report(run_assessments(derived_catalog(spark, sf), who), who, AS_OF)
+    return report.select(
+        "assessment_id", "tenant_id", "environment", "autonomy_tier", "run_failed",
+        "summary.overall_status", F.size("checks").alias("n_checks"),
+    )
+
+
 def _on(operator, *args, **kwargs) -> Query:
     return lambda spark, sf: operator(derived_catalog(spark, sf), *args, **kwargs)
 
@@ -83,6 +92,7 @@ def batch_queries() -> dict[str, Query]:
     )
     q["r01_metric_rollup"] = lambda s, sf: metric_rollup(_results(s, sf))
     q["r02_status_counts"] = lambda s, sf: status_counts(_results(s, sf))
+    q["r05_report"] = _report
     q |= {
         "e01_unmatched_requests": _on(c.unmatched_requests, AS_OF),
         "e02_evidence_chain": _all_runs(c.evidence_chain),

@@ -34,6 +34,18 @@ def _plain(instant: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), ts("1970-01-01 00:00:00"))
 
 
+# Slots a join key is spread over, as one key may hold a large share of a stream.
+SLOTS = 8
+
+
+def _slot(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")
+
+
+def _each_slot() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
+
+
 def undecided_requests(
     requests: DataFrame, decisions: DataFrame, within: str = "10 minutes",
     delay: str = "10 minutes",
@@ -43,25 +55,30 @@ def undecided_requests(
     Requests without a hash can match nothing and are reported at once.
     """
     asked = _clocked(requests, delay).select(
-        "tenant_id", "environment", "request_hash", F.col("time").alias("request_time")
+        "tenant_id", "environment", "request_hash", F.col("time").alias("request_time"),
+        _slot("trace_id", "run_id", "time").alias("slot"),
     )
     decided = (
         _clocked(decisions, delay)
         .where(F.col("decision_id").isNotNull() & F.col("request_hash").isNotNull())
-        .select(F.col("request_hash").alias("decided_hash"), F.col("time").alias("decided_at"))
+        .select(F.col("request_hash").alias("decided_hash"), F.col("time").alias("decided_at"),
+                _each_slot().alias("decided_slot"))
     )
     span = F.expr(f"INTERVAL {within}")
+    same = (F.col("request_hash") == F.col("decided_hash")) & (
+        F.col("slot") == F.col("decided_slot")
+    )
     in_time = (F.col("decided_at") >= F.col("request_time") - span) & (
         F.col("decided_at") <= F.col("request_time") + span
     )
     late = (
         asked.where(F.col("request_hash").isNotNull())
-        .join(decided, (F.col("request_hash") == F.col("decided_hash")) & in_time, "left")
+        .join(decided, same & in_time, "left")
         .where(F.col("decided_hash").isNull())
         .select(*asked.columns)
     )
     missing = late.unionByName(asked.where(F.col("request_hash").isNull()))
-    return missing.withColumn("request_time", _plain(F.col("request_time")))
+    return missing.withColumn("request_time", _plain(F.col("request_time"))).drop("slot")
 
 
 def ledger_faults(
@@ -130,6 +147,7 @@ def ttl_alerts(
             _instant(
                 F.col("time") + F.make_dt_interval(secs=hours * F.col("r.share") * 3600)
             ).alias("alert_at"),
+            _slot("event_id").alias("slot"),
         )
         .withWatermark("alert_at", delay)
     )
@@ -138,13 +156,15 @@ def ttl_alerts(
         discoveries.select(F.lit(None).cast("string").alias("candidate_hash"), "time")
     )
     done = _clocked(clock, delay).select(
-        F.col("candidate_hash").alias("done_hash"), F.col("time").alias("done_at")
+        F.col("candidate_hash").alias("done_hash"), F.col("time").alias("done_at"),
+        _each_slot().alias("done_slot"),
     )
     # Bounds the state kept; an hour more than the longest time, as adding days
     # to an instant follows the session zone's clock changes.
     longest = F.expr(f"INTERVAL {max(ttl_h, high_ttl_h) + 1} HOURS")
     resolved = (
         (F.col("candidate_hash") == F.col("done_hash"))
+        & (F.col("slot") == F.col("done_slot"))
         & (F.col("done_at") >= F.col("seen_at"))
         & (F.col("done_at") >= F.col("alert_at") - longest)
         & (F.col("done_at") <= F.col("alert_at"))
