@@ -168,6 +168,14 @@ def is_short(keys: DataFrame) -> bool:
     return keys.limit(KEY_LIST_ROWS + 1).count() <= KEY_LIST_ROWS
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small frame that many plans read, stored once in the checkpoint folder.
+
+    Without a checkpoint folder it is left to be computed where it is used.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def prefilter(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Drop rows whose key is not in ``keys``, if the list is short enough to broadcast.
 

@@ -14,6 +14,7 @@ from proofline.functions.skew import (
     is_short,
     prefilter,
     repeat_rows,
+    settled,
     skew_join,
 )
 from proofline.operators.ledger import BUCKET, integrity_rows, linked
@@ -65,6 +66,8 @@ def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
     )
     semantic = cat["semantic_traces"].withColumn("ledger_event_id", F.col("audit_ref"))
     short = is_short(runs)
+    if short:
+        runs = settled(runs)
 
     def of_runs(rows: DataFrame, heavy=None) -> DataFrame:
         if short:

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from proofline.functions import vocab
 from proofline.functions.exprs import ago, micros, n_if, pct, to_datetime, ts, whole_units
 from proofline.functions.running import running
-from proofline.functions.skew import NOTHING, heavy_keys, keep_matching, prefilter, skew_join
+from proofline.functions.skew import (
+    NOTHING,
+    heavy_keys,
+    is_short,
+    keep_matching,
+    prefilter,
+    settled,
+    skew_join,
+)
 
 # Tool categories whose calls change something outside the agent.
 SIDE_EFFECTS = ("reversible_write", *vocab.HIGH_IMPACT)
@@ -96,6 +104,9 @@ def last_good_bundle(cat, onset, environment: str | None = None) -> DataFrame:
 def incident_evidence(cat, run_ids: DataFrame) -> dict[str, DataFrame]:
     """The five record kinds of an incident, for the given runs."""
     on = ["run_id"]
+    run_ids = run_ids.select(*on).distinct()
+    if is_short(run_ids):
+        run_ids = settled(run_ids)
     kinds = {
         t: keep_matching(cat[t], run_ids, on) for t in INCIDENT_TABLES if t != "breaker_events"
     }

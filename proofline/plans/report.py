@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions.exprs import n_if, ts
-from proofline.functions.vocab import ERROR, FAIL, PARTIAL, PASS, STATUSES
+from proofline.functions.vocab import STATUSES
 from proofline.plans.assessments import Assessments
 
 KEY = Assessments.KEY
@@ -22,25 +22,27 @@ def metric_rollup(results: DataFrame) -> DataFrame:
     )
 
 
-def status_counts(results: DataFrame) -> DataFrame:
-    """How many checks ended in each status, and the overall status."""
-    counted = results.groupBy(KEY).agg(
-        *[n_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in STATUSES]
-    )
-    failing = F.col(f"n_{FAIL.lower()}") + F.col(f"n_{ERROR.lower()}")
-    return counted.select(
+def _counts() -> list[Column]:
+    return [n_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in STATUSES]
+
+
+def _overall(counted: DataFrame) -> DataFrame:
+    return counted.selectExpr(
         "*",
-        F.when(failing > 0, "NON_CONFORMANT")
-        .when(F.col(f"n_{PARTIAL.lower()}") > 0, PARTIAL)
-        .otherwise("CONFORMANT")
-        .alias("overall_status"),
-        F.col(f"n_{PASS.lower()}").alias("must_pass_checks_passing"),
-        failing.alias("must_pass_checks_failing"),
-        F.col(f"n_{PARTIAL.lower()}").alias("open_partial_checks"),
-        (failing > 0).alias("run_failed"),
+        "case when n_fail + n_error > 0 then 'NON_CONFORMANT' when n_partial > 0 then 'PARTIAL' "
+        "else 'CONFORMANT' end as overall_status",
+        "n_pass as must_pass_checks_passing",
+        "n_fail + n_error as must_pass_checks_failing",
+        "n_partial as open_partial_checks",
+        "n_fail + n_error > 0 as run_failed",
     )
 
 
+def status_counts(results: DataFrame) -> DataFrame:
+    """How many checks ended in each status, and the overall status."""
+    return _overall(results.groupBy(KEY).agg(*_counts()))
+
+
 def build_report(
     results: DataFrame,
     assessments: Assessments,
@@ -58,17 +60,25 @@ def build_report(
     ]
     empty_steps = F.when(F.size("manual_steps") > 0, F.col("manual_steps"))
     entry = F.struct(*[(empty_steps if f == "manual_steps" else F.col(f)).alias(f) for f in fields])
-    # Bounded group: one row per registered check.
+    # One grouping does it all, so the checks are run once. The groups are
+    # bounded: one row per registered check, a few metrics each.
     by_id = lambda a, b: F.when(a["check_id"] < b["check_id"], -1).otherwise(1)
-    checks = results.groupBy(KEY).agg(
-        F.array_sort(F.collect_list(entry), by_id).alias("checks")
+    grouped = _overall(
+        results.groupBy(KEY).agg(
+            F.array_sort(F.collect_list(entry), by_id).alias("checks"), *_counts()
+        )
+    )
+    entries = (
+        "filter(flatten(transform(checks, c -> coalesce(map_entries(c.metrics), array()))), "
+        "e -> startswith(e.key, 'count_'))"
     )
-    metrics = (
-        metric_rollup(results)
-        .groupBy(KEY)
-        .agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("metrics"))
+    rolled = grouped.withColumn("entries", F.expr(entries)).withColumn(
+        "metrics",
+        F.expr(
+            "map_from_entries(transform(array_distinct(transform(entries, e -> e.key)), k -> "
+            "struct(k, aggregate(entries, 0d, (s, e) -> s + if(e.key = k, e.value, 0d)))))"
+        ),
     )
-    counts = status_counts(results)
     summary = F.struct(
         "overall_status",
         F.struct(*[F.col(f"n_{s.lower()}").alias(s) for s in STATUSES]).alias("counts"),
@@ -85,9 +95,7 @@ def build_report(
             KEY, "tenant_id", "environment", F.col("tier").alias("autonomy_tier"),
             F.col("window_days").alias("assessment_window_days"),
         )
-        .join(checks, KEY)
-        .join(metrics, KEY, "left")
-        .join(counts.select(KEY, "run_failed", summary.alias("summary")), KEY)
+        .join(rolled.withColumn("summary", summary), KEY)
         .select(
             ts(generated_at).alias("generated_at"),
             F.lit(generated_by).alias("generated_by"),
