@@ -18,6 +18,7 @@ STOP_ACTIVATION = "stop.activation"
 ENFORCING_RESPONSES = ("tier_reduction", "emergency_stop")
 DRIFT_EVENT = "gate.assurance.drift_decision"
 ADVERSARIAL_EVENT = "gate.assurance.adversarial_outcome"
+UNENROLLED_FINDING = "unenrolled - no C04 record and no active exception"
 QUALITY_DIMENSIONS = ("confidence", "freshness", "provenance")
 REQUIRED_DIMENSIONS = {
     "sandbox": (),

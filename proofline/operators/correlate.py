@@ -298,7 +298,7 @@ def unenrolled(
     return (
         callers.join(enrolled, "workload_identity", "left_anti")
         .join(excused, "workload_identity", "left_anti")
-        .withColumn("finding", F.lit("unenrolled - no C04 record and no active exception"))
+        .withColumn("finding", F.lit(vocab.UNENROLLED_FINDING))
     )
 
 

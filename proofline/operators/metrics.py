@@ -458,3 +458,9 @@ SHAPED: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "cadence_gaps": (cadence_gaps, ("cadence_gaps",)),
     "enforced_responses": (enforced_responses, ("enforced_responses",)),
 }
+
+# Metrics that take ``scope_right``: their right-hand tables are then limited to
+# the tenant and environment as well.
+RIGHT_SCOPED = (
+    "unmatched_requests", "quarantine_leaks", "correlated_runs", "executed_unapproved",
+)

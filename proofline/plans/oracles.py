@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from proofline.functions.vocab import ADVERSARIAL_EVENT, DRIFT_EVENT
+from proofline.functions.vocab import ADVERSARIAL_EVENT, DRIFT_EVENT, UNENROLLED_FINDING
 from proofline.sources.derived import AS_OF, duckdb
 
 NOW = f"TIMESTAMP_NTZ '{AS_OF}'"
@@ -462,7 +462,7 @@ HAVING sum(cost_usd) > 5 OR count(*) > 100
   OR count(*) FILTER (WHERE tool_category IN {HIGH}) > 5""",
     "e10_unenrolled": f"""
 SELECT c.agent_instance_id AS workload_identity,
-  'unenrolled - no C04 record and no active exception' AS finding
+  '{UNENROLLED_FINDING}' AS finding
 FROM (SELECT DISTINCT agent_instance_id FROM tool_requests x WHERE {_recent('x', "'24' HOUR")}) c
 WHERE NOT EXISTS (
     SELECT 1 FROM c04_inventory i WHERE i.agent_instance_id = c.agent_instance_id)

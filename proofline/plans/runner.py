@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.functions.vocab import ERROR, SKIP
-from proofline.operators.metrics import SHAPED, table_counts
+from proofline.operators.metrics import RIGHT_SCOPED, SHAPED, table_counts
 from proofline.plans import checks as specs
 from proofline.plans.assessments import Assessments
 from proofline.plans.checks import Check
@@ -25,7 +25,10 @@ class Parts:
     Counts wanted by several checks from one table share one pass over it.
     """
 
-    def __init__(self, cat: EvidenceCatalog, assessments: Assessments):
+    def __init__(
+        self, cat: EvidenceCatalog, assessments: Assessments, scope_right: bool = False
+    ):
+        self._options = dict.fromkeys(RIGHT_SCOPED, {"scope_right": True}) if scope_right else {}
         self._cat = cat
         self._assessments = assessments
         self._built: dict[tuple, DataFrame] = {}
@@ -33,7 +36,9 @@ class Parts:
     def _build(self, kind: str, columns: tuple[str, ...]) -> DataFrame:
         if (kind, columns) not in self._built:
             if kind in SHAPED:
-                part = SHAPED[kind][0](self._cat, self._assessments)
+                part = SHAPED[kind][0](
+                    self._cat, self._assessments, **self._options.get(kind, {})
+                )
             else:
                 part = table_counts(self._cat, self._assessments, kind, columns)
             self._built[kind, columns] = part
@@ -191,14 +196,18 @@ def run_assessments(
     cat: EvidenceCatalog,
     assessments: Assessments,
     check_ids: Iterable[str] | None = None,
+    scope_right: bool = False,
 ) -> DataFrame:
     """One row per assessment and check: status, metrics, findings.
 
+    ``scope_right`` also limits the tables requests, reads, runs and responses
+    are matched with to the tenant and environment.
+
     Checks whose tables or columns are missing become ERROR rows; the others
     run as one plan that reads each table's counts once.
     """
     wanted = specs.chosen(check_ids)
-    parts = Parts(cat, assessments)
+    parts = Parts(cat, assessments, scope_right)
     failures = parts.failures(wanted)
     wide = parts.wide([c for c in wanted if failures[c.check_id] is None])
     return _judge(wide, wanted, failures)

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from proofline.functions.vocab import ADVERSARIAL_EVENT, DRIFT_EVENT  # noqa: E402
 from proofline.plans.assessments import Assessments  # noqa: E402
 from proofline.sources.catalog import EvidenceCatalog  # noqa: E402
 from proofline.sources.schemas import TABLES, ddl  # noqa: E402
@@ -70,7 +71,7 @@ def good_rows():
         )
         rows["drift_decisions"] += [
             {**scope, "time": day(10 + i), "event_id": f"dr{i}-{dim}",
-             "event_type": "gate.assurance.drift_decision", "agent_instance_id": "agent-0",
+             "event_type": DRIFT_EVENT, "agent_instance_id": "agent-0",
              "dimension": dim, "decision": "no_drift"}
             for dim in ("tone", "tools")
         ]
@@ -111,7 +112,7 @@ def good_rows():
     rows["response_actions"] = [{**at, "event_id": "r1", "drift_decision_id": "dr1-tone",
                                  "action": "tier_reduction"}]
     rows["adversarial_outcomes"] = [{**at, "event_id": "v1",
-                                     "event_type": "gate.assurance.adversarial_outcome"}]
+                                     "event_type": ADVERSARIAL_EVENT}]
     rows["baselines"] = [{"baseline_hash": "bl", "created_at": day(1)}]
     rows["agent_state"] = [
         {"agent_instance_id": f"agent-{i}", "state": "Run", "autonomy_tier": tier, **scope}

@@ -1,5 +1,6 @@
 import pytest
 
+from proofline.functions.vocab import ADVERSARIAL_EVENT, DRIFT_EVENT
 from proofline.plans.checks import BY_ID, CHECKS, chosen
 from proofline.plans.runner import run_assessments, write_results
 from tests.conftest import day
@@ -79,8 +80,8 @@ FAULTS = [
     ("Check18", "drift_decisions", lambda rows: [r for r in rows if "-13" not in r["time"]]),
     ("Check18", "response_actions", edit(action="log_only")),
     ("Check19", "adversarial_outcomes", lambda rows: []),
-    ("Check19", "adversarial_outcomes", add(event_type="gate.assurance.drift_decision")),
-    ("Check19", "drift_decisions", add(event_type="gate.assurance.adversarial_outcome")),
+    ("Check19", "adversarial_outcomes", add(event_type=DRIFT_EVENT)),
+    ("Check19", "drift_decisions", add(event_type=ADVERSARIAL_EVENT)),
 ]
 
 
@@ -202,3 +203,22 @@ def test_settings_are_validated(spark):
     for wrong in ({"tier": "root"}, {"environment": "qa"}, {"tenant_id": ""}):
         with pytest.raises(ValueError):
             Assessments.of(spark, [{**base, **wrong}])
+
+
+def test_right_tables_may_be_limited_to_the_tenant(changed, scope):
+    elsewhere = changed("policy_decisions", edit(tenant_id="other"))
+    loose = run_assessments(elsewhere, scope("bounded"), ["Check01", "Check12"])
+    assert {r.status for r in loose.collect()} == {"PASS"}
+    strict = run_assessments(elsewhere, scope("bounded"), ["Check01", "Check12"], True)
+    assert {r.status for r in strict.collect()} == {"FAIL"}
+
+
+def test_options_of_single_metrics(changed, scope):
+    from proofline.operators import metrics as m
+
+    who = scope("high_privilege")
+    cat = changed("drift_decisions", lambda rows: None)
+    assert m.enforced_responses(cat, who).first().enforced_responses == 1
+    assert m.enforced_responses(cat, who, only_detected=True).count() == 0
+    late = changed("c04_inventory", lambda rows: rows[:1])
+    assert m.unenrolled_agents(late, who, exact_hours=True).first().unenrolled_agents == 1
