@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 MAX_HOT = 1000
 TRACKED = 10_000
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 256
+MAX_SLICES = 4096
 # Key lists up to this many rows are broadcast, after counting them.
 KEY_LIST_ROWS = 200_000
 
@@ -81,10 +81,23 @@ def _table(df: DataFrame, heavy: Heavy, out: str) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows))
 
 
-def _spread(slices: Column) -> Column:
-    # The row number is fixed for a given input partition, so a task run again
-    # after a lost executor sends every row to the same slice.
-    return F.pmod(F.monotonically_increasing_id(), slices).cast("int")
+LEFT_ROW, RIGHT_ROW = "__lrow", "__rrow"
+
+
+def numbered(df: DataFrame, column: str = LEFT_ROW) -> DataFrame:
+    """Number the rows of a stored table, so that identical copies can be spread.
+
+    Only for tables read directly, perhaps filtered: the number follows the
+    order of rows in a partition, which is fixed there but not after a shuffle.
+    """
+    return df.withColumn(column, F.monotonically_increasing_id())
+
+
+def _spread(df: DataFrame, row: str, slices: Column) -> Column:
+    # By content, so a task run again after a lost executor sends every row to
+    # the same slice whatever order its input comes in.
+    columns = [row] if row in df.columns else df.columns
+    return F.pmod(F.xxhash64(*columns), slices).cast("int")
 
 
 def _every(slices: Column) -> Column:
@@ -104,7 +117,8 @@ def skew_join(
     Heavy keys not given are measured. For a computed left side, pass what was
     measured on the table its keys come from, so it is not computed twice; for
     a right side that has each key once, pass ``NOTHING``. The sides may share
-    no other column names.
+    no other column names. Where copies of a row may be many, pass sides that
+    are ``numbered``; the left number stays for later joins.
     """
     if how not in ("inner", "left", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -120,7 +134,7 @@ def skew_join(
     if how == "inner":
         left = left.dropna(subset=on)
     if not left_heavy and not right_heavy.slices:
-        return left.join(right, on, how)
+        return left.join(right, on, how).drop(RIGHT_ROW)
 
     hash_ = F.xxhash64(*on)
     hot_left = _table(left, left_heavy, "__ls")
@@ -128,8 +142,8 @@ def skew_join(
     r = right.dropna(subset=on).withColumn("__h", hash_).join(hot_left, "__h", "left")
     l = l.withColumn(
         "__i",
-        F.when(_any_null(on), _spread(F.lit(MAX_SLICES)))
-        .when(F.col("__ls").isNotNull(), _spread(F.col("__ls")))
+        F.when(_any_null(on), _spread(left, LEFT_ROW, F.lit(MAX_SLICES)))
+        .when(F.col("__ls").isNotNull(), _spread(left, LEFT_ROW, F.col("__ls")))
         .otherwise(0),
     )
     r = r.withColumn("__i", _every(F.col("__ls"))).drop("__ls")
@@ -148,7 +162,10 @@ def skew_join(
         r = (
             r.join(hot_right, on, "left")
             .withColumn(
-                "__j", F.when(F.col("__rs").isNotNull(), _spread(F.col("__rs"))).otherwise(0)
+                "__j",
+                F.when(
+                    F.col("__rs").isNotNull(), _spread(right, RIGHT_ROW, F.col("__rs"))
+                ).otherwise(0),
             )
             .drop("__rs")
         )
@@ -160,7 +177,7 @@ def skew_join(
     if right_heavy.slices and how == "left":
         # Copies of a row that met an empty slice of its heavy key are dropped.
         joined = joined.where(F.col("__found").isNotNull() | F.col("__rs").isNull())
-    return joined.select(*left.columns, *[c for c in right.columns if c not in on])
+    return joined.select(*left.columns, *[c for c in right.columns if c not in (*on, RIGHT_ROW)])
 
 
 def is_short(keys: DataFrame) -> bool:
@@ -187,11 +204,13 @@ def prefilter(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is in ``keys``: by broadcast if the list is short, else by shuffle."""
+    """Rows of a stored table whose key is in ``keys``: by broadcast if the list
+    is short, else by shuffle."""
     keys = keys.select(*on).dropna().distinct()
     if is_short(keys):
         return df.join(F.broadcast(keys), on, "left_semi")
-    return skew_join(df, keys, on, "inner", right_heavy=NOTHING)
+    matched = skew_join(numbered(df), keys, on, "inner", right_heavy=NOTHING)
+    return matched.select(*df.columns)
 
 
 def repeat_rows(df: DataFrame, times: str, chunk: int = 1_000_000) -> DataFrame:

@@ -10,9 +10,11 @@ from proofline.functions.exprs import ago, n_if, ts, whole_units
 from proofline.functions.quantiles import exact_quantiles
 from proofline.functions.skew import (
     NOTHING,
+    RIGHT_ROW,
     heavy_keys,
     is_short,
     prefilter,
+    numbered,
     repeat_rows,
     settled,
     skew_join,
@@ -43,10 +45,10 @@ def unmatched_requests(cat, as_of, days: int = 30, environment: str = "prod") ->
         .agg(n_if(F.col("decision_id").isNull()).alias("void"))
     )
     listed = (
-        skew_join(asked, answers, ["request_hash"], "left", right_heavy=NOTHING)
+        skew_join(numbered(asked), answers, ["request_hash"], "left", right_heavy=NOTHING)
         .withColumn("times", F.coalesce("void", F.lit(1).cast("bigint")))
         .where(F.col("times") > 0)
-        .drop("void")
+        .select(*asked.columns, "times")
     )
     return repeat_rows(listed, "times").orderBy(F.desc("request_time"))
 
@@ -90,20 +92,25 @@ def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
         ledger = prefilter(ledger, decisions_of_runs, decision)
     l_decision, l_logged = heavy_keys(ledger, decision, logged)
 
-    requests = of_runs(cat["tool_requests"], q_run).select(
+    requests = of_runs(numbered(cat["tool_requests"]), q_run).select(
+        "__lrow",
         F.col("time").alias("request_time"), "run_id", "trace_id", "agent_instance_id",
         "tool_name", "tool_category", "request_hash",
     )
-    decisions = of_runs(cat["policy_decisions"], p_run).select(
+    decisions = of_runs(numbered(cat["policy_decisions"]), p_run).select(
+        F.col("__lrow").alias(RIGHT_ROW),
         "run_id", "request_hash", "decision_id", "decision", "reason_codes", "policy_bundle_hash"
     )
-    responses = of_runs(cat["tool_responses"], r_run).select(
+    responses = of_runs(numbered(cat["tool_responses"]), r_run).select(
+        F.col("__lrow").alias(RIGHT_ROW),
         "run_id", "trace_id", "response_hash", F.col("status").alias("tool_status"), "snapshot_uri"
     )
-    steps = of_runs(cat["replay_steps"], z_run).select(
+    steps = of_runs(numbered(cat["replay_steps"]), z_run).select(
+        F.col("__lrow").alias(RIGHT_ROW),
         "run_id", "request_hash", F.col("step_index").alias("replay_step"), "step_type"
     )
-    traces = of_runs(semantic, s_run).select(
+    traces = of_runs(numbered(semantic), s_run).select(
+        F.col("__lrow").alias(RIGHT_ROW),
         "run_id",
         "ledger_event_id",
         F.col("intent").alias("semantic_intent"),
@@ -111,7 +118,7 @@ def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
     )
     out = skew_join(requests, decisions, hashed, "left", q_hashed, p_hashed)
     out = skew_join(out, responses, traced, "left", q_traced, r_traced)
-    out = skew_join(out, ledger.drop("run_id"), decision, "left", p_decision, l_decision)
+    out = skew_join(out, numbered(ledger.drop("run_id"), RIGHT_ROW), decision, "left", p_decision, l_decision)
     out = skew_join(out, steps, hashed, "left", q_hashed, z_hashed)
     out = skew_join(out, traces, logged, "left", l_logged, s_logged)
     return out.select(
@@ -174,7 +181,10 @@ def _approval_pairs(cat, as_of, days: int, environment: str) -> DataFrame:
     )
     decided = cat["policy_decisions"].select("decision_id", F.col("time").alias("asked_at"))
     decided = prefilter(decided, approvals, ["decision_id"])
-    return skew_join(approvals, decided, ["decision_id"], "left").withColumn(
+    pairs = skew_join(
+        numbered(approvals), numbered(decided, RIGHT_ROW), ["decision_id"], "left"
+    )
+    return pairs.withColumn(
         "seconds_to_approve", whole_units("SECOND", F.col("asked_at"), F.col("decision_time"))
     )
 
@@ -373,8 +383,12 @@ def baseline_currency(cat, as_of, max_age_days: int = 90) -> DataFrame:
     made = cat["baselines"].select("baseline_hash", "created_at", F.lit(True).alias("known"))
     age = whole_units("DAY", F.col("created_at"), ts(as_of))
     (shared,) = heavy_keys(current, ["baseline_hash"])
-    out = skew_join(agents, current, ["agent_instance_id"], "left")
-    out = skew_join(out, made, ["baseline_hash"], "left", shared).withColumn("baseline_age_days", age)
+    out = skew_join(
+        numbered(agents), numbered(current, RIGHT_ROW), ["agent_instance_id"], "left"
+    )
+    out = skew_join(
+        out, numbered(made, RIGHT_ROW), ["baseline_hash"], "left", shared
+    ).withColumn("baseline_age_days", age)
     return out.where(F.col("known").isNull() | (F.col("baseline_age_days") > max_age_days)).select(
         "agent_instance_id",
         "autonomy_tier",

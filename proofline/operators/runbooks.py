@@ -12,9 +12,11 @@ from proofline.functions.exprs import ago, micros, n_if, pct, to_datetime, ts, w
 from proofline.functions.running import running
 from proofline.functions.skew import (
     NOTHING,
+    RIGHT_ROW,
     heavy_keys,
     is_short,
     keep_matching,
+    numbered,
     prefilter,
     settled,
     skew_join,
@@ -362,7 +364,7 @@ def downstream_calls(cat, start, end, within_s: float = 3600) -> DataFrame:
     )
     gap = micros(F.col("time")) - micros(F.col("read_at"))
     hits = placed.where((F.col("kind") == 1) & (gap <= reach)).select("run_id", "time", "read_at")
-    return skew_join(calls, hits, ["run_id", "time"], "inner", right_heavy=NOTHING).select(
+    return skew_join(numbered(calls), hits, ["run_id", "time"], "inner", right_heavy=NOTHING).select(
         "run_id", "request_hash", "tool_name", F.col("time").alias("call_time"), "read_at"
     )
 
@@ -377,10 +379,12 @@ def abom_mismatch(cat) -> DataFrame:
     )
     made = cat["baselines"].select("baseline_hash", F.col("abom_hash").alias("baseline_abom_hash"))
     (shared,) = heavy_keys(current, ["baseline_hash"])
-    pairs = skew_join(agents, current, ["agent_instance_id"], "inner")
-    return skew_join(pairs, made, ["baseline_hash"], "inner", shared).where(
-        F.col("current_abom_hash") != F.col("baseline_abom_hash")
+    pairs = skew_join(
+        numbered(agents), numbered(current, RIGHT_ROW), ["agent_instance_id"], "inner"
     )
+    both = skew_join(pairs, numbered(made, RIGHT_ROW), ["baseline_hash"], "inner", shared)
+    differ = F.col("current_abom_hash") != F.col("baseline_abom_hash")
+    return both.where(differ).drop("__lrow")
 
 
 def retrieval_shift(cat, first: tuple, second: tuple) -> DataFrame:
