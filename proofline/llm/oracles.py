@@ -89,3 +89,35 @@ FROM ruled r LEFT JOIN said s
   ON r.ok AND r.bare = s.bare AND r.stem = s.stem AND r.kept = s.kept
 WHERE r.host IS NOT NULL
 """
+
+OP1 = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT item_id, least(13, len(w)) AS n,
+         unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2),
+                               lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS s
+  FROM b WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+spots AS (
+  SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, lens WHERE len(w) >= n),
+text AS (
+  SELECT s.r, s.n, s.i, array_to_string(w.w[s.i:s.i + s.n - 1], ' ') AS s FROM spots s JOIN w USING (r)),
+hit AS (SELECT t.r, t.n, t.i, win.item_id FROM text t JOIN win ON t.n = win.n AND t.s = win.s),
+words AS (
+  SELECT r, count(DISTINCT k) AS n_hit
+  FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
+items AS (
+  SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(len(items), 0) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""

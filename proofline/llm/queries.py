@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from proofline.llm import oracles
-from proofline.llm.common import table
+from proofline.llm.common import remainder_of_id, table
+from proofline.llm.decontaminate import contamination
 from proofline.llm.exact_dedup import mark_repeats
+from proofline.llm.language import learn_filters, predict_language
+from proofline.llm.quality import fit_rules, score_quality
 from proofline.llm.sharding import shard_plan
 from proofline.llm.url_filter import Rule, url_verdicts
 
@@ -21,10 +25,29 @@ URL_RULES = [
 ]
 
 
+def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("items")
+
+
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").where(remainder_of_id("doc_id", 5) != 0)
+    scored = score_quality(docs, fit_rules(docs, labels))
+    return scored.select("doc_id", (remainder_of_id("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_rendezvous_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shard_plan(table(spark, sf, "documents"), SHARDS)
 
 
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    filters = learn_filters(docs.where(remainder_of_id("doc_id", 3) != 1))
+    # Text is read, but not written on.
+    said = predict_language(docs.select("doc_id", "text"), filters)
+    return said.select("doc_id", (remainder_of_id("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return mark_repeats(table(spark, sf, "documents"))
 
@@ -34,12 +57,16 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_quality_rules": op2_quality_rules,
     "op3_rendezvous_shards": op3_rendezvous_shards,
+    "op7_language": op7_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
 SQL: dict[str, str] = {
+    "op1_decontamination": oracles.OP1,
     "op3_rendezvous_shards": oracles.OP3,
     "op9_exact_dedup": oracles.OP9,
     "op10_url_filter": oracles.OP10,
