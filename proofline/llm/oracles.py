@@ -121,3 +121,19 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM w LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP5 = f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS last,
+         row_number() OVER (PARTITION BY h, page_id) AS copy FROM p),
+f AS (SELECT *, page_id IS NOT DISTINCT FROM last AND copy = 1 AS first FROM g)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('{_BASE32}',
+         ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN NOT first THEN last END AS refers_to
+FROM f
+"""

@@ -15,6 +15,7 @@ from proofline.llm.language import learn_filters, predict_language
 from proofline.llm.quality import fit_rules, score_quality
 from proofline.llm.sharding import shard_plan
 from proofline.llm.url_filter import Rule, url_verdicts
+from proofline.llm.warc import archive_and_read
 
 SHARDS = 40
 URL_RULES = [
@@ -40,6 +41,10 @@ def op3_rendezvous_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shard_plan(table(spark, sf, "documents"), SHARDS)
 
 
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_and_read(table(spark, sf, "pages"))
+
+
 def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     filters = learn_filters(docs.where(remainder_of_id("doc_id", 3) != 1))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_rendezvous_shards": op3_rendezvous_shards,
+    "op5_warc": op5_warc,
     "op7_language": op7_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_decontamination": oracles.OP1,
     "op3_rendezvous_shards": oracles.OP3,
+    "op5_warc": oracles.OP5,
     "op9_exact_dedup": oracles.OP9,
     "op10_url_filter": oracles.OP10,
 }
