@@ -11,6 +11,7 @@ from proofline.llm import oracles
 from proofline.llm.common import remainder_of_id, table
 from proofline.llm.decontaminate import contamination
 from proofline.llm.exact_dedup import mark_repeats
+from proofline.llm.html_extract import extract_text, learn_extractor
 from proofline.llm.language import learn_filters, predict_language
 from proofline.llm.quality import fit_rules, score_quality
 from proofline.llm.sharding import shard_plan
@@ -45,6 +46,11 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     return archive_and_read(table(spark, sf, "pages"))
 
 
+def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return extract_text(pages.select("page_id", "url", "html"), learn_extractor(pages))
+
+
 def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     filters = learn_filters(docs.where(remainder_of_id("doc_id", 3) != 1))
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_rendezvous_shards": op3_rendezvous_shards,
     "op5_warc": op5_warc,
+    "op6_main_text": op6_main_text,
     "op7_language": op7_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
