@@ -25,43 +25,57 @@ MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
 CHUNK = 100_000
 
 
-def _cells(text: Column, bits: int) -> list[Column]:
-    h = F.xxhash64(text)
+def _cells(h: Column, bits: int) -> list[Column]:
     return [h.bitwiseAND(bits - 1), F.shiftrightunsigned(h, 32).bitwiseAND(bits - 1)]
 
 
-def repeat_filter(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
-    """One row ``words``: the bit table as an array of longs; and its size in bits.
+def _size(df: DataFrame, max_bits: int) -> int:
+    """Runs one job to count the rows, which for Parquet reads footers only."""
+    return min(max(MIN_BITS, 1 << (16 * max(df.count(), 1) - 1).bit_length()), max_bits)
 
-    Runs one job to count the rows, which for Parquet reads footers only.
-    """
-    rows = docs.count()
-    bits = min(max(MIN_BITS, 1 << (16 * max(rows, 1) - 1).bit_length()), max_bits)
-    text = F.coalesce(F.col(text), F.lit(""))
-    hits = docs.select(F.array(*_cells(text, bits)).alias("c")).select(
-        # Both cells of one text may be the same; then the row hits it once.
-        F.explode(F.array_distinct("c")).alias("cell")
-    )
-    set_bits = hits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+def _table(set_bits: DataFrame, bits: int) -> DataFrame:
+    """One row ``words``: the bit table of the cells in ``set_bits`` as an array of longs."""
     words = set_bits.groupBy(F.shiftright("cell", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")
     )
-    every = docs.sparkSession.range(bits // 64).select(F.col("id").alias("word"))
+    every = set_bits.sparkSession.range(bits // 64).select(F.col("id").alias("word"))
     dense = every.join(words, "word", "left").select(
         F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("w")
     )
-    return dense.agg(F.sort_array(F.collect_list("w"))["bits"].alias("words")), bits
+    return dense.agg(F.sort_array(F.collect_list("w"))["bits"].alias("words"))
 
 
-def possibly_repeated(text: Column, words: Column, bits: int) -> Column:
-    """Whether both cells of ``text`` are set in the table ``words``."""
+def _hits(df: DataFrame, h: Column, bits: int) -> DataFrame:
+    # Both cells of one hash may be the same; then the row hits it once.
+    return df.select(F.array(*_cells(h, bits)).alias("c")).select(F.explode(F.array_distinct("c")).alias("cell"))
+
+
+def key_filter(df: DataFrame, h: Column, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
+    """A Bloom filter of the hashes ``h`` of ``df``, as one row ``words``, and its size in bits."""
+    bits = _size(df, max_bits)
+    return _table(_hits(df, h, bits).distinct(), bits), bits
+
+
+def in_filter(h: Column, words: Column, bits: int) -> Column:
+    """Whether both cells of the hash are set."""
     one, two = (
-        F.getbit(F.get(words, F.shiftright(c, 6).cast("int")), c.bitwiseAND(63).cast("int"))
-        for c in _cells(F.coalesce(text, F.lit("")), bits)
+        F.getbit(F.get(words, F.shiftright(c, 6).cast("int")), c.bitwiseAND(63).cast("int")) for c in _cells(h, bits)
     )
     return (one == 1) & (two == 1)
 
 
+def repeat_filter(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
+    """As ``key_filter``, of the cells that two or more rows hit."""
+    bits = _size(docs, max_bits)
+    hits = _hits(docs, F.xxhash64(F.coalesce(F.col(text), F.lit(""))), bits)
+    return _table(hits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), bits), bits
+
+
+def possibly_repeated(text: Column, words: Column, bits: int) -> Column:
+    return in_filter(F.xxhash64(F.coalesce(text, F.lit(""))), words, bits)
+
+
 def _digest(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 

@@ -13,6 +13,7 @@ from proofline.llm.decontaminate import contamination
 from proofline.llm.exact_dedup import mark_repeats
 from proofline.llm.html_extract import extract_text, learn_extractor
 from proofline.llm.language import learn_filters, predict_language
+from proofline.llm.near_dedup import mark_near_copies
 from proofline.llm.quality import fit_rules, score_quality
 from proofline.llm.sharding import shard_plan
 from proofline.llm.url_filter import Rule, url_verdicts
@@ -59,6 +60,10 @@ def op7_language(spark: SparkSession, sf: str) -> DataFrame:
     return said.select("doc_id", (remainder_of_id("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return mark_near_copies(table(spark, sf, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return mark_repeats(table(spark, sf, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_main_text": op6_main_text,
     "op7_language": op7_language,
+    "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
 }
