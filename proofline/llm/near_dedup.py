@@ -335,8 +335,8 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **
     words, bits = key_filter(marks, F.xxhash64("sha"))
     maybe = in_filter(F.xxhash64(sha), words.scalar(), bits)
     packed = docs.where(maybe).select(F.struct("*").alias("row"), F.col(id).alias("id"), sha.alias("sha"))
-    mark = marks.select(F.col("id").alias("mid"), "sha", "kept")
-    found = packed.join(mark, (F.col("id").eqNullSafe(F.col("mid"))) & (packed["sha"] == mark["sha"]), "left").drop(mark["sha"])
+    mark = marks.select(F.col("id").alias("mark_id"), F.col("sha").alias("mark_sha"), "kept")
+    found = packed.join(mark, F.expr("id <=> mark_id and sha = mark_sha"), "left")
     others = found.where("kept is null").select("row.*")
     best = found.where("kept").groupBy("id", "sha").agg(F.max("row").alias("row")).select("row.*")
     return docs.where(~maybe).unionByName(others).unionByName(best)

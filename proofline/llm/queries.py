@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from proofline.llm import oracles
-from proofline.llm.common import remainder_of_id, table
+from proofline.llm.common import PIECE_MODEL, remainder_of_id, table
 from proofline.llm.decontaminate import contamination
 from proofline.llm.exact_dedup import mark_repeats
 from proofline.llm.html_extract import extract_text, learn_extractor
 from proofline.llm.language import learn_filters, predict_language
 from proofline.llm.near_dedup import mark_near_copies
+from proofline.llm.pieces import PieceModel, decode, encode
 from proofline.llm.quality import fit_rules, score_quality
 from proofline.llm.sharding import shard_plan
 from proofline.llm.url_filter import Rule, url_verdicts
@@ -43,6 +45,17 @@ def op3_rendezvous_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shard_plan(table(spark, sf, "documents"), SHARDS)
 
 
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    model = PieceModel(PIECE_MODEL)
+    both = decode(encode(table(spark, sf, "documents").select("doc_id", "text"), model), model)
+    return both.select(
+        "doc_id",
+        F.size("pieces").cast("bigint").alias("n_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("same_text"),
+    )
+
+
 def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     return archive_and_read(table(spark, sf, "pages"))
 
@@ -76,12 +89,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_rendezvous_shards": op3_rendezvous_shards,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_warc": op5_warc,
     "op6_main_text": op6_main_text,
     "op7_language": op7_language,
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
@@ -90,4 +105,4 @@ SQL: dict[str, str] = {
     "op5_warc": oracles.OP5,
     "op9_exact_dedup": oracles.OP9,
     "op10_url_filter": oracles.OP10,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
