@@ -104,7 +104,7 @@ class _Archive:
         dictionary = build_dictionary(samples)
         packed = dictionary.as_bytes()
         self.path, self.records = path, 0
-        self.out = fs.open_output_stream(path)
+        self.out = fs.open_output_stream(path, compression=None)
         self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
         self.bytes = 8 + len(packed)
         self.zstd = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
@@ -256,7 +256,7 @@ def read_archives(manifest: DataFrame, folder: str, payload: bool = True) -> Dat
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, size = [], 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for row in _pages_of(stream):
                         if row["kind"] == "revisit" or not payload:
                             row["payload"] = None
