@@ -19,7 +19,8 @@ def bucket_of(value: Column, width: Column | int) -> Column:
     """The bucket of a whole number, in exact arithmetic."""
     width = width if isinstance(width, Column) else F.lit(width)
     width = width.cast("bigint")
-    return ((value - F.pmod(value, width)) / width).cast("bigint")
+    value = value.cast("bigint")
+    return F.call_function("div", value - F.pmod(value, width), width)
 
 
 def time_bucket(col: Column, width_us: Column | int) -> Column:

@@ -26,7 +26,12 @@ QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
 def _since(df: DataFrame, environment: str, as_of, **delta) -> DataFrame:
-    return df.where((F.col("environment") == environment) & (F.col("time") >= ago(as_of, **delta)))
+    """Rows of the environment in the window that ends before ``as_of``."""
+    return df.where(
+        (F.col("environment") == environment)
+        & (F.col("time") >= ago(as_of, **delta))
+        & (F.col("time") < ts(as_of))
+    )
 
 
 def unmatched_requests(cat, as_of, days: int = 30, environment: str = "prod") -> DataFrame:
@@ -430,7 +435,9 @@ def event_type_distinction(cat, as_of, days: int = 30, environment: str = "prod"
 
     Crossover ignores environment and window. One pass over each table.
     """
-    recent = (F.col("environment") == environment) & (F.col("time") >= ago(as_of, days=days))
+    recent = (F.col("environment") == environment) & (F.col("time") >= ago(as_of, days=days)) & (
+        F.col("time") < ts(as_of)
+    )
     drift = cat["drift_decisions"].select(
         recent.alias("in_drift"), F.lit(False).alias("in_adversarial"),
         (F.col("event_type") == vocab.ADVERSARIAL_EVENT).alias("crossed"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from proofline.functions import vocab
@@ -37,7 +37,7 @@ def bundle_onset(cat, as_of, hours: int = 2, n: int = 5, environment: str = "pro
     """The newest policy bundles by first use."""
     return (
         _env(cat["policy_decisions"], environment)
-        .where(F.col("time") >= ago(as_of, hours=hours))
+        .where((F.col("time") >= ago(as_of, hours=hours)) & (F.col("time") < ts(as_of)))
         .groupBy("policy_bundle_hash")
         .agg(F.min("time").alias("first_seen"), F.count(F.lit(1)).alias("decisions"))
         .orderBy(F.desc("first_seen"))
@@ -50,7 +50,7 @@ def locate_runs(cat, as_of, hours: int = 24, n: int = 20, environment: str = "pr
     return (
         _env(cat["tool_requests"], environment)
         .where(
-            (F.col("time") >= ago(as_of, hours=hours))
+            (F.col("time") >= ago(as_of, hours=hours)) & (F.col("time") < ts(as_of))
             & (
                 F.col("tool_category").isin(*vocab.HIGH_IMPACT)
                 | (F.col("decision") == "invariant_halt")
@@ -80,7 +80,8 @@ def active_runs(cat, as_of, prefix: str, hours: int = 1, environment: str = "pro
     """Runs of agents whose identity starts with ``prefix``, seen lately."""
     return (
         _env(cat["tool_requests"], environment)
-        .where(F.col("agent_instance_id").startswith(prefix) & (F.col("time") > ago(as_of, hours=hours)))
+        .where(F.col("agent_instance_id").startswith(prefix) & (F.col("time") > ago(as_of, hours=hours))
+               & (F.col("time") < ts(as_of)))
         .groupBy("run_id")
         .agg(F.min("time").alias("run_start"), F.max("time").alias("last_activity"))
     )
@@ -199,40 +200,40 @@ def replay_success(compared: DataFrame, min_pct: float = 95) -> DataFrame:
     ).withColumn("met", F.col("success_rate_pct") >= min_pct)
 
 
-def containment(cat, slo_s: float = 5, horizon_s: float = 3600) -> DataFrame:
+def containment(cat, slo_s: float = 5, horizon_s: float | None = None) -> DataFrame:
     """Per trigger, seconds to the agent's last side-effecting call that follows.
 
-    A call belongs to the latest trigger at or before it, and counts within
-    the horizon. No such call means contained at once.
+    A call belongs to the latest trigger of its agent, in its tenant and
+    environment, at or before it; ``horizon_s`` bounds how long after it counts.
+    No such call means contained at once.
     """
-    side = F.lit(1)
-    keys = ["agent_instance_id"]
+    keys = ["tenant_id", "environment", "agent_instance_id"]
     triggers = (
         cat["breaker_events"]
         .where((F.col("event_type") == vocab.BREAKER_TRIGGER) & F.col("time").isNotNull())
         .select(*keys, "time")
         .distinct()
     )
-    calls = (
-        cat["tool_requests"]
-        .where(
-            F.col("tool_category").isin(*SIDE_EFFECTS) & ~F.col("decision").eqNullSafe(F.lit("deny"))
-        )
-        .select(*keys, "time")
-        .distinct()
+    calls = cat["tool_requests"].where(
+        F.col("tool_category").isin(*SIDE_EFFECTS) & ~F.col("decision").eqNullSafe(F.lit("deny"))
+    )
+    # Calls at one moment are counted before anything is ordered.
+    calls = prefilter(calls, triggers, keys).groupBy(*keys, "time").agg(F.count(F.lit(1)).alias("n"))
+    both = triggers.withColumns({"kind": F.lit(0), "n": F.lit(0).cast("bigint")}).unionByName(
+        calls.withColumn("kind", F.lit(1))
     )
-    calls = prefilter(calls, triggers, keys)
-    both = triggers.withColumn("kind", F.lit(0)).unionByName(calls.withColumn("kind", side))
     placed = running(
         both, keys, "time", F.when(F.col("kind") == 0, F.col("time")), "max", "triggered_at", "kind"
     )
     after = (micros(F.col("time")) - micros(F.col("triggered_at"))) / 1_000_000
-    late = (F.col("kind") == 1) & (after <= horizon_s)
+    late = F.col("kind") == 1
+    if horizon_s is not None:
+        late = late & (after <= horizon_s)
     return (
         placed.where(F.col("triggered_at").isNotNull())
         .groupBy(*keys, "triggered_at")
         .agg(
-            n_if(late).alias("calls_after"),
+            F.coalesce(F.sum(F.when(late, F.col("n"))), F.lit(0)).alias("calls_after"),
             F.max(F.when(late, F.col("time"))).alias("last_call_at"),
             F.coalesce(F.max(F.when(late, after)), F.lit(0.0)).alias("containment_seconds"),
         )
@@ -485,35 +486,63 @@ def envelope_audit(cat, as_of=None) -> DataFrame:
     )
 
 
+# How evidence names an agent where it has no agent column.
+_SENDER = {
+    "agent_messages": "sender_id",
+    "discovery_events": "workload_identity",
+    "remediation_outcomes": "workload_identity",
+}
+
+
+def agent_evidence(cat, agent: str) -> dict[str, DataFrame]:
+    """An agent's rows of every evidence table that can be told to be about it.
+
+    By agent, sender or workload; where a table has none of these, by the runs of
+    the agent's requests.
+    """
+    asked = cat["tool_requests"].where(F.col("agent_instance_id") == agent)
+    runs = settled(asked.select("run_id").dropna().distinct())
+    found = {}
+    for t in sorted(cat):
+        rows = cat[t]
+        name = "agent_instance_id" if "agent_instance_id" in rows.columns else _SENDER.get(t)
+        if name in rows.columns:
+            found[t] = rows.where(F.col(name) == agent)
+        elif "run_id" in rows.columns:
+            found[t] = keep_matching(rows, runs, ["run_id"])
+    return found
+
+
 def archive_agent(cat, agent: str, path: str) -> DataFrame:
-    """Copy an agent's rows of every table that names agents; returns rows per table.
+    """Copy an agent's evidence, a folder per table; returns rows per table.
 
-    Each written table is counted again and compared with its source.
+    Rows are counted as they are written, and compared with what is read back.
     """
     out = None
-    for table in sorted(cat):
-        rows = cat[table]
-        if "agent_instance_id" not in rows.columns:
-            continue
-        mine = rows.where(F.col("agent_instance_id") == agent)
-        mine.write.mode("errorifexists").parquet(f"{path}/{table}")
-        n = mine.agg(F.count(F.lit(1)).alias("n"))
-        written = cat.spark.read.parquet(f"{path}/{table}").agg(
+    for table, mine in agent_evidence(cat, agent).items():
+        seen = Observation(f"archive-{table}")
+        counted = mine.observe(seen, F.count(F.lit(1)).alias("n"))
+        counted.write.mode("errorifexists").parquet(f"{path}/{table}")
+        checked = cat.spark.read.parquet(f"{path}/{table}").agg(
             F.lit(table).alias("kind"), F.count(F.lit(1)).alias("n_rows")
-        )
-        checked = written.withColumn("intact", F.col("n_rows") == n.scalar())
+        ).withColumn("intact", F.col("n_rows") == seen.get["n"])
         out = checked if out is None else out.unionByName(checked)
     return out
 
 
+def archive_rows(cat, agent: str) -> DataFrame:
+    """What an archive of the agent holds: kind and the row as JSON, one per row."""
+    out = None
+    for table, mine in agent_evidence(cat, agent).items():
+        rows = mine.select(F.lit(table).alias("kind"), F.to_json(F.struct(*sorted(mine.columns))).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def archive_counts(cat, agent: str) -> DataFrame:
-    """What an archive of the agent would hold."""
+    """How many rows of each table an archive of the agent would hold."""
     out = None
-    for table in sorted(cat):
-        rows = cat[table]
-        if "agent_instance_id" in rows.columns:
-            n = rows.where(F.col("agent_instance_id") == agent).agg(
-                F.lit(table).alias("kind"), F.count(F.lit(1)).alias("n_rows")
-            )
-            out = n if out is None else out.unionByName(n)
+    for table, mine in agent_evidence(cat, agent).items():
+        n = mine.agg(F.lit(table).alias("kind"), F.count(F.lit(1)).alias("n_rows"))
+        out = n if out is None else out.unionByName(n)
     return out

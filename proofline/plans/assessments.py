@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.functions import vocab
-from proofline.functions.exprs import to_datetime
+from proofline.functions.exprs import as_utc, to_datetime
 
 # Above this many assessments the table is joined by shuffle instead.
 BROADCAST_ROWS = 100_000
@@ -31,12 +31,13 @@ class Assessments:
         frame: DataFrame,
         count: int | None = None,
         earliest: str | None = None,
+        latest: str | None = None,
         tenants: set[str] | None = None,
     ):
         has = frame.columns
         days = F.col("window_days").cast("int") if "window_days" in has else F.lit(None)
         days = F.coalesce(days, F.lit(vocab.DEFAULT_WINDOW_DAYS))
-        as_of = F.col("as_of").cast("timestamp_ntz")
+        as_of = as_utc(F.col("as_of"), frame.schema["as_of"].dataType.simpleString())
         self.frame = frame.select(
             self.KEY, "tenant_id", "environment", "tier",
             as_of.alias("as_of"),
@@ -50,13 +51,21 @@ class Assessments:
             ],
         )
         if count is None:
+            odd = ~F.col("tier").isin(*vocab.TIERS) | ~F.col("environment").isin(*vocab.ENVIRONMENTS)
             facts = self.frame.agg(
-                F.count(F.lit(1)).alias("n"), F.min("since").cast("string").alias("since")
+                F.count(F.lit(1)).alias("n"), F.countDistinct(self.KEY).alias("ids"),
+                F.count_if(F.coalesce(odd, F.lit(True))).alias("odd"),
+                F.min("since").cast("string").alias("since"),
+                F.max("as_of").cast("string").alias("as_of"),
             ).first()
-            count, earliest = facts["n"], facts["since"]
+            if facts["ids"] != facts["n"]:
+                raise ValueError("assessment ids must be unique and not null")
+            if facts["odd"]:
+                raise ValueError(f"{facts['odd']} assessments with an unknown tier or environment")
+            count, earliest, latest = facts["n"], facts["since"], facts["as_of"]
         self.count = count
-        # A literal every scan can push down; each row keeps its own bound.
-        self.earliest = earliest
+        # Literals every scan can push down; each row keeps its own bounds.
+        self.earliest, self.latest = earliest, latest
         # A few tenants are named to the scan as well, for pruning.
         self._tenants = sorted(tenants) if tenants and len(tenants) <= NAMED_TENANTS else None
         self._sides: dict[tuple[str, ...], DataFrame] = {}
@@ -75,6 +84,9 @@ class Assessments:
                 raise ValueError(
                     f"environment must be one of {vocab.ENVIRONMENTS}, not {row['environment']!r}"
                 )
+            unknown = set(row.get("thresholds") or {}) - set(vocab.DEFAULT_THRESHOLDS)
+            if unknown:
+                raise ValueError(f"unknown thresholds {sorted(unknown)}")
             table.append(
                 {
                     "assessment_id": str(row.get("assessment_id", f"a{i}")),
@@ -86,10 +98,12 @@ class Assessments:
                     **{
                         k: float(v)
                         for k, v in (row.get("thresholds") or {}).items()
-                        if k in vocab.DEFAULT_THRESHOLDS
                     },
                 }
             )
+        ids = [row["assessment_id"] for row in table]
+        if len(set(ids)) < len(ids):
+            raise ValueError("assessment ids must be unique")
         names = list(dict.fromkeys(k for row in table for k in row))
         columns = {n: [row.get(n) for row in table] for n in names}
         earliest = min(
@@ -100,6 +114,7 @@ class Assessments:
             spark.createDataFrame(pa.table(columns)),
             len(table),
             earliest and earliest.isoformat(sep=" "),
+            max((r["as_of"] for r in table), default=None),
             {r["tenant_id"] for r in table},
         )
 
@@ -115,17 +130,21 @@ class Assessments:
         return F.broadcast(self.frame) if self.count <= BROADCAST_ROWS else self.frame
 
     def scope(self, table: DataFrame, *carry: str) -> DataFrame:
-        """Rows of an evidence table inside some assessment's tenant, environment and window.
+        """Rows of an evidence table inside some assessment's tenant, environment and
+        window, which ends before its ``as_of``.
 
         A row falling under several assessments appears once for each.
         """
+        bound = [c for c in ("as_of",) if c not in carry]
         recent = table.where(f"time >= timestamp_ntz '{self.earliest}'") if self.earliest else table
+        if self.latest:
+            recent = recent.where(f"time < timestamp_ntz '{self.latest}'")
         if self._tenants:
             recent = recent.where(F.col("tenant_id").isin(self._tenants))
         return (
-            recent.join(self.side("since", *carry), ["tenant_id", "environment"])
-            .where("time >= since")
-            .drop("since")
+            recent.join(self.side("since", *bound, *carry), ["tenant_id", "environment"])
+            .where("time >= since and time < as_of")
+            .drop("since", *bound)
         )
 
     def scope_registry(self, table: DataFrame, *carry: str) -> DataFrame:

@@ -217,7 +217,7 @@ CHECKS: tuple[Check, ...] = (
         shaped=("unknown_policy_bundles",),
     ),
     Check(
-        "Check14", "HITL", "PARTIAL", TOP, "Human approvals are signed and honoured",
+        "Check14", "HITL", "PARTIAL", TOP, "Calls that needed a human decision have a signed one",
         {
             "count_hitl_required": "approvals_needed",
             "count_hitl_signed_present": "approvals_signed",
@@ -246,7 +246,7 @@ CHECKS: tuple[Check, ...] = (
         counts={"agent_messages": ("rejects", "spoofed_rejects", "nonce_rejects")},
     ),
     Check(
-        "Check16", "C17", "PARTIAL", ALL, "Unenrolled workloads are found and dealt with",
+        "Check16", "C17", "PARTIAL", ALL, "No discovered workload is past its time without an outcome",
         {
             "count_discovery_events": "discoveries",
             "count_unknown_classifier_hashes": "unknown_classifiers",
@@ -266,7 +266,7 @@ CHECKS: tuple[Check, ...] = (
         shaped=("unknown_classifiers", "unenrolled_agents"),
     ),
     Check(
-        "Check17", "C18", "PARTIAL", ALL, "Retrieved memory passes a quality gate",
+        "Check17", "C18", "PARTIAL", ALL, "Memory reads carry a quality decision",
         {
             "count_memory_reads": "memory_reads",
             "count_memory_reads_with_quality_decision": "memory_reads_gated",
@@ -288,7 +288,7 @@ CHECKS: tuple[Check, ...] = (
         error="if(bad_matrices > 0, 'action matrix tier is not an object', null)",
     ),
     Check(
-        "Check18", "C19", "PARTIAL", RAISED, "Behaviour is baselined and watched for drift",
+        "Check18", "C19", "PARTIAL", RAISED, "Baselines are recent and drift decisions regular",
         {
             "count_agents_without_active_signed_baseline_or_stale": "stale_baselines",
             "count_cadence_gaps_exceeding_threshold": "cadence_gaps",
@@ -335,53 +335,52 @@ CHECKS: tuple[Check, ...] = (
 
 BY_ID = {c.check_id: c for c in CHECKS}
 
-# check, tiers, step, artefact, reason
-MANUAL_STEPS: tuple[tuple[str, tuple[str, ...], str, str, str], ...] = (
-    ("Check02", ALL, "Review network routes from agents to tool backends",
-     "Route or firewall export and a refused direct connection attempt",
-     "Logs show only the calls that were recorded"),
-    ("Check02", ALL, "Review permissions agents hold on tool backends",
-     "Permission listing without backend grants", "A direct grant would sidestep the gateway"),
-    ("Check02", ALL, "Search agent code for direct tool clients",
-     "Search log with no hits", "Code may avoid the gateway without leaving evidence"),
-    ("Check06", ALL, "Replay a recorded high-impact run from fixtures",
-     "Replay output with equal hashes per step", "A complete trace need not reproduce"),
-    ("Check06", ALL, "Report the replay success rate over the window",
-     "Rate and corpus it was measured on", "One replay proves little"),
-    ("Check07", ALL, "Hold a containment drill",
-     "Drill times from trigger to last side effect", "Production rarely trips a breaker"),
-    ("Check07", ALL, "Confirm that a stop cuts network access",
-     "Denied calls after the stop", "Cached credentials may outlive a stop"),
-    ("Check11", ALL, "Plant a poisoned document outside production",
-     "Record of its quarantine and of refused reads", "Real traffic does not test detection"),
-    ("Check11", ALL, "Confirm that quarantine alerts reach someone",
-     "Alert delivery record", "A silent quarantine is not acted on"),
-    ("Check14", ALL, "Verify approval signatures against their key",
-     "Verifier output for a sample", "A signature may be present and false"),
-    ("Check14", ALL, "Match approvers with the authorised roster",
-     "Roster and exceptions", "The wrong person may sign correctly"),
-    ("Check15", ALL, "Send a message with a forged sender",
-     "Rejection event", "Attack traffic is not available on demand"),
-    ("Check15", ALL, "Send a message twice with one nonce",
-     "Rejection of the second", "Protection counts only when it fires"),
-    ("Check16", ALL, "Hold a termination drill",
-     "Times and proof from identity, gateway and network layers",
-     "Terminations are rare in production"),
-    ("Check16", TOP, "Show that untagged assets are terminated by default",
-     "Policy export with dated exceptions", "Open-ended exceptions accumulate"),
-    ("Check17", ALL, "Verify the quality bundle's signature",
-     "Signer, computed hash and recorded hash", "The registry holds only a copy"),
-    ("Check17", ALL, "Show that quality flags reach the prompt",
-     "Prompt export and a trace that uses the flag", "A dropped flag changes nothing"),
-    ("Check18", ALL, "Verify the baseline's signature",
-     "Signer, computed hash and recorded hash", "A hash does not show approval"),
-    ("Check18", ALL, "Submit the log of baseline renewals",
-     "Approver and reason for each", "Quiet renewals hide drift"),
-    ("Check19", ALL, "Submit separate runbooks for drift and for attack",
-     "Two documents with their own history", "Tables do not show how people respond"),
-    ("Check19", ALL, "Submit the review record of both runbooks",
-     "Reviewer and date for each", "A runbook may predate the split"),
-)
+# Per check, what its counts leave open: tiers, the limit of the counts, what settles
+# it, and the proof. A run may bring its own table instead.
+OPEN_QUESTIONS: dict[str, tuple[tuple[tuple[str, ...], str, str, str], ...]] = {
+    "Check02": (
+        (ALL, "A call that never reached the log is not counted",
+         "Try each backend from an agent's host without the gateway", "Transcript of refused attempts, with dates"),
+    ),
+    "Check06": (
+        (ALL, "Equal numbers of steps do not make equal outcomes",
+         "Run stored traces again and compare with replay_compare", "Its rows for a stated sample of runs"),
+    ),
+    "Check07": (
+        (ALL, "Few triggers say little about the next one",
+         "Trip a breaker on purpose and measure with containment", "Its rows for the exercise"),
+    ),
+    "Check11": (
+        (ALL, "No quarantined item was read, but perhaps none was bad",
+         "Insert a known bad item in a test tenant", "Quarantine row of the item and the reads refused after it"),
+    ),
+    "Check14": (
+        (ALL, "An approval row names an approver, it does not prove one",
+         "Check signatures and approvers of a sample of rows", "Sample with signer and role of each row"),
+    ),
+    "Check15": (
+        (ALL, "A flag that never fired may not work",
+         "Send a forged and a repeated message in a test tenant", "The rows that record both refusals"),
+    ),
+    "Check16": (
+        (RAISED, "Outcomes say that a workload was stopped, not by what",
+         "Enrol a test workload, let its time run out, and watch it", "Its outcome row and the platform's own record"),
+        (TOP, "Exceptions are counted, not judged",
+         "Review every open exception", "List of exceptions with owner and end"),
+    ),
+    "Check17": (
+        (ALL, "The decision table holds a hash, not the rules that ran",
+         "Recompute the hash from the deployed rules", "Both hashes and who signed"),
+    ),
+    "Check18": (
+        (ALL, "A recent baseline may have been renewed unseen",
+         "Account for each renewal in the window", "Renewals with who approved them and why"),
+    ),
+    "Check19": (
+        (ALL, "Separate tables do not make separate responses",
+         "Show how one event of each kind was handled", "Two tickets, each with the procedure followed"),
+    ),
+}
 
 
 def chosen(check_ids=None) -> list[Check]:

@@ -12,7 +12,8 @@ HIGH = "('financial', 'irreversible_write', 'infrastructure')"
 def _in(table: str, alias: str = "x") -> str:
     return (
         f"assess a JOIN {table} {alias} ON {alias}.tenant_id = a.tenant_id "
-        f"AND {alias}.environment = a.environment AND {alias}.time >= a.since"
+        f"AND {alias}.environment = a.environment AND {alias}.time >= a.since "
+        f"AND {alias}.time < a.as_of"
     )
 
 
@@ -381,7 +382,7 @@ FROM assess a JOIN ({STATUS_SQL}) s USING (assessment_id)"""
 
 
 def _recent(alias: str, interval: str) -> str:
-    return f"{alias}.environment = 'prod' AND {alias}.time >= {NOW} - INTERVAL {interval}"
+    return f"{alias}.environment = 'prod' AND {alias}.time >= {NOW} - INTERVAL {interval} AND {alias}.time < {NOW}"
 
 
 CORRELATE_SQL = {
@@ -545,23 +546,38 @@ FROM (SELECT coalesce(r.run_id, y.run_id) AS run_id,
 GROUP BY 1"""
 
 _CONTAIN = """
-SELECT b.agent_instance_id, b.time AS triggered_at,
-  count(DISTINCT c.time) AS calls_after, max(c.time) AS last_call_at,
+SELECT b.tenant_id, b.environment, b.agent_instance_id, b.time AS triggered_at,
+  count(c.time) AS calls_after, max(c.time) AS last_call_at,
   coalesce(max(CAST(date_diff('microsecond', b.time, c.time) AS DOUBLE) / 1000000), 0)
     AS containment_seconds,
   coalesce(max(CAST(date_diff('microsecond', b.time, c.time) AS DOUBLE) / 1000000), 0) <= 5
     AS met_slo
-FROM (SELECT agent_instance_id, time, lead(time) OVER (
-      PARTITION BY agent_instance_id ORDER BY time) AS next_time
-    FROM (SELECT DISTINCT agent_instance_id, time FROM breaker_events
-      WHERE event_type = 'breaker.trigger') t) b
+FROM (SELECT *, lead(time) OVER (
+      PARTITION BY tenant_id, environment, agent_instance_id ORDER BY time) AS next_time
+    FROM (SELECT DISTINCT tenant_id, environment, agent_instance_id, time FROM breaker_events
+      WHERE event_type = 'breaker.trigger' AND agent_instance_id IS NOT NULL) t) b
 LEFT JOIN tool_requests c ON c.agent_instance_id = b.agent_instance_id AND c.time >= b.time
-  AND c.time <= b.time + INTERVAL '3600' SECOND
+  AND c.tenant_id = b.tenant_id AND c.environment = b.environment
   AND (b.next_time IS NULL OR c.time < b.next_time)
   AND c.tool_category IN
     ('reversible_write', 'financial', 'irreversible_write', 'infrastructure')
-  AND c.decision <> 'deny'
-GROUP BY 1, 2"""
+  AND c.decision IS DISTINCT FROM 'deny'
+GROUP BY 1, 2, 3, 4"""
+
+_OF_AGENT = f"= '{AGENT}'"
+_RUN_TABLES = (
+    "hitl_decisions", "ledger_events", "memory_responses", "policy_decisions", "replay_steps",
+    "replay_traces", "semantic_traces", "tool_responses",
+)
+_AGENT_ROWS = (
+    {t: f"agent_instance_id {_OF_AGENT}" for t in _AGENT_TABLES}
+    | {"agent_messages": f"sender_id {_OF_AGENT}"}
+    | {t: f"workload_identity {_OF_AGENT}" for t in ("discovery_events", "remediation_outcomes")}
+    | {
+        t: f"run_id IN (SELECT run_id FROM tool_requests WHERE agent_instance_id {_OF_AGENT})"
+        for t in _RUN_TABLES
+    }
+)
 
 RUNBOOK_SQL = {
     "d01_bundle_onset": f"""
@@ -580,7 +596,7 @@ WHERE environment = 'prod' AND list_contains(reason_codes, 'HITL_REQUIRED') AND
     "d04_active_runs": f"""
 SELECT run_id, min(time) AS run_start, max(time) AS last_activity FROM tool_requests
 WHERE agent_instance_id LIKE 'agent-1%' AND environment = 'prod'
-  AND time > {NOW} - INTERVAL '24' HOUR GROUP BY 1""",
+  AND time > {NOW} - INTERVAL '24' HOUR AND time < {NOW} GROUP BY 1""",
     "d05_last_good_bundle": f"""
 SELECT tenant_id, environment,
   arg_max(policy_bundle_hash, (time, policy_bundle_hash)) AS policy_bundle_hash,
@@ -692,8 +708,12 @@ FROM (SELECT *, row_number() OVER (
   FROM agent_messages) m
 GROUP BY 1, 2""",
     "d18_archive_counts": "\nUNION ALL ".join(
-        f"SELECT '{t}' AS kind, count(*) AS n_rows FROM {t} WHERE agent_instance_id = '{AGENT}'"
-        for t in _AGENT_TABLES
+        f"SELECT '{t}' AS kind, count(*) AS n_rows FROM {t} WHERE {by}" for t, by in _AGENT_ROWS.items()
+    ),
+    "d18_archive_runs": "\nUNION ALL ".join(
+        f"SELECT '{t}' AS kind, run_id, count(*) AS n_rows FROM {t} WHERE {by} GROUP BY run_id"
+        for t, by in _AGENT_ROWS.items()
+        if t in _RUN_TABLES or t == "tool_requests"
     ),
 }
 
@@ -711,31 +731,36 @@ FROM tool_requests x
 WHERE NOT EXISTS (SELECT 1 FROM policy_decisions p WHERE p.request_hash = x.request_hash
     AND p.time >= x.time - INTERVAL '10' MINUTE AND p.time <= x.time + INTERVAL '10' MINUTE)
   AND (x.request_hash IS NULL OR x.time + INTERVAL '10' MINUTE < {_BOTH})""",
+    # By the batch definition: the row before is found by lag over the whole chain.
     "s02_ledger_faults": f"""
+WITH seqs AS (SELECT tenant_id, environment, sink_uri, sequence_number,
+    lag(sequence_number) OVER (PARTITION BY tenant_id, environment, sink_uri
+      ORDER BY sequence_number) AS before
+  FROM (SELECT DISTINCT tenant_id, environment, sink_uri, sequence_number FROM ledger_events) d)
 SELECT * FROM (
   SELECT x.tenant_id, x.environment, x.sink_uri, x.sequence_number, x.time AS row_time,
-    CASE WHEN p.sequence_number IS NULL THEN
-        CASE WHEN x.prev_event_hash IS DISTINCT FROM 'GENESIS'
-          AND x.time + INTERVAL '1' HOUR < (SELECT max(time) - {_LAG} FROM ledger_events)
-          THEN 'SEQUENCE_GAP' END
-      WHEN x.prev_event_hash <> p.event_hash THEN 'HASH_CHAIN_BREAK' END AS fault
-  FROM ledger_events x LEFT JOIN ledger_events p
-    ON p.tenant_id = x.tenant_id AND p.environment = x.environment AND p.sink_uri = x.sink_uri
-    AND p.sequence_number + 1 = x.sequence_number
-    AND p.time >= x.time - INTERVAL '1' HOUR AND p.time <= x.time + INTERVAL '1' HOUR) f
+    CASE WHEN s.before + 1 < x.sequence_number THEN 'SEQUENCE_GAP'
+      WHEN s.before IS NOT NULL AND x.prev_event_hash <> 'GENESIS' AND NOT EXISTS (
+        SELECT 1 FROM ledger_events p WHERE p.tenant_id = x.tenant_id
+          AND p.environment = x.environment AND p.sink_uri = x.sink_uri
+          AND p.sequence_number = s.before AND p.event_hash = x.prev_event_hash)
+      THEN 'HASH_CHAIN_BREAK' END AS fault
+  FROM ledger_events x JOIN seqs s ON s.tenant_id = x.tenant_id
+    AND s.environment = x.environment AND s.sink_uri = x.sink_uri
+    AND s.sequence_number = x.sequence_number
+  WHERE x.time + INTERVAL '1' HOUR < (SELECT max(time) - {_LAG} FROM ledger_events)) f
 WHERE fault IS NOT NULL""",
     "s03_ttl_alerts": f"""
-WITH due AS (SELECT x.event_id, x.candidate_hash, x.time AS seen_at, r.rung,
-    x.time + r.share * CASE WHEN get_json_object(x.candidate_payload, '$.access')
-      IN ('financial', 'infrastructure') THEN 24 ELSE 72 END * INTERVAL '60' MINUTE AS alert_at
-  FROM discovery_events x,
-    (VALUES ('alert', 0.5), ('escalate', 0.75), ('terminate', 1.0)) r(rung, share)),
-mark AS (SELECT least((SELECT max(alert_at) FROM due), greatest(
-    (SELECT max(time) FROM discovery_events), (SELECT max(time) FROM remediation_outcomes)))
-    - {_LAG} AS at)
-SELECT d.event_id, d.candidate_hash, d.rung, d.alert_at FROM due d, mark
+WITH {_CAND.strip()},
+due AS (SELECT c.*, r.rung, c.first_seen + r.share * CASE WHEN high_access THEN 24 ELSE 72 END
+    * INTERVAL '60' MINUTE AS alert_at
+  FROM cand c, (VALUES ('alert', 0.5), ('escalate', 0.75), ('terminate', 1.0)) r(rung, share)),
+mark AS (SELECT greatest((SELECT max(time) FROM discovery_events WHERE candidate_hash IS NOT NULL),
+    (SELECT max(time) FROM remediation_outcomes WHERE candidate_hash IS NOT NULL)) - {_LAG} AS at)
+SELECT d.tenant_id, d.environment, d.candidate_hash, d.rung, d.alert_at FROM due d, mark
 WHERE d.alert_at < mark.at AND NOT EXISTS (SELECT 1 FROM remediation_outcomes o
-    WHERE o.candidate_hash = d.candidate_hash AND o.time >= d.seen_at AND o.time <= d.alert_at)""",
+    WHERE o.tenant_id = d.tenant_id AND o.environment = d.environment
+      AND o.candidate_hash = d.candidate_hash AND o.time <= d.alert_at)""",
     "s04_quality_timeline": f"""
 SELECT time_bucket(INTERVAL '1' HOUR, time) AS slot_start, count(*) AS reads,
   count(*) - count(quality_decision_id) AS unevaluated,
@@ -764,12 +789,16 @@ HAVING (sum(cost_usd) > 5 OR count(*) > 100
     OR count(*) FILTER (WHERE tool_category IN {HIGH}) > 5)
   AND w + INTERVAL '24' HOUR <= {_ASKED}""",
     "s07_nonce_replays": f"""
-SELECT time_bucket(INTERVAL '1' DAY, time) AS slot_start, tenant_id, environment, sender_id, nonce,
+SELECT tenant_id, environment, sender_id, nonce, min(time) AS first_use, max(time) AS last_use,
   count(*) AS uses
-FROM agent_messages WHERE nonce IS NOT NULL AND sender_id IS NOT NULL
-GROUP BY 1, 2, 3, 4, 5
-HAVING count(*) > 1 AND time_bucket(INTERVAL '1' DAY, time) + INTERVAL '1' DAY
-  <= (SELECT max(time) - {_LAG} FROM agent_messages)""",
+FROM (SELECT *, sum(CASE WHEN before IS NULL OR time > before + INTERVAL '24' HOUR THEN 1 ELSE 0
+      END) OVER (PARTITION BY tenant_id, environment, sender_id, nonce ORDER BY time
+      ROWS UNBOUNDED PRECEDING) AS session_no
+  FROM (SELECT *, lag(time) OVER (PARTITION BY tenant_id, environment, sender_id, nonce
+      ORDER BY time) AS before FROM agent_messages
+    WHERE nonce IS NOT NULL AND sender_id IS NOT NULL) l) n
+GROUP BY 1, 2, 3, 4, session_no
+HAVING count(*) > 1 AND max(time) + INTERVAL '24' HOUR < (SELECT max(time) - {_LAG} FROM agent_messages)""",
 }
 
 
@@ -779,6 +808,8 @@ def all_sql() -> dict[str, str]:
     texts["r01_metric_rollup"] = ROLLUP_SQL
     texts["r02_status_counts"] = STATUS_SQL
     texts["r05_report"] = REPORT_SQL
+    texts["r05_report_checks"] = f"SELECT check_id, assessment_id, status FROM ({VERDICT_SQL}) v"
+    texts["r05_report_metrics"] = ROLLUP_SQL
     texts["e04_risk_distribution_exact"] = CORRELATE_SQL["e04_risk_distribution"]
     texts |= CORRELATE_SQL | RUNBOOK_SQL | STREAM_SQL
     return {name: duckdb(sql) for name, sql in texts.items()}

@@ -40,15 +40,38 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     return run_assessments(derived_catalog(spark, sf), assessments(spark))
 
 
-def _report(spark: SparkSession, sf: str) -> DataFrame:
+def _whole_report(spark: SparkSession, sf: str) -> DataFrame:
     who = assessments(spark)
-    report = build_report(run_assessments(derived_catalog(spark, sf), who), who, AS_OF)
-    return report.select(
+    return build_report(run_assessments(derived_catalog(spark, sf), who), who, AS_OF)
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole_report(spark, sf).select(
         "assessment_id", "tenant_id", "environment", "autonomy_tier", "run_failed",
         "summary.overall_status", F.size("checks").alias("n_checks"),
     )
 
 
+def _report_checks(spark: SparkSession, sf: str) -> DataFrame:
+    checks = _whole_report(spark, sf).select("assessment_id", F.explode("checks").alias("c"))
+    return checks.select("c.check_id", "assessment_id", "c.status")
+
+
+def _report_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole_report(spark, sf).select(
+        "assessment_id", F.explode("metrics").alias("metric", "value")
+    )
+
+
+def _archive_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """What the archive holds, per table and run."""
+    rows = d.archive_rows(derived_catalog(spark, sf), AGENT)
+    runs = rows.select("kind", F.get_json_object("row", "$.run_id").alias("run_id"))
+    return runs.where("run_id is not null").groupBy("kind", "run_id").agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+
+
 def _on(operator, *args, **kwargs) -> Query:
     return lambda spark, sf: operator(derived_catalog(spark, sf), *args, **kwargs)
 
@@ -93,6 +116,8 @@ def batch_queries() -> dict[str, Query]:
     q["r01_metric_rollup"] = lambda s, sf: metric_rollup(_results(s, sf))
     q["r02_status_counts"] = lambda s, sf: status_counts(_results(s, sf))
     q["r05_report"] = _report
+    q["r05_report_checks"] = _report_checks
+    q["r05_report_metrics"] = _report_metrics
     q |= {
         "e01_unmatched_requests": _on(c.unmatched_requests, AS_OF),
         "e02_evidence_chain": _all_runs(c.evidence_chain),
@@ -133,6 +158,7 @@ def batch_queries() -> dict[str, Query]:
         "d16_chain_links": _traced_runs(d.chain_links),
         "d17_envelope_audit": _on(d.envelope_audit),
         "d18_archive_counts": _on(d.archive_counts, AGENT),
+        "d18_archive_runs": _archive_runs,
     }
     return q
 
@@ -147,7 +173,12 @@ def stream_queries() -> dict[str, Query]:
         "s01_undecided_requests": _streamed(
             jobs.undecided_requests, "tool_requests", "policy_decisions"
         ),
-        "s02_ledger_faults": _streamed(jobs.ledger_faults, "ledger_events", "ledger_events"),
+        "s02_ledger_faults": lambda spark, sf: jobs.drain(
+            jobs.ledger_faults(
+                *[derived_stream(spark, sf, "ledger_events") for _ in range(2)],
+                derived_frame(spark, sf, "ledger_events"),
+            )
+        ),
         "s03_ttl_alerts": _streamed(
             jobs.ttl_alerts, "discovery_events", "remediation_outcomes"
         ),

@@ -107,7 +107,18 @@ def build_report(
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:
-    """Store reports as JSON or Parquet, one directory per tenant."""
+    """Store reports as JSON or Parquet, one directory per tenant.
+
+    Only the directories of the tenants in ``report`` are replaced.
+    """
     if fmt not in ("json", "parquet"):
         raise ValueError(f"format must be json or parquet, not {fmt!r}")
-    report.write.mode("overwrite").partitionBy("tenant_id").format(fmt).save(path)
+    # Partition columns are not in the files, so a copy names the directory.
+    (
+        report.withColumn("tenant", F.col("tenant_id"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("tenant")
+        .format(fmt)
+        .save(path)
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from proofline.plans.checks import Check
 from proofline.sources.catalog import EvidenceCatalog, MissingTable
 
 KEY = Assessments.KEY
+log = logging.getLogger(__name__)
 
 
 class Parts:
@@ -130,24 +132,21 @@ def check_catalog(spark: SparkSession) -> DataFrame:
 
 
 def manual_steps(spark: SparkSession) -> DataFrame:
-    """Manual evidence owed per check and tier, in order."""
-    steps: dict[tuple[str, str], list[dict[str, str]]] = {}
-    for check_id, tiers, step, artefact, reason in specs.MANUAL_STEPS:
-        for tier in tiers:
-            # The lowest tier may pass this check on the data alone.
-            if (check_id, tier) != ("Check16", "sandbox"):
-                steps.setdefault((check_id, tier), []).append(
-                    {"step": step, "expected_artifact": artefact, "rationale": reason}
-                )
-    return spark.createDataFrame(
-        pa.table(
-            {
-                "check_id": [c for c, _ in steps],
-                "tier": [t for _, t in steps],
-                "manual_steps": list(steps.values()),
-            }
-        )
-    )
+    """Proof owed per check and tier, in order: what a count cannot show."""
+    rows = [
+        {"check_id": c.check_id, "tier": tier, "step": step, "expected_artifact": proof, "rationale": limit}
+        for c in specs.CHECKS
+        for tiers, limit, step, proof in specs.OPEN_QUESTIONS.get(c.check_id, ())
+        for tier in tiers
+    ]
+    schema = "check_id string, tier string, step string, expected_artifact string, rationale string"
+    return step_lists(spark.createDataFrame([tuple(r.values()) for r in rows], schema))
+
+
+def step_lists(steps: DataFrame) -> DataFrame:
+    """A table of steps (check_id, tier, step, expected_artifact, rationale), listed per check and tier."""
+    step = F.struct("step", "expected_artifact", "rationale")
+    return steps.groupBy("check_id", "tier").agg(F.sort_array(F.collect_list(step)).alias("manual_steps"))
 
 
 def _outcome(check: Check, failure: str | None) -> str:
@@ -165,19 +164,33 @@ def _outcome(check: Check, failure: str | None) -> str:
     )
 
 
-def _judge(rows: DataFrame, checks: list[Check], failures: dict[str, str | None]) -> DataFrame:
-    """Result rows: tier gate, error rows, catalog columns and manual steps."""
+# Notes on ordinary results; a finding names the counts behind a FAIL or PARTIAL.
+_NOTES = (
+    "case status "
+    "when 'PASS' then concat('Nothing counted against the control in ', window_days, ' days.') "
+    "when 'FAIL' then concat('The counts contradict the control; ', cardinality(metrics), ' metrics were taken.') "
+    "when 'PARTIAL' then concat('Nothing counted against the control; proofs still owed: ', "
+    "coalesce(cardinality(manual_steps), 0), '.') end"
+)
+
+
+def _judge(
+    rows: DataFrame, checks: list[Check], failures: dict[str, str | None],
+    steps: DataFrame | None = None,
+) -> DataFrame:
+    """Result rows: tier gate, error rows, catalog columns, manual steps and notes."""
     spark = rows.sparkSession
     outcomes = ", ".join(_outcome(c, failures[c.check_id]) for c in checks)
-    found = rows.selectExpr(KEY, "tenant_id", "environment", "tier", f"inline(array({outcomes}))")
-    # Both tables are fixed and small: one row per check, and per check and tier.
+    found = rows.selectExpr(KEY, "tenant_id", "environment", "tier", "window_days", f"inline(array({outcomes}))")
+    # Both tables are small: one row per check, and per check and tier.
+    lists = manual_steps(spark) if steps is None else step_lists(steps)
     status = (
         f"case when not array_contains(tiers, tier) then '{SKIP}' "
         f"when failure is not null then '{ERROR}' else found end"
     )
     return (
         found.join(F.broadcast(check_catalog(spark)), "check_id")
-        .join(F.broadcast(manual_steps(spark)), ["check_id", "tier"], "left")
+        .join(F.broadcast(lists), ["check_id", "tier"], "left")
         .withColumn("status", F.expr(status))
         .selectExpr(
             KEY, "tenant_id", "environment", "check_id", "status", "classification", "title",
@@ -187,7 +200,8 @@ def _judge(rows: DataFrame, checks: list[Check], failures: dict[str, str | None]
             f"if(status in ('{SKIP}', '{ERROR}'), null, finding) as automated_finding",
             f"if(status = '{ERROR}', failure, null) as error",
             f"if(status = '{SKIP}', concat('Not applicable at this tier; applies to ', "
-            "array_join(tiers, ', '), '.'), null) as notes",
+            f"array_join(tiers, ', '), '.'), {_NOTES}) as notes",
+            "cast(null as array<string>) as evidence_refs",
         )
     )
 
@@ -197,8 +211,12 @@ def run_assessments(
     assessments: Assessments,
     check_ids: Iterable[str] | None = None,
     scope_right: bool = False,
+    steps: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per assessment and check: status, metrics, findings.
+    """One row per assessment and check: status, metrics, findings, notes.
+
+    ``steps`` replaces the built-in list of proofs owed: check_id, tier, step,
+    expected_artifact, rationale.
 
     ``scope_right`` also limits the tables requests, reads, runs and responses
     are matched with to the tenant and environment.
@@ -210,7 +228,7 @@ def run_assessments(
     parts = Parts(cat, assessments, scope_right)
     failures = parts.failures(wanted)
     wide = parts.wide([c for c in wanted if failures[c.check_id] is None])
-    return _judge(wide, wanted, failures)
+    return _judge(wide, wanted, failures, steps)
 
 
 def write_results(
@@ -219,25 +237,36 @@ def write_results(
     assessments: Assessments,
     path: str,
     check_ids: Iterable[str] | None = None,
+    scope_right: bool = False,
+    steps: DataFrame | None = None,
 ) -> DataFrame:
     """Run and store the results; returns them read back.
 
-    If the joint job fails while running, each check is run by itself, and only
-    those that fail again become ERROR rows.
+    An error before the job runs, such as a bad path, is raised. If the joint
+    job fails while running, that is logged and each check is run by itself;
+    those that fail again become ERROR rows, and if all do, the first error is raised.
     """
     wanted = [c.check_id for c in specs.chosen(check_ids)]
+    results = run_assessments(cat, assessments, wanted, scope_right, steps)
     try:
-        run_assessments(cat, assessments, wanted).write.mode("overwrite").parquet(path)
+        results.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
-    except PySparkException:
-        pass
+    except AnalysisException:
+        raise
+    except PySparkException as exc:
+        first = exc
+        log.warning("the joint run failed, running checks one by one: %s", str(exc).splitlines()[0])
+    failed = 0
     for i, check_id in enumerate(wanted):
         mode = "overwrite" if i == 0 else "append"
         try:
-            run_assessments(cat, assessments, [check_id]).write.mode(mode).parquet(path)
+            one = run_assessments(cat, assessments, [check_id], scope_right, steps)
+            one.write.mode(mode).parquet(path)
         except PySparkException as exc:
+            failed += 1
             message = f"{type(exc).__name__}: {str(exc).splitlines()[0]}"
-            check = specs.BY_ID[check_id]
-            failed = _judge(assessments.frame, [check], {check_id: message})
-            failed.write.mode(mode).parquet(path)
+            rows = _judge(assessments.frame, [specs.BY_ID[check_id]], {check_id: message}, steps)
+            rows.write.mode(mode).parquet(path)
+    if failed == len(wanted):
+        raise first
     return spark.read.parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proofline.functions.exprs import as_utc
 from proofline.sources.schemas import TABLES
 
 
@@ -43,13 +44,18 @@ def normalise(df: DataFrame, table: str) -> DataFrame:
 
     Columns the store lacks stay absent, so an operator that needs one fails
     at analysis and its check becomes an ERROR row. Columns already of the
-    right type are passed on untouched, so filters still reach the scan.
+    right type are passed on untouched, so filters still reach the scan. Times
+    become zone-less UTC: instants and text with an offset are converted.
     """
     kept = []
     for name, dtype, paths in TABLES[table]:
         source = _find(df, name, paths)
         if source is not None:
-            kept.append(source.cast(dtype.lower()).alias(name))
+            if dtype.lower() == "timestamp_ntz":
+                stored = df.select(source.alias("c")).schema["c"].dataType.simpleString()
+                kept.append(as_utc(source, stored).alias(name))
+            else:
+                kept.append(source.cast(dtype.lower()).alias(name))
     return df.select(*kept)
 
 

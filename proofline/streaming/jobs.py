@@ -1,8 +1,8 @@
 """Streaming forms of checks that matter while events arrive.
 
-All are built-in stateful operators in append mode, so state is kept per key
-and window and rows are combined before the shuffle where an aggregate allows
-it. Rows later than the watermark go uncounted; the batch operators over the
+All but one are built-in stateful operators in append mode, so state is kept per
+key and window and rows are combined before the shuffle where an aggregate
+allows it. Rows later than the watermark go uncounted; the batch operators over the
 stored tables are the authority.
 """
 
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from proofline.functions import vocab
 from proofline.functions.exprs import micros, n_if, pct, ts
@@ -34,35 +36,26 @@ def _plain(instant: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(instant), ts("1970-01-01 00:00:00"))
 
 
-# Slots a join key is spread over, as one key may hold a large share of a stream.
-SLOTS = 8
-
-
-def _slot(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).cast("int")
-
-
-def _each_slot() -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
-
-
 def undecided_requests(
     requests: DataFrame, decisions: DataFrame, within: str = "10 minutes",
-    delay: str = "10 minutes",
+    delay: str = "10 minutes", slots: int = 1,
 ) -> DataFrame:
     """Requests that got no decision within ``within``, either way in time.
 
-    Requests without a hash can match nothing and are reported at once.
+    Requests without a hash can match nothing and are reported at once. If one
+    hash holds a large share of the requests, ``slots`` spreads its requests,
+    and every decision is then copied that often.
     """
     asked = _clocked(requests, delay).select(
         "tenant_id", "environment", "request_hash", F.col("time").alias("request_time"),
-        _slot("trace_id", "run_id", "time").alias("slot"),
+        F.pmod(F.xxhash64("trace_id", "run_id", "time"), F.lit(slots)).cast("int").alias("slot"),
     )
+    copies = F.explode(F.sequence(F.lit(0), F.lit(slots - 1))) if slots > 1 else F.lit(0)
     decided = (
         _clocked(decisions, delay)
         .where(F.col("decision_id").isNotNull() & F.col("request_hash").isNotNull())
         .select(F.col("request_hash").alias("decided_hash"), F.col("time").alias("decided_at"),
-                _each_slot().alias("decided_slot"))
+                copies.alias("decided_slot"))
     )
     span = F.expr(f"INTERVAL {within}")
     same = (F.col("request_hash") == F.col("decided_hash")) & (
@@ -81,98 +74,128 @@ def undecided_requests(
     return missing.withColumn("request_time", _plain(F.col("request_time"))).drop("slot")
 
 
+CHAIN = ("tenant_id", "environment", "sink_uri")
+
+
 def ledger_faults(
-    ledger: DataFrame, again: DataFrame, within: str = "1 hour", delay: str = "10 minutes"
+    ledger: DataFrame, again: DataFrame, stored: DataFrame, within: str = "1 hour",
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """Ledger rows whose predecessor by sequence number is absent or has another hash.
-
-    The stream is joined with itself (``again``) on (chain, sequence - 1), so a
-    long chain is spread over all tasks and arrival order does not matter. The
-    predecessor must be within ``within`` of the row.
+    """Ledger rows that do not continue their chain.
+
+    A break: the row before by sequence number is there, but none with the hash
+    the row names (GENESIS names none). A gap: the chain has earlier rows, but
+    not the one before.
+
+    The stream is joined with itself (``again``) on (chain, sequence - 1, hash),
+    so arrival order does not matter and a long chain is spread over all tasks.
+    What finds no predecessor within ``within`` is settled against ``stored``,
+    the ledger as a table, so the age of a predecessor makes no fault. For rows
+    that come in while the stream runs, ``stored`` must be a table whose new
+    rows each micro-batch sees.
     """
-    chain = ("tenant_id", "environment", "sink_uri")
     rows = _clocked(ledger, delay).select(
-        *chain, "sequence_number", "prev_event_hash", F.col("time").alias("row_time")
+        *CHAIN, "sequence_number", "prev_event_hash", F.col("time").alias("row_time")
     )
     prior = _clocked(again, delay).select(
-        *[F.col(c).alias(f"p_{c}") for c in chain],
+        *[F.col(c).alias(f"p_{c}") for c in CHAIN],
         (F.col("sequence_number") + 1).alias("p_next"),
         F.col("event_hash").alias("p_hash"),
         F.col("time").alias("p_time"),
     )
     span = F.expr(f"INTERVAL {within}")
-    same = (F.col("sequence_number") == F.col("p_next")) & (
-        (F.col("p_time") >= F.col("row_time") - span)
+    same = (
+        (F.col("sequence_number") == F.col("p_next"))
+        & (F.col("prev_event_hash") == F.col("p_hash"))
+        & (F.col("p_time") >= F.col("row_time") - span)
         & (F.col("p_time") <= F.col("row_time") + span)
     )
-    for c in chain:
+    for c in CHAIN:
         same = same & (F.col(c) == F.col(f"p_{c}"))
-    genesis = F.coalesce(F.col("prev_event_hash") == "GENESIS", F.lit(False))
-    fault = F.when(F.col("p_next").isNull(), F.when(~genesis, "SEQUENCE_GAP")).when(
-        F.col("prev_event_hash") != F.col("p_hash"), "HASH_CHAIN_BREAK"
+    unsettled = rows.join(prior, same, "left").where("p_next is null").select(*rows.columns)
+
+    there = stored.dropna(subset=[*CHAIN, "sequence_number"])
+    hashes = there.select(
+        *CHAIN, (F.col("sequence_number") + 1).alias("sequence_number"),
+        F.col("event_hash").alias("prev_event_hash"),
+    ).distinct()
+    before = hashes.select(*CHAIN, "sequence_number").distinct().withColumn("has_before", F.lit(True))
+    starts = there.groupBy(*CHAIN).agg(F.min("sequence_number").alias("starts_at"))
+    left = (
+        unsettled.join(hashes, [*CHAIN, "sequence_number", "prev_event_hash"], "left_anti")
+        .join(before, [*CHAIN, "sequence_number"], "left")
+        .join(starts, [*CHAIN], "left")
     )
+    fault = F.when(
+        F.col("has_before"),
+        F.when(F.col("prev_event_hash") != "GENESIS", "HASH_CHAIN_BREAK"),
+    ).when(F.col("sequence_number") > F.col("starts_at"), "SEQUENCE_GAP")
     return (
-        rows.join(prior, same, "left")
-        .withColumn("fault", fault)
+        left.withColumn("fault", fault)
         .where(F.col("fault").isNotNull())
-        .select(*chain, "sequence_number", _plain(F.col("row_time")).alias("row_time"), "fault")
+        .select(*CHAIN, "sequence_number", _plain(F.col("row_time")).alias("row_time"), "fault")
     )
 
 
 # Alert name and share of the time a candidate has.
 RUNGS = (("alert", 0.5), ("escalate", 0.75), ("terminate", 1.0))
+_CANDIDATE = ["tenant_id", "environment", "candidate_hash"]
 
 
 def ttl_alerts(
-    discoveries: DataFrame, outcomes: DataFrame, ttl_h: int = 72, high_ttl_h: int = 24,
+    discoveries: DataFrame, outcomes: DataFrame, ttl_h: float = 72, high_ttl_h: float = 24,
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """An alert per discovery and rung reached before any outcome.
+    """One alert per candidate and rung reached before any outcome.
 
-    The alert time is the event time of the left side: once the watermark has
-    passed it and no outcome from the discovery up to then has come, the outer
-    join emits the alert.
+    A candidate is a tenant's, in an environment, and its time runs from its first
+    discovery. Spark has no built-in operator with a timer per key, so this is
+    a state per candidate: first discovery, first outcome, the time it has and
+    the rungs reported. Once the watermark has passed a rung and no outcome has
+    come up to then, the timer reports it.
     """
     access = F.get_json_object("candidate_payload", "$.access")
     high = F.coalesce(access.isin("financial", "infrastructure"), F.lit(False))
-    hours = F.when(high, float(high_ttl_h)).otherwise(float(ttl_h))
-    rungs = F.array(
-        *[F.struct(F.lit(n).alias("rung"), F.lit(s).alias("share")) for n, s in RUNGS]
-    )
-    due = (
-        discoveries.where(F.col("candidate_hash").isNotNull())
-        .withColumn("r", F.explode(rungs))
-        .select(
-            "event_id", "candidate_hash", _instant(F.col("time")).alias("seen_at"), "r.rung",
-            _instant(
-                F.col("time") + F.make_dt_interval(secs=hours * F.col("r.share") * 3600)
-            ).alias("alert_at"),
-            _slot("event_id").alias("slot"),
-        )
-        .withWatermark("alert_at", delay)
-    )
-    # Discoveries keep the clock running when outcomes are rare.
-    clock = outcomes.select("candidate_hash", "time").unionByName(
-        discoveries.select(F.lit(None).cast("string").alias("candidate_hash"), "time")
-    )
-    done = _clocked(clock, delay).select(
-        F.col("candidate_hash").alias("done_hash"), F.col("time").alias("done_at"),
-        _each_slot().alias("done_slot"),
-    )
-    # Bounds the state kept; an hour more than the longest time, as adding days
-    # to an instant follows the session zone's clock changes.
-    longest = F.expr(f"INTERVAL {max(ttl_h, high_ttl_h) + 1} HOURS")
-    resolved = (
-        (F.col("candidate_hash") == F.col("done_hash"))
-        & (F.col("slot") == F.col("done_slot"))
-        & (F.col("done_at") >= F.col("seen_at"))
-        & (F.col("done_at") >= F.col("alert_at") - longest)
-        & (F.col("done_at") <= F.col("alert_at"))
-    )
-    return (
-        due.join(done, resolved, "left")
-        .where(F.col("done_hash").isNull())
-        .select("event_id", "candidate_hash", "rung", _plain(F.col("alert_at")).alias("alert_at"))
+    seen = discoveries.select(*_CANDIDATE, "time", high.alias("high"), F.lit(False).alias("done"))
+    done = outcomes.select(*_CANDIDATE, "time", F.lit(False).alias("high"), F.lit(True).alias("done"))
+    events = _clocked(seen.unionByName(done), delay).where(F.col("time").isNotNull())
+    events = events.dropna(subset=_CANDIDATE).withColumn("us", F.unix_micros("time"))
+
+    def advance(key, frames, state):
+        first, resolved, risky, fired = state.get if state.exists else (None, None, False, 0)
+        if not state.hasTimedOut:
+            for frame in frames:
+                found, over = frame[~frame["done"]], frame[frame["done"]]
+                if len(found):
+                    first = min(int(found["us"].min()), first if first is not None else 2**62)
+                    risky = risky or bool(found["high"].any())
+                if len(over):
+                    resolved = min(int(over["us"].min()), resolved if resolved is not None else 2**62)
+        mark_us = state.getCurrentWatermarkMs() * 1000
+        rows, next_us = [], None
+        if first is not None:
+            hours = high_ttl_h if risky else ttl_h
+            while fired < len(RUNGS):
+                due = first + int(hours * RUNGS[fired][1] * 3_600_000_000)
+                if resolved is not None and resolved <= due:
+                    break
+                if due >= mark_us:
+                    next_us = due
+                    break
+                rows.append((*key, RUNGS[fired][0], pd.Timestamp(due, unit="us")))
+                fired += 1
+        state.update((first, resolved, risky, fired))
+        if next_us is not None:
+            state.setTimeoutTimestamp(max(next_us // 1000, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=[*_CANDIDATE, "rung", "alert_at"])
+
+    return events.select(*_CANDIDATE, "time", "us", "high", "done").groupBy(*_CANDIDATE).applyInPandasWithState(
+        advance,
+        "tenant_id string, environment string, candidate_hash string, rung string, alert_at timestamp_ntz",
+        "first bigint, resolved bigint, risky boolean, fired int",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -242,18 +265,25 @@ def spend_anomalies(
 
 
 def nonce_replays(
-    messages: DataFrame, retention: str = "1 day", delay: str = "10 minutes"
+    messages: DataFrame, retention_hours: int = 24, delay: str = "10 minutes"
 ) -> DataFrame:
-    """Nonces a sender used more than once within a retention slot."""
+    """Nonces a sender used again within ``retention_hours`` of a use.
+
+    Uses no further apart than that form a session, wherever the day begins; a
+    session with two uses or more is a replay.
+    """
+    gap = f"{retention_hours * 3600} seconds 1 microseconds"
     return (
         _clocked(messages, delay)
         .where(F.col("nonce").isNotNull() & F.col("sender_id").isNotNull())
-        .groupBy(F.window("time", retention).alias("w"), "tenant_id", "environment",
+        .groupBy(F.session_window("time", gap).alias("w"), "tenant_id", "environment",
                  "sender_id", "nonce")
-        .agg(F.count(F.lit(1)).alias("uses"))
+        .agg(F.min("time").alias("first_use"), F.max("time").alias("last_use"),
+             F.count(F.lit(1)).alias("uses"))
         .where(F.col("uses") > 1)
-        .select(_plain(F.col("w.start")).alias("slot_start"), "tenant_id", "environment", "sender_id",
-                "nonce", "uses")
+        .select("tenant_id", "environment", "sender_id", "nonce",
+                _plain(F.col("first_use")).alias("first_use"),
+                _plain(F.col("last_use")).alias("last_use"), "uses")
     )
 
 
