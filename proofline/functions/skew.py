@@ -43,6 +43,11 @@ class Heavy(NamedTuple):
 NOTHING = Heavy({}, False)
 
 
+def with_nulls(heavy: Heavy) -> Heavy:
+    """For keys that come from the right of an earlier left join: null keys may be many."""
+    return heavy._replace(nulls=True)
+
+
 def _any_null(on: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
 

@@ -18,8 +18,9 @@ from proofline.functions.skew import (
     repeat_rows,
     settled,
     skew_join,
+    with_nulls,
 )
-from proofline.operators.ledger import BUCKET, integrity_rows, linked
+from proofline.operators.ledger import integrity_rows, linked
 from proofline.operators.metrics import spans
 
 QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -121,11 +122,15 @@ def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
         F.col("intent").alias("semantic_intent"),
         F.col("audit_ref").alias("semantic_audit_ref"),
     )
+    # Both joins on the request hash first, so its rows are shuffled once for them.
     out = skew_join(requests, decisions, hashed, "left", q_hashed, p_hashed)
-    out = skew_join(out, responses, traced, "left", q_traced, r_traced)
-    out = skew_join(out, numbered(ledger.drop("run_id"), RIGHT_ROW), decision, "left", p_decision, l_decision)
     out = skew_join(out, steps, hashed, "left", q_hashed, z_hashed)
-    out = skew_join(out, traces, logged, "left", l_logged, s_logged)
+    out = skew_join(out, responses, traced, "left", q_traced, r_traced)
+    # Keys from the right of a left join are null wherever nothing matched.
+    out = skew_join(
+        out, numbered(ledger.drop("run_id"), RIGHT_ROW), decision, "left", with_nulls(p_decision), l_decision
+    )
+    out = skew_join(out, traces, logged, "left", with_nulls(l_logged), s_logged)
     return out.select(
         "request_time", "agent_instance_id", "tool_name", "tool_category", "request_hash",
         "decision_id", "decision", "reason_codes", "policy_bundle_hash", "response_hash",
@@ -134,14 +139,14 @@ def evidence_chain(cat, run_ids: DataFrame) -> DataFrame:
     ).orderBy("request_time", "replay_step")
 
 
-def ledger_integrity(cat, bucket: int = BUCKET, environment: str = "prod") -> DataFrame:
+def ledger_integrity(cat, environment: str = "prod") -> DataFrame:
     """Ledger rows with a torn link or a sequence gap, in sequence order."""
     rows = (
         cat["ledger_events"]
         .where(F.col("environment") == environment)
         .select("tenant_id", "ledger_event_id", "sequence_number", "event_hash", "prev_event_hash")
     )
-    return integrity_rows(linked(rows, ["tenant_id"], bucket)).orderBy("sequence_number")
+    return integrity_rows(linked(rows, ["tenant_id"])).orderBy("sequence_number")
 
 
 def risk_distribution(
@@ -392,7 +397,7 @@ def baseline_currency(cat, as_of, max_age_days: int = 90) -> DataFrame:
         numbered(agents), numbered(current, RIGHT_ROW), ["agent_instance_id"], "left"
     )
     out = skew_join(
-        out, numbered(made, RIGHT_ROW), ["baseline_hash"], "left", shared
+        out, numbered(made, RIGHT_ROW), ["baseline_hash"], "left", with_nulls(shared)
     ).withColumn("baseline_age_days", age)
     return out.where(F.col("known").isNull() | (F.col("baseline_age_days") > max_age_days)).select(
         "agent_instance_id",

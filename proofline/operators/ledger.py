@@ -1,76 +1,59 @@
-"""Hash-chain verification with chains split into sequence buckets."""
+"""Hash-chain verification over ranges of the ledger that Spark cuts evenly."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.running import bucket_of
-from proofline.functions.skew import heavy_keys, repeat_rows
+from proofline.functions.skew import heavy_keys, repeat_rows, settled
 
-BUCKET = 65_536
+# Copies of one row beyond this are counted together before the rows are placed.
+COPIES = 100_000
 
 
-def linked(ledger: DataFrame, chain: list[str], bucket: int = BUCKET) -> DataFrame:
+def linked(ledger: DataFrame, chain: list[str], copies: int = COPIES) -> DataFrame:
     """Ledger rows with their predecessor in the chain.
 
     Adds ``copies`` (how many identical rows the row stands for), ``before_hash``
-    and ``before_seq``. The order is sequence number, then event hash, then the
-    remaining columns, so equal sequence numbers have a fixed order.
+    and ``before_seq``. The order is sequence number (null first), then event
+    hash, then the remaining columns, so equal sequence numbers have a fixed order.
 
-    A chain may be most of the table, so ``lag`` runs inside (chain, bucket)
-    and the first row of a bucket takes the last row of the previous non-empty
-    one. Buckets overfull because many rows share sequence numbers are measured
-    first; only if there are any, identical rows are counted together before
-    the shuffle and those buckets are split further by sequence and hash prefix.
+    A chain may be most of the table, and a sequence number most of a chain, so
+    nothing is grouped by them: the rows are range-partitioned by chain and
+    order, which cuts anywhere, and written down with the number of their range.
+    ``lag`` runs inside a range, and the first row of a range takes the last row
+    of the range before: one row per range, as many as shuffle partitions.
     """
     cols = ledger.columns
     rest = [c for c in cols if c not in (*chain, "sequence_number", "event_hash")]
-    order = ["sequence_number", "event_hash", *rest]
-    number = bucket_of(F.col("sequence_number"), bucket)
-    rows = ledger.withColumn("__b", F.coalesce(number, F.lit(-(2**62))))
-    # Null chain parts form a chain of their own; joins need a value for them.
-    slots = [f"__c{i}" for i in range(len(chain))]
-    rows = rows.withColumns(
-        {s: F.coalesce(F.col(c), F.lit("\u0000")) for s, c in zip(slots, chain)}
-    )
-    slot = [*slots, "__b"]
-    (overfull,) = heavy_keys(rows, slot, rows_per_slice=4 * bucket)
-    if overfull.slices:
-        finer = F.concat(
-            F.lpad((F.col("sequence_number") - F.col("__b") * bucket).cast("string"), 10, "0"),
-            F.substring(F.coalesce("event_hash", F.lit("")), 1, 2),
-        )
-        split = F.xxhash64(*slot).isin(list(overfull.slices))
-        rows = (
-            rows.groupBy(*rows.columns)
-            .agg(F.count(F.lit(1)).alias("copies"))
-            .withColumn(
-                "__s", F.when(split & F.col("sequence_number").isNotNull(), finer).otherwise("")
-            )
-        )
-        slot.append("__s")
+    order = [*chain, "sequence_number", "event_hash", *rest]
+    (many,) = heavy_keys(ledger, [*chain, "sequence_number", "event_hash"], rows_per_slice=copies)
+    if many.slices:
+        # Identical rows cannot be cut apart by range.
+        rows = ledger.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"))
     else:
-        rows = rows.withColumn("copies", F.lit(1).cast("bigint"))
-    inside = Window.partitionBy(*slot).orderBy(*order)
-    mine = F.struct("event_hash", "sequence_number")
-    placed = (
-        rows.withColumn("__first", F.row_number().over(inside) == 1)
-        .withColumn("__lag", F.lag(mine).over(inside))
-        .withColumn("__end", F.lead(F.lit(1)).over(inside).isNull())
+        rows = ledger.withColumn("copies", F.lit(1).cast("bigint"))
+    parts = int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settled(rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
+    mine = F.struct(*chain, "event_hash", "sequence_number")
+    inside = Window.partitionBy("__p").orderBy(*order)
+    ends = placed.groupBy("__p").agg(F.max(F.struct(*order)).alias("__end"))
+    ends = ends.select(
+        F.col("__p"), F.lag(F.struct(*[F.col("__end")[c].alias(c) for c in (*chain, "event_hash", "sequence_number")]))
+        .over(Window.orderBy("__p")).alias("__prior")
     )
-    # The last row per bucket comes from the same sorted partitions, so the
-    # ledger is shuffled once; this table has one row per bucket.
-    buckets = Window.partitionBy(*slots).orderBy(*slot[len(slots):])
-    last = placed.where("__end").select(*slot, F.lag(mine).over(buckets).alias("__prior"))
+    before = F.coalesce(F.lag(mine).over(inside), F.col("__prior"))
+    same = F.lit(True)
+    for c in chain:
+        same = same & F.col(f"__before.{c}").eqNullSafe(F.col(c))
     return (
-        placed.join(last, slot)
-        .withColumn("__before", F.when(F.col("__first"), F.col("__prior")).otherwise(F.col("__lag")))
+        placed.join(F.broadcast(ends), "__p")
+        .withColumn("__before", before)
         .select(
             *cols,
             "copies",
-            F.col("__before.event_hash").alias("before_hash"),
-            F.col("__before.sequence_number").alias("before_seq"),
+            F.when(same, F.col("__before.event_hash")).alias("before_hash"),
+            F.when(same, F.col("__before.sequence_number")).alias("before_seq"),
         )
     )
 

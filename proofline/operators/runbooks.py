@@ -20,6 +20,7 @@ from proofline.functions.skew import (
     prefilter,
     settled,
     skew_join,
+    with_nulls,
 )
 
 # Tool categories whose calls change something outside the agent.
@@ -425,26 +426,33 @@ def retrieval_shift(cat, first: tuple, second: tuple) -> DataFrame:
 
 
 def chain_links(cat, run_ids: DataFrame) -> DataFrame:
-    """Per run, how many semantic traces reach each of the five links."""
-    ledger = cat["ledger_events"].where(F.col("ledger_event_id").isNotNull()).groupBy(
-        F.col("ledger_event_id").alias("audit_ref")
-    ).agg(F.max("policy_decision_id").alias("decision_id"))
-    decisions = (
-        cat["policy_decisions"].where(F.col("decision_id").isNotNull())
+    """Per run, how many semantic traces reach each of the five links.
+
+    Goes from the given runs outwards: what a step reached names the rows the
+    next one reads, as long as that list is short enough to broadcast.
+    """
+    cited = cat["semantic_traces"].select("run_id", "audit_ref")
+    traces = keep_matching(cited, run_ids, ["run_id"])
+    events = cat["ledger_events"].select(
+        F.col("ledger_event_id").alias("audit_ref"), F.col("policy_decision_id").alias("decision_id")
+    ).where(F.col("audit_ref").isNotNull())
+    ledger = settled(
+        prefilter(events, traces, ["audit_ref"]).groupBy("audit_ref").agg(F.max("decision_id").alias("decision_id"))
+    )
+    decisions = settled(
+        prefilter(cat["policy_decisions"].where(F.col("decision_id").isNotNull()), ledger, ["decision_id"])
         .groupBy("decision_id").agg(F.max("request_hash").alias("request_hash"))
     )
-    requests = (
-        cat["tool_requests"].where(F.col("request_hash").isNotNull())
-        .select("request_hash").distinct().withColumn("requested", F.lit(True))
-    )
-    steps = (
-        cat["replay_steps"].where(F.col("request_hash").isNotNull())
-        .select("request_hash").distinct().withColumn("replayed", F.lit(True))
-    )
+
+    def reached(table: str, flag: str) -> DataFrame:
+        rows = cat[table].where(F.col("request_hash").isNotNull()).select("request_hash")
+        return prefilter(rows, decisions, ["request_hash"]).distinct().withColumn(flag, F.lit(True))
+
+    requests, steps = reached("tool_requests", "requested"), reached("replay_steps", "replayed")
     # Each ledger event is resolved once, however many traces cite it.
-    named = F.col("policy_decision_id").alias("decision_id")
-    (by_decision,) = heavy_keys(cat["ledger_events"].select(named), ["decision_id"])
-    (by_hash,) = heavy_keys(cat["policy_decisions"], ["request_hash"])
+    (by_decision,) = heavy_keys(ledger, ["decision_id"])
+    (by_hash,) = heavy_keys(decisions, ["request_hash"])
+    by_hash = with_nulls(by_hash)
     links = skew_join(
         ledger.withColumn("logged", F.lit(True)),
         decisions.withColumn("decided", F.lit(True)),
@@ -453,9 +461,7 @@ def chain_links(cat, run_ids: DataFrame) -> DataFrame:
     links = skew_join(links, requests, ["request_hash"], "left", by_hash, NOTHING)
     links = skew_join(links, steps, ["request_hash"], "left", by_hash, NOTHING)
     links = links.drop("decision_id", "request_hash")
-    cited = cat["semantic_traces"].select("run_id", "audit_ref")
     (by_ref,) = heavy_keys(cited, ["audit_ref"])
-    traces = keep_matching(cited, run_ids, ["run_id"])
     out = skew_join(traces, links, ["audit_ref"], "left", by_ref, NOTHING)
     flags = ["logged", "decided", "requested", "replayed"]
     per_run = out.groupBy("run_id").agg(

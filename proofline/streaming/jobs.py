@@ -8,6 +8,8 @@ stored tables are the authority.
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import pandas as pd
@@ -291,7 +293,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below the checkpoint directory the session names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        # One machine is the whole cluster, as in tests.
+        base = f"file://{tempfile.mkdtemp(prefix='proofline-')}"
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/proofline-{uuid.uuid4().hex}"
 
 

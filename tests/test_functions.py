@@ -131,13 +131,22 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [4, 64, 100_000])
+@pytest.mark.parametrize("ranges", [1, 3, 40])
 @pytest.mark.parametrize("copies", [False, True])
-def test_bucketed_chain_equals_a_global_order(spark, bucket, copies):
+def test_chain_in_ranges_equals_a_global_order(spark, ranges, copies):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        check_chain(spark, copies)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def check_chain(spark, copies):
     rows = chain_rows(5, copies)
     names = ("tenant_id", "ledger_event_id", "sequence_number", "event_hash", "prev_event_hash")
     df = table(spark, **{n: [r[i] for r in rows] for i, n in enumerate(names)})
-    links = linked(df, ["tenant_id"], bucket)
+    links = linked(df, ["tenant_id"], copies=1 if copies else 100_000)
     truth = brute(rows)
     broken = sum(
         1 for r, b in truth if b and b[3] is not None and r[4] is not None and r[4] != b[3]
@@ -154,6 +163,21 @@ def test_bucketed_chain_equals_a_global_order(spark, bucket, copies):
     assert Counter(tuple(r) for r in integrity_rows(links).collect()) == want
 
 
+def test_ranges_are_even_however_few_sequence_numbers_there_are(spark, monkeypatch):
+    """Forty sinks share each number, and a third of the rows have none."""
+    from proofline.operators import ledger
+
+    seen = {}
+    monkeypatch.setattr(ledger, "settled", lambda df: seen.setdefault("placed", df))
+    rows = spark.range(40_000).selectExpr(
+        "'t' as tenant_id", "if(id % 3 = 0, null, id div 4000) as sequence_number",
+        "sha2(string(id), 256) as event_hash", "'x' as prev_event_hash", "id as ledger_event_id",
+    )
+    assert linked(rows, ["tenant_id"]).count() == 40_000
+    sizes = [r["count"] for r in seen["placed"].groupBy("__p").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * 40_000 / len(sizes)
+
+
 def test_exact_quantiles(spark):
     rng = random.Random(9)
     values = [(g, rng.choice([rng.random(), 0.5])) for g in "aab" for _ in range(400)]
