@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
+import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python this many rows at once: texts may be long, and all are in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def give_back() -> None:
+    """Return memory a task has freed to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder that the session names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        # One machine is the whole cluster, as in tests.
+        base = f"file://{tempfile.mkdtemp(prefix='proofline-')}"
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,6 +54,19 @@ def stored(df: DataFrame, name: str = "llm") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lowest_by_hash(df: DataFrame, id: str, most: int, *ties: str) -> DataFrame:
+    """At most ``most`` rows: those whose id hashes lowest.
+
+    Rows that cannot be among them are dropped where they are read, so what
+    meets in one task does not grow with the input.
+    """
+    h = F.xxhash64(id)
+    share = 1.5 * most / max(1, df.count())
+    if share < 1:
+        df = df.where(h < F.lit(int(-(2**63) + share * 2**64)))
+    return df.orderBy(h, id, *ties).limit(most)
+
+
 def remainder_of_id(column: str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; a null id counts as empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

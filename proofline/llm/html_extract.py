@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from proofline.llm.common import stored
+from proofline.llm.common import lowest_by_hash, stored
 
 MAX_PAGES = 1500
 BUCKETS = 4096
@@ -431,8 +431,8 @@ def learn_extractor(
     pages: DataFrame, id: str = "page_id", html: str = "html", max_pages: int = MAX_PAGES, trees: int = 24, depth: int = 5
 ) -> Extractor:
     """Runs jobs. The driver gets the counts of a fixed number of word buckets."""
-    rows = pages.select(F.col(id).alias("id"), F.col(html).alias("html")).where("html is not null")
-    rows = stored(rows.orderBy(F.xxhash64("id"), "id").limit(max_pages).repartition(8), "pages")
+    rows = pages.select(F.col(id).alias("id"), F.col(html).alias("html"))
+    rows = stored(lowest_by_hash(rows, "id", max_pages).where("html is not null").repartition(8), "pages")
 
     def examples(page: str | None, seed: int):
         blocks = parse(page)

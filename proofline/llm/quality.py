@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import stored
+from proofline.llm.common import lowest_by_hash, stored
 
 MAX_ROWS = 20_000
 
@@ -126,12 +126,8 @@ def fit_rules(
     penalty: float = 0.002,
 ) -> RuleModel:
     """Fit on ``labels`` (id, label 0 or 1; null labels are left out). Runs jobs."""
-    wanted = (
-        labels.select(F.col(id).alias("id"), F.col(label).cast("double").alias("label"))
-        .dropna()
-        .orderBy(F.xxhash64("id"), "id", "label")
-        .limit(max_rows)
-    )
+    known = labels.select(F.col(id).alias("id"), F.col(label).cast("double").alias("label")).dropna()
+    wanted = lowest_by_hash(known, "id", max_rows, "label")
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted), "id")
     rows = with_statistics(rows.select("label", "text")).select(F.col("row.label").alias("label"), "s")
     rows = stored(rows.repartition(4), "statistics")
