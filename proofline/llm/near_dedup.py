@@ -14,11 +14,12 @@ exactly, is ``threshold`` or more. Thirty bands miss a pair of similarity 0.8
 once in 150,000. Classes are the connected components of the links.
 
 Documents of equal words are one node from the start. In a bucket of a band
-nodes are first compared with one of them, the hub, so a bucket of thousands of
-copies costs thousands of comparisons and not their square. Only nodes that are
-then still in different classes have to be compared further: pair by pair if
-these pairs are at most ``pairs_per_node`` times the nodes, else with hub after
-hub until they are. A hub has met all in its bucket, so no link is lost.
+nodes are first compared with the hub, the one of them that shares most bands
+with other nodes, so a bucket of thousands of copies of one text costs thousands
+of comparisons and not their square. Only nodes of one bucket that are then
+still in different classes are compared with each other, each pair once, in the
+first bucket it shares. No link is lost; where many texts are almost, but not
+quite, similar enough, these pairs are many.
 
 Words: A-Z lower-cased, runs of ASCII letters and digits and anything beyond
 ASCII. Null texts, and texts without words, are in no class but their own. Null
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofline.llm.common import stored
+from proofline.llm.common import give_back, stored
 from proofline.llm.components import components
 from proofline.llm.exact_dedup import in_filter, key_filter
 
@@ -190,6 +191,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["id", "sha", "words", "size", "bands"],
             )
+        give_back()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "sha", "text").mapInArrow(run, f"id {kind}, sha binary, words binary, size int, bands array<bigint>")
@@ -224,6 +226,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     keep += (shared >= threshold * union - 1e-9).tolist()
                     some, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
@@ -233,6 +236,32 @@ def _close(a: str, b: str, threshold: float) -> Column:
     return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
 
 
+def _mixed(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, int]:
+    """The members of buckets that hold more than one class, and how many pairs of
+    members of different classes these have."""
+    placed = members.drop("class").join(groups.withColumnRenamed("node", "words"), "words", "left")
+    placed = placed.withColumn("class", F.coalesce("component", "words")).drop("component")
+    per_class = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+    per_key = per_class.groupBy("key").agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")
+    )
+    per_key = stored(per_key.where("classes > 1").withColumn("pairs", F.expr("(n * n - same) div 2")), "mixed")
+    left = per_key.agg(F.sum("pairs")).first()[0] or 0
+    return stored(placed.join(per_key.select("key"), "key", "left_semi"), "open"), left
+
+
+def _cross_pairs(members: DataFrame, signed_: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of different classes in one bucket, each once: in the first bucket they share."""
+    nodes = members.select("words").distinct()
+    keys = signed_.join(nodes, "words", "left_semi").groupBy("words").agg(F.max("bands").alias("bands"))
+    rows = stored(members.join(keys, "words"), "open")
+    a = rows.select("key", F.col("words").alias("u"), F.col("size").alias("su"), F.col("class").alias("cu"), F.col("bands").alias("bu"))
+    b = rows.select("key", F.col("words").alias("v"), F.col("size").alias("sv"), F.col("class").alias("cv"), F.col("bands").alias("bv"))
+    first = F.get(F.array_intersect("bu", "bv"), 0)
+    meet = (a["key"] == b["key"]) & (F.col("cu") != F.col("cv")) & (F.col("u") < F.col("v"))
+    return a.join(b, meet & _close("su", "sv", threshold) & (a["key"] == first)).select("u", "v")
+
+
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(words, text) for ``nodes`` (words, sha), by a filter before the shuffle."""
     words, bits = key_filter(nodes, F.xxhash64("sha"))
@@ -247,7 +276,6 @@ def near_classes(
     threshold: float = THRESHOLD,
     bands: int = BANDS,
     rows: int = ROWS,
-    pairs_per_node: int = 4,
 ) -> DataFrame:
     """A row per row of ``docs``, stored: id, sha (of the text, null counting as empty),
     class_id (the smallest id of the class), group_size, kept (one row of each class)."""
@@ -257,9 +285,14 @@ def near_classes(
     own = sig.where("words is not null")
     nodes = own.groupBy("words").agg(F.max("size").alias("size"), F.max("bands").alias("bands"), F.min("sha").alias("sha"))
     members = nodes.select("words", "size", "sha", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("words", "size")).alias("hub"))
-    buckets = stored(buckets.where("n > 1").select("key", "hub"), "buckets")
-    members = stored(members.join(buckets, "key"), "members")
+    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = stored(members.join(sizes, "key"), "members")
+    # The text that copies were made from shares more bands with them than they share
+    # with each other, so the node that meets most others is a bucket's hub.
+    central = members.groupBy("words").agg(F.sum("n").alias("meets"))
+    ranked = stored(members.drop("n").join(central, "words"), "members")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("meets", "words", "size")).alias("hub"))
+    members = stored(ranked.drop("meets").join(hubs, "key"), "members")
     candidates = members.groupBy("words").agg(F.min("sha").alias("sha"))
     texts = stored(_texts_of(docs, candidates), "texts")
 
@@ -269,32 +302,13 @@ def near_classes(
 
     links = stored(verified(to_hub(members), texts, threshold), "links")
     open_ = members.where(F.col("words") != F.col("hub.words")).drop("hub", "sha")
-    limit = pairs_per_node * max(1, texts.count())
     groups = stored(components(links), "classes")
-    while True:
-        placed = open_.drop("class").join(groups.withColumnRenamed("node", "words"), "words", "left")
-        placed = placed.withColumn("class", F.coalesce("component", "words")).drop("component")
-        mixed = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-        open_ = stored(placed.join(mixed.where("lo <> hi").select("key"), "key", "left_semi"), "open")
-        per_class = open_.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-        per_key = per_class.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = per_key.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
-        if not left:
-            break
-        if left <= limit:
-            a = open_.select("key", F.col("words").alias("u"), F.col("size").alias("su"), F.col("class").alias("cu"))
-            b = open_.select("key", F.col("words").alias("v"), F.col("size").alias("sv"), F.col("class").alias("cv"))
-            pairs = a.join(b, "key").where("cu <> cv and u < v").where(_close("su", "sv", threshold)).select("u", "v")
-        else:
-            hubs = open_.groupBy("key").agg(F.min(F.struct("words", "size", "class")).alias("hub"))
-            met = stored(open_.join(hubs, "key"), "open")
-            pairs = to_hub(met.where(F.col("class") != F.col("hub.class")))
-            open_ = met.where(F.col("words") != F.col("hub.words")).drop("hub")
-        more = stored(verified(pairs.distinct(), texts, threshold), "links")
-        links = links.unionByName(more)
-        groups = stored(components(links), "classes")
-        if left <= limit:
-            break
+    open_, left = _mixed(open_, groups)
+    if left:
+        more = stored(verified(_cross_pairs(open_, own, threshold), texts, threshold), "links")
+        # The classes so far are stars already, so few rounds join them up.
+        found = groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        groups = stored(components(found.unionByName(more)), "classes")
 
     # Rows by id and text; alike ones are counted together until the end.
     listed = sig.groupBy("id", "sha", "words").agg(F.count(F.lit(1)).alias("n"))

@@ -52,14 +52,13 @@ def near_rows(seed=2, n_base=12):
     return rows
 
 
-@pytest.mark.parametrize("per_node", [4, 0])
-def test_classes_match_brute_force(spark, per_node):
+def test_classes_match_brute_force(spark):
     rows = near_rows() + [(500, None), (501, ""), (502, "?!"), (None, "V1 v2"), (503, "v1, V2"), (504, "v1 v2")]
     rows += [(505, "same words here"), (505, "same words here"), (505, "same words, here")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int")
-    got = n.mark_near_copies(df, pairs_per_node=per_node).collect()
+    got = n.mark_near_copies(df).collect()
     assert Counter((r.doc_id, r.class_id, r.group_size) for r in got) == Counter(expected(rows))
-    kept = n.drop_near_copies(df, pairs_per_node=per_node)
+    kept = n.drop_near_copies(df)
     assert kept.columns == df.columns
     assert kept.count() == sum(r.kept for r in got)
     with_words = [r for r in got if r.group_size > 1]
