@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.common import PIECE_MODEL, remainder_of_id, stored, table
+from proofline.llm.common import PIECE_MODEL, remainder_of_id, small_batches, stored, table
 from proofline.llm.decontaminate import drop_contaminated
 from proofline.llm.exact_dedup import drop_repeats
 from proofline.llm.language import drop_undetermined, learn_filters
@@ -19,6 +19,7 @@ from proofline.llm.pieces import PieceModel, decode, encode
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go."""
+    small_batches(spark)
     return drop_undetermined(docs, learn_filters(docs.where(remainder_of_id("doc_id", 3) != 1)))
 
 
@@ -29,16 +30,19 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates that with the smallest id."""
+    small_batches(spark)
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
+    small_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, pieces, n_pieces, and whether the pieces give the text again."""
+    small_batches(spark)
     model = PieceModel(PIECE_MODEL)
     both = decode(encode(docs.select("doc_id", "text"), model), model)
     return both.select(

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from proofline.llm.common import give_back
+
 SIZES = (3, 4)
 CELLS = 1 << 20
 PROBES = 3
@@ -134,6 +136,7 @@ def _count_grams(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {"lang": pa.array([lang] * len(codes), pa.string()), "code": codes.view(np.int64), "n": n.astype(np.int64)}
                 )
+        give_back()
 
     return rows.select("lang", "text").mapInArrow(run, "lang string, code bigint, n bigint")
 
@@ -217,6 +220,7 @@ def drop_undetermined(docs: DataFrame, filters: Filters, text: str = "text", min
             texts = batch.column(at)
             said = (filters.predict(texts[i].as_py()) for i in range(len(texts)))
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in said], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -34,8 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from proofline.llm.common import give_back
+
 SPACE = "▁"
-CHUNK = 6_000_000  # characters of text worked on at once, or one longer text
+CHUNK = 2_000_000  # characters of text worked on at once, or one longer text
 
 _U = np.uint64
 _UNKNOWN, _START, _NONE = -2, -3, -1
@@ -344,6 +346,7 @@ def encode(docs: DataFrame, model: PieceModel | str, text: str = "text", out: st
                 part = batch.slice(begin, len(texts))
                 pieces = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pieces], names=[*part.schema.names, out])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

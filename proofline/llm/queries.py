@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from proofline.llm import oracles
-from proofline.llm.common import PIECE_MODEL, remainder_of_id, table
+from proofline.llm.common import PIECE_MODEL, remainder_of_id, small_batches, table
 from proofline.llm.decontaminate import contamination
 from proofline.llm.exact_dedup import mark_repeats
 from proofline.llm.html_extract import extract_text, learn_extractor
@@ -46,6 +46,7 @@ def op3_rendezvous_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    small_batches(spark)
     model = PieceModel(PIECE_MODEL)
     both = decode(encode(table(spark, sf, "documents").select("doc_id", "text"), model), model)
     return both.select(
