@@ -145,25 +145,40 @@ def incident_counts(cat, run_ids: DataFrame) -> DataFrame:
 
 
 def replay_completeness(cat) -> DataFrame:
-    """Per trace, what its steps lack for a replay."""
+    """Per trace, what its steps and its record lack for a replay.
+
+    A trace is listed if it has a step or a record; without a record its model and
+    bundle hashes are not known, so it is not complete. Every record of a trace
+    counts. Model version, temperature, seed and policy hash, which the runbook also
+    names, are not columns of the evidence. One aggregation of both tables, no join.
+    """
     call = F.col("step_type") == "tool_call"
     halt = F.col("step_type") == "invariant_halt"
+    record = ~F.col("is_step")
+    step_columns = ("step_type", "request_hash", "response_hash", "snapshot_uri", "invariant_rule_id")
+    record_columns = ("model_id", "prompt_bundle_hash", "tool_schema_hash")
 
     def lacks(kind, column):
         return n_if(kind & F.col(column).isNull())
 
-    out = cat["replay_steps"].groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("steps"),
+    steps = cat["replay_steps"].select("trace_id", F.lit(True).alias("is_step"), *step_columns)
+    records = cat["replay_traces"].select("trace_id", F.lit(False).alias("is_step"), *record_columns)
+    out = steps.unionByName(records, allowMissingColumns=True).groupBy("trace_id").agg(
+        n_if(F.col("is_step")).alias("steps"),
         lacks(call, "request_hash").alias("calls_without_request_hash"),
         lacks(call, "response_hash").alias("calls_without_response_hash"),
         lacks(call, "snapshot_uri").alias("calls_without_snapshot"),
         lacks(halt, "invariant_rule_id").alias("halts_without_rule"),
+        n_if(record).alias("records"),
+        *[lacks(record, c).alias(f"records_without_{c}") for c in record_columns],
     )
     faults = (
         F.col("calls_without_request_hash") + F.col("calls_without_response_hash")
         + F.col("calls_without_snapshot") + F.col("halts_without_rule")
     )
-    return out.withColumn("is_complete", faults == 0)
+    for c in record_columns:
+        faults = faults + F.col(f"records_without_{c}")
+    return out.withColumn("is_complete", (F.col("records") > 0) & (faults == 0))
 
 
 def replay_compare(recorded: DataFrame, replayed: DataFrame) -> DataFrame:

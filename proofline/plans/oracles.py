@@ -623,6 +623,33 @@ FROM (SELECT trace_id, count(*) AS steps,
     count(*) FILTER (WHERE step_type = 'invariant_halt' AND invariant_rule_id IS NULL)
       AS halts_without_rule
   FROM replay_steps GROUP BY 1) t""",
+    "d07_replay_completeness_runbook": """
+SELECT coalesce(s.trace_id, r.trace_id) AS trace_id, coalesce(steps, 0) AS steps,
+  coalesce(no_request, 0) AS calls_without_request_hash,
+  coalesce(no_response, 0) AS calls_without_response_hash,
+  coalesce(no_snapshot, 0) AS calls_without_snapshot,
+  coalesce(no_rule, 0) AS halts_without_rule, coalesce(records, 0) AS records,
+  coalesce(no_model, 0) AS records_without_model_id,
+  coalesce(no_prompt, 0) AS records_without_prompt_bundle_hash,
+  coalesce(no_schema, 0) AS records_without_tool_schema_hash,
+  coalesce(well_stepped, true) AND coalesce(pinned, false) AS is_complete
+FROM (SELECT trace_id, count(*) AS steps,
+    count(*) FILTER (WHERE step_type = 'tool_call' AND request_hash IS NULL) AS no_request,
+    count(*) FILTER (WHERE step_type = 'tool_call' AND response_hash IS NULL) AS no_response,
+    count(*) FILTER (WHERE step_type = 'tool_call' AND snapshot_uri IS NULL) AS no_snapshot,
+    count(*) FILTER (WHERE step_type = 'invariant_halt' AND invariant_rule_id IS NULL) AS no_rule,
+    bool_and(CASE step_type
+      WHEN 'tool_call' THEN request_hash IS NOT NULL AND response_hash IS NOT NULL
+        AND snapshot_uri IS NOT NULL
+      WHEN 'invariant_halt' THEN invariant_rule_id IS NOT NULL ELSE true END) AS well_stepped
+  FROM replay_steps GROUP BY 1) s
+FULL JOIN (SELECT trace_id, count(*) AS records,
+    count(*) FILTER (WHERE model_id IS NULL) AS no_model,
+    count(*) FILTER (WHERE prompt_bundle_hash IS NULL) AS no_prompt,
+    count(*) FILTER (WHERE tool_schema_hash IS NULL) AS no_schema,
+    bool_and(model_id IS NOT NULL AND prompt_bundle_hash IS NOT NULL
+      AND tool_schema_hash IS NOT NULL) AS pinned
+  FROM replay_traces GROUP BY 1) r ON s.trace_id IS NOT DISTINCT FROM r.trace_id""",
     "d08_replay_compare": _REPLAY,
     "d08_replay_success": f"""
 SELECT count(*) AS runs, count(*) FILTER (WHERE replay_status = 'PASS') AS runs_passed,

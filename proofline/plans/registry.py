@@ -143,6 +143,8 @@ def batch_queries() -> dict[str, Query]:
         "d05_last_good_bundle": _on(d.last_good_bundle, OUTAGE[0]),
         "d06_incident_counts": _halted_runs(d.incident_counts),
         "d07_replay_completeness": _on(d.replay_completeness),
+        # The same rows; the twin of this name is written from the runbook.
+        "d07_replay_completeness_runbook": _on(d.replay_completeness),
         "d08_replay_compare": _compared,
         "d08_replay_success": lambda s, sf: d.replay_success(_compared(s, sf)),
         "d09_containment": _on(d.containment),

@@ -186,3 +186,27 @@ def test_skewed_inputs_give_the_same_chain(spark, monkeypatch):
 
 def test_entry(spark):
     assert "request_hash" in entry.entry(spark).columns
+
+
+def test_replay_completeness_wants_model_and_bundles_and_lists_every_trace(spark, good):
+    full = {"model_id": "m", "prompt_bundle_hash": "p", "tool_schema_hash": "s"}
+    traces = [{"trace_id": "whole", **full}, {"trace_id": "no steps", **full}, {"trace_id": "twice", **full},
+              {"trace_id": "twice", **full, "model_id": None}, {"trace_id": "bad step", **full}]
+    traces += [{"trace_id": c, **full, c: None} for c in full]
+    call = {"step_type": "tool_call", "request_hash": "q", "response_hash": "r", "snapshot_uri": "u"}
+    steps = [{"trace_id": t, **call} for t in ("whole", "twice", "no record", *full)]
+    steps.append({"trace_id": "bad step", **call, "response_hash": None})
+    cat = good.without("replay_traces", "replay_steps").replaced(
+        replay_traces=frame(spark, "replay_traces", traces), replay_steps=frame(spark, "replay_steps", steps)
+    )
+    got = {r.trace_id: r for r in d.replay_completeness(cat).collect()}
+    assert {t for t, r in got.items() if r.is_complete} == {"whole", "no steps"}
+    assert len(got) == 8 and got["no steps"].steps == 0 and got["no record"].records == 0
+    assert all(got[c][f"records_without_{c}"] == 1 for c in full)
+
+
+def test_replay_completeness_equals_the_runbook(spark, duck):
+    from tools.compare import rows
+
+    mine = entry.queries()["d07_replay_completeness"](spark, SF).toArrow()
+    assert rows(mine) == rows(duck.sql(entry.oracle_sql()["d07_replay_completeness_runbook"]).to_arrow_table())
