@@ -220,12 +220,13 @@ def unknown_classifiers(cat, assessments) -> DataFrame:
     )
 
 
-def _approvals(cat) -> DataFrame:
+def _approvals(cat, scope_right: bool) -> DataFrame:
     """Per decision: approval rows, and those with both an id and a signature."""
     return (
         cat["hitl_decisions"]
         .where(_c("policy_decision_id").isNotNull())
-        .groupBy(_c("policy_decision_id").alias("decision_id"))
+        .withColumn("decision_id", _c("policy_decision_id"))
+        .groupBy(*_right_keys("decision_id", scope_right))
         .agg(
             F.count(F.lit(1)).alias("approvals"),
             n_if(_c("approval_id").isNotNull() & _c("signature_ref").isNotNull()).alias("signed"),
@@ -233,16 +234,17 @@ def _approvals(cat) -> DataFrame:
     )
 
 
-def approvals_present(cat, assessments) -> DataFrame:
+def approvals_present(cat, assessments, scope_right: bool = False) -> DataFrame:
     """Decision-approval rows for decisions that need one, and the signed ones."""
+    on = _right_keys("decision_id", scope_right)
     needed = (
         assessments.scope(cat["policy_decisions"])
         .where(needs_approval(_c("obligations")))
-        .groupBy(KEY, "decision_id")
+        .groupBy(KEY, *on)
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return (
-        needed.join(_approvals(cat), "decision_id", "left")
+        needed.join(_approvals(cat, scope_right), on, "left")
         .groupBy(KEY)
         .agg(
             F.sum(_c("n") * F.coalesce("approvals", F.lit(1))).alias("approvals_needed"),
@@ -260,7 +262,7 @@ def executed_unapproved(cat, assessments, scope_right: bool = False) -> DataFram
         .where(needs_approval(_c("obligations")) & _c("request_hash").isNotNull())
         .groupBy(*on, "decision_id")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(_approvals(cat), "decision_id", "left")
+        .join(_approvals(cat, scope_right), _right_keys("decision_id", scope_right), "left")
         .groupBy(*on)
         .agg(F.sum(_c("n") * open_).alias("open"))
         .where(_c("open") > 0)
@@ -277,7 +279,9 @@ def executed_unapproved(cat, assessments, scope_right: bool = False) -> DataFram
     )
 
 
-def unenrolled_agents(cat, assessments, exact_hours: bool = False) -> DataFrame:
+def unenrolled_agents(
+    cat, assessments, exact_hours: bool = False, scope_right: bool = False
+) -> DataFrame:
     """Agents in the request stream with no inventory record and no live exception,
     first seen before the remediation cutoff (whole days unless ``exact_hours``)."""
     ttl = _c("c17_remediation_ttl_hours")
@@ -285,14 +289,15 @@ def unenrolled_agents(cat, assessments, exact_hours: bool = False) -> DataFrame:
     allowed = (
         F.make_dt_interval(secs=ttl * 3600) if exact_hours else F.make_dt_interval(days)
     )
+    on = _right_keys("agent_instance_id", scope_right)
     seen = (
         assessments.scope(cat["tool_requests"])
-        .groupBy(KEY, "agent_instance_id")
+        .groupBy(KEY, *on)
         .agg(F.min("time").alias("first_seen"))
-        .join(assessments.side("as_of", "c17_remediation_ttl_hours"), KEY)
+        .join(assessments.side("as_of", "c17_remediation_ttl_hours"), [KEY, *on[1:]])
         .where(_c("first_seen") < _c("as_of") - allowed)
     )
-    enrolled = cat["c04_inventory"].select("agent_instance_id").distinct()
+    enrolled = cat["c04_inventory"].select(*on).distinct()
     excused = (
         assessments.scope_registry(cat["remediation_outcomes"], "as_of")
         .where((_c("outcome") == "exception") & (_c("exception_ttl_expires_at") > _c("as_of")))
@@ -300,7 +305,7 @@ def unenrolled_agents(cat, assessments, exact_hours: bool = False) -> DataFrame:
         .distinct()
     )
     return (
-        seen.join(enrolled, "agent_instance_id", "left_anti")
+        seen.join(enrolled, on, "left_anti")
         .join(excused, [KEY, "agent_instance_id"], "left_anti")
         .groupBy(KEY)
         .agg(F.count(F.lit(1)).alias("unenrolled_agents"))
@@ -351,18 +356,20 @@ def enforced_dimensions(cat, assessments) -> DataFrame:
     )
 
 
-def stale_baselines(cat, assessments) -> DataFrame:
+def stale_baselines(cat, assessments, scope_right: bool = False) -> DataFrame:
     """Running agents of the assessed tier whose current baseline is missing or too old."""
+    # The bill of materials names a tenant, but no environment.
+    on = ["agent_instance_id", "tenant_id"] if scope_right else ["agent_instance_id"]
     agents = (
         assessments.scope_registry(cat["agent_state"], "tier")
         .where((_c("autonomy_tier") == _c("tier")) & (_c("state") == "Run"))
-        .groupBy(KEY, "agent_instance_id")
+        .groupBy(KEY, *on)
         .agg(F.count(F.lit(1)).alias("n"))
     )
     current = (
         cat["abom"]
         .where(_c("is_current"))
-        .groupBy("agent_instance_id", "current_baseline_hash")
+        .groupBy(*on, "current_baseline_hash")
         .agg(F.count(F.lit(1)).alias("m"))
     )
     made = (
@@ -373,7 +380,7 @@ def stale_baselines(cat, assessments) -> DataFrame:
     age = micros(_c("as_of")) - micros(_c("created_at"))
     faulty = _c("made").isNull() | (age > _c("c19_baseline_max_age_days") * DAY_US)
     return (
-        agents.join(current, "agent_instance_id", "left")
+        agents.join(current, on, "left")
         .groupBy(KEY, "current_baseline_hash")
         .agg(F.sum(_c("n") * F.coalesce("m", F.lit(1))).alias("n"))
         .join(made, "current_baseline_hash", "left")
@@ -414,25 +421,29 @@ def cadence_gaps(cat, assessments) -> DataFrame:
     )
 
 
-def enforced_responses(cat, assessments, only_detected: bool = False) -> DataFrame:
+def enforced_responses(
+    cat, assessments, only_detected: bool = False, scope_right: bool = False
+) -> DataFrame:
     """Enforcing response actions tied to a drift decision, per matching decision."""
+    on = _right_keys("event_id", scope_right)
     acted = (
         assessments.scope(cat["response_actions"])
         .where(_c("action").isin(*vocab.ENFORCING_RESPONSES))
-        .groupBy(KEY, _c("drift_decision_id").alias("event_id"))
+        .withColumn("event_id", _c("drift_decision_id"))
+        .groupBy(KEY, *on)
         .agg(F.count(F.lit(1)).alias("n"))
     )
     drift = cat["drift_decisions"]
     if only_detected:
         drift = drift.where(_c("decision") == "drift_detected")
     known = (
-        prefilter(drift, acted, ["event_id"])
+        prefilter(drift, acted, on)
         .where(_c("event_id").isNotNull())
-        .groupBy("event_id")
+        .groupBy(*on)
         .agg(F.count(F.lit(1)).alias("m"))
     )
     return (
-        acted.join(known, "event_id")
+        acted.join(known, on)
         .groupBy(KEY)
         .agg(F.sum(_c("n") * _c("m")).alias("enforced_responses"))
     )
@@ -462,5 +473,6 @@ SHAPED: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
 # Metrics that take ``scope_right``: their right-hand tables are then limited to
 # the tenant and environment as well.
 RIGHT_SCOPED = (
-    "unmatched_requests", "quarantine_leaks", "correlated_runs", "executed_unapproved",
+    "unmatched_requests", "quarantine_leaks", "correlated_runs", "approvals_present",
+    "executed_unapproved", "unenrolled_agents", "stale_baselines", "enforced_responses",
 )

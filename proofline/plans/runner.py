@@ -218,8 +218,9 @@ def run_assessments(
     ``steps`` replaces the built-in list of proofs owed: check_id, tier, step,
     expected_artifact, rationale.
 
-    ``scope_right`` also limits the tables requests, reads, runs and responses
-    are matched with to the tenant and environment.
+    ``scope_right`` also limits the tables that requests, reads, runs, decisions,
+    responses, agents and response actions are matched with to the tenant and
+    environment (the bill of materials to the tenant, it names no environment).
 
     Checks whose tables or columns are missing become ERROR rows; the others
     run as one plan that reads each table's counts once.

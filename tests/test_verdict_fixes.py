@@ -165,3 +165,35 @@ def test_notes_and_steps_of_ones_own(spark, good, scope):
     assert all(r.notes for r in rows.values())
     assert [s.step for s in rows["Check02"].manual_steps] == ["look"]
     assert "owed: 1" in rows["Check02"].notes and not rows["Check06"].manual_steps
+
+
+def test_scope_right_keeps_the_rows_of_other_tenants_apart(spark, good, scope):
+    from proofline.operators import metrics as m
+
+    def moved(*tables):
+        rows = good_rows()
+        return good.replaced(**{
+            t: frame(spark, t, [{**r, "tenant_id": "other"} for r in rows[t]]) for t in tables
+        })
+
+    def value(function, name, cat, who, **options):
+        row = function(cat, who, **options).first()
+        return row[name] if row else 0
+
+    who, tier2 = scope("bounded"), scope("high_privilege")
+    # What the other tenant's rows hide without the option, and what is true.
+    late = [{**r, "time": day(1)} for r in good_rows()["tool_requests"]]
+    inventory = moved("c04_inventory").replaced(tool_requests=frame(spark, "tool_requests", late))
+    for function, name, cat, w, hidden, true in (
+        (m.approvals_present, "approvals_signed", moved("hitl_decisions"), who, 1, 0),
+        (m.executed_unapproved, "executed_unapproved", moved("hitl_decisions"), who, 0, 1),
+        (m.unenrolled_agents, "unenrolled_agents", inventory, who, 0, 2),
+        (m.stale_baselines, "stale_baselines", moved("abom"), who, 0, 1),
+        (m.enforced_responses, "enforced_responses", moved("drift_decisions"), tier2, 1, 0),
+    ):
+        assert value(function, name, cat, w) == hidden, name
+        assert value(function, name, cat, w, scope_right=True) == true, name
+    status = {r.check_id: r.status for r in run_assessments(moved("hitl_decisions"), tier2, ["Check14"], scope_right=True).collect()}
+    assert status == {"Check14": "FAIL"}
+    same = run_assessments(good, tier2, scope_right=True).select("check_id", "status")
+    assert sorted(same.collect()) == sorted(run_assessments(good, tier2).select("check_id", "status").collect())
