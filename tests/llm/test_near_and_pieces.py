@@ -154,3 +154,27 @@ def test_encode_and_decode_keep_rows(spark, docs, model):
 def test_other_models_are_refused(tmp_path):
     with pytest.raises(Exception):
         p.PieceModel(str(tmp_path / "none.model"))
+
+
+def repeated_passage(seed, times=100):
+    """Two texts with the same shingles; the second repeats a passage far more often."""
+    rng = random.Random(seed)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(70)]
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(30)]
+    return " ".join(text + passage * 2), " ".join(text + passage * times)
+
+
+def test_copies_that_differ_in_how_often_a_passage_repeats_are_found(spark):
+    # By the weighted bands alone these two pairs are missed.
+    rows = [(i, t) for seed, i in ((98, 0), (109, 2)) for i, t in enumerate(repeated_passage(seed), i)]
+    got = n.mark_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_every_pair_has_bands_of_equal_weights():
+    texts = [t for seed in range(20) for t in repeated_passage(seed)] + ["one two three four five six"]
+    who, hashes, _ = n.shingles(texts)
+    who, hashes, counts = n.weighed(who, hashes)
+    bands = n.all_bands(who, hashes, counts, len(texts), 30, 5)
+    assert all(len(set(a.tolist()) & set(b.tolist())) >= 30 for a, b in zip(bands[:-1:2], bands[1::2]))
+    assert all(len(set(b.tolist())) == len(b) for b in bands) and len(bands[-1]) == 30
