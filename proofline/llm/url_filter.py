@@ -78,8 +78,45 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(raw, "^[\"']|[\"']$", "")), "&amp;", "&")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(done: Column, p: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(p == ".", done).when(p == "..", up).otherwise(F.concat(done, F.array(p)))
+
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    # Dots at the end name a folder.
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """``link`` as found on the page ``base``: itself if it has a scheme, else resolved
+    against ``base`` as in RFC 3986. Null where ``base`` has no ``://``, and for other
+    schemes, such as ``mailto:``."""
+    link = F.trim(link)
+    scheme = F.regexp_extract(base, r"^([^:/?#]+):", 1)
+    root = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    path = path_of(base)
+    query = F.regexp_extract(base, r"^[^#?]*(\?[^#]*)", 1)
+    own = F.regexp_extract(link, r"^[^?#]*", 0)
+    rest = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when((root == "") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(own.startswith("/"), F.concat(root, _without_dots(own), rest))
+        .when(own != "", F.concat(root, _without_dots(F.concat(folder, own)), rest))
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .when(link != "", F.concat(root, path, query, link))
+    )
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v): a page's url and the absolute url its canonical link or refresh names."""
+    """(u, v): a page's url and the url its canonical link or refresh names, made absolute."""
     low = F.lower(F.col(html))
     told = pages.where(low.contains("canonical") | low.contains("http-equiv"))
     tags = told.select(
@@ -93,7 +130,8 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh",
         F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?i)url\s*=\s*['\"]?([^'\"]+)", 1),
     )
-    return tags.select("u", goes.alias("v")).where(F.instr("v", "://") > 0)
+    links = tags.select("u", goes.alias("link")).where("link <> ''")
+    return links.select("u", resolved(F.col("u"), F.col("link")).alias("v")).where(F.instr("v", "://") > 0)
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:

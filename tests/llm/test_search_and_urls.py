@@ -120,3 +120,25 @@ def test_verdicts_spread_over_aliases(spark):
     assert said[10] == [("net", "", None, "allow")]
     assert said[None] == [("notbad.com", "/", None, "allow")]
     assert u.url_verdicts(df.where("false"), RULES).count() == 0
+
+
+def test_relative_links_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    base = "https://free.org/a/b.html?q=1#top"
+    links = ["/x", "//bad.com/x", "c.html", "./c", "../d/../e?f=/../g", "?p=2", "#end", "../..", "http://bad.com/x?y", "/a/./b/../c/", "../../../z"]
+    df = spark.createDataFrame([(base, x) for x in links], "base string, link string")
+    got = {r.link: r.v for r in df.select("link", u.resolved(F.col("base"), F.col("link")).alias("v")).collect()}
+    assert got == {x: urljoin(base, x) for x in links}
+    odd = spark.createDataFrame([(base, "mailto:a@b"), ("no scheme", "/x"), (None, "/x"), (base, "")], "base string, link string")
+    assert {r.v for r in odd.select(u.resolved(F.col("base"), F.col("link")).alias("v")).collect()} == {None}
+
+
+def test_a_block_spreads_over_relative_links(spark):
+    pages = [
+        (1, "https://free.org/1", '<link rel="canonical" href="//bad.com/x">'),
+        (2, "https://two.org/a", "<meta http-equiv=refresh content='0; url=/b'>"),
+        (3, "https://two.org/b", "<link rel=canonical href='http://bad.com/y'>"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in u.url_verdicts(df, RULES).collect()} == dict.fromkeys((1, 2, 3), "block")
