@@ -54,6 +54,31 @@ def stored(df: DataFrame, name: str = "llm") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables a job writes on its way, in a folder of its own in the shared one.
+
+    ``drop`` removes those that nothing reads any more; what a returned frame still
+    reads stays.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.parts = spark, shared_folder(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.parts += 1
+        path = f"{self.base}/{self.parts}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove the tables behind these frames, as ``keep`` returned them."""
+        for df in frames:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lowest_by_hash(df: DataFrame, id: str, most: int, *ties: str) -> DataFrame:
     """At most ``most`` rows: those whose id hashes lowest.
 

@@ -137,3 +137,73 @@ SELECT page_id, payload_bytes,
        CASE WHEN NOT first THEN last END AS refers_to
 FROM f
 """
+
+
+def _op12(k: int = 16, rounds: int = 3) -> str:
+    """Centroid rounds, unrolled: ``a<r>`` assigns, ``c<r>`` averages."""
+    parts = [
+        """v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v AS m
+  FROM v QUALIFY c < {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} AS (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, d * 1000 + c) AS c, min(d) AS d
+  FROM (SELECT row, vec_id, v, c,
+               list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d
+        FROM v, c{r})
+  GROUP BY row)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""c{r + 1} AS (
+  SELECT c, coalesce(n, m) AS m FROM c{r} LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS n FROM (
+      SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY c, i)
+    GROUP BY c) USING (c))"""
+            )
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance,
+       sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(list_aggregate(m, 'string_agg', ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)
+"""
+
+
+OP12 = _op12()
+
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+total AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+tf AS (
+  SELECT row, doc_id, n, term, count(*) AS tf
+  FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, total GROUP BY term),
+scored AS (
+  SELECT item_id, row, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // l))))::BIGINT AS score
+  FROM q JOIN weight USING (term) JOIN tf USING (term), total
+  GROUP BY item_id, row, doc_id)
+SELECT item_id,
+       row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""

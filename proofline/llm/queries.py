@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from proofline.llm import oracles
+from proofline.llm.centroids import clusters
 from proofline.llm.common import PIECE_MODEL, remainder_of_id, small_batches, table
 from proofline.llm.decontaminate import contamination
 from proofline.llm.exact_dedup import mark_repeats
 from proofline.llm.html_extract import extract_text, learn_extractor
 from proofline.llm.language import learn_filters, predict_language
+from proofline.llm.lexical import ranked_search
 from proofline.llm.near_dedup import mark_near_copies
 from proofline.llm.pieces import PieceModel, decode, encode
 from proofline.llm.quality import fit_rules, score_quality
@@ -86,6 +88,15 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_verdicts(table(spark, sf, "pages"), URL_RULES)
 
 
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    small_batches(spark)
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters(table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -97,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_centroids": op12_centroids,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -106,4 +119,6 @@ SQL: dict[str, str] = {
     "op5_warc": oracles.OP5,
     "op9_exact_dedup": oracles.OP9,
     "op10_url_filter": oracles.OP10,
+    "op11_lexical_search": oracles.OP11,
+    "op12_centroids": oracles.OP12,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
