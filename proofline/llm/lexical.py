@@ -132,63 +132,63 @@ def impacts(tf: np.ndarray, n: np.ndarray, documents: int, length: int) -> np.nd
     return (1_000_000_000 * tf) // (1000 * tf + 20 * (50 + part))
 
 
-def search_block(index: Index, best: Best, rows: np.ndarray, terms: np.ndarray, values: np.ndarray, null: np.ndarray, ids: np.ndarray) -> int:
-    """Search the documents of one tree; ``rows``, ``terms``, ``values`` are its impacts.
-
-    Returns how many pairs of nodes were measured.
-    """
-    here, at = np.unique(terms, return_inverse=True)
-    local = lambda t: (x := np.searchsorted(here, t), (x < len(here)) & (here[np.minimum(x, len(here) - 1)] == t))
-    weights = index.weights[here].astype(index.exact)
-    impact = np.zeros((len(ids), len(here)), index.exact)
-    impact[rows, at] = values
-
-    # Documents that serve the same items best come together, best ones first.
-    sums = np.zeros((len(ids), len(index.facets)), index.exact)
-    for f, node in enumerate(index.facets):
-        x, there = local(node.terms)
-        mine = np.zeros(len(here), index.exact)
-        mine[x[there]] = weights[x[there]]
-        sums[:, f] = impact @ mine
-    facet = sums.argmax(1)
-    order = np.lexsort((-sums.max(1), facet))
-    impact, null, ids = impact[order], null[order], ids[order]
-    levels = [impact]
-    while len(levels[-1]) > FAN:
-        levels.append(np.maximum.reduceat(levels[-1], np.arange(0, len(levels[-1]), FAN)))
-    measured = 0
-
-    def walk(q: ItemNode, level: int, nodes: np.ndarray, columns: np.ndarray) -> None:
-        nonlocal measured
-        own = columns[np.isin(here[columns], q.terms, assume_unique=True)] if q is not index.root else columns
-        if not len(own):
-            return
-        bounds = levels[level][nodes[:, None], own] @ weights[own]
-        measured += len(nodes)
+class DocumentTree:
+    """Some documents' impacts, and the largest of every ``FAN`` nodes level by level."""
+
+    def __init__(self, index: Index, rows: np.ndarray, terms: np.ndarray, values: np.ndarray, n: np.ndarray, null: np.ndarray, ids: np.ndarray):
+        self.index = index
+        self.here, at = np.unique(terms, return_inverse=True)
+        self.weights = index.weights[self.here].astype(index.exact)
+        impact = np.zeros((len(ids), len(self.here)), index.exact)
+        impact[rows, at] = values
+        # Documents that serve the same items best come together, and of these such of like length.
+        facet = np.zeros(len(ids), np.int64)
+        most = np.full(len(ids), -1, index.exact)
+        for f, node in enumerate(index.facets):
+            own = self.columns(node.terms)
+            sums = impact[:, own] @ self.weights[own]
+            facet, most = np.where(sums > most, f, facet), np.maximum(sums, most)
+        order = np.lexsort((n, facet))
+        self.null, self.ids = null[order], ids[order]
+        self.levels = [impact[order]]
+        while len(self.levels[-1]) > FAN:
+            self.levels.append(np.maximum.reduceat(self.levels[-1], np.arange(0, len(self.levels[-1]), FAN)))
+        self.measured = 0
+
+    def columns(self, terms: np.ndarray) -> np.ndarray:
+        """Where those of ``terms`` are that some document here holds."""
+        x = np.minimum(np.searchsorted(self.here, terms), len(self.here) - 1)
+        return x[self.here[x] == terms]
+
+    def search(self, best: Best) -> int:
+        """Offer what may be among the best; returns how many pairs of nodes were measured."""
+        top = len(self.levels) - 1
+        self._walk(best, self.index.root, top, np.arange(len(self.levels[top])))
+        return self.measured
+
+    def _walk(self, best: Best, q: ItemNode, level: int, nodes: np.ndarray) -> None:
+        own = self.columns(q.terms)
+        bounds = self.levels[level][nodes[:, None], own] @ self.weights[own]
+        self.measured += len(nodes)
         alive = (bounds >= best.need[q.items].min()) & (bounds > 0)
         if not alive.any():
             return
         nodes, bounds = nodes[alive], bounds[alive]
         if not level and not q.below:
-            best.offer(int(q.items[0]), bounds, null[nodes], ids[nodes])
+            best.offer(int(q.items[0]), bounds, self.null[nodes], self.ids[nodes])
             return
-        if level:
+        if level > bool(q.below):  # single documents are for single items
             level -= 1
-            nodes = nodes[np.argsort(-bounds, kind="stable")] if not q.below else nodes
+            nodes = nodes[np.argsort(-bounds, kind="stable")]
             nodes = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
-            nodes = nodes[nodes < len(levels[level])]
-        if q.below:
-            for child in q.below:
-                walk(child, level, nodes, own)
-        else:  # the best nodes first: they raise the bar for the others
-            few = nodes[: FAN * FAN]
-            walk(q, level, few, own)
-            if len(nodes) > len(few):
-                walk(q, level, nodes[len(few) :], own)
-
-    x, there = local(index.root.terms)
-    walk(index.root, len(levels) - 1, np.arange(len(levels[-1])), x[there])
-    return measured
+            nodes = nodes[nodes < len(self.levels[level])]
+        for child in q.below:
+            self._walk(best, child, level, nodes)
+        if not q.below:  # the best nodes first: they raise the bar for the others
+            few = FAN * FAN
+            for part in (nodes[:few], nodes[few:]):
+                if len(part):
+                    self._walk(best, q, level, part)
 
 
 def counted(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -257,12 +257,13 @@ def candidates(vectors: DataFrame, index: Index, floor: np.ndarray) -> DataFrame
                 part = slice(lo, ends[b - 1])
                 rows = np.repeat(np.arange(b - a), sizes[a:b])
                 values = impacts(tfs[part], n[a:b][rows], index.documents, index.length)
-                search_block(index, best, rows, terms[part], values, null[a:b], ids[a:b])
+                DocumentTree(index, rows, terms[part], values, n[a:b], null[a:b], ids[a:b]).search(best)
                 a = b
         for i, (s, nul, found) in enumerate(best.found):
             if len(s):
                 item = pa.array(np.full(len(s), i), pa.int32())
                 yield pa.RecordBatch.from_arrays([item, pa.array(found, pa.int64(), mask=nul), pa.array(s)], names=["item", "id", "score"])
+        give_back()
 
     return vectors.where(F.size("terms") > 0).mapInArrow(run, "item int, id bigint, score bigint")
 

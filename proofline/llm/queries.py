@@ -20,6 +20,7 @@ from proofline.llm.near_dedup import mark_near_copies
 from proofline.llm.pieces import PieceModel, decode, encode
 from proofline.llm.quality import fit_rules, score_quality
 from proofline.llm.sharding import shard_plan
+from proofline.llm.toxicity import fit_toxicity, score_toxicity
 from proofline.llm.url_filter import Rule, url_verdicts
 from proofline.llm.warc import archive_and_read
 
@@ -97,6 +98,14 @@ def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return clusters(table(spark, sf, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    net = fit_toxicity(docs, table(spark, sf, "labels").where(remainder_of_id("doc_id", 3) != 1))
+    scored = score_toxicity(docs, net)
+    return scored.select("doc_id", (remainder_of_id("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -110,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_lexical_search": op11_lexical_search,
     "op12_centroids": op12_centroids,
+    "op13_toxicity": op13_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 
