@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.skew import heavy_keys, repeat_rows, settled
@@ -58,15 +58,16 @@ def linked(ledger: DataFrame, chain: list[str], copies: int = COPIES) -> DataFra
     )
 
 
-def chain_breaks(links: DataFrame, by: str) -> DataFrame:
-    """Broken links per group; the second and later copies of a row follow the row itself."""
+def broken_copies() -> Column:
+    """How many of a row's copies break the chain; the second and later ones follow the row itself."""
     first = (F.col("prev_event_hash") != F.col("before_hash")).cast("bigint")
     again = (F.col("prev_event_hash") != F.col("event_hash")).cast("bigint")
-    return links.groupBy(by).agg(
-        F.sum(
-            F.coalesce(first, F.lit(0)) + (F.col("copies") - 1) * F.coalesce(again, F.lit(0))
-        ).alias("chain_breaks")
-    )
+    return F.coalesce(first, F.lit(0)) + (F.col("copies") - 1) * F.coalesce(again, F.lit(0))
+
+
+def chain_breaks(links: DataFrame, by: str) -> DataFrame:
+    """Broken links per group."""
+    return links.groupBy(by).agg(F.sum(broken_copies()).alias("chain_breaks"))
 
 
 def integrity_rows(links: DataFrame) -> DataFrame:

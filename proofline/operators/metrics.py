@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from proofline.functions import vocab
 from proofline.functions.exprs import micros, n_if, needs_approval
+from proofline.functions.refs import reference, sampled
 from proofline.functions.running import running, time_bucket
 from proofline.functions.skew import prefilter
-from proofline.operators.ledger import chain_breaks, linked
+from proofline.operators.ledger import broken_copies, linked
 from proofline.plans.assessments import Assessments
 from proofline.sources.catalog import EvidenceCatalog
 
@@ -96,19 +97,67 @@ COUNTS: dict[str, dict[str, str]] = {
     },
 }
 
+# table -> name -> (condition of a scoped row that counts against a check, its key)
+OFFENDERS: dict[str, dict[str, tuple[str, str]]] = {
+    "tool_requests": {
+        "requests_unverified": ("not coalesce(identity_verified, false)", "request_hash"),
+        "requests_without_schema": (COUNTS["tool_requests"]["requests_without_schema"], "request_hash"),
+    },
+    "policy_decisions": {
+        "high_impact_unsigned": (
+            f"{HIGH_IMPACT_ALLOW} and (signature_ref is null or signing_key_id is null)", "decision_id",
+        ),
+        "decisions_without_bundle": (COUNTS["policy_decisions"]["decisions_without_bundle"], "decision_id"),
+    },
+    "replay_traces": {
+        "replay_traces_incomplete": (
+            f"not ({COUNTS['replay_traces']['replay_traces_complete']})", "trace_id",
+        ),
+    },
+    "memory_responses": {
+        "memory_reads_undecided": ("request_type = 'read' and memory_decision_id is null", "response_id"),
+        "memory_reads_ungated": ("request_type = 'read' and quality_decision_id is null", "response_id"),
+    },
+    "agent_messages": {"rejects": ("validation_status = 'reject'", "message_id")},
+    "drift_decisions": {
+        "drift_apart": (f"event_type = '{vocab.ADVERSARIAL_EVENT}' or {DOUBLE_TAG}", "event_id"),
+    },
+    "adversarial_outcomes": {
+        "adversarial_apart": (f"event_type = '{vocab.DRIFT_EVENT}' or {DOUBLE_TAG}", "event_id"),
+    },
+}
+
+
+def ref_column(name: str) -> str:
+    """The column with the sample of references behind ``name``."""
+    return f"refs_{name}"
+
 
 def table_counts(
-    cat: EvidenceCatalog, assessments: Assessments, table: str, names: Iterable[str]
+    cat: EvidenceCatalog, assessments: Assessments, table: str, names: Iterable[str], refs: Iterable[str] = ()
 ) -> DataFrame:
-    """The named counts of one table, in one pass."""
-    spec = COUNTS[table]
+    """The named counts of one table, and samples of keys for ``refs``, in one pass."""
+    spec, told = COUNTS[table], OFFENDERS.get(table, {})
+    samples = [
+        sampled(F.coalesce(F.expr(told[n][0]), F.lit(False)), reference(table, told[n][1])).alias(ref_column(n))
+        for n in refs
+    ]
     return (
         assessments.scope(cat[table])
         .groupBy(KEY)
-        .agg(*[F.expr(f"count_if({spec[n]}) as {n}") for n in names])
+        .agg(
+            *[F.expr(f"count_if({spec[n]}) as {n}") for n in names],
+            *samples,
+        )
     )
 
 
+def _total(rows: DataFrame, *counts: Column, **refs: tuple[Column, Column]) -> DataFrame:
+    """Counts per assessment with samples ``refs_<name>``; those that nobody selects cost nothing."""
+    samples = [sampled(F.coalesce(hit, F.lit(False)), ref).alias(ref_column(n)) for n, (hit, ref) in refs.items()]
+    return rows.groupBy(KEY).agg(*counts, *samples)
+
+
 def _right_keys(key: str, scope_right: bool) -> list[str]:
     return [key, "tenant_id", "environment"] if scope_right else [key]
 
@@ -128,10 +177,11 @@ def unmatched_requests(cat, assessments, scope_right: bool = False) -> DataFrame
         .groupBy(*on)
         .agg(n_if(_c("decision_id").isNull()).alias("void"))
     )
-    return (
-        asked.join(answered, on, "left")
-        .groupBy(KEY)
-        .agg(F.sum(_c("n") * F.coalesce("void", F.lit(1))).alias("unmatched_requests"))
+    void = F.coalesce("void", F.lit(1))
+    return _total(
+        asked.join(answered, on, "left"),
+        F.sum(_c("n") * void).alias("unmatched_requests"),
+        unmatched_requests=(void > 0, reference("tool_requests", "request_hash")),
     )
 
 
@@ -146,11 +196,12 @@ def foreign_callers(cat, assessments) -> DataFrame:
         .groupBy(KEY, F.coalesce("originating_identity", "agent_instance_id").alias("identity"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return (
-        callers.join(gateways.distinct(), "identity", "left_anti")
-        .where((_c("identity").isNotNull() | (size == 0)) & (holes == 0))
-        .groupBy(KEY)
-        .agg(F.sum("n").alias("foreign_callers"))
+    strangers = callers.join(gateways.distinct(), "identity", "left_anti").where(
+        (_c("identity").isNotNull() | (size == 0)) & (holes == 0)
+    )
+    return _total(
+        strangers, F.sum("n").alias("foreign_callers"),
+        foreign_callers=(F.lit(True), reference("identity", "identity")),
     )
 
 
@@ -160,7 +211,12 @@ def ledger_breaks(cat, assessments) -> DataFrame:
         KEY, "sink_uri", "sequence_number", "event_hash", "prev_event_hash"
     )
     # One assessment is one (tenant, environment).
-    return chain_breaks(linked(rows, [KEY, "sink_uri"]), KEY)
+    links = linked(rows, [KEY, "sink_uri"])
+    broken = broken_copies()
+    return _total(
+        links, F.sum(broken).alias("chain_breaks"),
+        chain_breaks=(broken > 0, reference("ledger_events", "sink_uri", "sequence_number")),
+    )
 
 
 def quarantine_leaks(cat, assessments, scope_right: bool = False) -> DataFrame:
@@ -177,10 +233,9 @@ def quarantine_leaks(cat, assessments, scope_right: bool = False) -> DataFrame:
     seen = running(
         both, on, "time", F.when(_c("side") == 0, _c("n")).otherwise(0), "sum", "held", "side"
     )
-    return (
-        seen.where(_c("side") == 1)
-        .groupBy(KEY)
-        .agg(F.sum(_c("n") * _c("held")).alias("quarantine_leaks"))
+    return _total(
+        seen.where(_c("side") == 1), F.sum(_c("n") * _c("held")).alias("quarantine_leaks"),
+        quarantine_leaks=(_c("held") > 0, reference("memory_responses", "item_id")),
     )
 
 
@@ -191,21 +246,19 @@ def correlated_runs(cat, assessments, scope_right: bool = False) -> DataFrame:
     for table, flag in (("policy_decisions", "decided"), ("ledger_events", "recorded")):
         known = cat[table].where(_c("run_id").isNotNull()).select(*on).distinct()
         runs = runs.join(known.withColumn(flag, F.lit(True)), on, "left")
-    return runs.groupBy(KEY).agg(
+    tied = F.coalesce(_c("decided") & _c("recorded"), F.lit(False))
+    return _total(
+        runs,
         F.count(F.lit(1)).alias("semantic_runs"),
-        n_if(_c("decided") & _c("recorded")).alias("semantic_runs_correlated"),
+        n_if(tied).alias("semantic_runs_correlated"),
+        semantic_runs=(~tied, reference("semantic_traces", "run_id")),
     )
 
 
 def _unregistered(rows: DataFrame, column: str, registry: DataFrame, out: str) -> DataFrame:
     known = registry.select(_c("bundle_hash").alias(column)).distinct()
-    return (
-        rows.groupBy(KEY, column)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(known, column, "left_anti")
-        .groupBy(KEY)
-        .agg(F.sum("n").alias(out))
-    )
+    strange = rows.groupBy(KEY, column).agg(F.count(F.lit(1)).alias("n")).join(known, column, "left_anti")
+    return _total(strange, F.sum("n").alias(out), **{out: (F.lit(True), reference(column, column))})
 
 
 def unknown_policy_bundles(cat, assessments) -> DataFrame:
@@ -243,13 +296,12 @@ def approvals_present(cat, assessments, scope_right: bool = False) -> DataFrame:
         .groupBy(KEY, *on)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return (
-        needed.join(_approvals(cat, scope_right), on, "left")
-        .groupBy(KEY)
-        .agg(
-            F.sum(_c("n") * F.coalesce("approvals", F.lit(1))).alias("approvals_needed"),
-            F.sum(_c("n") * F.coalesce("signed", F.lit(0))).alias("approvals_signed"),
-        )
+    approvals, signed = F.coalesce("approvals", F.lit(1)), F.coalesce("signed", F.lit(0))
+    return _total(
+        needed.join(_approvals(cat, scope_right), on, "left"),
+        F.sum(_c("n") * approvals).alias("approvals_needed"),
+        F.sum(_c("n") * signed).alias("approvals_signed"),
+        approvals_needed=(approvals > signed, reference("policy_decisions", "decision_id")),
     )
 
 
@@ -272,10 +324,9 @@ def executed_unapproved(cat, assessments, scope_right: bool = False) -> DataFram
         .groupBy(KEY, *on)
         .agg(F.count(F.lit(1)).alias("ran"))
     )
-    return (
-        ran.join(bad, on)
-        .groupBy(KEY)
-        .agg(F.sum(_c("ran") * _c("open")).alias("executed_unapproved"))
+    return _total(
+        ran.join(bad, on), F.sum(_c("ran") * _c("open")).alias("executed_unapproved"),
+        executed_unapproved=(F.lit(True), reference("tool_responses", "request_hash")),
     )
 
 
@@ -304,11 +355,10 @@ def unenrolled_agents(
         .select(KEY, _c("owner_identity").alias("agent_instance_id"))
         .distinct()
     )
-    return (
-        seen.join(enrolled, on, "left_anti")
-        .join(excused, [KEY, "agent_instance_id"], "left_anti")
-        .groupBy(KEY)
-        .agg(F.count(F.lit(1)).alias("unenrolled_agents"))
+    return _total(
+        seen.join(enrolled, on, "left_anti").join(excused, [KEY, "agent_instance_id"], "left_anti"),
+        F.count(F.lit(1)).alias("unenrolled_agents"),
+        unenrolled_agents=(F.lit(True), reference("agent_instance_id", "agent_instance_id")),
     )
 
 
@@ -379,15 +429,18 @@ def stale_baselines(cat, assessments, scope_right: bool = False) -> DataFrame:
     )
     age = micros(_c("as_of")) - micros(_c("created_at"))
     faulty = _c("made").isNull() | (age > _c("c19_baseline_max_age_days") * DAY_US)
-    return (
+    stale = (
         agents.join(current, on, "left")
         .groupBy(KEY, "current_baseline_hash")
         .agg(F.sum(_c("n") * F.coalesce("m", F.lit(1))).alias("n"))
         .join(made, "current_baseline_hash", "left")
         .join(assessments.side("as_of", "c19_baseline_max_age_days"), KEY)
         .where(faulty)
-        .groupBy(KEY)
-        .agg(F.sum(_c("n") * F.coalesce("made", F.lit(1))).alias("stale_baselines"))
+    )
+    # Agents without a current baseline are one reference with an empty key.
+    return _total(
+        stale, F.sum(_c("n") * F.coalesce("made", F.lit(1))).alias("stale_baselines"),
+        stale_baselines=(F.lit(True), reference("baseline_hash", "current_baseline_hash")),
     )
 
 
@@ -414,10 +467,10 @@ def cadence_gaps(cat, assessments) -> DataFrame:
     limit = (_c(hours) * HOUR_US).cast("bigint")
     rows = assessments.scope(cat["drift_decisions"], hours)
     pairs = spans(rows, [KEY, hours, "agent_instance_id", "dimension"], limit)
-    return (
-        pairs.where(micros(_c("time")) - micros(_c("previous_time")) > _c(hours) * HOUR_US)
-        .groupBy(KEY)
-        .agg(F.count(F.lit(1)).alias("cadence_gaps"))
+    return _total(
+        pairs.where(micros(_c("time")) - micros(_c("previous_time")) > _c(hours) * HOUR_US),
+        F.count(F.lit(1)).alias("cadence_gaps"),
+        cadence_gaps=(F.lit(True), reference("drift_decisions", "agent_instance_id", "dimension")),
     )
 
 
@@ -470,6 +523,18 @@ SHAPED: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "enforced_responses": (enforced_responses, ("enforced_responses",)),
 }
 
+# kind -> names of the samples it can give
+REFS: dict[str, tuple[str, ...]] = {table: tuple(told) for table, told in OFFENDERS.items()} | {
+    kind: (kind,) for kind in (
+        "unmatched_requests", "foreign_callers", "quarantine_leaks", "executed_unapproved",
+        "unenrolled_agents", "stale_baselines", "cadence_gaps",
+    )
+} | {
+    "ledger_breaks": ("chain_breaks",), "correlated_runs": ("semantic_runs",),
+    "unknown_policy_bundles": ("unknown_bundles",), "unknown_classifiers": ("unknown_classifiers",),
+    "approvals_present": ("approvals_needed",),
+}
+
 # Metrics that take ``scope_right``: their right-hand tables are then limited to
 # the tenant and environment as well.
 RIGHT_SCOPED = (

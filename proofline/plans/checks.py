@@ -29,6 +29,37 @@ class Check:
     shaped: tuple[str, ...] = ()
     error: str = "cast(null as string)"
 
+    @property
+    def refs(self) -> dict[str, tuple[str, ...]]:
+        """Which samples of offending keys tell what counts against the control."""
+        return REFS.get(self.check_id, {})
+
+
+# check -> source of counts -> samples taken there
+REFS: dict[str, dict[str, tuple[str, ...]]] = {
+    "Check01": {"unmatched_requests": ("unmatched_requests",)},
+    "Check02": {"foreign_callers": ("foreign_callers",)},
+    "Check03": {"tool_requests": ("requests_unverified",)},
+    "Check04": {"tool_requests": ("requests_without_schema",)},
+    "Check05": {"ledger_breaks": ("chain_breaks",)},
+    "Check06": {"replay_traces": ("replay_traces_incomplete",)},
+    "Check09": {"policy_decisions": ("high_impact_unsigned",)},
+    "Check10": {"memory_responses": ("memory_reads_undecided",)},
+    "Check11": {"quarantine_leaks": ("quarantine_leaks",)},
+    "Check12": {"correlated_runs": ("semantic_runs",)},
+    "Check13": {
+        "policy_decisions": ("decisions_without_bundle",), "unknown_policy_bundles": ("unknown_bundles",),
+    },
+    "Check14": {
+        "approvals_present": ("approvals_needed",), "executed_unapproved": ("executed_unapproved",),
+    },
+    "Check15": {"agent_messages": ("rejects",)},
+    "Check16": {"unknown_classifiers": ("unknown_classifiers",), "unenrolled_agents": ("unenrolled_agents",)},
+    "Check17": {"memory_responses": ("memory_reads_ungated",)},
+    "Check18": {"stale_baselines": ("stale_baselines",), "cadence_gaps": ("cadence_gaps",)},
+    "Check19": {"drift_decisions": ("drift_apart",), "adversarial_outcomes": ("adversarial_apart",)},
+}
+
 
 def _pct(part: str, whole: str) -> str:
     ratio = f"cast({part} as double) / nullif(cast({whole} as double), 0d) * 100d"

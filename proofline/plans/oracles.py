@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from proofline.functions.vocab import ADVERSARIAL_EVENT, DRIFT_EVENT, UNENROLLED_FINDING
+from proofline.plans.checks import OPEN_QUESTIONS
 from proofline.sources.derived import AS_OF, duckdb
 
 NOW = f"TIMESTAMP_NTZ '{AS_OF}'"
@@ -349,6 +350,121 @@ VERDICT_SQL = "\nUNION ALL ".join(
     for c, (tiers, rule) in _VERDICTS.items()
 )
 
+def _keys(table: str, key: str, where: str) -> str:
+    return f"SELECT a.assessment_id, '{table}/' || coalesce({key}, '') AS ref FROM {_in(table)} WHERE {where}"
+
+
+# check -> what counts against it: one text per sample, each giving (assessment_id, ref)
+_OFFENDERS: dict[str, list[str]] = {
+    "Check01": [f"""SELECT a.assessment_id, 'tool_requests/' || coalesce(x.request_hash, '') AS ref
+      FROM {_in('tool_requests')} LEFT JOIN policy_decisions p ON x.request_hash = p.request_hash
+      WHERE p.decision_id IS NULL"""],
+    "Check02": [f"""SELECT a.assessment_id,
+        'identity/' || coalesce(x.originating_identity, x.agent_instance_id) AS ref
+      FROM {_in('tool_requests')} WHERE coalesce(x.originating_identity, x.agent_instance_id)
+        NOT IN (SELECT identity FROM gateway_identities)"""],
+    "Check03": [_keys("tool_requests", "request_hash", "identity_verified IS NOT true")],
+    "Check04": [_keys("tool_requests", "request_hash", "coalesce(tool_schema_hash, '') = ''")],
+    "Check05": [f"""SELECT assessment_id, 'ledger_events/' || sink_uri || '/' || sequence_number AS ref FROM (
+        SELECT a.assessment_id, x.sink_uri, x.sequence_number, x.prev_event_hash,
+          lag(x.event_hash) OVER (PARTITION BY a.assessment_id, x.sink_uri ORDER BY x.sequence_number)
+            AS expected
+        FROM {_in('ledger_events')}) o WHERE prev_event_hash <> expected"""],
+    "Check06": [_keys("replay_traces", "trace_id", "model_id IS NULL OR prompt_bundle_hash IS NULL "
+                      "OR tool_schema_hash IS NULL OR snapshot_uri IS NULL")],
+    "Check09": [_keys("policy_decisions", "decision_id", f"tool_category IN {HIGH} AND decision = 'allow' "
+                      "AND (signature_ref IS NULL OR signing_key_id IS NULL)")],
+    "Check10": [_keys("memory_responses", "response_id",
+                      "request_type = 'read' AND memory_decision_id IS NULL")],
+    "Check11": [f"""SELECT a.assessment_id, 'memory_responses/' || x.item_id AS ref
+      FROM {_in('memory_responses')}
+      JOIN memory_quarantine z ON x.item_id = z.item_id AND x.time >= z.time"""],
+    "Check12": [f"""SELECT s.assessment_id, 'semantic_traces/' || coalesce(s.run_id, '') AS ref
+      FROM (SELECT DISTINCT a.assessment_id, x.run_id FROM {_in('semantic_traces')}) s
+      WHERE s.run_id IS NULL OR s.run_id NOT IN (SELECT run_id FROM policy_decisions WHERE run_id IS NOT NULL)
+        OR s.run_id NOT IN (SELECT run_id FROM ledger_events WHERE run_id IS NOT NULL)"""],
+    "Check13": [
+        _keys("policy_decisions", "decision_id", "coalesce(policy_bundle_hash, '') = ''"),
+        f"""SELECT a.assessment_id, 'policy_bundle_hash/' || coalesce(x.policy_bundle_hash, '') AS ref
+      FROM {_in('policy_decisions')} LEFT JOIN policy_bundles b ON b.bundle_hash = x.policy_bundle_hash
+      WHERE b.bundle_hash IS NULL""",
+    ],
+    "Check14": [
+        f"""SELECT a.assessment_id, 'policy_decisions/' || coalesce(x.decision_id, '') AS ref
+      FROM {_in('policy_decisions')} LEFT JOIN hitl_decisions h ON h.policy_decision_id = x.decision_id
+      WHERE x.obligations ILIKE '%hitl%' AND (h.approval_id IS NULL OR h.signature_ref IS NULL)""",
+        f"""SELECT a.assessment_id, 'tool_responses/' || x.request_hash AS ref FROM {_in('tool_responses')}
+      JOIN policy_decisions p ON p.request_hash = x.request_hash
+      LEFT JOIN hitl_decisions h ON h.policy_decision_id = p.decision_id
+      WHERE p.obligations ILIKE '%hitl%' AND (h.approval_id IS NULL OR h.signature_ref IS NULL)""",
+    ],
+    "Check15": [_keys("agent_messages", "message_id", "validation_status = 'reject'")],
+    "Check16": [
+        f"""SELECT a.assessment_id, 'classifier_bundle_hash/' || coalesce(x.classifier_bundle_hash, '') AS ref
+      FROM {_in('discovery_events')} LEFT JOIN classifier_bundles b ON b.bundle_hash = x.classifier_bundle_hash
+      WHERE b.bundle_hash IS NULL""",
+        f"""SELECT s.assessment_id, 'agent_instance_id/' || s.agent_instance_id AS ref FROM (
+        SELECT a.assessment_id, a.tenant_id, a.environment, a.as_of, x.agent_instance_id,
+          min(x.time) AS first_seen FROM {_in('tool_requests')} GROUP BY ALL) s
+      LEFT JOIN remediation_outcomes r ON r.owner_identity = s.agent_instance_id
+        AND r.tenant_id = s.tenant_id AND r.environment = s.environment
+        AND r.outcome = 'exception' AND r.exception_ttl_expires_at > s.as_of
+      WHERE s.agent_instance_id NOT IN (SELECT agent_instance_id FROM c04_inventory)
+        AND r.owner_identity IS NULL AND s.first_seen < s.as_of - INTERVAL '4' DAY""",
+    ],
+    "Check17": [_keys("memory_responses", "response_id",
+                      "request_type = 'read' AND quality_decision_id IS NULL")],
+    "Check18": [
+        """SELECT a.assessment_id, 'baseline_hash/' || coalesce(m.current_baseline_hash, '') AS ref FROM assess a
+      JOIN agent_state g ON g.tenant_id = a.tenant_id AND g.environment = a.environment
+        AND g.autonomy_tier = a.tier AND g.state = 'Run'
+      LEFT JOIN abom m ON m.agent_instance_id = g.agent_instance_id AND m.is_current
+      LEFT JOIN baselines b ON b.baseline_hash = m.current_baseline_hash
+      WHERE b.baseline_hash IS NULL OR b.created_at < a.as_of - INTERVAL '90' DAY""",
+        f"""SELECT assessment_id, 'drift_decisions/' || agent_instance_id || '/' || dimension AS ref FROM (
+        SELECT a.assessment_id, x.agent_instance_id, x.dimension, x.time, lag(x.time) OVER (
+          PARTITION BY a.assessment_id, x.agent_instance_id, x.dimension ORDER BY x.time) AS before
+        FROM {_in('drift_decisions')}) o WHERE time > before + INTERVAL '24' HOUR""",
+    ],
+    "Check19": [
+        _keys("drift_decisions", "event_id", f"event_type = '{ADVERSARIAL_EVENT}' "
+              "OR event_type ILIKE '%adversarial_outcome%drift_decision%' "
+              "OR event_type ILIKE '%drift_decision%adversarial_outcome%'"),
+        _keys("adversarial_outcomes", "event_id", f"event_type = '{DRIFT_EVENT}' "
+              "OR event_type ILIKE '%adversarial_outcome%drift_decision%' "
+              "OR event_type ILIKE '%drift_decision%adversarial_outcome%'"),
+    ],
+}
+
+# Of each sample the reference of the lowest md5 in each of five slots.
+REFS_SQL = f"""
+SELECT assessment_id, check_id, status, ref FROM (
+  SELECT check_id, assessment_id, source, ref, row_number() OVER (
+    PARTITION BY check_id, assessment_id, source, CAST('0x' || substr(md5(ref), 1, 4) AS INT) % 5
+    ORDER BY md5(ref)) AS place
+  FROM (SELECT DISTINCT * FROM ({
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS check_id, {i} AS source, assessment_id, ref FROM ({sql}) o"
+        for c, texts in _OFFENDERS.items() for i, sql in enumerate(texts))
+  }) u) d) s
+JOIN ({VERDICT_SQL}) v USING (check_id, assessment_id)
+WHERE place = 1 AND status <> 'SKIP'"""
+
+
+def _steps_sql() -> str:
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    rows = ",\n".join(
+        f"({quote(check)}, {quote(tier)}, {quote(step)}, {quote(proof)}, {quote(limit)})"
+        for check, owed in OPEN_QUESTIONS.items() for tiers, limit, step, proof in owed for tier in tiers
+    )
+    return f"""
+SELECT assessment_id, check_id, status, step, expected_artifact, CAST(row_number() OVER (
+    PARTITION BY assessment_id, check_id ORDER BY step, expected_artifact, rationale) - 1 AS INT) AS step_no
+FROM ({VERDICT_SQL}) v
+JOIN (VALUES {rows}) s(check_id, tier, step, expected_artifact, rationale) USING (check_id, tier)
+WHERE status <> 'SKIP'"""
+
+
 _COUNT_METRICS = {
     c: [w for w in dict.fromkeys(sql.replace(",", " ").split()) if w.startswith("count_")]
     for c, sql in CHECK_SQL.items()
@@ -611,19 +727,6 @@ FROM policy_decisions WHERE policy_bundle_hash IS NOT NULL
 UNION ALL SELECT 'breaker_events' AS kind, count(*) AS n_rows FROM breaker_events
 WHERE affected_run_ids[1] IN (SELECT run_id FROM halted)""",
     "d07_replay_completeness": """
-SELECT *, calls_without_request_hash + calls_without_response_hash + calls_without_snapshot
-  + halts_without_rule = 0 AS is_complete
-FROM (SELECT trace_id, count(*) AS steps,
-    count(*) FILTER (WHERE step_type = 'tool_call' AND request_hash IS NULL)
-      AS calls_without_request_hash,
-    count(*) FILTER (WHERE step_type = 'tool_call' AND response_hash IS NULL)
-      AS calls_without_response_hash,
-    count(*) FILTER (WHERE step_type = 'tool_call' AND snapshot_uri IS NULL)
-      AS calls_without_snapshot,
-    count(*) FILTER (WHERE step_type = 'invariant_halt' AND invariant_rule_id IS NULL)
-      AS halts_without_rule
-  FROM replay_steps GROUP BY 1) t""",
-    "d07_replay_completeness_runbook": """
 SELECT coalesce(s.trace_id, r.trace_id) AS trace_id, coalesce(steps, 0) AS steps,
   coalesce(no_request, 0) AS calls_without_request_hash,
   coalesce(no_response, 0) AS calls_without_response_hash,
@@ -834,7 +937,9 @@ def all_sql() -> dict[str, str]:
     texts["verdicts"] = VERDICT_SQL
     texts["r01_metric_rollup"] = ROLLUP_SQL
     texts["r02_status_counts"] = STATUS_SQL
+    texts["r03_evidence_refs"] = REFS_SQL
     texts["r05_report"] = REPORT_SQL
+    texts["r05_report_steps"] = _steps_sql()
     texts["r05_report_checks"] = f"SELECT check_id, assessment_id, status FROM ({VERDICT_SQL}) v"
     texts["r05_report_metrics"] = ROLLUP_SQL
     texts["e04_risk_distribution_exact"] = CORRELATE_SQL["e04_risk_distribution"]

@@ -36,13 +36,26 @@ def _metrics(check_id: str) -> Query:
     )
 
 
-def _results(spark: SparkSession, sf: str) -> DataFrame:
-    return run_assessments(derived_catalog(spark, sf), assessments(spark))
+def _results(spark: SparkSession, sf: str, refs: bool = False) -> DataFrame:
+    return run_assessments(derived_catalog(spark, sf), assessments(spark), refs=refs)
 
 
-def _whole_report(spark: SparkSession, sf: str) -> DataFrame:
-    who = assessments(spark)
-    return build_report(run_assessments(derived_catalog(spark, sf), who), who, AS_OF)
+def _whole_report(spark: SparkSession, sf: str, refs: bool = False) -> DataFrame:
+    return build_report(_results(spark, sf, refs), assessments(spark), AS_OF)
+
+
+def _evidence_refs(spark: SparkSession, sf: str) -> DataFrame:
+    """A row per reference that the report gives for a check."""
+    checks = _whole_report(spark, sf, refs=True).select("assessment_id", F.explode("checks").alias("c"))
+    return checks.select("assessment_id", "c.check_id", "c.status", F.explode("c.evidence_refs").alias("ref"))
+
+
+def _report_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """A row per proof still owed, in the order of the report."""
+    checks = _whole_report(spark, sf).select("assessment_id", F.explode("checks").alias("c"))
+    return checks.select(
+        "assessment_id", "c.check_id", "c.status", F.posexplode("c.manual_steps").alias("step_no", "s"),
+    ).select("*", "s.step", "s.expected_artifact").drop("s")
 
 
 def _report(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,9 +128,11 @@ def batch_queries() -> dict[str, Query]:
     )
     q["r01_metric_rollup"] = lambda s, sf: metric_rollup(_results(s, sf))
     q["r02_status_counts"] = lambda s, sf: status_counts(_results(s, sf))
+    q["r03_evidence_refs"] = _evidence_refs
     q["r05_report"] = _report
     q["r05_report_checks"] = _report_checks
     q["r05_report_metrics"] = _report_metrics
+    q["r05_report_steps"] = _report_steps
     q |= {
         "e01_unmatched_requests": _on(c.unmatched_requests, AS_OF),
         "e02_evidence_chain": _all_runs(c.evidence_chain),
@@ -143,8 +158,6 @@ def batch_queries() -> dict[str, Query]:
         "d05_last_good_bundle": _on(d.last_good_bundle, OUTAGE[0]),
         "d06_incident_counts": _halted_runs(d.incident_counts),
         "d07_replay_completeness": _on(d.replay_completeness),
-        # The same rows; the twin of this name is written from the runbook.
-        "d07_replay_completeness_runbook": _on(d.replay_completeness),
         "d08_replay_compare": _compared,
         "d08_replay_success": lambda s, sf: d.replay_success(_compared(s, sf)),
         "d09_containment": _on(d.containment),

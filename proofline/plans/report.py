@@ -56,10 +56,10 @@ def build_report(
     """
     fields = [
         "check_id", "status", "classification", "title", "control", "tier", "metrics",
-        "manual_steps", "automated_finding", "error", "notes",
+        "manual_steps", "automated_finding", "error", "notes", "evidence_refs",
     ]
-    empty_steps = F.when(F.size("manual_steps") > 0, F.col("manual_steps"))
-    entry = F.struct(*[(empty_steps if f == "manual_steps" else F.col(f)).alias(f) for f in fields])
+    lists = {f: F.when(F.size(f) > 0, F.col(f)).alias(f) for f in ("manual_steps", "evidence_refs")}
+    entry = F.struct(*[lists.get(f, F.col(f)) for f in fields])
     # One grouping does it all, so the checks are run once. The groups are
     # bounded: one row per registered check, a few metrics each.
     by_id = lambda a, b: F.when(a["check_id"] < b["check_id"], -1).otherwise(1)

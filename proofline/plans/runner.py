@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.functions.vocab import ERROR, SKIP
-from proofline.operators.metrics import RIGHT_SCOPED, SHAPED, table_counts
+from proofline.operators.metrics import RIGHT_SCOPED, SHAPED, ref_column, table_counts
 from proofline.plans import checks as specs
 from proofline.plans.assessments import Assessments
 from proofline.plans.checks import Check
@@ -28,23 +28,29 @@ class Parts:
     """
 
     def __init__(
-        self, cat: EvidenceCatalog, assessments: Assessments, scope_right: bool = False
+        self, cat: EvidenceCatalog, assessments: Assessments, scope_right: bool = False, refs: bool = False
     ):
         self._options = dict.fromkeys(RIGHT_SCOPED, {"scope_right": True}) if scope_right else {}
         self._cat = cat
         self._assessments = assessments
+        self._refs = refs
         self._built: dict[tuple, DataFrame] = {}
 
-    def _build(self, kind: str, columns: tuple[str, ...]) -> DataFrame:
-        if (kind, columns) not in self._built:
+    def _build(self, kind: str, columns: tuple[str, ...], refs: tuple[str, ...] = ()) -> DataFrame:
+        if (kind, columns, refs) not in self._built:
             if kind in SHAPED:
                 part = SHAPED[kind][0](
                     self._cat, self._assessments, **self._options.get(kind, {})
                 )
             else:
-                part = table_counts(self._cat, self._assessments, kind, columns)
-            self._built[kind, columns] = part
-        return self._built[kind, columns]
+                part = table_counts(self._cat, self._assessments, kind, columns, refs)
+            self._built[kind, columns, refs] = part
+        return self._built[kind, columns, refs]
+
+    def _samples(self, checks: Iterable[Check], kind: str) -> tuple[str, ...]:
+        if not self._refs:
+            return ()
+        return tuple(dict.fromkeys(n for c in checks for n in c.refs.get(kind, ())))
 
     @staticmethod
     def _needs(checks: Iterable[Check]) -> dict[str, tuple[str, ...]]:
@@ -60,7 +66,7 @@ class Parts:
         """Why the check cannot be analysed on this store, if it cannot."""
         try:
             for kind, columns in self._needs([check]).items():
-                self._build(kind, columns)
+                self._build(kind, columns, self._samples([check], kind))
         except (MissingTable, PySparkException) as exc:
             return f"{type(exc).__name__}: {str(exc).splitlines()[0]}"
         return None
@@ -68,28 +74,34 @@ class Parts:
     def failures(self, checks: list[Check]) -> dict[str, str | None]:
         try:
             for kind, columns in self._needs(checks).items():
-                self._build(kind, columns)
+                self._build(kind, columns, self._samples(checks, kind))
         except (MissingTable, PySparkException):
             return {c.check_id: self.failure(c) for c in checks}
         return dict.fromkeys((c.check_id for c in checks))
 
     def wide(self, checks: Iterable[Check]) -> DataFrame:
-        """One row per assessment with every raw count the checks need.
+        """One row per assessment with every raw count the checks need, and if asked for
+        a map ``refs`` from the name of a count to a sample of the keys behind it.
 
         Each aggregate gives at most one row per assessment; they are stacked
         and folded by one grouping instead of being joined one by one.
         """
+        checks = list(checks)
         needs = self._needs(checks)
         frame = self._assessments.frame
+        empty = "cast(map() as map<string,array<string>>) as refs"
         if not needs:
-            return frame
+            return frame.selectExpr("*", *([empty] if self._refs else []))
+        none = "cast(null as array<string>)"
         # Every assessment gets a row, also where no evidence is in scope.
-        layers = [frame.selectExpr(KEY, "'' as name", "0L as n")]
+        layers = [frame.selectExpr(KEY, "'' as name", "0L as n", *([f"{none} as refs"] if self._refs else []))]
         for kind, columns in needs.items():
-            pairs = ", ".join(f"'{n}', cast({n} as bigint)" for n in columns)
+            told = self._samples(checks, kind)
+            rows = [f"'{n}', cast({n} as bigint)" + f", {none}" * self._refs for n in columns]
+            rows += [f"'{n}', cast(null as bigint), {ref_column(n)}" for n in told]
             layers.append(
-                self._build(kind, columns).selectExpr(
-                    KEY, f"stack({len(columns)}, {pairs}) as (name, n)"
+                self._build(kind, columns, told).selectExpr(
+                    KEY, f"stack({len(rows)}, {', '.join(rows)}) as (name, n{', refs' * self._refs})"
                 )
             )
         while len(layers) > 1:  # pairwise, so no plan is analysed over and over
@@ -97,13 +109,15 @@ class Parts:
                 layers[i].union(layers[i + 1]) if i + 1 < len(layers) else layers[i]
                 for i in range(0, len(layers), 2)
             ]
-        # Bounded groups: one entry per raw count.
+        # Bounded groups: one entry per raw count or sample.
+        entry = "map_from_entries(collect_list(struct(name, {0})) filter (where name <> '' and {0} is not null)) as {1}"
         folded = layers[0].groupBy(KEY).agg(
-            F.expr("map_from_entries(collect_list(struct(name, n)) filter (where name <> ''))").alias("raw")
+            F.expr(entry.format("n", "raw")), *([F.expr(entry.format("refs", "refs"))] if self._refs else [])
         )
         return folded.join(self._assessments.wide_side(), KEY).selectExpr(
             *frame.columns,
             *[f"coalesce(raw['{n}'], 0) as {n}" for cols in needs.values() for n in cols],
+            *(["refs"] if self._refs else []),
         )
 
 
@@ -149,7 +163,7 @@ def step_lists(steps: DataFrame) -> DataFrame:
     return steps.groupBy("check_id", "tier").agg(F.sort_array(F.collect_list(step)).alias("manual_steps"))
 
 
-def _outcome(check: Check, failure: str | None) -> str:
+def _outcome(check: Check, failure: str | None, refs: bool) -> str:
     """What one check found, as a struct over the wide metrics."""
     if failure is None:
         pairs = ", ".join(f"'{n}', cast({e} as double)" for n, e in check.metrics.items())
@@ -158,9 +172,15 @@ def _outcome(check: Check, failure: str | None) -> str:
         text = failure.replace("\\", "\\\\").replace("'", "\\'")
         status, finding, error = "'ERROR'", "cast(null as string)", f"'{text}'"
         metrics = "cast(null as map<string,double>)"
+    empty = "cast(array() as array<string>)"
+    told = [f"coalesce(refs['{n}'], {empty})" for names in check.refs.values() for n in names]
+    if not refs or failure is not None:
+        keys = "cast(null as array<string>)"
+    else:
+        keys = f"array_distinct(flatten(array({', '.join(told) or empty})))"
     return (
         f"named_struct('check_id', '{check.check_id}', 'found', {status}, 'metrics', {metrics}, "
-        f"'finding', {finding}, 'failure', {error})"
+        f"'finding', {finding}, 'failure', {error}, 'evidence_refs', {keys})"
     )
 
 
@@ -176,11 +196,11 @@ _NOTES = (
 
 def _judge(
     rows: DataFrame, checks: list[Check], failures: dict[str, str | None],
-    steps: DataFrame | None = None,
+    steps: DataFrame | None = None, refs: bool = False,
 ) -> DataFrame:
     """Result rows: tier gate, error rows, catalog columns, manual steps and notes."""
     spark = rows.sparkSession
-    outcomes = ", ".join(_outcome(c, failures[c.check_id]) for c in checks)
+    outcomes = ", ".join(_outcome(c, failures[c.check_id], refs) for c in checks)
     found = rows.selectExpr(KEY, "tenant_id", "environment", "tier", "window_days", f"inline(array({outcomes}))")
     # Both tables are small: one row per check, and per check and tier.
     lists = manual_steps(spark) if steps is None else step_lists(steps)
@@ -201,7 +221,7 @@ def _judge(
             f"if(status = '{ERROR}', failure, null) as error",
             f"if(status = '{SKIP}', concat('Not applicable at this tier; applies to ', "
             f"array_join(tiers, ', '), '.'), {_NOTES}) as notes",
-            "cast(null as array<string>) as evidence_refs",
+            f"if(status in ('{SKIP}', '{ERROR}'), null, evidence_refs) as evidence_refs",
         )
     )
 
@@ -212,8 +232,11 @@ def run_assessments(
     check_ids: Iterable[str] | None = None,
     scope_right: bool = False,
     steps: DataFrame | None = None,
+    refs: bool = True,
 ) -> DataFrame:
-    """One row per assessment and check: status, metrics, findings, notes.
+    """One row per assessment and check: status, metrics, findings, notes, and in
+    ``evidence_refs`` a sample of the keys that count against the control (null
+    without ``refs``). The samples are taken where the counts are.
 
     ``steps`` replaces the built-in list of proofs owed: check_id, tier, step,
     expected_artifact, rationale.
@@ -226,10 +249,10 @@ def run_assessments(
     run as one plan that reads each table's counts once.
     """
     wanted = specs.chosen(check_ids)
-    parts = Parts(cat, assessments, scope_right)
+    parts = Parts(cat, assessments, scope_right, refs)
     failures = parts.failures(wanted)
     wide = parts.wide([c for c in wanted if failures[c.check_id] is None])
-    return _judge(wide, wanted, failures, steps)
+    return _judge(wide, wanted, failures, steps, refs)
 
 
 def write_results(
