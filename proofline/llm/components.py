@@ -44,7 +44,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = stored(links, "links")
     before = None
     for _ in range(max_rounds):
-        links = stored(_star(_star(links, True), False), "links")
+        # Each star reads its input twice, so each is stored.
+        links = stored(_star(stored(_star(links, True), "links"), False), "links")
         now = links.agg(
             F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.expr("bit_xor(hash(v, u))")
         ).first()

@@ -3,8 +3,9 @@
 A url's own rule, the longest that fits its host and path, decides its verdict.
 Urls without a rule take the verdict of their aliases: urls linked by
 redirects, canonical links and the usual normal form (scheme, ``www.`` or
-``m.``, fragment, tracking parameters and a trailing slash do not matter). Aliases
-are the connected components over these edges. An alias that is explicitly
+``m.``, fragment, tracking parameters and a trailing slash do not matter). Urls of one
+normal form are aliases by that expression alone; aliases beyond that are the connected
+components over links between different forms. An alias that is explicitly
 allowed makes its component allowed, else one that is blocked makes it
 blocked, else it is allowed.
 
@@ -18,6 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofline.llm.common import stored
 from proofline.llm.components import components
 
 
@@ -134,20 +136,36 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.select("u", resolved(F.col("u"), F.col("link")).alias("v")).where(F.instr("v", "://") > 0)
 
 
-def alias_edges(pages: DataFrame, url: str = "url", html: str | None = "html", redirects: DataFrame | None = None) -> DataFrame:
-    """(u, v) over urls and normal forms.
+def told_links(pages: DataFrame, url: str = "url", html: str | None = "html", redirects: DataFrame | None = None) -> DataFrame | None:
+    """(u, v): urls that a redirect, a canonical link or a refresh says are one.
 
     ``redirects`` has columns ``source`` and ``target``, e.g. from a crawl log.
     """
-    urls = pages.select(F.col(url).alias("u"))
     links = redirects.select(F.col("source").alias("u"), F.col("target").alias("v")) if redirects is not None else None
     if html:
         own = page_links(pages, url, html)
         links = own if links is None else links.unionByName(own)
-    if links is not None:
-        urls = urls.unionByName(links.select("u")).unionByName(links.select(F.col("v").alias("u")))
-    same = urls.where(F.instr("u", "://") > 0).select("u", normal_form(F.col("u")).alias("v"))
-    return same if links is None else same.unionByName(links)
+    return None if links is None else stored(links.dropna().distinct(), "links")
+
+
+def form_verdicts(urls: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(form, allowed, blocked): what the rules say of the urls (column ``url``) of each
+    normal form, and of the form itself; forms without a rule are left out."""
+    form = normal_form(F.col("url"))
+    # A form has no scheme but the same host and path.
+    as_url = F.concat(F.lit("x:"), F.col("form"))
+    said = urls.where(F.instr("url", "://") > 0).select("url", form.alias("form")).select(
+        "form",
+        F.explode(
+            F.array(
+                verdict_of(matching_rule(host_of(F.col("url")), path_of(F.col("url")), rules), rules),
+                verdict_of(matching_rule(host_of(as_url), path_of(as_url), rules), rules),
+            )
+        ).alias("verdict"),
+    )
+    return said.where("verdict is not null").groupBy("form").agg(
+        F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked")
+    )
 
 
 def url_verdicts(
@@ -166,23 +184,33 @@ def url_verdicts(
     """
     wanted = [F.col(id).alias("id"), F.col(url).alias("url")]
     pages = pages.select(*wanted, *([F.col(html).alias("html")] if html else []))
-    edges = alias_edges(pages, "url", "html" if html else None, redirects)
-    groups = components(edges)
-    # Normal forms have no scheme but the same host and path.
-    full = F.when(F.col("node").startswith("//"), F.concat(F.lit("x:"), "node")).otherwise(F.col("node"))
-    own = matching_rule(host_of(full), path_of(full), rules)
-    said = groups.withColumn("verdict", verdict_of(own, rules))
-    decided = said.groupBy("component").agg(
-        F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked")
-    )
-    blocked = decided.where("blocked and not coalesce(allowed, false)").select("component")
-    blocked = groups.join(blocked, "component", "left_semi").select(F.col("node").alias("url"), F.lit(True).alias("by_alias"))
+    urls = pages.select("url")
+    links = told_links(pages, "url", "html" if html else None, redirects)
+    edges = None
+    if links is not None:
+        urls = urls.unionByName(links.select(F.col("u").alias("url"))).unionByName(links.select(F.col("v").alias("url")))
+        both = links.where((F.instr("u", "://") > 0) & (F.instr("v", "://") > 0))
+        edges = both.select(normal_form(F.col("u")).alias("u"), normal_form(F.col("v")).alias("v")).where("u <> v")
+    # Urls of one normal form are aliases by an expression; only links between different
+    # forms need components, and without any there is no round.
+    groups = stored(components(edges), "aliases") if edges is not None and not edges.isEmpty() else None
+    said = form_verdicts(urls, rules)
+    if groups is not None:
+        said = said.join(groups.withColumnRenamed("node", "form"), "form", "left")
+        said = said.groupBy(F.coalesce("component", "form").alias("form")).agg(
+            F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked")
+        )
+    blocked = said.where("blocked and not allowed").select(F.col("form").alias("alias"), F.lit(True).alias("by_alias"))
     judged = pages.select(
         "id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     ).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     ruled = judged.where("rule is not null").withColumn("verdict", verdict_of(F.col("rule"), rules))
-    others = judged.where("rule is null").join(blocked, "url", "left").withColumn(
-        "verdict", F.when(F.col("by_alias"), "block").otherwise("allow")
-    )
+    others = judged.where("rule is null")
+    others = others.withColumn("alias", F.when(F.instr("url", "://") > 0, normal_form(F.col("url"))))
+    if groups is not None:
+        others = others.join(groups.withColumnRenamed("node", "alias"), "alias", "left").withColumn(
+            "alias", F.coalesce("component", "alias")
+        )
+    others = others.join(blocked, "alias", "left").withColumn("verdict", F.when(F.col("by_alias"), "block").otherwise("allow"))
     columns = [F.col("id").alias(id), "host", "path", "rule", "verdict"]
     return ruled.select(*columns).unionByName(others.select(*columns))

@@ -142,3 +142,32 @@ def test_a_block_spreads_over_relative_links(spark):
     ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in u.url_verdicts(df, RULES).collect()} == dict.fromkeys((1, 2, 3), "block")
+
+
+def test_a_path_of_a_thousand_redirects(spark):
+    from proofline.llm.url_filter import Rule, url_verdicts
+
+    at = lambda i: f"http://h{i}.info/p"
+    hops = spark.createDataFrame([(at(i), at(i + 1)) for i in range(1000)] + [(at(3000), at(3001)), (None, at(1))], "source string, target string")
+    pages = spark.createDataFrame(
+        [(0, at(0)), (1, at(500)), (2, at(1000)), (3, at(3000)), (4, "https://www.h7.info/p/?utm_x=1#a"), (5, None), (6, at(3001) + "?" + "q" * 50_000)],
+        "page_id long, url string",
+    )
+    rules = [Rule("block", "h1000.info", "/")]
+    told = {r.page_id: r.verdict for r in url_verdicts(pages, rules, html=None, redirects=hops).collect()}
+    assert told == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow"}
+    rules.append(Rule("allow", "h999.info", "/"))  # an allowed alias wins, but for a rule of a url's own
+    told = {r.page_id: r.verdict for r in url_verdicts(pages, rules, html=None, redirects=hops).collect()}
+    assert told == {0: "allow", 1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
+
+
+def test_no_links_make_no_rounds(spark, monkeypatch):
+    from proofline.llm import url_filter as uf
+
+    monkeypatch.setattr(uf, "components", lambda *_: pytest.fail("no link edges, no components"))
+    pages = spark.createDataFrame(
+        [(1, "http://x.net/a?ref=1", "<p>a</p>"), (2, "https://www.x.net/a", None), (3, "http://y.org/a", "<link rel=canonical href='https://y.org/a/'>")],
+        "page_id long, url string, html string",
+    )
+    told = {r.page_id: r.verdict for r in uf.url_verdicts(pages, [uf.Rule("block", "x.net", "/")]).collect()}
+    assert told == {1: "block", 2: "block", 3: "allow"}
