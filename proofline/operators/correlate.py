@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofline.functions import vocab
-from proofline.functions.exprs import ago, n_if, ts, whole_units
+from proofline.functions.exprs import ago, micros, n_if, ts, whole_units
 from proofline.functions.quantiles import exact_quantiles
 from proofline.functions.skew import (
     NOTHING,
@@ -435,6 +435,35 @@ def cadence_gaps(
     )
 
 
+def agent_silence(
+    cat, as_of, since, dimensions, cadence_hours: int = 24
+) -> DataFrame:
+    """Agents that owed a drift decision in a dimension, per silence up to ``as_of``.
+
+    Every running agent is watched from ``since`` on, also one that never made a
+    decision; others from their first decision. A silence is longer than the cadence and
+    ends with the next decision or is open at ``as_of``. ``silent_since`` is the last
+    decision, or ``since`` where ``ever_reported`` is false.
+    """
+    keys = ["tenant_id", "environment", "agent_instance_id", "dimension"]
+    width = F.lit(cadence_hours * 3600 * 1_000_000)
+    made = cat["drift_decisions"].where((F.col("time") >= ts(since)) & (F.col("time") < ts(as_of)))
+    made = made.select(*keys, "time", F.lit(True).alias("made"))
+    each = F.explode(F.array(*[F.lit(d) for d in dimensions])).alias("dimension")
+    roster = cat["agent_state"].where("state = 'Run'").select(*keys[:3], each).distinct()
+    rows = made.unionByName(roster.select(*keys, ts(since).alias("time"), F.lit(False).alias("made")))
+    ends = rows.groupBy(*keys).agg(
+        F.max("time").alias("silent_since"), F.min(F.when(F.col("made"), F.col("time"))).alias("first_made")
+    )
+    open_ = ends.where(micros(ts(as_of)) - micros(F.col("silent_since")) > width).drop("first_made")
+    gaps = spans(rows, keys, width).where(micros(F.col("time")) - micros(F.col("previous_time")) > width)
+    silent = open_.unionByName(gaps.select(*keys, F.col("previous_time").alias("silent_since")))
+    first = ends.select(*[F.col(k).alias(f"of_{k}") for k in keys], "first_made")
+    same = " and ".join(f"{k} <=> of_{k}" for k in keys)
+    told = F.coalesce(F.col("first_made") <= F.col("silent_since"), F.lit(False)).alias("ever_reported")
+    return silent.join(first, F.expr(same)).select(*keys, "silent_since", told)
+
+
 def event_type_distinction(cat, as_of, days: int = 30, environment: str = "prod") -> DataFrame:
     """Drift and adversarial counts, and rows filed in the other's table.
 

@@ -854,6 +854,26 @@ _LAG = "INTERVAL '10' MINUTE"
 _ASKED = f"(SELECT max(time) - {_LAG} FROM tool_requests)"
 _BOTH = f"least({_ASKED}, (SELECT max(time) - {_LAG} FROM policy_decisions))"
 
+WATCH_FROM = "2024-01-01 00:00:00"
+DIMENSIONS = ("dim-0", "dim-1")
+
+
+def _silence_sql(horizon: str, within: str) -> str:
+    """Silences up to ``horizon``, open ones included; running agents count as heard of at first."""
+    dims = ", ".join(f"('{d}')" for d in DIMENSIONS)
+    return f"""
+SELECT tenant_id, environment, agent_instance_id, dimension, time AS silent_since,
+  coalesce(bool_or(made) OVER (PARTITION BY tenant_id, environment, agent_instance_id, dimension
+    ORDER BY time RANGE UNBOUNDED PRECEDING), false) AS ever_reported
+FROM (SELECT *, lead(time) OVER (PARTITION BY tenant_id, environment, agent_instance_id, dimension
+    ORDER BY time) AS after
+  FROM (SELECT tenant_id, environment, agent_instance_id, dimension, time, true AS made
+      FROM drift_decisions WHERE time >= TIMESTAMP_NTZ '{WATCH_FROM}' AND {within}
+    UNION ALL SELECT DISTINCT tenant_id, environment, agent_instance_id, dim, TIMESTAMP_NTZ '{WATCH_FROM}', false
+      FROM agent_state, (VALUES {dims}) d(dim) WHERE state = 'Run') u) l
+QUALIFY coalesce(after, {horizon}) > time + INTERVAL '24' HOUR"""
+
+
 STREAM_SQL = {
     "s01_undecided_requests": f"""
 SELECT x.tenant_id, x.environment, x.request_hash, x.time AS request_time
@@ -908,6 +928,7 @@ FROM (SELECT *, sum(CASE WHEN before IS NULL OR time > before + INTERVAL '24' HO
       dimension ORDER BY time) AS before FROM drift_decisions) l) n
 GROUP BY 1, 2, 3, 4, session_no
 HAVING max(time) + INTERVAL '24' HOUR < (SELECT max(time) - {_LAG} FROM drift_decisions)""",
+    "s05_silence_alerts": _silence_sql(f"(SELECT max(time) - {_LAG} FROM drift_decisions)", "true"),
     "s06_spend_anomalies": f"""
 SELECT w AS window_start, run_id, agent_instance_id, sum(cost_usd) AS total_cost_usd,
   count(*) AS total_tool_calls,
@@ -918,6 +939,19 @@ GROUP BY 1, 2, 3
 HAVING (sum(cost_usd) > 5 OR count(*) > 100
     OR count(*) FILTER (WHERE tool_category IN {HIGH}) > 5)
   AND w + INTERVAL '24' HOUR <= {_ASKED}""",
+    "s07_nonce_alerts": """
+SELECT tenant_id, environment, sender_id, nonce, min(time) AS first_use,
+  min(time) FILTER (WHERE place = 2) AS replayed_at
+FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, environment, sender_id, nonce, session_no
+      ORDER BY time) AS place
+  FROM (SELECT *, sum(CASE WHEN before IS NULL OR time > before + INTERVAL '24' HOUR THEN 1 ELSE 0
+      END) OVER (PARTITION BY tenant_id, environment, sender_id, nonce ORDER BY time
+      ROWS UNBOUNDED PRECEDING) AS session_no
+    FROM (SELECT *, lag(time) OVER (PARTITION BY tenant_id, environment, sender_id, nonce
+        ORDER BY time) AS before FROM agent_messages
+      WHERE nonce IS NOT NULL AND sender_id IS NOT NULL) l) n) r
+GROUP BY 1, 2, 3, 4, session_no
+HAVING count(*) > 1""",
     "s07_nonce_replays": f"""
 SELECT tenant_id, environment, sender_id, nonce, min(time) AS first_use, max(time) AS last_use,
   count(*) AS uses
@@ -943,5 +977,6 @@ def all_sql() -> dict[str, str]:
     texts["r05_report_checks"] = f"SELECT check_id, assessment_id, status FROM ({VERDICT_SQL}) v"
     texts["r05_report_metrics"] = ROLLUP_SQL
     texts["e04_risk_distribution_exact"] = CORRELATE_SQL["e04_risk_distribution"]
+    texts["e15_agent_silence"] = _silence_sql(NOW, f"time < {NOW}")
     texts |= CORRELATE_SQL | RUNBOOK_SQL | STREAM_SQL
     return {name: duckdb(sql) for name, sql in texts.items()}

@@ -11,7 +11,7 @@ from proofline.operators import correlate as c
 from proofline.operators import runbooks as d
 from proofline.plans.assessments import Assessments
 from proofline.plans.checks import CHECKS
-from proofline.plans.oracles import AGENT, BEFORE, OUTAGE
+from proofline.plans.oracles import AGENT, BEFORE, DIMENSIONS, OUTAGE, WATCH_FROM
 from proofline.plans.report import build_report, metric_rollup, status_counts
 from proofline.plans.runner import check_metrics, run_assessments
 from proofline.sources.derived import (
@@ -21,7 +21,7 @@ from proofline.sources.derived import (
     derived_frame,
     derived_stream,
 )
-from proofline.streaming import jobs
+from proofline.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,6 +150,7 @@ def batch_queries() -> dict[str, Query]:
         "e13_unknown_quality_bundles": _on(c.unknown_quality_bundles, AS_OF),
         "e14_baseline_currency": _on(c.baseline_currency, AS_OF),
         "e15_cadence_gaps": _on(c.cadence_gaps, AS_OF),
+        "e15_agent_silence": _on(c.agent_silence, AS_OF, WATCH_FROM, DIMENSIONS),
         "e16_event_type_distinction": _on(c.event_type_distinction, AS_OF),
         "d01_bundle_onset": _on(d.bundle_onset, AS_OF, hours=240),
         "d02_locate_runs": _on(d.locate_runs, AS_OF),
@@ -200,5 +201,12 @@ def stream_queries() -> dict[str, Query]:
         "s04_quality_timeline": _streamed(jobs.quality_timeline, "memory_responses"),
         "s05_drift_silence": _streamed(jobs.drift_silence, "drift_decisions"),
         "s06_spend_anomalies": _streamed(jobs.spend_anomalies, "tool_requests"),
+        "s05_silence_alerts": lambda spark, sf: jobs.drain(
+            stateful.silence_alerts(
+                derived_stream(spark, sf, "drift_decisions"), derived_frame(spark, sf, "agent_state"),
+                WATCH_FROM, DIMENSIONS,
+            )
+        ),
         "s07_nonce_replays": _streamed(jobs.nonce_replays, "agent_messages"),
+        "s07_nonce_alerts": _streamed(stateful.nonce_alerts, "agent_messages"),
     }
