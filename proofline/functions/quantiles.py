@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.functions.skew import is_short, settled
+
 
 def exact_quantiles(
     df: DataFrame, group: str, value: str, probs: dict[str, float], per_unit: int = 4096
@@ -61,3 +63,75 @@ def exact_quantiles(
         .groupBy(group)
         .agg(*[F.min(F.when(F.col("name") == n, F.col(value))).alias(n) for n in probs])
     )
+
+
+MARKS = 1024
+ACCURACY = 16_384
+
+
+def selected_quantiles(
+    df: DataFrame, group: str, value: str, probs: dict[str, float], bound: int = 100_000
+) -> DataFrame:
+    """``percentile_disc`` per group by selection: no bins of a fixed width, whatever the values.
+
+    Equal values are counted together first. If a group has more than ``bound`` distinct
+    values, an approximate summary names about ``MARKS`` of them, evenly spaced; exact
+    counts of the rows between neighbouring marks say where the wanted rank lies, and the
+    same is done with the values there. So the values in question shrink by some hundred
+    times a round however they are spread, the result does not depend on how good
+    the summary is, and what is put in order at the end is ``bound`` values at most.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("__g"), F.col(value).alias("__v"))
+    counted = settled(rows.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__n")))
+    kind = counted.schema["__v"].dataType
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()]))
+    totals = counted.groupBy(F.col("__g").alias("g")).agg(F.sum("__n").alias("total"))
+    open_ = totals.select("g", "total", asked.alias("q")).select(
+        "g", "q.name", F.greatest(F.ceil(F.col("total") * F.col("q.p")), F.lit(1)).cast("bigint").alias("rank"),
+        F.lit(None).cast(kind).alias("lo"), F.lit(None).cast(kind).alias("hi"), F.lit(0).cast("bigint").alias("below"),
+    )
+    inside = F.expr("g <=> __g and (lo is null or __v >= lo) and (hi is null or __v <= hi)")
+
+    def within(spans: DataFrame) -> DataFrame:
+        # A row per group and quantile.
+        return counted.join(F.broadcast(spans) if is_short(spans) else spans, inside)
+
+    grid = F.array(*[F.lit(i / MARKS) for i in range(MARKS + 1)])
+    # The last mark that is not above the value, by halving.
+    middle = "cast((s.a + s.b + 1) div 2 as int)"
+    slot = F.expr(
+        f"aggregate(sequence(1, {MARKS.bit_length()}), named_struct('a', 0, 'b', size(marks) - 1), (s, i) -> "
+        f"named_struct('a', if(__v >= marks[{middle}], {middle}, s.a), 'b', if(__v >= marks[{middle}], s.b, {middle} - 1))).a"
+    )
+    found = None
+    while True:
+        open_ = settled(open_)
+        sizes = settled(within(open_).groupBy("g", "name").agg(F.count(F.lit(1)).alias("values")))
+        sizes = sizes.select(F.col("g").alias("of"), F.col("name").alias("of_name"), "values")
+        sized = open_.join(sizes, F.expr("g <=> of and name = of_name")).drop("of", "of_name")
+        small = sized.where(F.col("values") <= bound).drop("values")
+        found = small if found is None else found.unionByName(small)
+        open_ = settled(sized.where(F.col("values") > bound).drop("values"))
+        if open_.isEmpty():
+            break
+        marks = within(open_).groupBy("g", "name").agg(F.percentile_approx("__v", grid, F.lit(ACCURACY)).alias("marks"))
+        marked = settled(
+            open_.join(marks.select(F.col("g").alias("of"), F.col("name").alias("of_name"), "marks"), F.expr("g <=> of and name = of_name"))
+            .drop("of", "of_name")
+        )
+        each = within(marked).groupBy("g", "name", "rank", "below", slot.alias("slot")).agg(
+            F.sum("__n").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")
+        )
+        upto = Window.partitionBy("g", "name").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+        each = each.withColumn("upto", F.col("below") + F.sum("n").over(upto))
+        open_ = each.where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))).select(
+            "g", "name", "rank", "lo", "hi", (F.col("upto") - F.col("n")).alias("below")
+        )
+    order = Window.partitionBy("g", "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        within(settled(found))
+        .withColumn("upto", F.col("below") + F.sum("__n").over(order))
+        .where(F.col("upto") >= F.col("rank"))
+        .groupBy(F.col("g").alias(group))
+        .agg(*[F.min(F.when(F.col("name") == n, F.col("__v"))).alias(n) for n in probs])
+    )

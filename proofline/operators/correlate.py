@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import vocab
 from proofline.functions.exprs import ago, micros, n_if, ts, whole_units
-from proofline.functions.quantiles import exact_quantiles
+from proofline.functions.quantiles import selected_quantiles
 from proofline.functions.skew import (
     NOTHING,
     RIGHT_ROW,
@@ -171,11 +171,9 @@ def risk_distribution(
     )
     if exact:
         # A null category is a group too.
-        filled = rows.select(F.coalesce("tool_category", F.lit("\u0000")).alias("__g"), score)
-        q = exact_quantiles(filled, "__g", "orm_risk_score", QUANTILES)
-        stats = stats.join(
-            q, F.coalesce("tool_category", F.lit("\u0000")) == F.col("__g"), "left"
-        ).drop("__g")
+        q = selected_quantiles(rows.select("tool_category", score), "tool_category", "orm_risk_score", QUANTILES)
+        q = q.withColumnRenamed("tool_category", "of")
+        stats = stats.join(q, F.expr("tool_category <=> of"), "left").drop("of")
         stats = stats.withColumns({n: F.round(n, 3) for n in QUANTILES})
     return stats.select(
         "tool_category", "total_decisions", "avg_orm_score", *QUANTILES,

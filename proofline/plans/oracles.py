@@ -977,6 +977,10 @@ def all_sql() -> dict[str, str]:
     texts["r05_report_checks"] = f"SELECT check_id, assessment_id, status FROM ({VERDICT_SQL}) v"
     texts["r05_report_metrics"] = ROLLUP_SQL
     texts["e04_risk_distribution_exact"] = CORRELATE_SQL["e04_risk_distribution"]
+    texts["e04_risk_from_sketches"] = (
+        "SELECT tool_category, total_decisions, avg_orm_score, hitl_threshold_breaches, "
+        f"block_threshold_breaches, true AS ranks_hold FROM ({CORRELATE_SQL['e04_risk_distribution']}) r"
+    )
     texts["e15_agent_silence"] = _silence_sql(NOW, f"time < {NOW}")
     texts |= CORRELATE_SQL | RUNBOOK_SQL | STREAM_SQL
     return {name: duckdb(sql) for name, sql in texts.items()}

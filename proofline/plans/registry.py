@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proofline.operators import correlate as c
 from proofline.operators import runbooks as d
+from proofline.operators import sketches
 from proofline.plans.assessments import Assessments
 from proofline.plans.checks import CHECKS
 from proofline.plans.oracles import AGENT, BEFORE, DIMENSIONS, OUTAGE, WATCH_FROM
@@ -85,6 +86,20 @@ def _archive_runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _from_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """The month's risk distribution from stored sketches, with the quantiles' rank errors held
+    against the decisions: within the stated bound or not."""
+    cat = derived_catalog(spark, sf)
+    stored = sketches.store_sketches(cat, f"{jobs.shared_folder(spark)}/sketches", "2023-01-01", AS_OF)
+    window = sketches.risk_window(stored, AS_OF)
+    errors = sketches.rank_errors(cat["policy_decisions"], window, AS_OF)
+    worst = errors.groupBy(F.col("tool_category").alias("of")).agg(F.max("rank_error").alias("worst"))
+    return window.join(worst, F.expr("tool_category <=> of"), "left").select(
+        "tool_category", "total_decisions", "avg_orm_score", "hitl_threshold_breaches", "block_threshold_breaches",
+        (F.col("worst") <= sketches.RANK_ERROR).alias("ranks_hold"),
+    )
+
+
 def _on(operator, *args, **kwargs) -> Query:
     return lambda spark, sf: operator(derived_catalog(spark, sf), *args, **kwargs)
 
@@ -139,6 +154,7 @@ def batch_queries() -> dict[str, Query]:
         "e03_ledger_integrity": _on(c.ledger_integrity),
         "e04_risk_distribution": _on(c.risk_distribution, AS_OF),
         "e04_risk_distribution_exact": _on(c.risk_distribution, AS_OF, exact=True),
+        "e04_risk_from_sketches": _from_sketches,
         "e05_hitl_audit": _on(c.hitl_audit, AS_OF),
         "e06_approval_fatigue": _on(c.approval_fatigue, AS_OF),
         "e07_breaker_history": _on(c.breaker_history, AS_OF),
