@@ -45,7 +45,7 @@ from proofline.llm.exact_dedup import in_filter, key_filter
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 5
-CHUNK = 2_000_000  # bytes of text worked on at once, or one longer text
+CHUNK = 250_000  # bytes of text worked on at once, or one longer text
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -300,24 +300,26 @@ def near_classes(
     sig = stored(signed(docs, bands, rows), "signatures")
     own = sig.where("words is not null")
     nodes = own.groupBy("words").agg(F.max("size").alias("size"), F.max("bands").alias("bands"), F.min("sha").alias("sha"))
-    members = nodes.select("words", "size", "sha", F.explode("bands").alias("key"))
-    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = stored(members.join(sizes, "key"), "members")
+    members = nodes.select("words", "size", F.explode("bands").alias("key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(members.join(stored(sizes, "buckets"), "key"), "members")
     # The text that copies were made from shares more bands with them than they share
     # with each other, so the node that meets most others is a bucket's hub.
-    central = members.groupBy("words").agg(F.sum("n").alias("meets"))
+    central = stored(members.groupBy("words").agg(F.sum("n").alias("meets")), "central")
     ranked = stored(members.drop("n").join(central, "words"), "members")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("meets", "words", "size")).alias("hub"))
+    hubs = hubs.select("key", F.struct("hub.words", "hub.size").alias("hub"))
     members = stored(ranked.drop("meets").join(hubs, "key"), "members")
-    candidates = members.groupBy("words").agg(F.min("sha").alias("sha"))
-    texts = stored(_texts_of(docs, candidates), "texts")
+    # A text is fetched by its hash; hashes are kept out of the bands' rows.
+    candidates = own.groupBy("words").agg(F.min("sha").alias("sha")).join(central.select("words"), "words")
+    texts = stored(_texts_of(docs, stored(candidates, "candidates")), "texts")
 
     def to_hub(m: DataFrame) -> DataFrame:
         near = m.where((F.col("words") != F.col("hub.words")) & _close("size", "hub.size", threshold))
         return near.select(F.col("words").alias("u"), F.col("hub.words").alias("v")).distinct()
 
     links = stored(verified(to_hub(members), texts, threshold), "links")
-    open_ = members.where(F.col("words") != F.col("hub.words")).drop("hub", "sha")
+    open_ = members.where(F.col("words") != F.col("hub.words")).drop("hub")
     groups = stored(components(links), "classes")
     open_, left = _mixed(open_, groups)
     if left:
