@@ -64,7 +64,8 @@ CLOSES = {
 }
 
 MAIN_TAGS = frozenset(["article", "main"])
-OTHER_TAGS = frozenset("nav header footer aside form menu button select dialog figure".split())
+OTHER_TAGS = frozenset("nav header footer aside form menu button select dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words that name boilerplate in class, id and role.
 OTHER_WORDS = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent notice "
@@ -97,6 +98,8 @@ def parse(html: str | None) -> list[Block]:
     html = html or ""
     blocks = [Block("#root", (), -1, 0, [], [0])]
     stack = [("#root", 0)]  # open elements and the blocks their text belongs to
+    opened: dict[str, list[int]] = {}  # where in the stack each tag is open, so no step walks the stack
+    block_at = [0]  # where block elements are
     open_links = 0
     position = 0
     end = len(html)
@@ -111,16 +114,22 @@ def parse(html: str | None) -> list[Block]:
         nonlocal open_links
         for tag, _ in stack[depth:]:
             open_links -= tag == "a"
+            opened[tag].pop()
         del stack[depth:]
+        while block_at[-1] >= depth:
+            block_at.pop()
+
+    def push(tag: str, block: int) -> None:
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, block))
+
+    def nearest(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
 
     def close_open(names, fence) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            name = stack[k][0]
-            if name in names:
-                close_to(k)
-                return
-            if name in fence:
-                return
+        k = nearest(names)
+        if k and k >= nearest(fence):
+            close_to(k)
 
     while m := _TOKEN.search(html, position):
         if m.start() > position:
@@ -134,18 +143,10 @@ def parse(html: str | None) -> list[Block]:
                 text(" ")
             elif tag in INLINE:
                 # An inline element that was left open does not outlive its block.
-                here = stack[-1][1]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] != here or stack[k][0] not in INLINE:
-                        break
-                    if stack[k][0] == tag:
-                        close_to(k)
-                        break
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close_to(k)
-                        break
+                if nearest([tag]) > block_at[-1]:
+                    close_to(nearest([tag]))
+            elif nearest([tag]):
+                close_to(nearest([tag]))
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
@@ -157,7 +158,7 @@ def parse(html: str | None) -> list[Block]:
                 text(" ")
             continue
         if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             open_links += tag == "a"
             continue
         if tag in ENDS_P:
@@ -170,7 +171,8 @@ def parse(html: str | None) -> list[Block]:
         above = stack[-1][1]
         blocks[above].parts.append(len(blocks))
         blocks.append(Block(tag, tuple(words), above, blocks[above].depth + 1, [], [0]))
-        stack.append((tag, len(blocks) - 1))
+        block_at.append(len(stack))
+        push(tag, len(blocks) - 1)
     if position < end:
         text(html[position:])
     return blocks
@@ -253,10 +255,18 @@ def features(blocks: list[Block], lexicon: Lexicon, buckets: dict[str, int]) ->
 
     tag_odds = [float(lexicon.tags[bucket(b.tag)]) for b in blocks]
     low, high, above_low, above_high = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
+    running, titled, inside = (chars - links).tolist(), [b.tag == "h1" for b in blocks], [0] * n
+    for i in range(n - 1, 0, -1):
+        titled[up[i]] |= titled[i]
     for i, b in enumerate(blocks):
+        inside[i] = i if b.tag in MAIN_TAGS and not inside[max(up[i], 0)] else inside[max(up[i], 0)]
         if b.words:
             odds = [float(lexicon.words[bucket(w)]) for w in b.words]
             low[i], high[i] = min(0.0, *odds), max(0.0, *odds)
+            # A class word says nothing against long text that is the bulk of its main element, or of
+            # the page and with its title.
+            if running[i] >= 200 and 2 * running[i] >= running[inside[i]] and (inside[i] or titled[i]):
+                low[i] = 0.0
         if i:
             j = up[i]
             above_low[i] = min(above_low[j], low[j], tag_odds[j])
@@ -346,25 +356,44 @@ class Extractor(NamedTuple):
         out, at = [], 0
         for blocks, f in zip(parsed, x):
             weight = 1 + np.log1p(f[:, 1])
-            kept = decode([b.parent for b in blocks], odds[at : at + len(blocks)], weight)
+            own = odds[at : at + len(blocks)]
+            # A letter or two tell nothing; such a text block goes with the block it stands in.
+            tiny = np.array([f[i, 3] < 4 and b.tag in _TEXT_TAGS and not b.words for i, b in enumerate(blocks)])
+            own = np.where(tiny, np.maximum(own, 0), own)
+            kept = decode([b.parent for b in blocks], own, weight)
             at += len(blocks)
             out.append("\n\n".join(runs(blocks, kept)))
         return out
 
 
 def marked(blocks: list[Block]) -> list[bool] | None:
-    """Which blocks hold main text, by the marks of a page that has them; else None."""
-    main, other = [False] * len(blocks), [False] * len(blocks)
+    """Which blocks hold main text, by the marks of a page that has them; else None.
+
+    A part of the main element that holds half of its text or more is main text whatever
+    its class words say, and so is a ``header`` in it that holds its heading and no menu.
+    """
+    n = len(blocks)
+    size = [sum(len(p) for p in b.parts if isinstance(p, str) and not p.isspace()) for b in blocks]
+    menus, heads = [b.tag in ("nav", "menu", "ul", "form") for b in blocks], [b.tag in HEADINGS for b in blocks]
+    for i in range(n - 1, 0, -1):
+        up = blocks[i].parent
+        size[up] += size[i]
+        menus[up] |= menus[i]
+        heads[up] |= heads[i]
+    main, other, whole = [False] * n, [False] * n, [0] * n
     for i, b in enumerate(blocks):
         if i:
-            main[i], other[i] = main[b.parent], other[b.parent]
-        main[i] |= b.tag in MAIN_TAGS or "articlebody" in "".join(b.words)
-        if b.tag in OTHER_TAGS or not OTHER_WORDS.isdisjoint(b.words):
-            other[i] = b.tag not in ("body", "html")
+            main[i], other[i], whole[i] = main[b.parent], other[b.parent], whole[b.parent]
+        if b.tag in MAIN_TAGS or "articlebody" in "".join(b.words):
+            main[i], whole[i] = True, whole[i] or size[i]
+        by_tag = b.tag in OTHER_TAGS and not (b.tag == "header" and main[i] and heads[i] and not menus[i])
+        by_word = not OTHER_WORDS.isdisjoint(b.words) and not (main[i] and 2 * size[i] >= whole[i])
+        if (by_tag or by_word) and b.tag not in ("body", "html"):
+            other[i] = True
     if not any(main):
         return None
     holds = [m and not o and any(isinstance(p, str) and p.strip() for p in b.parts) for b, m, o in zip(blocks, main, other)]
-    for i in range(len(blocks) - 1, 0, -1):
+    for i in range(n - 1, 0, -1):
         if holds[i]:
             holds[blocks[i].parent] = True
     return holds
@@ -374,6 +403,13 @@ _CONTAINERS = [
     ("article", ""), ("main", ""), ("div", "content"), ("div", "post-content"), ("section", "entry-content"),
     ("div", "story"), ("div", "article-body"), ("div", "text"), ("div", ""), ("section", ""), ("td", ""),
 ]
+# How an article sets its texts: elements around, the element of each text, and whether texts may be cut.
+_SHAPES = [
+    (("ul",), "li", True), (("ol",), "li", True), (("blockquote",), "p", False), ((), "blockquote", False),
+    ((), "pre", False), (("table",), "td", True), (("table", "tbody"), "td", True), (("figure",), "figcaption", True), (("section",), "p", False),
+    (("dl",), "dd", True), (("div",), "p", False), ((), "div", False), ((), "h3", True),
+]
+_ODD_WORDS = ["related", "notice", "share", "tags", "header", "form", "comment", "promo", "menu", "legal"]
 _EXTRAS = [
     ("header", ""), ("nav", ""), ("aside", ""), ("footer", ""), ("form", ""), ("div", "ad"), ("div", "advert"),
     ("div", "banner"), ("div", "sidebar"), ("div", "cookie-notice"), ("div", "notice"), ("section", "comments"),
@@ -417,11 +453,37 @@ def relaid(blocks: list[Block], holds: list[bool], seed: int) -> tuple[list[Bloc
     for _ in range(rng.randint(0, 3)):
         extra(above)
     tag, words = rng.choice(_CONTAINERS)
+    if rng.random() < 0.2:  # names say little where the text says otherwise
+        words = "-".join(filter(None, [words, rng.choice(_ODD_WORDS), rng.choice(["", "body", "page", "news"])]))
     body = add(tag, words, above, "", True)
-    for tag, text in main:
+    i = 0
+    while i < len(main):
         if rng.random() < 0.08:
             extra(body)
-        add(tag if tag in _TEXT_TAGS else "p", "", body, text, True)
+        kind = rng.choice(_SHAPES) if rng.random() < 0.35 else ""
+        tag, text = main[i]
+        if tag in HEADINGS:
+            at = add("header", "", body, "", True) if rng.random() < 0.3 else body
+            add(tag, "", at, text, True)
+            i += 1
+        elif not kind:
+            add(tag if tag in _TEXT_TAGS else "p", "", body, text, True)
+            i += 1
+        else:  # some of the next texts, or pieces of this one, as a list, a quote, a table ...
+            outer, inner, pieces = kind
+            some = [t for _, t in main[i : i + rng.randint(1, 3)]]
+            i += len(some)
+            if pieces and rng.random() < 0.6:
+                cut = rng.choice([r"\S.{2,12}?(?:\s|$)", r"\S.{20,90}?(?:\s|$)"])
+                some = [x for t in some for x in re.findall(cut, t)[:12]] or some
+            at = body
+            for name in outer:
+                words = rng.choice(_ODD_WORDS) + "-of-birth" if name == "section" and rng.random() < 0.2 and len(some) * 2 > len(main) else ""
+                at = add(name, words, at, "", True)
+            for k, t in enumerate(some):
+                if inner == "td" and k % 2 == 0:
+                    row = add("tr", "", at, "", True)
+                add("th" if inner == "td" and k < 2 else "dt" if inner == "dd" and k % 2 == 0 else inner, "", row if inner == "td" else at, t, True)
     for _ in range(rng.randint(0, 3)):
         extra(rng.choice([above, above, body]))
     return out, truth
