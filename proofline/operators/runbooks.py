@@ -18,6 +18,7 @@ from proofline.functions.skew import (
     keep_matching,
     numbered,
     prefilter,
+    repeat_rows,
     settled,
     skew_join,
     with_nulls,
@@ -507,6 +508,38 @@ def envelope_audit(cat, as_of=None) -> DataFrame:
     )
 
 
+def envelope_offences(cat, as_of=None) -> DataFrame:
+    """The messages behind ``envelope_audit``: a row per message and reason.
+
+    Of the uses of a sender's nonce the earliest stands (of equal times that with the
+    smallest id), the others are ``nonce_reused``; a message past its expiry when sent is
+    ``expired_when_sent``. Identical rows are counted together and told apart at the end.
+    The earliest use is a minimum, so no group is put in order, and the messages meet it
+    in a join whose large side can be split where one nonce is hot.
+    """
+    keys = ["tenant_id", "environment", "sender_id", "nonce"]
+    rows = cat["agent_messages"].select(*keys, "message_id", "time", "expires_at")
+    if as_of is not None:
+        rows = rows.where(F.col("time") < ts(as_of))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    use = F.struct("time", "message_id", "expires_at")
+    named = rows.where("sender_id is not null and nonce is not null")
+    firsts = named.groupBy(*keys).agg(F.min(use).alias("earliest"), F.sum("copies").alias("uses"))
+    firsts = firsts.where("uses > 1").drop("uses")
+    same = F.lit(True)
+    for k in keys:
+        same = same & named[k].eqNullSafe(F.col(f"of_{k}"))
+    firsts = firsts.select(*[F.col(k).alias(f"of_{k}") for k in keys], "earliest")
+    reused = named.join(firsts, same).withColumn(
+        "copies", F.col("copies") - F.when(use.eqNullSafe(F.col("earliest")), 1).otherwise(0)
+    )
+    kept = [*keys, "message_id", "time", "copies"]
+    told = reused.select(*kept, F.lit("nonce_reused").alias("reason")).unionByName(
+        rows.where("expires_at < time").select(*kept, F.lit("expired_when_sent").alias("reason"))
+    )
+    return repeat_rows(told.where("copies > 0"), "copies")
+
+
 # How evidence names an agent where it has no agent column.
 _SENDER = {
     "agent_messages": "sender_id",

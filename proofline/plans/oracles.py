@@ -837,6 +837,14 @@ FROM (SELECT *, row_number() OVER (
     PARTITION BY tenant_id, environment, sender_id, nonce ORDER BY time) AS rn
   FROM agent_messages) m
 GROUP BY 1, 2""",
+    "d17_envelope_offences": """
+SELECT tenant_id, environment, sender_id, nonce, message_id, time, 'nonce_reused' AS reason
+FROM (SELECT *, row_number() OVER (
+    PARTITION BY tenant_id, environment, sender_id, nonce ORDER BY time, message_id) AS rn
+  FROM agent_messages WHERE sender_id IS NOT NULL AND nonce IS NOT NULL) m WHERE rn > 1
+UNION ALL
+SELECT tenant_id, environment, sender_id, nonce, message_id, time, 'expired_when_sent'
+FROM agent_messages WHERE expires_at < time""",
     "d18_archive_counts": "\nUNION ALL ".join(
         f"SELECT '{t}' AS kind, count(*) AS n_rows FROM {t} WHERE {by}" for t, by in _AGENT_ROWS.items()
     ),

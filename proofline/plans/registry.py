@@ -189,6 +189,7 @@ def batch_queries() -> dict[str, Query]:
         "d15_retrieval_shift": _on(d.retrieval_shift, BEFORE, OUTAGE),
         "d16_chain_links": _traced_runs(d.chain_links),
         "d17_envelope_audit": _on(d.envelope_audit),
+        "d17_envelope_offences": _on(d.envelope_offences),
         "d18_archive_counts": _on(d.archive_counts, AGENT),
         "d18_archive_runs": _archive_runs,
     }
