@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from proofline.llm.common import give_back
 
 SPACE = "▁"
-CHUNK = 2_000_000  # characters of text worked on at once, or one longer text
+CHUNK = 500_000  # characters of text worked on at once, or one longer text
 
 _U = np.uint64
 _UNKNOWN, _START, _NONE = -2, -3, -1
@@ -52,7 +52,7 @@ class HashTable:
     """64-bit keys to numbers, for many lookups at once. Key 0 is not allowed."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = _U(64 - max(4, int(len(keys) * 8).bit_length()))
+        self.shift = _U(64 - max(4, int(len(keys) * 4).bit_length()))
         self.mask = (1 << (64 - int(self.shift))) - 1
         self.keys = np.zeros(self.mask + 1, _U)
         self.values = np.full(self.mask + 1, _NONE, np.int32)
@@ -322,15 +322,18 @@ def _broadcast(df: DataFrame, model: PieceModel | str):
     return df.sparkSession.sparkContext.broadcast(PieceModel(model) if isinstance(model, str) else model)
 
 
-def encode(docs: DataFrame, model: PieceModel | str, text: str = "text", out: str = "pieces") -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel | str, text: str = "text", out: str = "pieces", decoded: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of ``text`` in ``out`` (replaced if it is there).
 
+    ``decoded`` names a further column for the text that the pieces give again, so a
+    round trip needs one Python worker and one copy of the model in a task, not two.
     ``model`` is a model or its file's path on the driver; the tables made of it,
     a few MB, are broadcast.
     """
-    docs = docs.drop(out)
+    docs = docs.drop(*([out, decoded] if decoded else [out]))
     shared, at = _broadcast(docs, model), docs.columns.index(text)
-    schema = StructType([*docs.schema, StructField(out, ArrayType(IntegerType()))])
+    added = [StructField(out, ArrayType(IntegerType()))] + ([StructField(decoded, StringType())] if decoded else [])
+    schema = StructType([*docs.schema, *added])
 
     def run(batches):
         from proofline.llm.near_dedup import chunks
@@ -345,8 +348,9 @@ def encode(docs: DataFrame, model: PieceModel | str, text: str = "text", out: st
                 offsets = pa.array(offsets, pa.int32(), mask=np.asarray(missing)) if any(x is None for x in ids) else pa.array(offsets)
                 part = batch.slice(begin, len(texts))
                 pieces = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pieces], names=[*part.schema.names, out])
-        give_back()
+                again = [pa.array([decode_ids(model, x) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pieces, *again], names=[*part.schema.names, *[f.name for f in added]])
+            give_back()
 
     return docs.mapInArrow(run, schema)
 

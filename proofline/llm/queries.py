@@ -17,7 +17,7 @@ from proofline.llm.html_extract import extract_text, learn_extractor
 from proofline.llm.language import learn_filters, predict_language
 from proofline.llm.lexical import ranked_search
 from proofline.llm.near_dedup import mark_near_copies
-from proofline.llm.pieces import PieceModel, decode, encode
+from proofline.llm.pieces import PieceModel, encode
 from proofline.llm.quality import fit_rules, score_quality
 from proofline.llm.sharding import shard_plan
 from proofline.llm.toxicity import fit_toxicity, score_toxicity
@@ -51,7 +51,7 @@ def op3_rendezvous_shards(spark: SparkSession, sf: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     small_batches(spark)
     model = PieceModel(PIECE_MODEL)
-    both = decode(encode(table(spark, sf, "documents").select("doc_id", "text"), model), model)
+    both = encode(table(spark, sf, "documents").select("doc_id", "text"), model, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("pieces").cast("bigint").alias("n_pieces"),

@@ -178,3 +178,16 @@ def test_every_pair_has_bands_of_equal_weights():
     bands = n.all_bands(who, hashes, counts, len(texts), 30, 5)
     assert all(len(set(a.tolist()) & set(b.tolist())) >= 30 for a, b in zip(bands[:-1:2], bands[1::2]))
     assert all(len(set(b.tolist())) == len(b) for b in bands) and len(bands[-1]) == 30
+
+
+def test_one_pass_gives_pieces_and_the_text_again(spark, docs):
+    from proofline.llm.common import PIECE_MODEL
+
+    df = docs().withColumn("decoded", F.lit("old")).select("doc_id", "text", "decoded")
+    model = p.PieceModel(PIECE_MODEL)
+    both = p.encode(df, model, decoded="decoded")
+    apart = p.decode(p.encode(df, model), model)
+    assert both.columns == ["doc_id", "text", "pieces", "decoded"] and apart.columns == both.columns
+    key = lambda r: (str(r.doc_id), r.text or "")
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
+    assert all(r.decoded == r.text for r in sorted(both.collect(), key=key))
