@@ -14,7 +14,7 @@ from proofline.llm.decontaminate import drop_contaminated
 from proofline.llm.exact_dedup import drop_repeats
 from proofline.llm.language import drop_undetermined, learn_filters
 from proofline.llm.near_dedup import drop_near_copies
-from proofline.llm.pieces import PieceModel, decode, encode
+from proofline.llm.pieces import PieceModel, encode
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, pieces, n_pieces, and whether the pieces give the text again."""
     small_batches(spark)
     model = PieceModel(PIECE_MODEL)
-    both = decode(encode(docs.select("doc_id", "text"), model), model)
+    both = encode(docs.select("doc_id", "text"), model, decoded="decoded")
     return both.select(
         "doc_id",
         "pieces",
