@@ -979,6 +979,12 @@ def all_sql() -> dict[str, str]:
     texts["verdicts"] = VERDICT_SQL
     texts["r01_metric_rollup"] = ROLLUP_SQL
     texts["r02_status_counts"] = STATUS_SQL
+    texts["r09_rollup"] = f"""
+SELECT tenant_id, environment, metric, sum(value) AS value,
+  CAST(grouping_id(tenant_id, environment, metric) AS BIGINT) AS level
+FROM ({ROLLUP_SQL}) r JOIN assess USING (assessment_id)
+WHERE metric NOT IN ('count_semantic_runs', 'count_semantic_runs_correlated')
+GROUP BY GROUPING SETS ((tenant_id, environment, metric), (tenant_id, metric), (metric))"""
     texts["r03_evidence_refs"] = REFS_SQL
     texts["r05_report"] = REPORT_SQL
     texts["r05_report_steps"] = _steps_sql()

@@ -13,7 +13,7 @@ from proofline.operators import sketches
 from proofline.plans.assessments import Assessments
 from proofline.plans.checks import CHECKS
 from proofline.plans.oracles import AGENT, BEFORE, DIMENSIONS, OUTAGE, WATCH_FROM
-from proofline.plans.report import build_report, metric_rollup, status_counts
+from proofline.plans.report import build_report, metric_rollup, rollup, status_counts
 from proofline.plans.runner import check_metrics, run_assessments
 from proofline.sources.derived import (
     AS_OF,
@@ -144,6 +144,7 @@ def batch_queries() -> dict[str, Query]:
     q["r01_metric_rollup"] = lambda s, sf: metric_rollup(_results(s, sf))
     q["r02_status_counts"] = lambda s, sf: status_counts(_results(s, sf))
     q["r03_evidence_refs"] = _evidence_refs
+    q["r09_rollup"] = lambda s, sf: rollup(_results(s, sf))
     q["r05_report"] = _report
     q["r05_report_checks"] = _report_checks
     q["r05_report_metrics"] = _report_metrics

@@ -22,6 +22,26 @@ def metric_rollup(results: DataFrame) -> DataFrame:
     )
 
 
+# Counts of distinct runs, which may be in several tenants or environments.
+NOT_ADDITIVE = ("count_semantic_runs", "count_semantic_runs_correlated")
+
+
+def rollup(results: DataFrame) -> DataFrame:
+    """``count_`` metrics per tenant and environment, per tenant, and over all, in one pass.
+
+    ``level`` is the grouping id over (tenant_id, environment, metric): 0, 2 and 6. Counts of
+    distinct runs do not add up and are left out.
+    """
+    told = results.select("tenant_id", "environment", F.explode("metrics").alias("metric", "value")).where(
+        F.startswith("metric", F.lit("count_")) & ~F.col("metric").isin(*NOT_ADDITIVE)
+    )
+    tenant, environment, metric = F.col("tenant_id"), F.col("environment"), F.col("metric")
+    sets = [[tenant, environment, metric], [tenant, metric], [metric]]
+    return told.groupingSets(sets, tenant, environment, metric).agg(
+        F.sum("value").alias("value"), F.grouping_id().alias("level")
+    )
+
+
 def _counts() -> list[Column]:
     return [n_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in STATUSES]
 

@@ -89,3 +89,16 @@ def test_skipped_and_failed_checks_have_none(spark):
     got = refs_of(run_assessments(without("tool_requests"), who(spark, "sandbox"), ["Check01", "Check02"]))
     assert got == {"Check01": None, "Check02": None}
     assert set(refs_of(run_assessments(without("abom"), who(spark), ["Check03"], refs=False)).values()) == {None}
+
+
+def test_rollup_in_one_exchange(spark, good):
+    from proofline.plans.report import rollup
+
+    two = Assessments.of(spark, [{**SCOPE, "tier": "high_privilege", "as_of": NOW}, {**SCOPE, "tenant_id": "none", "tier": "bounded", "as_of": NOW}])
+    results = run_assessments(good, two, ["Check03", "Check12"], refs=False)
+    stored = spark.createDataFrame(results.collect(), results.schema)
+    got = {(r.tenant_id, r.environment, r.metric): (r.value, r.level) for r in rollup(stored).collect()}
+    assert got[None, None, "count_tool_requests_total"] == (5, 6)
+    assert got["acme", "prod", "count_tool_requests_total"] == (5, 0) and got["none", None, "count_tool_requests_total"] == (0, 2)
+    assert not any("semantic" in k[2] for k in got)
+    assert rollup(stored)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
