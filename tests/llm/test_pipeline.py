@@ -45,7 +45,7 @@ def test_stages_keep_the_columns(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     mine = QUERIES[name](spark, SF).toPandas()
     theirs = con.sql(SQL[name]).df()[list(mine.columns)]
@@ -68,3 +68,17 @@ def test_entry_without_the_subpackage():
         "assert e.queries() and e.oracle_sql()\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(corpus_pipeline.__file__), timeout=120)
+
+
+def test_run_over_odd_rows(spark, docs, tmp_path):
+    given = docs([(6, "The cat sat on the mat and looked at the dog in the garden all day long", "en", "a", 1)])
+    extra = given.withColumn("words", given["doc_id"]).withColumn("score", given["text"])
+    bench = spark.createDataFrame([(1, None), (1, "")], "item_id long, text string")
+    for name, df in (("odd", extra), ("none", extra.where("false"))):
+        folder = str(tmp_path / name)
+        df.write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert all(r.same_text and r.n_pieces == len(r.pieces) for r in rows)
+        # One of the equal texts stays; null and empty ones have no language.
+        assert sorted(str(r.doc_id) for r in rows) == (["2", "5", "6", "None"] if name == "odd" else [])
