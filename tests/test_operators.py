@@ -209,4 +209,4 @@ def test_replay_completeness_equals_the_runbook(spark, duck):
     from tools.compare import rows
 
     mine = entry.queries()["d07_replay_completeness"](spark, SF).toArrow()
-    assert rows(mine) == rows(duck.sql(entry.oracle_sql()["d07_replay_completeness_runbook"]).to_arrow_table())
+    assert rows(mine) == rows(duck.sql(entry.oracle_sql()["d07_replay_completeness"]).to_arrow_table())
