@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +26,7 @@ from proofline.functions.exprs import micros, ts
 from proofline.streaming.jobs import _clocked
 
 HOUR_US = 3_600_000_000
+BUNDLES = 4096
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -102,6 +103,17 @@ class _BySession(StatefulProcessor):
         pass
 
 
+def bundle(columns: Iterable[str], bundles: int) -> Column:
+    """One of ``bundles`` numbers for a key: the keys of a number share a state, so that
+    Python is called once for all of them that a micro-batch brings."""
+    return F.pmod(F.xxhash64(*columns), F.lit(bundles)).cast("int").alias("bundle")
+
+
+def _rows(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    """Tuples of some text columns, with None for nulls."""
+    return list(zip(*[[v if isinstance(v, str) else None for v in frame[c]] for c in columns]))
+
+
 def _plain_time(us: int | None) -> pd.Timestamp | None:
     return None if us is None else pd.Timestamp(us, unit="us")
 
@@ -157,31 +169,92 @@ def nonce_alerts(messages: DataFrame, retention_hours: int = 24, delay: str = "1
 _WATCHED = ["tenant_id", "environment", "agent_instance_id", "dimension"]
 
 
-class _Silence(_BySession):
-    columns = [*_WATCHED, "silent_since", "ever_reported"]
+class _Silence(StatefulProcessor):
+    """Keeps, for each key of a bundle, the latest session, whether it has been told of, and
+    whether the key was in the initial state. One timer stands for the first of them to end."""
 
-    def _told(self, s: Session, listed: bool) -> tuple:
+    def __init__(self, gap: int, since: int):
+        self.gap, self.since = gap, since
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState(
+            "sessions",
+            ", ".join(f"{c} array<string>" for c in _WATCHED) + ", first array<bigint>, second array<bigint>, "
+            "last array<bigint>, told array<boolean>, listed array<boolean>, timer bigint",
+        )
+
+    def _known(self) -> tuple[dict[tuple, tuple[Session, bool, bool]], int | None]:
+        held = self.state.get()
+        if held is None:
+            return {}, None
+        *columns, timer = held
+        n = len(_WATCHED)
+        return {row[:n]: (Session(*row[n : n + 3]), row[-2], row[-1]) for row in zip(*columns)}, timer
+
+    def _ends(self, s: Session) -> int:
+        """The first millisecond at which nothing can join the session any more."""
+        return (s.last + self.gap) // 1000 + 1
+
+    def _keep(self, known: dict[tuple, tuple[Session, bool, bool]], timer: int | None) -> None:
+        due = min((self._ends(s) for s, told, _ in known.values() if not told), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        rows = [(*key, *s, told, listed) for key, (s, told, listed) in known.items()]
+        self.state.update((*[list(c) for c in zip(*rows)], due))
+
+    def _told(self, key: tuple, s: Session, listed: bool) -> tuple:
         # The first event of a listed key is that watching began.
         reported = not listed or s.first != self.since or s.second is not None
-        return _plain_time(s.last), reported
+        return (*key, _plain_time(s.last), reported)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*_WATCHED, "silent_since", "ever_reported"])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._keep(Session(self.since, None, self.since), False, True)
+        known, timer = self._known()
+        known |= {k: (Session(self.since, None, self.since), False, True) for k in _rows(initialState, _WATCHED)}
+        if known:
+            self._keep(known, timer)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before, told, listed = self._known()
-        found = self._all(rows, before)
-        ended = [s for s in found[:-1] if not (told and s.last == before[0].last)]
+        known, timer = self._known()
+        found: dict[tuple, list[Session]] = {}
+        for frame in rows:
+            times: dict[tuple, list[int]] = {}
+            for k, us in zip(_rows(frame, _WATCHED), frame["us"].tolist()):
+                if us >= self.since:
+                    times.setdefault(k, []).append(us)
+            for k, each in times.items():
+                before = found.get(k) or ([known[k][0]] if k in known else [])
+                found[k] = merged([*before, *sessions(np.array(each), self.gap)], self.gap)
+        out = []
+        for k, now in found.items():
+            before, told, listed = known.get(k, (None, False, False))
+            out += [self._told(k, s, listed) for s in now[:-1] if not (told and s.last == before.last)]
+            known[k] = now[-1], told and now[-1].last == before.last, listed
         if found:
-            self._keep(found[-1], told and found[-1].last == before[0].last, listed)
-        if ended:
-            yield self._frame(key, [self._told(s, listed) for s in ended])
+            self._keep(known, timer)
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (s,), told, listed = self._known()
-        self.state.update((*s, True, listed))
-        if not told:
-            yield self._frame(key, [self._told(s, listed)])
+        known, _ = self._known()
+        mark = timerValues.getCurrentWatermarkInMs()
+        out = []
+        for k, (s, told, listed) in known.items():
+            if not told and self._ends(s) < mark:
+                out.append(self._told(k, s, listed))
+                known[k] = s, True, listed
+        self._keep(known, None)  # the timer that has expired is gone
+        if out:
+            yield self._frame(out)
+
+    def close(self) -> None:
+        pass
 
 
 def watched(roster: DataFrame, dimensions: Iterable[str]) -> DataFrame:
@@ -192,7 +265,7 @@ def watched(roster: DataFrame, dimensions: Iterable[str]) -> DataFrame:
 
 def silence_alerts(
     drift: DataFrame, roster: DataFrame, since, dimensions: Iterable[str], cadence_hours: int = 24,
-    delay: str = "10 minutes",
+    delay: str = "10 minutes", bundles: int = BUNDLES,
 ) -> DataFrame:
     """Agents that owe a drift decision in a dimension, also such as have never made one.
 
@@ -200,18 +273,20 @@ def silence_alerts(
     state with a timer; others from their first decision. ``silent_since`` is the last
     decision, or ``since`` where ``ever_reported`` is false. An alert comes once the
     watermark is more than the cadence past that. Decisions before ``since`` do not count.
+    The state is held in ``bundles`` of keys; a running job keeps the number it began with.
     """
     use_rocksdb(drift.sparkSession)
     start = drift.sparkSession.range(1).select(micros(ts(since)).alias("us")).first()["us"]
     events = (
         _clocked(drift, delay)
         .where(F.col("time").isNotNull())
-        .select(*_WATCHED, "time", F.unix_micros("time").alias("us"))
+        .select(bundle(_WATCHED, bundles), *_WATCHED, "time", F.unix_micros("time").alias("us"))
     )
-    return events.groupBy(*_WATCHED).transformWithStateInPandas(
+    listed = watched(roster, dimensions).select(bundle(_WATCHED, bundles), *_WATCHED)
+    return events.groupBy("bundle").transformWithStateInPandas(
         _Silence(cadence_hours * HOUR_US, start),
         "tenant_id string, environment string, agent_instance_id string, dimension string, "
         "silent_since timestamp_ntz, ever_reported boolean",
         "append", "eventtime",
-        initialState=watched(roster, dimensions).groupBy(*_WATCHED),
+        initialState=listed.groupBy("bundle"),
     )
