@@ -146,7 +146,7 @@ _CANDIDATE = ["tenant_id", "environment", "candidate_hash"]
 
 def ttl_alerts(
     discoveries: DataFrame, outcomes: DataFrame, ttl_h: float = 72, high_ttl_h: float = 24,
-    delay: str = "10 minutes",
+    delay: str = "10 minutes", bundles: int = 4096,
 ) -> DataFrame:
     """One alert per candidate and rung reached before any outcome.
 
@@ -154,7 +154,9 @@ def ttl_alerts(
     discovery. Spark has no built-in operator with a timer per key, so this is
     a state per candidate: first discovery, first outcome, the time it has and
     the rungs reported. Once the watermark has passed a rung and no outcome has
-    come up to then, the timer reports it.
+    come up to then, the timer reports it. The candidates of a bundle, one of ``bundles``
+    by hash, share a state and a timer, so Python is called per bundle and not per
+    candidate; a running job keeps the number of bundles it began with.
     """
     access = F.get_json_object("candidate_payload", "$.access")
     high = F.coalesce(access.isin("financial", "infrastructure"), F.lit(False))
@@ -164,38 +166,47 @@ def ttl_alerts(
     events = events.dropna(subset=_CANDIDATE).withColumn("us", F.unix_micros("time"))
 
     def advance(key, frames, state):
-        first, resolved, risky, fired = state.get if state.exists else (None, None, False, 0)
+        # Candidate -> first discovery, first outcome, whether its time is short, rungs reported.
+        held = zip(*state.get) if state.exists else ()
+        known = {(t, e, c): row for t, e, c, *row in held}
         if not state.hasTimedOut:
             for frame in frames:
-                found, over = frame[~frame["done"]], frame[frame["done"]]
-                if len(found):
-                    first = min(int(found["us"].min()), first if first is not None else 2**62)
-                    risky = risky or bool(found["high"].any())
-                if len(over):
-                    resolved = min(int(over["us"].min()), resolved if resolved is not None else 2**62)
+                for *candidate, us, high, done in zip(*[frame[c].tolist() for c in (*_CANDIDATE, "us", "high", "done")]):
+                    row = known.setdefault(tuple(candidate), [None, None, False, 0])
+                    if done:
+                        row[1] = us if row[1] is None else min(us, row[1])
+                    else:
+                        row[0] = us if row[0] is None else min(us, row[0])
+                        row[2] = row[2] or high
         mark_us = state.getCurrentWatermarkMs() * 1000
         rows, next_us = [], None
-        if first is not None:
+        for candidate, row in known.items():
+            first, resolved, risky, fired = row
+            if first is None:
+                continue
             hours = high_ttl_h if risky else ttl_h
             while fired < len(RUNGS):
                 due = first + int(hours * RUNGS[fired][1] * 3_600_000_000)
                 if resolved is not None and resolved <= due:
                     break
                 if due >= mark_us:
-                    next_us = due
+                    next_us = due if next_us is None else min(due, next_us)
                     break
-                rows.append((*key, RUNGS[fired][0], pd.Timestamp(due, unit="us")))
+                rows.append((*candidate, RUNGS[fired][0], pd.Timestamp(due, unit="us")))
                 fired += 1
-        state.update((first, resolved, risky, fired))
+            row[3] = fired
+        state.update(tuple(list(c) for c in zip(*[(*candidate, *row) for candidate, row in known.items()])))
         if next_us is not None:
             state.setTimeoutTimestamp(max(next_us // 1000, state.getCurrentWatermarkMs() + 1))
         if rows:
             yield pd.DataFrame(rows, columns=[*_CANDIDATE, "rung", "alert_at"])
 
-    return events.select(*_CANDIDATE, "time", "us", "high", "done").groupBy(*_CANDIDATE).applyInPandasWithState(
+    number = F.pmod(F.xxhash64(*_CANDIDATE), F.lit(bundles)).cast("int").alias("bundle")
+    return events.select(number, *_CANDIDATE, "time", "us", "high", "done").groupBy("bundle").applyInPandasWithState(
         advance,
         "tenant_id string, environment string, candidate_hash string, rung string, alert_at timestamp_ntz",
-        "first bigint, resolved bigint, risky boolean, fired int",
+        ", ".join(f"{c} array<string>" for c in _CANDIDATE)
+        + ", first array<bigint>, resolved array<bigint>, risky array<boolean>, fired array<int>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -27,3 +27,34 @@ def test_silence_of_many_agents_takes_a_state_per_bundle(spark, feed, tmp_path):
     states = spark.read.format("statestore").option("stateVarName", "sessions").load(f"{folder}/state")
     assert 1 <= states.count() <= 3
     assert states.select(F.sum(F.size("value.first"))).first()[0] == 62
+
+
+def test_candidates_take_a_state_per_bundle(spark, feed, tmp_path):  # noqa: F811
+    def found(c, time, access="read_only"):
+        return {**SCOPE, "event_id": "e", "candidate_hash": c, "workload_identity": "w", "time": time,
+                "candidate_payload": f'{{"access": "{access}"}}'}
+
+    def over(c, time):
+        return {**SCOPE, "event_id": "o", "candidate_hash": c, "outcome": "enrolled", "time": time}
+
+    seen = [[found(f"c{i}", at(1, f"{i:02d}:00:00")) for i in range(20)],
+            [found("c3", at(2), "financial"), found("c4", at(2))],
+            [found("end", at(9))]]
+    done = [[over("c5", at(1, "00:00:00"))], [over("c6", at(3, "00:00:00"))], [over("far", at(9))]]
+    folder = str(tmp_path / "run")
+    alerts = jobs.drain(
+        jobs.ttl_alerts(feed("discovery_events", seen)[0], feed("remediation_outcomes", done)[0], bundles=2), folder
+    )
+    want = []
+    for i in range(20):
+        for rung, share in jobs.RUNGS:
+            due = i + 72 * share if i != 3 else None
+            if i == 5 or (i == 6 and due >= 48) or due is None:
+                continue
+            want.append((f"c{i}", rung, f"2024-02-{1 + int(due) // 24:02d} {int(due) % 24:02d}:00:00"))
+    got = [(r[2], r[3], r[4]) for r in told(alerts)]
+    assert sorted(r for r in got if r[0] != "c3") == sorted(want)
+    # Known as financial on the second day: a rung told of before is not told of again.
+    assert [r[1] for r in sorted(got, key=lambda r: r[2]) if r[0] == "c3"] == [n for n, _ in jobs.RUNGS]
+    states = spark.read.format("statestore").load(f"{folder}/state")
+    assert 1 <= states.count() <= 2
