@@ -38,7 +38,8 @@ def _metrics(check_id: str) -> Query:
 
 
 def _results(spark: SparkSession, sf: str, refs: bool = False) -> DataFrame:
-    return run_assessments(derived_catalog(spark, sf), assessments(spark), refs=refs)
+    cat = derived_catalog(spark, sf, f"{jobs.shared_folder(spark)}/events")
+    return run_assessments(cat, assessments(spark), refs=refs)
 
 
 def _whole_report(spark: SparkSession, sf: str, refs: bool = False) -> DataFrame:

@@ -293,19 +293,23 @@ def _base_view(spark: SparkSession, sf_dir: str, table: str) -> str:
 
 
 def _text(spark: SparkSession, sf_dir: str, name: str, sources: dict[str, str]) -> str:
-    views = _needed(name)
+    views = [v for v in _needed(name) if v not in sources]
     body = " ".join(VIEWS[v] for v in views)
     ctes = [
         f"{t} AS (SELECT * FROM {sources.get(t) or _base_view(spark, sf_dir, t)})"
         for t in BASE_TABLES
         if re.search(rf"FROM {t}\b", body)
-    ] + [f"{v} AS ({VIEWS[v]})" for v in views]
+    ] + [f"{v} AS (SELECT * FROM {sources[v]})" for v in VIEWS if v in sources]
+    ctes += [f"{v} AS ({VIEWS[v]})" for v in views]
     return "WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}"
 
 
-def derived_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view as a DataFrame over the parquet tables in ``sf_dir``."""
-    return spark.sql(_text(spark, sf_dir, name, {}))
+def derived_frame(
+    spark: SparkSession, sf_dir: str, name: str, sources: dict[str, str] | None = None
+) -> DataFrame:
+    """One view as a DataFrame over the parquet tables in ``sf_dir``; ``sources`` names
+    temporary views to take in place of a table or of a view below it."""
+    return spark.sql(_text(spark, sf_dir, name, sources or {}))
 
 
 def derived_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -320,12 +324,22 @@ def derived_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return normalise(spark.sql(_text(spark, sf_dir, name, {"events": source})), name)
 
 
-def derived_catalog(spark: SparkSession, sf_dir: str) -> EvidenceCatalog:
-    """The views as an evidence store; each is built when first asked for."""
+def derived_catalog(spark: SparkSession, sf_dir: str, folder: str | None = None) -> EvidenceCatalog:
+    """The views as an evidence store; each is built when first asked for.
+
+    With a ``folder``, the rows of ``ev`` are stored there first, so that a plan that reads
+    many of the views takes the events' JSON apart once and not once per view.
+    """
+    sources = {}
+    if folder:
+        ev = derived_frame(spark, sf_dir, "ev")
+        ev.write.parquet(folder)
+        sources["ev"] = f"derived_ev_{uuid.uuid4().hex}"
+        spark.read.schema(ev.schema).parquet(folder).createOrReplaceTempView(sources["ev"])
     return EvidenceCatalog(
         spark,
         {
-            name: partial(derived_frame, spark, sf_dir, name)
+            name: partial(derived_frame, spark, sf_dir, name, sources)
             for name in VIEWS
             if name not in ("ev", "replayed_steps")
         },
