@@ -14,11 +14,12 @@ These jobs need the RocksDB state store: ``use_rocksdb(spark)`` sets it.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,6 +28,7 @@ from proofline.streaming.jobs import _clocked
 
 HOUR_US = 3_600_000_000
 BUNDLES = 4096
+CHUNK = 10_000  # events of a key taken at once
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -64,45 +66,6 @@ def merged(found: Iterable[Session], gap: int) -> list[Session]:
     return out
 
 
-class _BySession(StatefulProcessor):
-    """Keeps a key's latest session and whether it has been reported."""
-
-    columns: list[str]
-
-    def __init__(self, gap: int, since: int = -(2**62)):
-        self.gap, self.since = gap, since
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("session", "first bigint, second bigint, last bigint, told boolean, listed boolean")
-
-    def _known(self) -> tuple[list[Session], bool, bool]:
-        """The latest session, whether it was told of, and whether the key was in an initial state."""
-        if not self.state.exists():
-            return [], False, False
-        first, second, last, told, listed = self.state.get()
-        return [Session(first, second, last)], bool(told), bool(listed)
-
-    def _keep(self, s: Session, told: bool, listed: bool = False) -> None:
-        self.state.update((*s, told, listed))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        # The first millisecond at which nothing can join the session any more.
-        self.handle.registerTimer((s.last + self.gap) // 1000 + 1)
-
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=self.columns)
-
-    def _all(self, frames: Iterator[pd.DataFrame], known: list[Session]) -> list[Session]:
-        for frame in frames:
-            us = frame["us"].to_numpy()
-            known = merged([*known, *sessions(us[us >= self.since], self.gap)], self.gap)
-        return known
-
-    def close(self) -> None:
-        pass
-
-
 def bundle(columns: Iterable[str], bundles: int) -> Column:
     """One of ``bundles`` numbers for a key: the keys of a number share a state, so that
     Python is called once for all of them that a micro-batch brings."""
@@ -121,28 +84,52 @@ def _plain_time(us: int | None) -> pd.Timestamp | None:
 _MESSAGE = ["tenant_id", "environment", "sender_id", "nonce"]
 
 
-class _Replays(_BySession):
-    columns = [*_MESSAGE, "first_use", "replayed_at"]
+class _Replays(StatefulProcessor):
+    """Keeps a key's latest session, told of if it has a second use.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before, told, _ = self._known()
-        found = self._all(rows, before)
-        out = []
+    Every access to state and timers is a call out of Python, so there are no more of them
+    than a get, an update and a timer: where the old timer stands follows from the session.
+    """
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", "first bigint, second bigint, last bigint")
+
+    def _ends(self, s: Session) -> int:
+        """The first millisecond at which nothing can join the session any more."""
+        return (s.last + self.gap) // 1000 + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        before = Session(*held) if held is not None else None
+        found = [before] if before else []
+        while times := [r.us for r in islice(rows, CHUNK)]:
+            new = [Session(times[0], None, times[0])] if len(times) == 1 else sessions(np.array(times), self.gap)
+            found = merged([*found, *new], self.gap)
+        latest = found[-1]
+        if latest != before:
+            self.state.update(tuple(latest))
+        if before is None or self._ends(latest) != self._ends(before):
+            if before is not None:
+                self.handle.deleteTimer(self._ends(before))
+            self.handle.registerTimer(self._ends(latest))
+        # A session told of before lives on in the one that holds it.
+        told = before is not None and before.second is not None
         for s in found:
-            # A session told of before lives on in the one that holds it.
-            old = told and s.first <= before[0].last <= s.last
-            if s.second is not None and not old:
-                out.append((_plain_time(s.first), _plain_time(s.second)))
-        if found:
-            latest = found[-1]
-            self._keep(latest, latest.second is not None)
-        if out:
-            yield self._frame(key, out)
+            if s.second is not None and not (told and s.first <= before.last <= s.last):
+                times = {"first_use": _plain_time(s.first), "replayed_at": _plain_time(s.second)}
+                yield Row(**dict(zip(_MESSAGE, key)), **times)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
         return iter(())
 
+    def close(self) -> None:
+        pass
+
 
 def nonce_alerts(messages: DataFrame, retention_hours: int = 24, delay: str = "10 minutes") -> DataFrame:
     """A nonce that a sender uses again within ``retention_hours``, told at its second use.
@@ -158,7 +145,8 @@ def nonce_alerts(messages: DataFrame, retention_hours: int = 24, delay: str = "1
         .where(F.col("time").isNotNull() & F.col("nonce").isNotNull() & F.col("sender_id").isNotNull())
         .select(*_MESSAGE, "time", F.unix_micros("time").alias("us"))
     )
-    return uses.groupBy(*_MESSAGE).transformWithStateInPandas(
+    # By rows: most nonces are used once, and a pandas frame for one row costs more than its work.
+    return uses.groupBy(*_MESSAGE).transformWithState(
         _Replays(retention_hours * HOUR_US),
         "tenant_id string, environment string, sender_id string, nonce string, "
         "first_use timestamp_ntz, replayed_at timestamp_ntz",
