@@ -19,10 +19,16 @@ either repeats a passage. Classes are the connected components of the links.
 Documents of equal words are one node from the start. In a bucket of a band
 nodes are first compared with the hub, the one of them that shares most bands
 with other nodes, so a bucket of thousands of copies of one text costs thousands
-of comparisons and not their square. Only nodes of one bucket that are then
-still in different classes are compared with each other, each pair once, in the
-first bucket it shares. No link of a candidate pair is lost; where many texts are almost, but not
-quite, similar enough, these pairs are many.
+of comparisons and not their square. Only nodes that share a hub and are then
+still in different classes are compared with each other, and of these only pairs
+that can be links by the shingles in which they differ from the hub: two texts
+that differ from it in i and j shingles, m of them the same, differ from each
+other in i + j - 2m. So a pair is a link only if m is large enough, and then both
+hold one of the rarest of these shingles, so early that as many as needed can
+follow (a prefix filter with places, over differences instead of sets). No link
+is lost; a thousand texts that are almost, but not quite, similar enough cost few
+comparisons. Where links themselves are many, in a crowd whose hub is in none of
+them, so are these pairs.
 
 Words: A-Z lower-cased, runs of ASCII letters and digits and anything beyond
 ASCII. Null texts, and texts without words, are in no class but their own. Null
@@ -213,38 +219,73 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("id", "sha", "text").mapInArrow(run, f"id {kind}, sha binary, words binary, size int, bands array<bigint>")
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (u, v, ...) with the texts a and b of their nodes as last columns."""
+    return pairs.join(texts.select(F.col("words").alias("u"), F.col("text").alias("a")), "u").join(
+        texts.select(F.col("words").alias("v"), F.col("text").alias("b")), "v"
+    ).select(*pairs.columns, "a", "b")
+
+
+def _side_by_side(a: pa.Array, b: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of pairs of texts: how many pairs, the distinct shingles of each text,
+    and in order of the pairs their shingles: pair, hash, whether the next one is the same
+    of the other text."""
+    some: list = []
+    size = 0
+    for i in range(len(a)):
+        some += [a[i].as_py(), b[i].as_py()]
+        size += len(some[-1]) + len(some[-2])
+        if size >= CHUNK or i == len(a) - 1:
+            who, hashes, _ = shingles(some)
+            who, hashes, _ = weighed(who, hashes)
+            each = np.bincount(who, minlength=len(some))
+            # A shingle of both texts of a pair is there twice.
+            pair = who // 2
+            order = np.lexsort((hashes, pair))
+            pair, hashes = pair[order], hashes[order]
+            twice = np.zeros(len(pair), bool)
+            twice[:-1] = (pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])
+            yield len(some) // 2, each, pair, hashes, twice
+            some, size = [], 0
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) of nodes whose shingle sets are similar enough."""
-    both = pairs.join(texts.select(F.col("words").alias("u"), F.col("text").alias("a")), "u").join(
-        texts.select(F.col("words").alias("v"), F.col("text").alias("b")), "v"
-    )
 
     def run(batches):
         for batch in batches:
             keep: list[bool] = []
-            a, b = batch.column(2), batch.column(3)
-            some: list = []
-            size = 0
-            for i in range(batch.num_rows):
-                some += [a[i].as_py(), b[i].as_py()]
-                size += len(some[-1]) + len(some[-2])
-                if size >= CHUNK or i == batch.num_rows - 1:
-                    who, hashes, _ = shingles(some)
-                    who, hashes, _ = weighed(who, hashes)
-                    each = np.bincount(who, minlength=len(some))
-                    # A shingle of both texts of a pair is there twice.
-                    pair = who // 2
-                    order = np.lexsort((hashes, pair))
-                    pair, hashes = pair[order], hashes[order]
-                    twice = (pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])
-                    shared = np.bincount(pair[1:][twice], minlength=len(some) // 2)
-                    union = each[::2] + each[1::2] - shared
-                    keep += (shared >= threshold * union - 1e-9).tolist()
-                    some, size = [], 0
+            for n, each, pair, _, twice in _side_by_side(batch.column(2), batch.column(3)):
+                shared = np.bincount(pair[twice], minlength=n)
+                union = each[::2] + each[1::2] - shared
+                keep += (shared >= threshold * union - 1e-9).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return _with_texts(pairs.select("u", "v"), texts).mapInArrow(run, "u binary, v binary")
+
+
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (u, v, ...) with ``apart``: the hashes of the shingles that one of the two has."""
+    columns = pairs.columns
+
+    def run(batches):
+        for batch in batches:
+            begin = 0
+            for n, _, pair, hashes, twice in _side_by_side(batch.column(len(columns)), batch.column(len(columns) + 1)):
+                alone = ~twice
+                alone[1:] &= ~twice[:-1]
+                ends = np.cumsum(np.bincount(pair[alone], minlength=n))
+                apart = pa.ListArray.from_arrays(
+                    pa.array(np.append(0, ends), pa.int32()), pa.array(hashes[alone].view(np.int64), pa.int64())
+                )
+                same = batch.slice(begin, n)
+                yield pa.RecordBatch.from_arrays([same.column(i) for i in range(len(columns))] + [apart], names=[*columns, "apart"])
+                begin += n
+        give_back()
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return _with_texts(pairs, texts).mapInArrow(run, f"{kinds}, apart array<bigint>")
 
 
 def _close(a: str, b: str, threshold: float) -> Column:
@@ -266,16 +307,47 @@ def _mixed(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, int]:
     return stored(placed.join(per_key.select("key"), "key", "left_semi"), "open"), left
 
 
-def _cross_pairs(members: DataFrame, signed_: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of different classes in one bucket, each once: in the first bucket they share."""
-    nodes = members.select("words").distinct()
-    keys = signed_.join(nodes, "words", "left_semi").groupBy("words").agg(F.max("bands").alias("bands"))
-    rows = stored(members.join(keys, "words"), "open")
-    a = rows.select("key", F.col("words").alias("u"), F.col("size").alias("su"), F.col("class").alias("cu"), F.col("bands").alias("bu"))
-    b = rows.select("key", F.col("words").alias("v"), F.col("size").alias("sv"), F.col("class").alias("cv"), F.col("bands").alias("bv"))
-    first = F.get(F.array_intersect("bu", "bv"), 0)
-    meet = (a["key"] == b["key"]) & (F.col("cu") != F.col("cv")) & (F.col("u") < F.col("v"))
-    return a.join(b, meet & _close("su", "sv", threshold) & (a["key"] == first)).select("u", "v")
+def _cross_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of different classes beside one hub that can be links, each once.
+
+    A node differs from its hub in ``d`` shingles, and of these ``e`` more than its share of
+    those in which two texts that are linked may differ. A link then has (e + e') / 2 or more
+    of these shingles in common, which is above 0, as both nodes would be linked to the hub
+    otherwise. In order of rarity, the first they have in common has as many after it in both.
+    """
+    share = (1 - threshold) / (1 + threshold)
+    beside = members.select(F.col("words").alias("u"), F.col("hub").alias("v"), "size", "class").distinct()
+    apart = differences(beside, texts).withColumn("d", F.size("apart"))
+    apart = stored(apart.withColumn("e", F.col("d") - share * F.col("size")), "apart")
+    each = apart.select("u", "v", F.explode("apart").alias("shingle"))
+    # Those of one node alone are the first in order and meet nothing: they only take places.
+    often = each.groupBy("v", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    order = F.sort_array(F.collect_list(F.struct("n", "shingle")))
+    common = each.join(often, ["v", "shingle"]).groupBy("u", "v").agg(order.alias("common"))
+    least = apart.groupBy("v").agg(F.min("e").alias("least"))
+
+    def last(overlap: Column) -> Column:
+        """The last place the first of so many can have."""
+        return F.col("d") - F.greatest(F.lit(1), F.ceil(overlap - 1e-6))
+
+    # Of a pair, one has the smaller e; the other may be with any.
+    ends = apart.drop("apart").join(least, "v").withColumn("as_first", last(F.col("e"))).withColumn(
+        "as_second", last((F.col("e") + F.col("least")) / 2)
+    )
+    rows = ends.join(common, ["u", "v"]).select("*", F.posexplode("common").alias("i", "at"))
+    rows = rows.withColumn("place", F.col("i") + F.col("d") - F.size("common")).where("place <= as_second")
+    rows = rows.withColumn("after", F.col("d") - F.col("place"))
+    rows = stored(rows.select("u", "v", "at.shingle", "size", "class", "e", "after", (F.col("place") <= F.col("as_first")).alias("first")), "rare")
+    names = {"u": "u", "size": "s", "class": "c", "e": "e", "after": "after"}
+    a, b = (
+        rows.where(some).select("v", "shingle", *[F.col(x).alias(f"{y}{i}") for x, y in names.items()])
+        for i, some in ((1, F.col("first")), (2, F.lit(True)))
+    )
+    meet = (a["v"] == b["v"]) & (a["shingle"] == b["shingle"]) & (F.col("c1") != F.col("c2"))
+    meet &= (F.col("e1") < F.col("e2")) | ((F.col("e1") == F.col("e2")) & (F.col("u1") < F.col("u2")))
+    enough = 2 * F.least("after1", "after2") >= F.col("e1") + F.col("e2") - 1e-6
+    met = a.join(b, meet & _close("s1", "s2", threshold) & enough)
+    return met.select(F.least("u1", "u2").alias("u"), F.greatest("u1", "u2").alias("v")).distinct()
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -319,11 +391,11 @@ def near_classes(
         return near.select(F.col("words").alias("u"), F.col("hub.words").alias("v")).distinct()
 
     links = stored(verified(to_hub(members), texts, threshold), "links")
-    open_ = members.where(F.col("words") != F.col("hub.words")).drop("hub")
+    open_ = members.where(F.col("words") != F.col("hub.words")).withColumn("hub", F.col("hub.words"))
     groups = stored(components(links), "classes")
     open_, left = _mixed(open_, groups)
     if left:
-        more = stored(verified(_cross_pairs(open_, own, threshold), texts, threshold), "links")
+        more = stored(verified(_cross_pairs(open_, texts, threshold), texts, threshold), "links")
         # The classes so far are stars already, so few rounds join them up.
         found = groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         groups = stored(components(found.unionByName(more)), "classes")

@@ -191,3 +191,60 @@ def test_one_pass_gives_pieces_and_the_text_again(spark, docs):
     key = lambda r: (str(r.doc_id), r.text or "")
     assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, apart.collect()), key=str)
     assert all(r.decoded == r.text for r in sorted(both.collect(), key=key))
+
+
+def crowd(copies=140, seed=5):
+    """Texts each changed in a few places of one text, so that most are just below 0.8 to each other."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(copies):
+        text = list(base)
+        for _ in range(rng.choice([2, 3, 4, 5])):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**9)}"
+        rows.append(text)
+        if i % 12 == 0:  # one more with one place changed, and so linked to this one
+            rows.append([*text[:75], f"y{i}", *text[76:]])
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+def test_texts_just_below_the_threshold_are_not_compared_in_pairs(spark, monkeypatch):
+    rows = crowd()
+    compared, inner = [], n.verified
+
+    def counted(pairs, texts, threshold):
+        compared.append(pairs.count())
+        return inner(pairs, texts, threshold)
+
+    monkeypatch.setattr(n, "verified", counted)
+    got = n.mark_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.group_size) for r in got) == sorted(classes(rows))
+    assert 1 < len({r.class_id for r in got}) < len(rows)
+    assert len(compared) == 2 and compared[1] < 4 * len(rows), compared
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_no_link_between_classes_is_lost(spark, threshold):
+    rows = crowd(50, seed=8) + [(500 + i, t) for i, t in near_rows(seed=3, n_base=3)] + [(900, "b1 b2 b3")]
+    texts = sorted({" ".join(words(t)): t for _, t in rows}.values())
+    sets = [shingle_set(t) for t in texts]
+    key = [i.to_bytes(4, "big") for i in range(len(texts))]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9
+    for hub in (0, 7, len(texts) - 1):
+        # Those linked to the hub are in its class, all others alone.
+        of = {i: hub if similar(i, hub) else i for i in range(len(texts)) if i != hub}
+        members = [("k", key[i], key[hub], len(sets[i]), key[c]) for i, c in of.items()]
+        open_ = spark.createDataFrame(members, "key string, words binary, hub binary, size int, class binary")
+        nodes = spark.createDataFrame(list(zip(key, texts)), "words binary, text string")
+        got = [(bytes(r.u), bytes(r.v)) for r in n._cross_pairs(open_, nodes, threshold).collect()]
+        links = {(key[a], key[b]) for b in of for a in of if a < b and of[a] != of[b] and similar(a, b)}
+        assert links and links <= set(got) and len(got) == len(set(got))
+
+
+def test_differences_are_the_shingles_of_one_of_two(spark):
+    texts = ["a b c d e f", "a b c d e g h", "one", "a b c d e f"]
+    nodes = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "words binary, text string")
+    pairs = [(0, 1), (0, 2), (0, 3), (2, 1)]
+    df = spark.createDataFrame([(bytes([a]), bytes([b]), a + b) for a, b in pairs], "u binary, v binary, more int")
+    got = {(r.u[0], r.v[0]): (r.more, len(r.apart)) for r in n.differences(df, nodes).collect()}
+    assert got == {(a, b): (a + b, len(shingle_set(texts[a]) ^ shingle_set(texts[b]))) for a, b in pairs}
