@@ -19,9 +19,10 @@ either repeats a passage. Classes are the connected components of the links.
 Documents of equal words are one node from the start. In a bucket of a band
 nodes are first compared with the hub, the one of them that shares most bands
 with other nodes, so a bucket of thousands of copies of one text costs thousands
-of comparisons and not their square. Only nodes that share a hub and are then
-still in different classes are compared with each other, and of these only pairs
-that can be links by the shingles in which they differ from the hub: two texts
+of comparisons and not their square. Only nodes that share a hub, in whichever
+buckets, and are then still in different classes are compared with each other, and
+of these only pairs that can be links by the shingles in which they differ from the
+hub, which that comparison gives: two texts
 that differ from it in i and j shingles, m of them the same, differ from each
 other in i + j - 2m. So a pair is a link only if m is large enough, and then both
 hold one of the rarest of these shingles, so early that as many as needed can
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline.llm.common import give_back, stored
-from proofline.llm.components import components
+from proofline.llm.components import stars
 from proofline.llm.exact_dedup import in_filter, key_filter
 
 SHINGLE = 5
@@ -249,24 +250,9 @@ def _side_by_side(a: pa.Array, b: pa.Array) -> Iterator[tuple[int, np.ndarray, n
             some, size = [], 0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose shingle sets are similar enough."""
-
-    def run(batches):
-        for batch in batches:
-            keep: list[bool] = []
-            for n, each, pair, _, twice in _side_by_side(batch.column(2), batch.column(3)):
-                shared = np.bincount(pair[twice], minlength=n)
-                union = each[::2] + each[1::2] - shared
-                keep += (shared >= threshold * union - 1e-9).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-        give_back()
-
-    return _with_texts(pairs.select("u", "v"), texts).mapInArrow(run, "u binary, v binary")
-
-
 def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (u, v, ...) with ``apart``: the hashes of the shingles that one of the two has."""
+    """``pairs`` (u, v, ...) with ``shared``, how many shingles both have, and ``apart``, the
+    hashes of those that one of the two has."""
     columns = pairs.columns
 
     def run(batches):
@@ -275,17 +261,26 @@ def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for n, _, pair, hashes, twice in _side_by_side(batch.column(len(columns)), batch.column(len(columns) + 1)):
                 alone = ~twice
                 alone[1:] &= ~twice[:-1]
+                shared = pa.array(np.bincount(pair[twice], minlength=n), pa.int32())
                 ends = np.cumsum(np.bincount(pair[alone], minlength=n))
                 apart = pa.ListArray.from_arrays(
                     pa.array(np.append(0, ends), pa.int32()), pa.array(hashes[alone].view(np.int64), pa.int64())
                 )
                 same = batch.slice(begin, n)
-                yield pa.RecordBatch.from_arrays([same.column(i) for i in range(len(columns))] + [apart], names=[*columns, "apart"])
+                yield pa.RecordBatch.from_arrays(
+                    [*[same.column(i) for i in range(len(columns))], shared, apart], names=[*columns, "shared", "apart"]
+                )
                 begin += n
         give_back()
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-    return _with_texts(pairs, texts).mapInArrow(run, f"{kinds}, apart array<bigint>")
+    return _with_texts(pairs, texts).mapInArrow(run, f"{kinds}, shared int, apart array<bigint>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (u, v, ...) with ``apart``, and whether their shingle sets are ``similar`` enough."""
+    union = F.col("shared") + F.size("apart")
+    return differences(pairs, texts).withColumn("similar", F.col("shared") >= threshold * union - 1e-9).drop("shared")
 
 
 def _close(a: str, b: str, threshold: float) -> Column:
@@ -293,22 +288,21 @@ def _close(a: str, b: str, threshold: float) -> Column:
     return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
 
 
-def _mixed(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, int]:
-    """The members of buckets that hold more than one class, and how many pairs of
-    members of different classes these have."""
-    placed = members.drop("class").join(groups.withColumnRenamed("node", "words"), "words", "left")
-    placed = placed.withColumn("class", F.coalesce("component", "words")).drop("component")
-    per_class = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-    per_key = per_class.groupBy("key").agg(
-        F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")
-    )
-    per_key = stored(per_key.where("classes > 1").withColumn("pairs", F.expr("(n * n - same) div 2")), "mixed")
-    left = per_key.agg(F.sum("pairs")).first()[0] or 0
-    return stored(placed.join(per_key.select("key"), "key", "left_semi"), "open"), left
+def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members (words, hub, ...) beside hubs that have more than one class beside them, with
+    their classes, of ``groups`` (u, v) from ``stars``."""
+    placed = members.join(groups.select(F.col("u").alias("words"), F.col("v").alias("class")), "words", "left")
+    placed = placed.withColumn("class", F.coalesce("class", "words"))
+    per_hub = placed.groupBy("hub").agg(F.min("class").alias("a"), F.max("class").alias("b"))
+    # Stored, so that the members of a hot hub can be split.
+    mixed = stored(per_hub.where("a <> b").select("hub"), "mixed")
+    return stored(placed.join(mixed, "hub", "left_semi"), "open")
 
 
 def _cross_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of different classes beside one hub that can be links, each once.
+    """Pairs (u, v) of different classes beside one hub that can be links, each once, with
+    their classes cu and cv. ``members`` (words, hub, size, class) come once beside a hub, and
+    may bring ``apart``, how they differ from it.
 
     A node differs from its hub in ``d`` shingles, and of these ``e`` more than its share of
     those in which two texts that are linked may differ. A link then has (e + e') / 2 or more
@@ -316,15 +310,18 @@ def _cross_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Data
     otherwise. In order of rarity, the first they have in common has as many after it in both.
     """
     share = (1 - threshold) / (1 + threshold)
-    beside = members.select(F.col("words").alias("u"), F.col("hub").alias("v"), "size", "class").distinct()
-    apart = differences(beside, texts).withColumn("d", F.size("apart"))
-    apart = stored(apart.withColumn("e", F.col("d") - share * F.col("size")), "apart")
+    apart = members.withColumnsRenamed({"words": "u", "hub": "v"})
+    if "apart" not in members.columns:
+        apart = stored(differences(apart, texts), "apart")
+    apart = apart.select("u", "v", "size", "class", "apart", F.size("apart").alias("d"))
+    apart = apart.withColumn("e", F.col("d") - share * F.col("size"))
     each = apart.select("u", "v", F.explode("apart").alias("shingle"))
     # Those of one node alone are the first in order and meet nothing: they only take places.
     often = each.groupBy("v", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     order = F.sort_array(F.collect_list(F.struct("n", "shingle")))
     common = each.join(often, ["v", "shingle"]).groupBy("u", "v").agg(order.alias("common"))
-    least = apart.groupBy("v").agg(F.min("e").alias("least"))
+    # Stored, so that the nodes beside a hot hub can be split.
+    least = stored(apart.groupBy("v").agg(F.min("e").alias("least")), "least")
 
     def last(overlap: Column) -> Column:
         """The last place the first of so many can have."""
@@ -347,14 +344,47 @@ def _cross_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Data
     meet &= (F.col("e1") < F.col("e2")) | ((F.col("e1") == F.col("e2")) & (F.col("u1") < F.col("u2")))
     enough = 2 * F.least("after1", "after2") >= F.col("e1") + F.col("e2") - 1e-6
     met = a.join(b, meet & _close("s1", "s2", threshold) & enough)
-    return met.select(F.least("u1", "u2").alias("u"), F.greatest("u1", "u2").alias("v")).distinct()
+    ends = [F.struct(F.col(f"u{i}").alias("node"), F.col(f"c{i}").alias("class")) for i in (1, 2)]
+    pairs = met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b"))
+    return pairs.select(
+        F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.class").alias("cu"), F.col("b.class").alias("cv")
+    ).distinct()
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(words, text) for ``nodes`` (words, sha), by a filter before the shuffle."""
     words, bits = key_filter(nodes, F.xxhash64("sha"))
-    maybe = docs.where(in_filter(F.xxhash64("sha"), words.scalar(), bits)).select("sha", "text")
-    return maybe.join(nodes, "sha").groupBy("words").agg(F.max("text").alias("text"))
+    maybe = docs.where(in_filter(F.xxhash64("sha"), words.scalar(), bits)).groupBy("sha").agg(F.max("text").alias("text"))
+    return maybe.join(nodes, "sha").select("words", "text")
+
+
+def _meeting(own: DataFrame) -> DataFrame:
+    """(words, size, sha, keys, meets), stored, of the nodes that share bands with others: which
+    bands, and how often in all."""
+    nodes = own.groupBy("words").agg(F.max("size").alias("size"), F.max("bands").alias("bands"), F.min("sha").alias("sha"))
+    nodes = stored(nodes, "nodes")
+    keys = nodes.select("words", F.explode("bands").alias("key"))
+    buckets = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    # Sizes and hashes are kept out of the bands' rows.
+    parts = keys.join(buckets, "key").unionByName(nodes.select("words", "size", "sha"), allowMissingColumns=True)
+    of = parts.groupBy("words").agg(
+        F.max("size").alias("size"), F.max("sha").alias("sha"), F.collect_list("key").alias("keys"), F.sum("n").alias("meets")
+    )
+    return stored(of.where("meets is not null"), "meeting")
+
+
+def _beside_hubs(meeting: DataFrame) -> DataFrame:
+    """(u, v, size), stored: each node u once beside each hub v of its buckets."""
+    members = meeting.select("words", "size", "meets", F.explode("keys").alias("key"))
+    # The text that copies were made from shares more bands with them than they share
+    # with each other, so the node that meets most others is a bucket's hub.
+    hubs = members.groupBy("key").agg(F.max(F.struct("meets", "words")).alias("hub")).select("key", "hub.words")
+    beside = members.withColumnRenamed("words", "u").join(hubs.withColumnRenamed("words", "v"), "key").where("u <> v")
+    return stored(beside.select("u", "v", "size").repartition("u").distinct(), "beside")
+
+
+def _classes(links: DataFrame, a: str, b: str) -> DataFrame:
+    return stars(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
 
 
 def near_classes(
@@ -370,40 +400,23 @@ def near_classes(
     docs = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("sha", F.unhex(F.sha2("text", 256)))
     sig = stored(signed(docs, bands, rows), "signatures")
-    own = sig.where("words is not null")
-    nodes = own.groupBy("words").agg(F.max("size").alias("size"), F.max("bands").alias("bands"), F.min("sha").alias("sha"))
-    members = nodes.select("words", "size", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(members.join(stored(sizes, "buckets"), "key"), "members")
-    # The text that copies were made from shares more bands with them than they share
-    # with each other, so the node that meets most others is a bucket's hub.
-    central = stored(members.groupBy("words").agg(F.sum("n").alias("meets")), "central")
-    ranked = stored(members.drop("n").join(central, "words"), "members")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("meets", "words", "size")).alias("hub"))
-    hubs = hubs.select("key", F.struct("hub.words", "hub.size").alias("hub"))
-    members = stored(ranked.drop("meets").join(hubs, "key"), "members")
-    # A text is fetched by its hash; hashes are kept out of the bands' rows.
-    candidates = own.groupBy("words").agg(F.min("sha").alias("sha")).join(central.select("words"), "words")
-    texts = stored(_texts_of(docs, stored(candidates, "candidates")), "texts")
-
-    def to_hub(m: DataFrame) -> DataFrame:
-        near = m.where((F.col("words") != F.col("hub.words")) & _close("size", "hub.size", threshold))
-        return near.select(F.col("words").alias("u"), F.col("hub.words").alias("v")).distinct()
-
-    links = stored(verified(to_hub(members), texts, threshold), "links")
-    open_ = members.where(F.col("words") != F.col("hub.words")).withColumn("hub", F.col("hub.words"))
-    groups = stored(components(links), "classes")
-    open_, left = _mixed(open_, groups)
-    if left:
-        more = stored(verified(_cross_pairs(open_, texts, threshold), texts, threshold), "links")
-        # The classes so far are stars already, so few rounds join them up.
-        found = groups.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        groups = stored(components(found.unionByName(more)), "classes")
+    meeting = _meeting(sig.where("words is not null"))
+    texts = stored(_texts_of(docs, meeting.select("words", "sha")), "texts")
+    # How a node differs from its hub tells whether they are linked, and later which others it can be linked to.
+    beside = stored(verified(_beside_hubs(meeting), texts, threshold), "beside")
+    groups = _classes(beside.where("similar"), "u", "v")
+    open_ = _mixed(beside.drop("similar").withColumnsRenamed({"u": "words", "v": "hub"}), groups)
+    if not open_.isEmpty():
+        # These link classes, which are the smallest nodes of the stars so far.
+        more = verified(_cross_pairs(open_, texts, threshold), texts, threshold).where("similar")
+        more = _classes(stored(more.select("cu", "cv"), "links"), "cu", "cv")
+        into = more.select(F.col("u").alias("v"), F.col("v").alias("into"))
+        groups = groups.join(into, "v", "left").select("u", F.coalesce("into", "v").alias("v")).unionByName(more)
 
     # Rows by id and text; alike ones are counted together until the end.
     listed = sig.groupBy("id", "sha", "words").agg(F.count(F.lit(1)).alias("n"))
-    listed = listed.join(groups.withColumnRenamed("node", "words"), "words", "left").withColumn(
-        "class", F.coalesce("component", "words", F.concat(F.encode(F.coalesce(F.col("id").cast("string"), F.lit("null")), "utf-8"), F.col("sha")))
+    listed = listed.join(groups.select(F.col("u").alias("words"), F.col("v").alias("class")), "words", "left").withColumn(
+        "class", F.coalesce("class", "words", F.concat(F.encode(F.coalesce(F.col("id").cast("string"), F.lit("null")), "utf-8"), F.col("sha")))
     )
     # Rows without words are classes of one row each, alike or not.
     alone = F.col("words").isNull()

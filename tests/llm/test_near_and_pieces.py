@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from proofline.llm import components as c
 from proofline.llm import near_dedup as n
 from proofline.llm import pieces as p
 from proofline.llm.common import PIECE_MODEL
@@ -248,3 +249,34 @@ def test_differences_are_the_shingles_of_one_of_two(spark):
     df = spark.createDataFrame([(bytes([a]), bytes([b]), a + b) for a, b in pairs], "u binary, v binary, more int")
     got = {(r.u[0], r.v[0]): (r.more, len(r.apart)) for r in n.differences(df, nodes).collect()}
     assert got == {(a, b): (a + b, len(shingle_set(texts[a]) ^ shingle_set(texts[b]))) for a, b in pairs}
+
+
+def count_stored(monkeypatch):
+    """The names of the tables that the steps write; each write is a round of tasks of its own."""
+    names = []
+    for module in (c, n):
+        inner = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name="llm", inner=inner: names.append(name) or inner(df, name))
+    return names
+
+
+def test_few_tables_are_written_on_the_way(spark, monkeypatch):
+    names = count_stored(monkeypatch)
+    rows = crowd(60, seed=3)
+    got = n.mark_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.group_size) for r in got) == sorted(classes(rows))
+    assert "rare" in names and len(names) <= 22, names
+
+
+def test_stars_take_no_round_and_rounds_add_no_links(spark, monkeypatch):
+    names = count_stored(monkeypatch)
+    stars = [(5, 1), (6, 1), (6, 1), (9, 2)]
+    got = c.components(spark.createDataFrame(stars, "u long, v long")).collect()
+    assert sorted(got) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)] and len(names) == 2, names
+    # 7 has two neighbours to link, and a link is there twice.
+    links = spark.createDataFrame([(7, 3), (7, 4), (7, 4), (8, 4)], "u long, v long")
+    assert not c._are_stars(links)
+    for larger in (True, False):
+        links = c._star(links, larger)
+        assert links.count() == 4 and not links.where("u <= v").count()
+    assert sorted(c.components(links).collect()) == [(3, 3), (4, 3), (7, 3), (8, 3)]
